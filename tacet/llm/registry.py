@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("substring",)
+MODULES = ("substring", "near")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
