@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("substring", "near")
+MODULES = ("substring", "near", "lm", "packing")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
