@@ -1,8 +1,9 @@
 """Operator 4: near-duplicate documents by HyperMinHash.
 
-A document's set of word shingles becomes 128 compressed registers: each bucket of the hash space
+A document's set of word shingles becomes 256 compressed registers: each bucket of the hash space
 keeps its least hash as a leading-zero count and mantissa bits. Bands of registers propose
-candidates; register matches, corrected for chance collisions, estimate the Jaccard similarity;
+candidates (an empty register borrows from a filled one, so that a band of a short text rests on as
+many hashes as one of a long text); register matches, corrected for chance collisions, estimate the Jaccard similarity;
 whatever the estimate cannot rule out is verified on the full sets.
 
 Documents with equal sets form one class and only classes are compared. Classes that share a band
@@ -24,12 +25,16 @@ from pyspark.sql import functions as F
 from tacet.llm import kernel as K
 
 SHINGLE = 5
-REGISTERS = 128
-ROWS_PER_BAND = 5
-MANTISSA = 26
+REGISTERS = 256
+ROWS_PER_BAND = 7
+MANTISSA = 10
+#: Sets of so few shingles can only be linked when equal, and equal sets are one class anyway.
+TINY = 5
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 SIGMAS = 5
+#: Most partitions for comparisons inside large families (a number of tasks, not a limit on work).
+WIDEST = 20_000
 
 
 def sets_of(column, k: int = SHINGLE):
@@ -56,9 +61,9 @@ def registers(u: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     full = np.diff(np.append(at, len(u))) > 0
     x = u[at[full]] << K.U64(bits)
     zeros = 53 - np.frexp((x >> K.U64(11)).astype(np.float64))[1].astype(np.int64)
-    out = np.zeros(m, np.uint32)
+    out = np.zeros(m, np.uint16)
     mantissa = (x << (zeros + 1).astype(np.uint64)) >> K.U64(64 - MANTISSA)
-    out[full] = ((zeros + 1).astype(np.uint64) << K.U64(MANTISSA) | mantissa).astype(np.uint32)
+    out[full] = ((zeros + 1).astype(np.uint64) << K.U64(MANTISSA) | mantissa).astype(np.uint16)
     return out
 
 
@@ -76,21 +81,42 @@ def chance(na, nb, m: int = REGISTERS):
 
 def estimates(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray):
     """Collision-corrected Jaccard estimates of one set against many, and the registers each rests on."""
-    used = ((one | many) != 0).sum(1)
-    same = ((one == many) & (one != 0)).sum(1)
+    live = one != 0
+    used = ((many != 0) | live).sum(1)
+    same = (one[live] == many[:, live]).sum(1)
     c = chance(size, sizes)
     return (same / np.maximum(used, 1) - c) / (1 - c), used
 
 
+def lenders(m: int = REGISTERS, tries: int = 4096) -> np.ndarray:
+    """For each register the others it tries to borrow from, in a fixed random order."""
+    return np.random.default_rng(11).integers(0, m, (tries, m), np.int64)
+
+
+_lenders = lenders()
+
+
+def filled(regs: np.ndarray) -> np.ndarray:
+    """Registers with each empty one replaced by the first filled one that it tries (optimal densification)."""
+    out = regs.copy()
+    row, col = np.nonzero(regs == 0)
+    for tries in _lenders:
+        if not len(row):
+            break
+        got = regs[row, tries[col]]
+        out[row, col] = got
+        row, col = row[got == 0], col[got == 0]
+    return out
+
+
 def band_keys(regs: np.ndarray, r: int = ROWS_PER_BAND):
-    """(row, key) of every band of r registers that is not empty throughout."""
+    """(row, key) of every band of r registers."""
     n, m = regs.shape
-    bands = regs[:, : m // r * r].reshape(n, m // r, r).astype(np.uint64)
+    bands = filled(regs)[:, : m // r * r].reshape(n, m // r, r).astype(np.uint64)
     h = np.broadcast_to(np.arange(1, m // r + 1, dtype=np.uint64) * K.U64(K.BASE), bands.shape[:2]).copy()
     for j in range(r):
         h = K.mix(h * K.U64(3) + bands[:, :, j])
-    row, band = np.nonzero(bands.any(2))
-    return row, h[row, band]
+    return np.repeat(np.arange(n), m // r), h.reshape(-1)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -176,7 +202,7 @@ def _signatures(k: int):
 def _bands(batches):
     for batch in batches:
         if batch.num_rows:
-            regs = np.array([np.frombuffer(b.as_buffer(), np.uint32) for b in batch.column(1)])
+            regs = np.array([np.frombuffer(b.as_buffer(), np.uint16) for b in batch.column(1)])
             row, key = band_keys(regs)
             yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(batch.column(0).to_numpy()[row])], ["key", "v"])
 
@@ -237,7 +263,7 @@ def _links(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     total = sizes.agg(F.sum(F.when(F.col("blocks") == 1, F.col("shingles"))).alias("small"), F.max("blocks").alias("most")).first()
     if total["small"]:
         bins = max(48, math.ceil(total["small"] / BLOCK_SHINGLES))
-        edges.append(sets.where("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins))).groupBy("bin").applyInArrow(_small(percent), shape))
+        edges.append(sets.where("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins))).repartition(K.parts(sets.sparkSession, bins), "bin").groupBy("bin").applyInArrow(_small(percent), shape))
     if (total["most"] or 0) > 1:
         big = sets.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
         with_hub = big.where("v <> hub").unionByName(big.where("v = hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
@@ -249,7 +275,9 @@ def _links(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
         one = left.join(rest, "family").select("family", F.pmod(F.xxhash64("v", F.lit(1)), F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "v", F.lit(0).alias("kind"), "shingles")
         held = done.withColumn("yes", F.lit(True))
         two = big.join(rest, "family").join(held, "v", "left").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"), F.col("block").alias("j"), "v", F.when(F.col("yes") | (F.col("v") == F.col("hub")), 2).otherwise(1).alias("kind"), "shingles")
-        edges.append(one.unionByName(two).groupBy("family", "i", "j").applyInArrow(_pairs(percent), shape))
+        tasks = rest.join(sizes, "family").agg(F.sum(F.col("lefts") * F.col("blocks")).alias("n")).first()["n"] or 0
+        width = K.parts(sets.sparkSession, min(WIDEST, math.ceil(tasks / 4)))
+        edges.append(one.unionByName(two).repartition(width, "family", "i", "j").groupBy("family", "i", "j").applyInArrow(_pairs(percent), shape))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -268,10 +296,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE) ->
     docs = docs.select("doc_id", "text")
     sig = K.keep(docs.mapInArrow(_signatures(k), "doc_id bigint, n_shingles bigint, v bigint, regs binary"))
     classes = K.keep(sig.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")))
-    reps = sig.where("v is not null").join(classes.withColumnRenamed("least", "doc_id").select("v", "doc_id"), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", "regs")
-    nameless = sig.where("v is not null and doc_id is null").join(classes.where("least is null").select("v"), "v", "left_semi").dropDuplicates(["v"]).select("v", "regs")
-    bands = reps.unionByName(nameless).mapInArrow(_bands, "key bigint, v bigint")
-    bands = K.keep(bands)
+    large = sig.where(F.col("n_shingles") > TINY)
+    reps = large.join(classes.withColumnRenamed("least", "doc_id").select("v", "doc_id"), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", "regs")
+    nameless = large.where("doc_id is null").join(classes.where("least is null").select("v"), "v", "left_semi").dropDuplicates(["v"]).select("v", "regs")
+    bands = reps.unionByName(nameless).select("v", "regs").mapInArrow(_bands, "key bigint, v bigint")
     buckets = bands.groupBy("key").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = K.keep(bands.join(buckets, "key").select("v", "low", "n"))
     families = K.components(hits.select(F.col("v").alias("a"), F.col("low").alias("b")))
