@@ -31,6 +31,8 @@ def by_ranges(docs: DataFrame, n: int) -> DataFrame:
     """Adds _chunk, the number of the doc_id range; rows without an id come last."""
     x = docs.select(F.percentile_approx(F.col("doc_id").cast("double"), [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("q")).first()["q"] if n > 1 else []
     splits = [-math.inf, *sorted(set(x or [])), math.inf]
+    if len(splits) < 3:
+        return docs.withColumn("_chunk", F.lit(0))
     docs = docs.withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(math.nan)))
     cut = Bucketizer(splits=splits, inputCol="_at", outputCol="_bin", handleInvalid="keep").transform(docs)
     return cut.withColumn("_chunk", F.col("_bin").cast("int")).drop("_at", "_bin")
