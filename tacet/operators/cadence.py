@@ -58,7 +58,7 @@ def gaps(events: DataFrame) -> DataFrame:
 def mle_rates(gap_rows: DataFrame) -> DataFrame:
     """Per entity the exponential maximum-likelihood rate; gaps have a floor, negative and missing ones are left out."""
     g = F.when(F.col("gap_hours") >= 0, F.col("gap_hours"))
-    return gap_rows.groupBy("entity").agg((F.count(g) / F.sum(F.greatest(g, F.lit(C.GAP_FLOOR_H)))).alias("rate"), F.count(g).alias("n"))
+    return gap_rows.groupBy("entity").agg((F.count(g) / F.sum(F.when(g.isNotNull(), F.greatest(g, F.lit(C.GAP_FLOOR_H))))).alias("rate"), F.count(g).alias("n"))
 
 
 def event_times(reports: DataFrame) -> DataFrame:
