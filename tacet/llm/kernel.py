@@ -7,11 +7,8 @@ rolling polynomial (Rabin-Karp) modulo 2**64. No step walks a text in Python.
 
 from __future__ import annotations
 
-import atexit
 import hashlib
 import math
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +16,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tacet.operators.graph import components  # noqa: F401 (used as kernel.components)
+from tacet.sources.shared import keep  # noqa: F401
+
 U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
@@ -155,41 +155,6 @@ def crc32_column(c):
     return F.crc32(F.encode(c.cast("string"), "UTF-8"))
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended
-            return
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm = spark._jsc.sc().getCheckpointDir()
-        found = jvm.get() if jvm.isDefined() else None
-    if not found:
-        found = tempfile.mkdtemp(prefix="tacet-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark._jsc.sc().getCheckpointDir().get()
-    return found
-
-
-def keep(df: DataFrame, *, sort: bool = False) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tacet-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text of a table."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()
@@ -203,27 +168,3 @@ def parts(spark: SparkSession, wanted: int) -> int:
 
 def chunks_for(size: int, per: int, least: int = 48) -> int:
     return max(least, math.ceil(size / per))
-
-
-def components(edges: DataFrame, most: int = 40) -> DataFrame:
-    """(v, c) with the least vertex c reachable from each vertex v of edges (a, b).
-
-    Alternating large-star and small-star steps: each keeps the number of edges linear, a hub's
-    edges are only ever aggregated by a minimum or joined, and O(log n) rounds suffice.
-    """
-    e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    last = None
-    for _ in range(most):
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct()
-        e = keep(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("components did not converge")
-    return e.select(F.col("a").alias("v"), F.col("b").alias("c")).unionByName(e.select(F.col("b").alias("v"), F.col("b").alias("c")).distinct())
