@@ -241,7 +241,8 @@ def pack(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int = END_ID) -
     per = cut.groupBy("pid", "length").agg(F.count(F.lit(1)).alias("n"))
     per = K.keep(per.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("pid")) - F.col("n")))
     histogram = {r["length"]: r["n"] for r in per.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most limit rows
-    ranked = cut.join(per.drop("n"), ["pid", "length"]).withColumn("rank", F.col("before") + F.col("local"))
+    # a row per input partition and length: grows with the input, so it is never broadcast
+    ranked = cut.join(per.drop("n").hint("merge"), ["pid", "length"]).withColumn("rank", F.col("before") + F.col("local"))
     shape = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_assign(patterns(histogram, limit), limit), shape)
 
