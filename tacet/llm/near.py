@@ -54,6 +54,11 @@ def sets_of(column, k: int = SHINGLE):
             yield np.zeros(0, np.uint64)
 
 
+def _key(u: np.ndarray) -> int:
+    """A 64-bit key of a set, the same for equal sets."""
+    return int((K.mix(u + K.U64(5)).sum() ^ K.mix(np.array([len(u)], np.uint64))[0]).astype(np.int64))
+
+
 def registers(u: np.ndarray, m: int = REGISTERS) -> np.ndarray:
     """HyperMinHash of a sorted set: per bucket (leading zeros + 1) << MANTISSA | mantissa; 0 where empty."""
     bits = m.bit_length() - 1
@@ -192,7 +197,7 @@ def _signatures(k: int):
                 size, key, regs = [], [], []
                 for u in sets_of(part.column(1), k):
                     size.append(len(u))
-                    key.append(int((K.mix(u + K.U64(5)).sum() ^ K.mix(np.array([len(u)], np.uint64))[0]).astype(np.int64)) if len(u) else None)
+                    key.append(_key(u) if len(u) else None)
                     regs.append(registers(u).tobytes() if len(u) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "n_shingles", "v", "regs"])
 
@@ -214,13 +219,25 @@ def _full_sets(k: int):
                 part = batch.slice(at, to - at)
                 sets = list(sets_of(part.column("text"), k))
                 want = part.column("v").to_numpy()
-                right = [i for i, u in enumerate(sets) if len(u) and int((K.mix(u + K.U64(5)).sum() ^ K.mix(np.array([len(u)], np.uint64))[0]).astype(np.int64)) == want[i]]
+                right = [i for i, u in enumerate(sets) if len(u) and _key(u) == want[i]]
                 part = part.take(pa.array(right, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column("v"), part.column("family"), part.column("blocks"), part.column("hub"), pa.array([sets[i].tobytes() for i in right], pa.binary())], ["v", "family", "blocks", "hub", "shingles"])
 
     return full
 
 
+def _own_sets(k: int):
+    """Key and full set of every text."""
+
+    def own(batches):
+        for batch in batches:
+            for at, to in K.pieces(batch.column(0)):
+                sets = [u for u in sets_of(batch.column(0).slice(at, to - at), k) if len(u)]
+                yield pa.RecordBatch.from_arrays([pa.array([_key(u) for u in sets], pa.int64()), pa.array([u.tobytes() for u in sets], pa.binary())], ["v", "shingles"])
+
+    return own
+
+
 def _small(percent: int):
     def solve(table: pa.Table) -> pa.Table:
         table = table.sort_by("family")
@@ -307,9 +324,13 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE) ->
     member = K.keep(families.select("v", F.col("c").alias("family")).join(degree, "v").join(classes, "v"))
     sizes = K.keep(member.groupBy("family").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("shingles"), F.max_by("v", F.struct("degree", "v")).alias("hub")).withColumn("blocks", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))))
     wanted = member.join(sizes.select("family", "blocks", "hub"), "family").select(F.col("least").alias("doc_id"), "v", "family", "blocks", "hub")
-    text = docs.withColumnRenamed("doc_id", "id")
-    found = text.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("text", "v", "family", "blocks", "hub")
-    sets = K.keep(found.mapInArrow(_full_sets(k), "v bigint, family bigint, blocks bigint, hub bigint, shingles binary").dropDuplicates(["v"]))
+    found = docs.join(wanted.where("doc_id is not null"), "doc_id").select("text", "v", "family", "blocks", "hub")
+    sets = found.mapInArrow(_full_sets(k), "v bigint, family bigint, blocks bigint, hub bigint, shingles binary")
+    unnamed = wanted.where("doc_id is null").select("v", "family", "blocks", "hub")
+    if unnamed.limit(1).count():  # texts without an id are found by their sets
+        own = docs.where("doc_id is null").select("text").mapInArrow(_own_sets(k), "v bigint, shingles binary")
+        sets = sets.unionByName(own.join(unnamed, "v").select("v", "family", "blocks", "hub", "shingles"))
+    sets = K.keep(sets.dropDuplicates(["v"]))
     label = classes.select("v", "least")
     if sizes.limit(1).count():
         comps = K.components(_links(sets, sizes, percent))
