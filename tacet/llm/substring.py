@@ -170,7 +170,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, *, texts: bool = True, chun
     packed = packed.repartition(width, "_chunk")
     kind = dict(packed.dtypes)["doc"]
     sent = packed.groupBy("_chunk").applyInArrow(_send(k, ranges), "rng int, chunk int, blob binary")
-    sent = sent.repartition(K.parts(spark, ranges), "rng")
+    sent = sent.repartition(K.parts(spark, math.ceil(ranges / 8)), "rng")  # several ranges each, to even them out
     bits = sent.groupBy("rng").applyInArrow(_count, "_chunk int, rng int, bits binary").repartition(width, "_chunk")
     shape = f"doc {kind}, n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>" + ", text string" * texts
     return packed.groupBy("_chunk").cogroup(bits.groupBy("_chunk")).applyInArrow(_merge(k, ranges, texts), shape)
