@@ -151,10 +151,12 @@ def spanning(sets: list, left: np.ndarray, right: np.ndarray, joined: np.ndarray
         return x
 
     pairs: list = []
-    inside = np.zeros(n, bool)
+    inside, both = np.zeros(n, bool), np.zeros(n, bool)
     inside[left] = True
+    both[np.intersect1d(left, right)] = True
     for i in left:
-        other = right[(right > i) | ~inside[right]]
+        # two members of both sides meet twice, so once is enough; a left-only one meets every right one only here
+        other = right[(right > i) | ~inside[right]] if both[i] else right
         other = other[(100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
         if len(other):
             j, used = estimates(regs[i], sizes[i], regs[other], sizes[other])

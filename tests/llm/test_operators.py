@@ -129,6 +129,19 @@ def test_lone_star_and_pairs(spark):
     assert set(got.values()) == {0}
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
+def test_pairs_compare_a_left_row_with_every_right_row(order):
+    """A left-only row meets the block's own left rows wherever the rows of the group lie."""
+    import pyarrow as pa
+
+    a = np.unique(np.random.default_rng(6).integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
+    rows = [(1, 0, a[:380]), (2, 0, a[20:]), (2, 1, a[20:])]  # v, kind, set: 2 is left and also in the block
+    rows = [rows[k] for k in order]
+    table = pa.table({"v": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "shingles": pa.array([r[2].tobytes() for r in rows], pa.binary())})
+    got = near._pairs(85)(table).to_pylist()
+    assert [{r["a"], r["b"]} for r in got] == [{1, 2}]
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     whole = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))
