@@ -26,10 +26,9 @@ from tacet.llm import kernel as K
 
 SHINGLE = 5
 REGISTERS = 256
-ROWS_PER_BAND = 7
 MANTISSA = 10
-#: Sets of so few shingles can only be linked when equal, and equal sets are one class anyway.
-TINY = 5
+#: How often at most a pair right at the limit may share no band.
+MISSED = 1e-6
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 SIGMAS = 5
@@ -37,6 +36,17 @@ SIGMAS = 5
 WIDEST = 20_000
 
 
+def tiny(percent: int) -> int:
+    """Sets of so few shingles can only be linked when equal (n against n + 1 is below the limit), and equal sets are one class anyway."""
+    return (percent - 1) // max(1, 100 - percent)
+
+
+def rows_per_band(percent: int) -> int:
+    """The most registers per band with which a pair at the limit shares a band but for MISSED."""
+    t = percent / 100
+    return max((r for r in range(1, 33) if (1 - t**r) ** (REGISTERS // r) <= MISSED), default=1)
+
+
 def sets_of(column, k: int = SHINGLE):
     """Sorted distinct shingle hashes of each text (lower-cased A-Z); with fewer than k words the whole sequence is one."""
     buf, offs = K.buffer_of(column)
@@ -114,7 +124,7 @@ def filled(regs: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(regs: np.ndarray, r: int = ROWS_PER_BAND):
+def band_keys(regs: np.ndarray, r: int):
     """(row, key) of every band of r registers."""
     n, m = regs.shape
     bands = filled(regs)[:, : m // r * r].reshape(n, m // r, r).astype(np.uint64)
@@ -206,12 +216,15 @@ def _signatures(k: int):
     return sign
 
 
-def _bands(batches):
-    for batch in batches:
-        if batch.num_rows:
-            regs = np.array([np.frombuffer(b.as_buffer(), np.uint16) for b in batch.column(1)])
-            row, key = band_keys(regs)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(batch.column(0).to_numpy()[row])], ["key", "v"])
+def _bands(r: int):
+    def bands(batches):
+        for batch in batches:
+            if batch.num_rows:
+                regs = np.array([np.frombuffer(b.as_buffer(), np.uint16) for b in batch.column(1)])
+                row, key = band_keys(regs, r)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(batch.column(0).to_numpy()[row])], ["key", "v"])
+
+    return bands
 
 
 def _full_sets(k: int):
@@ -315,10 +328,10 @@ def near_duplicates(docs: DataFrame, *, percent: int = 85, k: int = SHINGLE) ->
     docs = docs.select("doc_id", "text")
     sig = K.keep(docs.mapInArrow(_signatures(k), "doc_id bigint, n_shingles bigint, v bigint, regs binary"))
     classes = K.keep(sig.where("v is not null").groupBy("v").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n")))
-    large = sig.where(F.col("n_shingles") > TINY)
+    large = sig.where(F.col("n_shingles") > tiny(percent))
     reps = large.join(classes.withColumnRenamed("least", "doc_id").select("v", "doc_id"), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", "regs")
     nameless = large.where("doc_id is null").join(classes.where("least is null").select("v"), "v", "left_semi").dropDuplicates(["v"]).select("v", "regs")
-    bands = reps.unionByName(nameless).select("v", "regs").mapInArrow(_bands, "key bigint, v bigint")
+    bands = reps.unionByName(nameless).select("v", "regs").mapInArrow(_bands(rows_per_band(percent)), "key bigint, v bigint")
     buckets = bands.groupBy("key").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
     hits = K.keep(bands.join(buckets, "key").select("v", "low", "n"))
     families = K.components(hits.select(F.col("v").alias("a"), F.col("low").alias("b")))

@@ -142,6 +142,23 @@ def test_pairs_compare_a_left_row_with_every_right_row(order):
     assert [{r["a"], r["b"]} for r in got] == [{1, 2}]
 
 
+def test_near_limits_follow_the_percentage(spark):
+    """At 80 percent 4 shingles against 5 are linked, and so are pairs between 0.80 and 0.85; at 85 neither is."""
+    assert (near.tiny(85), near.rows_per_band(85)) == (5, 7)
+    assert near.tiny(80) == 3 and (1 - 0.8 ** near.rows_per_band(80)) ** (256 // near.rows_per_band(80)) <= 1e-6
+    short, rows = "one two three four five six seven eight".split(), []
+    rows += [(1, " ".join(short)), (2, " ".join([*short, "nine"]))]
+    for k in range(40):
+        w = _passage(700 + k, 304).split()
+        other = list(w)
+        for at in (20, 60, 100, 140, 180, 220):  # 270 of 330 shingles: 0.818
+            other[at] = "changed"
+        rows += [(100 + 2 * k, " ".join(w)), (101 + 2 * k, " ".join(other))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.doc_id for r in near.near_duplicates(df, percent=80).collect() if r.kept} == {1, *range(100, 180, 2)}
+    assert all(r.kept for r in near.near_duplicates(df, percent=85).collect())
+
+
 def test_estimates():
     rng = np.random.default_rng(0)
     whole = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64) * np.uint64(2))

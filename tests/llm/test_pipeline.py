@@ -45,6 +45,13 @@ def test_stages(spark, folder, tmp_path):
     assert max(total.values()) <= 2048
 
 
+def test_near_stage_takes_copies_from_eight_tenths(spark):
+    w = _passage(710, 304).split()
+    other = ["changed" if k in (20, 60, 100, 140, 180, 220) else x for k, x in enumerate(w)]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(other))], "doc_id bigint, text string")
+    assert [r.doc_id for r in P.near_stage(spark, docs, "").collect()] == [1]
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     assert P.run(spark, folder).select("doc_id").distinct().count() == 15
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
