@@ -37,13 +37,17 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order of the schedule of their sources."""
+    """All documents, in the order of the schedule of their sources.
+
+    The order of rows does not outlive the reread; the packing stage works the slots out again.
+    """
     return mixing.mix(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their sequences."""
-    return packing.pack(docs, packing.tokenizer_path())
+    """Pieces of the documents with their sequences, which follow the schedule of the sources."""
+    slots = mixing.placed(docs).select("doc.doc_id", "doc.text", "_slot", "_h")
+    return packing.pack_in_order(slots, packing.tokenizer_path())
 
 
 STAGES = [

@@ -147,26 +147,31 @@ def _place(borders, slots: dict, name: str):
     return place
 
 
-def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
-    """The rows of docs in the order of the schedule, with all their columns.
+def placed(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """(doc, _h, _slot) of every row: the schedule is the order of _slot, then _h.
 
-    weights: by source; sources without one come last in effect (a millionth of the least). Rows
-    without a source are a source of their own; rows of equal doc_id, repeated ones too, stay
-    together in one block, which may then be larger. No row is dropped or repeated.
+    Depends on the rows alone and not on their order, so the same rows always get the same slots.
     """
     spark = docs.sparkSession
     plan = Schedule(docs, weights, most_blocks)
-    if not plan.sources:
-        return docs
     borders = spark.sparkContext.broadcast(plan.borders())  # at most most_blocks numbers
     slots: dict = {s: [0] * n for s, n in zip(plan.sources, plan.blocks, strict=True)}
     for slot, (s, b) in enumerate(plan.slots):
         slots[plan.sources[s]][b] = slot
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("_source"), F.xxhash64("doc_id").alias("_h"))
     kind = dict(packed.dtypes)["doc"]
-    placed = packed.mapInArrow(_place(borders, slots, "doc"), f"doc {kind}, _h bigint, _slot bigint")
-    width = K.parts(spark, 1)
-    out = placed.repartitionByRange(width, "_slot", "_h").sortWithinPartitions("_slot", "_h")
+    return packed.mapInArrow(_place(borders, slots, "doc"), f"doc {kind}, _h bigint, _slot bigint")
+
+
+def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """The rows of docs in the order of the schedule, with all their columns.
+
+    weights: by source; sources without one come last in effect (a millionth of the least). Rows
+    without a source are a source of their own; rows of equal doc_id, repeated ones too, stay
+    together in one block, which may then be larger. No row is dropped or repeated.
+    """
+    width = K.parts(docs.sparkSession, 1)
+    out = placed(docs, weights=weights, most_blocks=most_blocks).repartitionByRange(width, "_slot", "_h").sortWithinPartitions("_slot", "_h")
     return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

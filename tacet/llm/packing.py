@@ -31,6 +31,8 @@ from tacet.llm import kernel as K
 LIMIT = 2048
 END_ID = 1
 CACHE = 300_000
+#: Pieces of one segment where the order of the documents counts.
+SEGMENT = 4096
 #: Stretches with letters beyond Latin go to the tokenizer itself, whose Unicode tables are its own.
 PLAIN = "\u0250"
 #: White space that is not ASCII's, and controls that some tables count as such (an RE2 pattern).
@@ -149,6 +151,8 @@ class Encoder:
 
 
 def _cut(path: str, limit: int, end: int):
+    """Pieces of the texts; columns behind doc_id and text go along."""
+
     def cut(batches):
         from pyspark import TaskContext
 
@@ -171,7 +175,7 @@ def _cut(path: str, limit: int, end: int):
                 rank[order] = np.arange(len(size)) - (np.cumsum(counts) - counts)[size[order]]
                 rank += seen[size]
                 seen += counts
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(begin), pa.array(size), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array(np.full(len(doc), pid)), pa.array(rank)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "local"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(begin), pa.array(size), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array(np.full(len(doc), pid)), pa.array(rank), *[c.take(pa.array(doc)) for c in part.columns[2:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "local", *part.schema.names[2:]])
 
     return cut
 
@@ -232,9 +236,8 @@ def pack(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int = END_ID) -
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are their end id alone. Each row is a document of its own, so repeated
-    rows are packed as often as they occur; null ids stay null. Extra columns are ignored. Pieces of
-    one length are ranked in the order of the input's partitions and rows, so an ordered input
-    fills its sequences in that order.
+    rows are packed as often as they occur; null ids stay null. Extra columns are ignored. The
+    order of sequences means nothing; pack_in_order keeps an order.
     """
     whole = docs.select("doc_id", "text").mapInArrow(_cut(path, limit, end), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, pid bigint, local bigint")
     cut = K.keep(whole)
@@ -247,6 +250,64 @@ def pack(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int = END_ID) -
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_assign(patterns(histogram, limit), limit), shape)
 
 
+def _number(batches):
+    """Numbers the rows of the partition."""
+    from pyspark import TaskContext
+
+    pid, seen = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, pid, np.int64)), pa.array(seen + np.arange(batch.num_rows))], [*batch.schema.names, "pid", "local"])
+        seen += batch.num_rows
+
+
+def _pack_segment(limit: int):
+    """Packs one stretch of the order; its sequences are numbered from 0 by their first piece in it."""
+
+    def segment(table: pa.Table) -> pa.Table:
+        table = table.sort_by("at")
+        size = table.column("length").to_numpy()
+        order = np.argsort(size, kind="stable")
+        counts = np.bincount(size, minlength=limit + 1)
+        rank = np.empty(len(size), np.int64)
+        rank[order] = np.arange(len(size)) - (np.cumsum(counts) - counts)[size[order]]
+        found = patterns({int(x): int(counts[x]) for x in np.flatnonzero(counts)}, limit)
+        batch = pa.RecordBatch.from_arrays([*[table.column(c).combine_chunks() for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")], pa.array(rank)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank"])
+        out = next(_assign(found, limit)(iter([batch])))
+        _, first, which = np.unique(out.column("sequence_id").to_numpy(), return_index=True, return_inverse=True)
+        place = np.empty(len(first), np.int64)
+        place[np.argsort(first)] = np.arange(len(first))
+        return pa.table({**{c: out.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")}, "segment": table.column("segment"), "number": pa.array(place[which]), "offset": out.column("offset")})
+
+    return segment
+
+
+def pack_in_order(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int = END_ID, segment: int = SEGMENT) -> DataFrame:
+    """As pack, of docs (doc_id, text, _slot, _h): sequence_id follows the order of _slot, then _h.
+
+    The pieces in this order are cut into segments of ``segment`` pieces. Each is packed for itself,
+    and sequences are numbered by segment and in it by their first piece, so every prefix of the
+    sequences holds the same prefix of the order but for one segment at most.
+    """
+    spark = docs.sparkSession
+    shape = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+    keys = ["_slot", "_h", "doc_id", "start", "ids_crc32"]
+    cut = K.keep(docs.select("doc_id", "text", "_slot", "_h").mapInArrow(_cut(path, limit, end), f"{shape}, pid bigint, local bigint, _slot bigint, _h bigint").drop("pid", "local"))
+    dealt = cut.repartitionByRange(K.parts(spark, 1), *keys).sortWithinPartitions(*keys)
+    numbered = K.keep(dealt.mapInArrow(_number, f"{shape}, _slot bigint, _h bigint, pid bigint, local bigint"))
+    per = {r["pid"]: r["n"] for r in numbered.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shuffle partition
+    rows, before = [], 0
+    for pid in sorted(per):
+        rows.append((pid, before))
+        before += per[pid]
+    starts = F.broadcast(spark.createDataFrame(rows, "pid bigint, before bigint"))
+    at = numbered.join(starts, "pid").withColumn("at", F.col("before") + F.col("local")).withColumn("segment", F.floor(F.col("at") / segment))
+    packed = K.keep(at.drop("_slot", "_h", "pid", "local", "before").repartition(K.parts(spark, -(-before // (64 * segment))), "segment").groupBy("segment").applyInArrow(_pack_segment(limit), f"{shape}, segment bigint, number bigint, offset bigint"))
+    sizes = packed.groupBy("segment").agg((F.max("number") + 1).alias("n"))
+    # a row per segment: grows with the input, so it is never broadcast
+    base = sizes.select("segment", (F.sum("n").over(W.orderBy("segment")) - F.col("n")).alias("base"))
+    return packed.join(base.hint("merge"), "segment").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("number")).alias("sequence_id"), "offset")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 

@@ -52,6 +52,51 @@ def test_near_stage_takes_copies_from_eight_tenths(spark):
     assert [r.doc_id for r in P.near_stage(spark, docs, "").collect()] == [1]
 
 
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    """Shares of the sources in each prefix of the final sequences are those of the schedule, whatever the order of the files."""
+    rows = [(k, _passage(2000 + k, 20 + k * 7 % 60), "a" if k % 10 else "b", 0) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint")
+    mixed = P.mixing_stage(spark, docs, "").collect()
+    source = {r.doc_id: r.source for r in mixed}
+    spark.createDataFrame(mixed[::-1], docs.schema).repartition(5).write.parquet(str(tmp_path / "mixed"))
+    got = P.packing_stage(spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
+    size = {r.doc_id: r.doc_tokens for r in got}
+    number = {r.doc_id: r.sequence_id for r in got}
+    last, total = max(number.values()), sum(size.values())
+    assert sorted(set(number.values())) == list(range(last + 1))
+    for part in (0.1, 0.2, 0.3, 0.5):
+        prefix = [i for i, n in number.items() if n < part * (last + 1)]
+        run, want = 0, []
+        for r in mixed:
+            if run >= part * total:
+                break
+            run += size[r.doc_id]
+            want.append(r.doc_id)
+        share = lambda ids: sum(size[i] for i in ids if source[i] == "b") / sum(size[i] for i in ids)
+        assert abs(share(prefix) - share(want)) < 0.06
+
+
+def test_ordered_packing_cuts_segments_in_order(spark):
+    from tacet.llm import packing
+
+    rows = [(k, _passage(4000 + k, 15 + k * 11 % 40), k, 0) for k in range(300)][::-1]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _slot bigint, _h bigint").repartition(3)
+    got = packing.pack_in_order(docs, packing.tokenizer_path(), limit=512, segment=50).collect()
+    assert len(got) == 300 and {r.doc_id for r in got} == set(range(300))
+    by = collections.defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append(r)
+    assert sorted(by) == list(range(len(by)))
+    assert all(sum(r.length for r in s) <= 512 and len({r.doc_id // 50 for r in s}) == 1 for s in by.values())
+    least = [min(r.doc_id for r in by[s]) for s in sorted(by)]
+    assert least == sorted(least)
+    for s in by.values():
+        at = 0
+        for r in sorted(s, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+
+
 def test_run_and_empty(spark, folder, tmp_path):
     assert P.run(spark, folder).select("doc_id").distinct().count() == 15
     docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
