@@ -119,9 +119,9 @@ def failed_stages(incidents: DataFrame, runs: DataFrame, slack_ms: int = 2000) -
     return incidents.join(runs, (F.col("at") >= low) & (F.col("at") <= high))
 
 
-def changes(states: DataFrame) -> DataFrame:
-    """Polled states (at, value) that differ from the one before."""
-    last = F.lag("value").over(W.orderBy("at"))
+def changes(states: DataFrame, key: str) -> DataFrame:
+    """Polled states (key, at, value) that differ from the one before of the same key."""
+    last = F.lag("value").over(W.partitionBy(key).orderBy("at"))
     return states.withColumn("before", last).where(F.col("before").isNull() | (F.col("before") != F.col("value"))).drop("before")
 
 

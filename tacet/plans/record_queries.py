@@ -122,7 +122,7 @@ def run_stats(spark, d):
 
 
 def poll_changes(spark, d):
-    return ledger.changes(V.events(spark, d).where("user_id = 3").select(F.struct("t", "event_id").alias("at"), F.col("event_type").alias("value"))).select(F.col("at.event_id").alias("event_id"), "value")
+    return ledger.changes(V.events(spark, d).where("user_id = 3").select("user_id", F.struct("t", "event_id").alias("at"), F.col("event_type").alias("value")), "user_id").select(F.col("at.event_id").alias("event_id"), "value")
 
 
 def stream_last_seen(spark, d):

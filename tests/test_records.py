@@ -108,6 +108,12 @@ def test_shortlist(spark):
     assert got == [(7, "district-b-town", 2, [1], 11), (8, "district-a", 1, [], 5), (8, "district-b-town", 2, [], 11)]
 
 
+def test_changes_of_every_key(spark):
+    rows = [(1, 1, "a"), (2, 2, "b"), (1, 3, "a"), (2, 4, "b"), (1, 5, "c"), (2, 6, "a")]
+    got = ledger.changes(spark.createDataFrame(rows, "who bigint, at bigint, value string"), "who").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, "a"), (1, 5, "c"), (2, 2, "b"), (2, 6, "a")]
+
+
 def test_texts(spark):
     got = one(spark, ledger.hours_text(F.lit(13.44)), ledger.hours_text(F.lit(120.5)), ledger.signed_text(F.lit(-1.0)), ledger.relative_text(F.lit(0), F.lit(30 * 60_000)), ledger.pair_label(F.lit(" "), F.lit("t" * 80), F.lit("n"), "f"))
     assert got == ("13.4h", "121h", "−1.00", "30 min ago", "t" * 69 + "…")
