@@ -1,9 +1,9 @@
 """Operator 1: URL filters from a path-template tree (built-in functions only).
 
 Given rules judge the urls that they fit, and thereby label them. For every host the paths form a
-tree. Level by level, a segment stays literal if it is frequent below its parent; rare, variable
-segments become a wildcard, and so do literal branches whose labels do not differ statistically
-from those of their siblings. Each template's share of blocked urls is smoothed towards that of its
+tree. Level by level, as long as any node can still split, a segment stays literal if it has a few
+urls at least; rare, variable segments become a wildcard, and so do branches whose labels do not
+differ statistically from those of their siblings. Each template's share of blocked urls is smoothed towards that of its
 parent (the host's towards that of its last domain label, that towards the whole); urls that no
 rule fits are blocked where the smoothed share is high.
 
@@ -22,8 +22,7 @@ from tacet.llm import kernel as K
 
 #: Fixed values: (host, path, verdict).
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-LEVELS = 4
-LEAST, SHARE = 3, 0.01
+LEAST = 3
 Z = 1.96
 WEIGHT = 5.0
 PURITY = 0.75
@@ -49,8 +48,8 @@ def _smoothed(parent: Column, blocked: Column, labelled: Column) -> Column:
     return (F.coalesce(blocked, F.lit(0)) + WEIGHT * parent) / (F.coalesce(labelled, F.lit(0)) + WEIGHT)
 
 
-def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """(host, path, template, purity) of distinct urls (host, path, n, blocked, labelled)."""
+def templates(urls: DataFrame, levels: int | None = None) -> DataFrame:
+    """(host, path, template, purity) of distinct urls (host, path, n, blocked, labelled); levels limits the depth."""
     sums = [F.sum(c).alias(c) for c in ("n", "blocked", "labelled")]
     whole = urls.agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), F.max(F.size(F.split("path", "/"))).alias("depth")).first()
     start = ((whole["b"] or 0) + 1) / ((whole["l"] or 0) + 2)
@@ -59,13 +58,18 @@ def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
     hosts = hosts.join(lasts, "last").select("host", _smoothed(_smoothed(F.lit(start), F.col("b"), F.col("l")), F.col("blocked"), F.col("labelled")).alias("purity"))
     state = urls.join(hosts, "host").withColumn("segments", F.split(F.expr("substring(path, 2)"), "/")).withColumn("template", F.lit(""))
     state = K.keep(state)
-    for level in range(1, min(levels, max(0, (whole["depth"] or 1) - 1)) + 1):
+    deepest, level = max(0, (whole["depth"] or 1) - 1), 0
+    while level < (deepest if levels is None else min(levels, deepest)):
+        below = state.where(F.size("segments") > level).groupBy("host", "template").agg(F.sum("n").alias("n"))
+        if not below.where(F.col("n") >= LEAST).limit(1).count():  # no node can split any more
+            break
+        level += 1
         seg = F.try_element_at("segments", F.lit(level))
         at = state.withColumn("seg", seg)
         kids = K.keep(at.where("seg is not null").groupBy("host", "template", "seg").agg(*sums))
-        up = kids.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("n", "blocked", "labelled")])
+        up = kids.groupBy("host", "template").agg(*[F.sum(c).alias(f"all_{c}") for c in ("blocked", "labelled")])
         x = kids.join(up, ["host", "template"])
-        frequent = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("all_n"))
+        frequent = F.col("n") >= LEAST
         rest = F.col("all_labelled") - F.col("labelled")
         own, other = F.col("blocked") / F.greatest("labelled", F.lit(1)), (F.col("all_blocked") - F.col("blocked")) / F.greatest(rest, F.lit(1))
         mid = (F.col("all_blocked") + 1) / (F.col("all_labelled") + 2)
@@ -79,15 +83,16 @@ def templates(urls: DataFrame, levels: int = LEVELS) -> DataFrame:
         blocked, labelled = F.when(F.col("is_lit"), F.col("lit_b")).otherwise(F.col("wild_b")), F.when(F.col("is_lit"), F.col("lit_l")).otherwise(F.col("wild_l"))
         purity = F.when(F.col("seg").isNull(), F.col("purity")).otherwise(_smoothed(F.col("purity"), blocked, labelled))
         state = K.keep(y.select("host", "path", "n", "blocked", "labelled", "segments", name.alias("template"), purity.alias("purity")))
-    tail = F.when(F.size("segments") > levels, "/**").otherwise("")
+    tail = F.when(F.size("segments") > level, "/**").otherwise("")
     return state.select("host", "path", F.concat("template", tail).alias("template"), "purity")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, *, levels: int = LEVELS, purity: float = PURITY) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, *, levels: int | None = None, purity: float = PURITY) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, template, purity.
 
     Urls that are null or without ``://`` have an empty host and path and form one template.
-    Repeated rows count as often as they occur. Segments beyond ``levels`` are one tail. Extra
+    Repeated rows count as often as they occur. Segments below the last level at which any node could split
+    (or beyond ``levels``) are one tail. Extra
     columns are ignored; without labelled urls everything that no rule fits has a purity of 0.5 and
     is judged by ``purity`` like any other.
     """

@@ -380,6 +380,16 @@ def test_urls_learn_bad_templates(spark):
     assert got and all((r.verdict == "block") == ("/ads/" in r.path) for r in got)
 
 
+def test_urls_split_deep_and_small_branches(spark):
+    """Labels that depend on the sixth segment, and a blocked branch of far under a hundredth of its host."""
+    rows = [(k, f"http://deep.com/a/b/c/d/e/{'ads' if k % 2 else 'news'}/{k}") for k in range(60)]
+    rows += [(1000 + k, f"http://wide.com/{'bad' if k < 20 else 'ok'}/{k}") for k in range(3000)]
+    rules = [("deep.com", f"/a/b/c/d/e/ads/{d}", "block") for d in range(1, 6)] + [("deep.com", "/a/b/c/d/e/news/", "allow")]
+    rules += [("wide.com", "/bad/1", "block"), ("wide.com", "/ok/", "allow")]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules).where("rule is null").collect()
+    assert {r.host for r in got} == {"deep.com", "wide.com"} and all(r.verdict == "block" for r in got)
+
+
 def test_interleave():
     blocks, weights = [50, 20, 7, 1], [0.5, 0.3, 0.15, 0.05]
     slots = mixing.interleave(blocks, weights)
