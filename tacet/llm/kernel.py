@@ -7,6 +7,7 @@ rolling polynomial (Rabin-Karp) modulo 2**64. No step walks a text in Python.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import math
 
@@ -20,6 +21,9 @@ from tacet.operators.graph import components  # noqa: F401 (used as kernel.compo
 from tacet.sources.shared import keep  # noqa: F401
 
 U64 = np.uint64
+#: Bytes of text of one chunk (a group in a worker) and of one shuffle partition (many chunks).
+CHUNK_BYTES = 2 << 20
+PARTITION_BYTES = 64 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -58,7 +62,7 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
-def pieces(column, limit: int = 4 << 20):
+def pieces(column, limit: int = 1 << 20):
     """Row ranges of a string column with about ``limit`` bytes each (one row at least)."""
     _, offs = buffer_of(column)
     n, at = len(offs) - 1, 0
@@ -150,6 +154,27 @@ def unplanar(b, size: int) -> np.ndarray:
     return np.ascontiguousarray(x.reshape(size, -1).T).reshape(-1).view(f"<u{size}")
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: a worker lives on between tasks, and what it keeps counts against its executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def struct_of(table: pa.Table, name: str = "doc") -> pa.StructArray:
+    """A struct column of a group as one array."""
+    column = table.column(name).combine_chunks()
+    return column if isinstance(column, pa.StructArray) else pa.concat_arrays(column.chunks)
+
+
+def dealt(docs: DataFrame, by, chunks: int, size: int) -> tuple[DataFrame, int]:
+    """Adds _chunk, by the values ``by`` and the input partition, so that repeated rows are spread too; and the partitions for ``size`` bytes."""
+    at = F.pmod(F.xxhash64(F.spark_partition_id(), *by), F.lit(chunks)).cast("int")
+    return docs.withColumn("_chunk", at), parts(docs.sparkSession, min(chunks, math.ceil(size / PARTITION_BYTES)))
+
+
 def crc32_column(c):
     """crc32 of an id as text."""
     return F.crc32(F.encode(c.cast("string"), "UTF-8"))

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tacet.llm import kernel as K
 
@@ -159,8 +160,8 @@ def placed(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = M
     for slot, (s, b) in enumerate(plan.slots):
         slots[plan.sources[s]][b] = slot
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("_source"), F.xxhash64("doc_id").alias("_h"))
-    kind = dict(packed.dtypes)["doc"]
-    return packed.mapInArrow(_place(borders, slots, "doc"), f"doc {kind}, _h bigint, _slot bigint")
+    shape = T.StructType([packed.schema["doc"], *T.StructType.fromDDL("_h bigint, _slot bigint")])
+    return packed.mapInArrow(_place(borders, slots, "doc"), shape)
 
 
 def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:

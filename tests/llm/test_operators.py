@@ -194,11 +194,65 @@ def test_quality(docs, rows, none):
     assert quality.quality(none).count() == 0 and quality.filter_documents(none).count() == 0
 
 
-def test_quality_rejects_odd_rates(spark):
-    plain = [(k, _passage(100 + k, 80), "en", "a") for k in range(250)]
-    odd = [(1000, "*** ".join(_passage(900, 80).split()), "en", "a"), (1001, _passage(901, 80).upper(), "en", "a")]
-    got = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(plain + odd, "doc_id bigint, text string, lang string, source string")).collect()}
-    assert not got[1000] and not got[1001] and all(got[k] for k in range(250))
+def _plain_limit(values):
+    """A threshold from exact quantiles, as the docstring words it."""
+    v = sorted(values)
+    q = [v[math.ceil(i / 100 * len(v)) - 1] for i in range(1, 100)]
+    best, gap = -1.0, 0.0
+    for k in range(1, 99):
+        low, high = sum(q[:k]) / k, sum(q[k:]) / (99 - k)
+        if k * (99 - k) * (high - low) ** 2 > best + 1e-15:
+            best, gap = k * (99 - k) * (high - low) ** 2, (q[k - 1] + q[k]) / 2
+    return max(gap, q[49] + quality.SPREADS * (q[74] - q[49]) / 0.6745)
+
+
+def test_quality_thresholds_and_verdicts(spark):
+    """Thresholds follow the spread of their group, and all verdicts equal those from exact quantiles."""
+    rng = np.random.default_rng(8)
+    table = []
+    for k in range(390):
+        source, loud = ("calm", 0.02) if k % 3 else ("loud", 0.2)
+        words = [w + "!" if rng.random() < loud else w.upper() if rng.random() < loud / 2 else w for w in _passage(100 + k, int(rng.integers(30, 120))).split()]
+        table.append((k, " ".join(words), "en" if k % 5 else None, source))
+    table += [(1000, "*** ".join(_passage(900, 80).split()), "en", "calm"), (1001, _passage(901, 80).upper(), "en", "calm"), (1002, "!! ".join(_passage(902, 80).split()), "en", "rare")]
+    df = spark.createDataFrame(table, "doc_id bigint, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r.asDict() for r in quality.quality(df).collect()}
+    rate = lambda r, c: max(r[quality.RATES[c][0]] - 2 * math.sqrt(r[quality.RATES[c][0]]), 0) / max(r[quality.RATES[c][1]], 1)
+    groups = collections.defaultdict(list)
+    for r in got.values():
+        for key in ((), (r["lang"],), (r["lang"], r["source"])):
+            groups[key].append(r)
+    for c in quality.RATES:
+        top = {k: _plain_limit([rate(r, c) for r in g]) for k, g in groups.items()}
+        for k in sorted(groups, key=len):
+            if k:
+                n = len(groups[k])
+                top[k] = (n * top[k] + quality.SHRINK * top[k[:-1]]) / (n + quality.SHRINK)
+        for r in got.values():
+            assert abs(r[f"top_{c}"] - top[r["lang"], r["source"]]) < 1e-9
+            assert (c in r["failed"]) == (rate(r, c) > r[f"top_{c}"])
+    assert all(r["kept"] == (not r["failed"] and not r["base_failed"]) for r in got.values())
+    assert got[0]["top_marks_per_char"] > 1.5 * got[1]["top_marks_per_char"]
+    assert not any(got[i]["kept"] for i in (1000, 1001, 1002)) and sum(r["kept"] for r in got.values()) > 370
+    assert all(quality.quality(df.drop("lang", "source")).select("top_marks_per_char").distinct().count() == 1 for _ in "1")
+
+
+def test_quality_limits_of_sketches_stay_within_their_error(spark):
+    """A sketch of many rows gives a quantile whose rank is off by less than a hundredth."""
+    from pyspark.sql import functions as F
+
+    x = spark.range(60_000).select((F.xxhash64("id") % 1_000_000).cast("double").alias("v"))
+    q = x.repartition(7).agg(F.kll_sketch_agg_double("v", F.lit(quality.SKETCH_K)).alias("s")).select(F.kll_sketch_get_quantile_double("s", F.array(*map(F.lit, quality.LEVELS))).alias("q")).first().q
+    v = np.sort(np.array([r.v for r in x.collect()]))
+    assert np.abs(np.searchsorted(v, q) / len(v) - quality.LEVELS).max() < 0.01
+
+
+def test_columns_with_odd_names(spark):
+    """Names with dots and names of keywords pass through the stages that carry whole rows."""
+    df = spark.createDataFrame([(1, _passage(1), "en", "s", 5, "x"), (2, None, None, None, 6, None)], "doc_id bigint, text string, lang string, source string, `a.b` int, `select` string")
+    assert quality.filter_documents(df).columns == df.columns
+    assert {r.doc["a.b"] for r in substring.remove_repeats(df).collect()} == {5, 6}
+    assert mixing.mix(df).columns == df.columns and mixing.mix(df).count() == 2
 
 
 def test_packing(docs, rows, none):
