@@ -180,6 +180,21 @@ def crc32_column(c):
     return F.crc32(F.encode(c.cast("string"), "UTF-8"))
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
+    """rows left-joined with table (one row per key; ``count``: how many rows have it) by key, without gathering a common key's rows.
+
+    Keys with more than one in ``share`` of the counted rows are fewer than ``share`` and are
+    broadcast; their rows stay where they are. All others are joined by a shuffle.
+    """
+    table = table.withColumnRenamed(key, "_key")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    hot = F.broadcast(table.where(F.col(count) * share > total))
+    on = F.col(key) == F.col("_key")
+    near = rows.join(hot, on)
+    far = rows.join(hot.select("_key"), on, "left_anti").join(table, on, "left")
+    return near.unionByName(far).drop("_key", count)
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text of a table."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()

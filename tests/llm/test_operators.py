@@ -106,11 +106,22 @@ def test_near(docs, rows, none, block, monkeypatch):
         ids = [sets[y][0] for y in range(n) if find(y) == find(x) and sets[y][0] is not None]
         c = (min(ids) if ids else None) if s else i
         want.append((i, len(s), c, c == i))
-    got = [tuple(r) for r in near.near_duplicates(docs).collect()]
+    got = [tuple(r) for r in near.near_duplicates(docs, percent=85).collect()]
     assert sorted(got, key=_key) == sorted(want, key=_key)
     assert near.near_duplicates(none).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Copies without an id, ids with several texts, and rows that occur twice."""
+    a, b, c = _passage(30, 80), _passage(31, 80), _passage(32, 80)
+    table = [(5, a), (3, a), (None, a), (None, b), (None, b), (None, b + " "), (7, c), (7, c), (7, a), (8, ""), (8, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(table)], "doc_id bigint, text string, `k.v` int").repartition(3)
+    got = near.one_of_each(df)
+    assert got.columns == df.columns
+    left = collections.Counter((r.doc_id, (r.text or "").strip()) for r in got.collect())
+    assert left == {(3, a): 1, (None, b): 1, (7, c): 1, (8, ""): 2, (9, ""): 1}
+
+
 def test_lone_star_and_pairs(spark):
     """Chains whose ends are not alike still come together, also in families cut into blocks."""
     base = _passage(20, 300).split()
