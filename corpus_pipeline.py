@@ -21,10 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (a similarity of 0.8 or more) the document with the least id stays."""
-    verdicts = near.near_duplicates(docs, percent=80).where("doc_id is not null")
-    gone = verdicts.groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near-duplicates (a similarity of 0.8 or more) one row stays: that of the least doc_id.
+
+    Rows without an id go where a copy with an id stays; of rows equal in id and text one stays.
+    """
+    return near.one_of_each(docs)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
