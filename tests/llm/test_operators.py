@@ -399,18 +399,85 @@ def test_licence_with_an_inserted_word(spark):
     assert got[2].labels == "" and 0 < got[2].score < 0.75
 
 
+def _plain_lm(toks, held, seeds, classes):
+    """The model of lm.score_texts with dictionaries; only the exchange of the seeds is shared."""
+    import pyarrow as pa
+
+    h = {w: int(lm.tokens(pa.array([w]))[0][0]) for _, t in toks for w in t if w is not None}
+    c = collections.Counter(w for i, t in toks if not held(i) for w in t if w is not None)
+    seed = sorted(c, key=lambda w: (-c[w], h[w]))[:seeds]
+    n = np.zeros((len(seed) + 2,) * 2, np.int64)
+    number = {w: k for k, w in enumerate(seed)}
+    sym = lambda w: len(seed) + 1 if w is None else number.get(w, len(seed))
+    pairs = lambda t: zip([None, *t[:-1]], t, strict=True)
+    for i, t in toks:
+        if not held(i):
+            for x, y in pairs(t):
+                n[sym(x), sym(y)] += 1
+    cls = lm.exchange(n, len(seed), classes)
+    own = int(cls.max()) - 1
+    g = np.zeros((own + 2, own + 2))
+    np.add.at(g, (cls[:, None], cls[None, :]), n)
+    g += 0.1
+    before, behind = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for i, t in toks:
+        if not held(i):
+            for x, y in pairs(t):
+                before[y][cls[sym(x)]] += 1
+                behind[x][cls[sym(y)]] += 1
+    of = {}
+    for w in c:
+        like = [sum(m * (math.log(g[s, k] / g[s].sum()) - math.log(g[:, k].sum())) for s, m in before[w].items()) + sum(m * math.log(g[k, s] / g[k].sum()) for s, m in behind[w].items()) for k in range(own)]
+        of[w] = int(cls[number[w]]) if w in number else max(range(own), key=lambda k: (round(like[k], 9), -k))
+    mass, size = collections.Counter(), collections.Counter()
+    for w in c:
+        mass[of[w]] += c[w]
+        size[of[w]] += 1
+    once, twice = (sum(x == k for x in c.values()) for k in (1, 2))
+    d = (once + 1) / (once + 2 * twice + 2)
+    state = lambda w: own if w is None else of.get(w, own + 1)
+    step = collections.Counter((state(x), state(y)) for i, t in toks if not held(i) for x, y in pairs(t))
+    total = sum(step.values())
+    into = [(sum(m for (_, y), m in step.items() if y == k) + 1) / (total + own + 1) for k in range(own + 1)]
+    vocab = len(c) + any(not held(i) for i, _ in toks)
+    out = []
+    for _, t in toks:
+        s = 0.0
+        for x, y in pairs(t):
+            a, leaving = state(x), sum(m for (p, _), m in step.items() if p == state(x))
+            p = lambda k: into[k] if a == own + 1 else (step[a, k] + lm.SMOOTH * into[k]) / (leaving + lm.SMOOTH)  # noqa: B023, E731
+            if y is None:
+                s += math.log10(p(own))
+            elif y in c:
+                s += math.log10(p(of[y]) * (c[y] - d) / (mass[of[y]] + 1))
+            else:
+                s += math.log10(sum(p(k) * (d * size[k] + 1) / (mass[k] + 1) for k in range(own)) / (vocab + 1))
+        out.append(s)
+    return out
+
+
 def test_lm(docs, rows, none):
-    got = lm.score_texts(docs).collect()
+    got = lm.score_texts(docs, seeds=12, classes=4, chunk_bytes=3000).collect()
     toks = [(i, [*_words((t or "").translate(LOWER)), None]) for i, t, *_ in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     c = collections.Counter(w for i, t in toks if not held(i) for w in t)
     n, v = sum(c.values()), len(c)
-    want = [(i, held(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6)) for i, t in toks]
-    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got), key=_key) == sorted(want, key=_key)
-    assert all(r.score < 0 for r in got)
+    model = _plain_lm(toks, held, 12, 4)
+    want = [(i, held(i), len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 6), round(s, 5)) for (i, t), s in zip(toks, model, strict=True)]
+    assert any(held(i) for i, _ in toks)
+    assert sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 5)) for r in got), key=_key) == sorted(want, key=_key)
+    assert all(abs(r.perplexity / 10 ** min(-r.score / r.n_tokens, 300) - 1) < 1e-9 for r in got)
     assert lm.score_texts(none).count() == 0
 
 
+def test_lm_model_is_a_distribution():
+    """Probabilities of all states sum to 1 when every spare share is spent on as many unseen words as there are known ones and one."""
+    rng = np.random.default_rng(5)
+    g, spare = rng.integers(0, 50, (7, 7)).astype(float), rng.random(5)
+    p = 10 ** lm.transition_model(g, spare, 99)
+    assert np.allclose(p[:, :6].sum(1), 1) and np.allclose(p[:, 6] * 100, p[:, :5] @ spare)
+
+
 def test_exchange_finds_classes():
     rng = np.random.default_rng(4)
     words, n = 40, np.zeros((41, 41), np.int64)
