@@ -53,6 +53,7 @@ def features(column):
         yield ids[within], count[np.minimum(offs, n)]
 
 
+@K.tidy
 def _bags(batches):
     """Of each text its distinct features and their shares."""
     for batch in batches:
@@ -92,6 +93,7 @@ def train(bags: list, labels: list, epochs: int = EPOCHS):
 
 
 def _scorer(model):
+    @K.tidy
     def score(batches):
         weights, bias = model.value
         for batch in batches:

@@ -76,6 +76,7 @@ def _unit(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _cells(lines: int, groups: int):
+    @K.tidy
     def place(batches):
         for batch in batches:
             for rows, x in _unit(batch.column(1)).values():

@@ -8,6 +8,7 @@ rolling polynomial (Rabin-Karp) modulo 2**64. No step walks a text in Python.
 from __future__ import annotations
 
 import ctypes
+import functools
 import hashlib
 import math
 
@@ -119,7 +120,7 @@ def powers(n: int, base: int = BASE) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, U64(base)), np.full(size, U64(pow(base, -1, 1 << 64)))
         up[0] = down[0] = 1
         have = np.cumprod(up), np.cumprod(down)
-        if size <= 1 << 21:
+        if size <= 1 << 18:  # longer ones belong to a single long text and are not kept
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
@@ -163,6 +164,19 @@ def trim() -> None:
         pass
 
 
+def tidy(work):
+    """A kernel over batches that trims its worker when its partition ends."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
 def struct_of(table: pa.Table, name: str = "doc") -> pa.StructArray:
     """A struct column of a group as one array."""
     column = table.column(name).combine_chunks()

@@ -60,6 +60,7 @@ def template_table(templates, k: int = GRAM) -> list[tuple[int, int, int]]:
 
 
 def _scan(phrases: list[tuple[str, str]], known: np.ndarray, k: int):
+    @K.tidy
     def scan(batches):
         from pyspark import TaskContext
 

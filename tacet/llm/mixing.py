@@ -68,6 +68,7 @@ def interleave(blocks: list[int], weights: list[float]) -> list[tuple[int, int]]
     return out
 
 
+@K.tidy
 def _local(batches):
     """Numbers the rows of each source within the partition."""
     from pyspark import TaskContext
@@ -136,6 +137,7 @@ class Schedule:
 
 
 def _place(borders, slots: dict, name: str):
+    @K.tidy
     def place(batches):
         cut = borders.value
         for batch in batches:

@@ -107,7 +107,7 @@ def estimates(one: np.ndarray, size: int, many: np.ndarray, sizes: np.ndarray):
 
 def lenders(m: int = REGISTERS, tries: int = 4096) -> np.ndarray:
     """For each register the others it tries to borrow from, in a fixed random order."""
-    return np.random.default_rng(11).integers(0, m, (tries, m), np.int64)
+    return np.random.default_rng(11).integers(0, m, (tries, m), np.int16)
 
 
 _lenders = lenders()
@@ -191,6 +191,7 @@ EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _edges(v: np.ndarray, pairs) -> pa.Table:
+    K.trim()
     pairs = np.array(pairs, np.int64).reshape(-1, 2)
     return pa.table([pa.array(v[pairs[:, 0]]), pa.array(v[pairs[:, 1]])], schema=EDGE)
 
@@ -204,6 +205,7 @@ def _sets(table: pa.Table) -> list:
 
 
 def _signatures(k: int):
+    @K.tidy
     def sign(batches):
         for batch in batches:
             for at, to in K.pieces(batch.column(1)):
@@ -219,6 +221,7 @@ def _signatures(k: int):
 
 
 def _bands(r: int):
+    @K.tidy
     def bands(batches):
         for batch in batches:
             if batch.num_rows:
@@ -230,6 +233,7 @@ def _bands(r: int):
 
 
 def _full_sets(k: int):
+    @K.tidy
     def full(batches):
         for batch in batches:
             for at, to in K.pieces(batch.column("text")):
@@ -246,6 +250,7 @@ def _full_sets(k: int):
 def _own_sets(k: int):
     """Key and full set of every text."""
 
+    @K.tidy
     def own(batches):
         for batch in batches:
             for at, to in K.pieces(batch.column(0)):

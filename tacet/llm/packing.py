@@ -30,7 +30,7 @@ from tacet.llm import kernel as K
 
 LIMIT = 2048
 END_ID = 1
-CACHE = 300_000
+CACHE = 150_000
 #: Pieces of one segment where the order of the documents counts.
 SEGMENT = 4096
 #: Stretches with letters beyond Latin go to the tokenizer itself, whose Unicode tables are its own.
@@ -153,13 +153,14 @@ class Encoder:
 def _cut(path: str, limit: int, end: int):
     """Pieces of the texts; columns behind doc_id and text go along."""
 
+    @K.tidy
     def cut(batches):
         from pyspark import TaskContext
 
         pid, seen = TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         encoder = Encoder.of(path)
         for batch in batches:
-            for a, b in K.pieces(batch.column(1), 2 << 20):
+            for a, b in K.pieces(batch.column(1)):
                 part = batch.slice(a, b - a)
                 flat, total = encoder.encode(part.column(1), end)
                 count = -(-total // limit)
@@ -176,6 +177,7 @@ def _cut(path: str, limit: int, end: int):
                 rank += seen[size]
                 seen += counts
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), pa.array(begin), pa.array(size), pa.array(crc, pa.int64()), pa.array(total[doc]), pa.array(np.full(len(doc), pid)), pa.array(rank), *[c.take(pa.array(doc)) for c in part.columns[2:]]], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "pid", "local", *part.schema.names[2:]])
+        encoder.reset()  # a worker lives on, its cache need not
 
     return cut
 
@@ -221,6 +223,7 @@ def _assign(found: list, limit: int):
     length, first, copies, start, offset = np.array(rows, np.int64).reshape(-1, 5).T
     key = length * (1 << 44) + first
 
+    @K.tidy
     def assign(batches):
         for batch in batches:
             size, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
@@ -250,6 +253,7 @@ def pack(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int = END_ID) -
     return ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "rank").mapInArrow(_assign(patterns(histogram, limit), limit), shape)
 
 
+@K.tidy
 def _number(batches):
     """Numbers the rows of the partition."""
     from pyspark import TaskContext

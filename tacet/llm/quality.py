@@ -86,6 +86,7 @@ def counts_of(column) -> list[np.ndarray]:
     return [words, np.diff(inside), np.diff(per(SYMBOLS[buf])), dup, repeat, lines, np.diff(per(lead)), np.diff(per(MARKS[buf])), np.diff(per(UPPER[buf]))]
 
 
+@K.tidy
 def _measure(batches):
     for batch in batches:
         text = batch.column(0).field("text")
