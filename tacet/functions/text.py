@@ -5,6 +5,8 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,17 +46,70 @@ def trigrams(norm: Column) -> Column:
     return let(F.concat(F.lit("  "), norm, F.lit("  ")), lambda p: F.when(F.length(p) > 4, cut(p)).otherwise(F.array().cast("array<string>")))
 
 
+#: Trigrams of normalised text are numbers: three of 37 symbols (blank, a-z, 0-9).
+SYMBOLS = 37
+GRAMS = SYMBOLS**3
+CODE = np.zeros(256, np.int32)
+CODE[[*range(0x61, 0x7B), *range(0x30, 0x3A)]] = np.arange(1, SYMBOLS)
+VECTOR = "struct<grams:array<int>,tf:array<int>>"
+
+
+def text_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of normalised texts behind each other, and their offsets; null counts as empty."""
+    column = column.fill_null("").cast(pa.large_string())
+    n = len(column)
+    _, off, data = column.buffers()
+    offs = np.frombuffer(off, np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if data is not None else np.zeros(0, np.uint8)
+    return CODE[raw], offs - offs[0]
+
+
+def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def count_grams(padded: pa.Array) -> pa.Array:
+    """The distinct trigrams of each text, in order, and their counts."""
+    code, offs = text_codes(padded)
+    n, size = len(offs) - 1, max(0, len(code) - 2)
+    gram = (code[:size].astype(np.int64) * SYMBOLS + code[1 : size + 1]) * SYMBOLS + code[2 : size + 2]
+    of = np.repeat(np.arange(n), np.diff(offs))[:size]
+    whole = np.arange(size) + 2 < offs[of + 1] if size else np.zeros(0, bool)
+    key, tf = np.unique(of[whole] * GRAMS + gram[whole], return_counts=True)
+    of, gram = np.divmod(key, GRAMS)
+    return pa.StructArray.from_arrays([_lists(of, gram, n), _lists(of, tf, n)], ["grams", "tf"])
+
+
+def dot_products(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of each row the dot product of two vectors."""
+
+    def flat(v):
+        grams, tf = v.field("grams"), v.field("tf")
+        size = np.diff(grams.offsets.to_numpy())
+        return np.repeat(np.arange(len(v)), size) * GRAMS + grams.flatten().to_numpy(), tf.flatten().to_numpy().astype(np.int64)
+
+    (ka, ta), (kb, tb) = flat(a), flat(b)
+    if not len(ka):
+        return pa.array(np.zeros(len(a), np.int64))
+    at = np.searchsorted(ka, kb)
+    at[at == len(ka)] = 0
+    both = ka[at] == kb
+    return pa.array(np.bincount(kb[both] // GRAMS, ta[at[both]] * tb[both], len(a)).astype(np.int64))
+
+
 def vectors(rows: DataFrame, text: Column) -> DataFrame:
-    """(id, grams map<string,int>, norm) of rows with an id."""
-    counts = rows.select("id", F.explode(trigrams(normalize(text))).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("tf"))
-    return counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("gram", "tf"))).alias("grams"), F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
+    """(id, vector, norm) of rows with an id: trigram counts as sorted arrays. Empty texts have none; nothing is shuffled."""
+    count = F.arrow_udf(count_grams, VECTOR)
+    x = rows.select("id", normalize(text).alias("_norm")).where("_norm <> ''").select("id", count(F.concat(F.lit("  "), "_norm", F.lit("  "))).alias("vector"))
+    return x.withColumn("norm", F.sqrt(F.aggregate("vector.tf", F.lit(0).cast("bigint"), lambda s, t: s + t * t).cast("double")))
 
 
 def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
-    """Cosine of two trigram maps; 0 where either is empty."""
-    both = F.map_zip_with(a, b, lambda k, x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0)))
-    dot = F.aggregate(F.map_values(both), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    return F.when((na > 0) & (nb > 0), dot / (na * nb)).otherwise(F.lit(0.0))
+    """Cosine of two trigram vectors; 0 where one is missing."""
+    dot = F.arrow_udf(dot_products, "bigint")
+    none = F.struct(F.array().cast("array<int>").alias("grams"), F.array().cast("array<int>").alias("tf"))
+    product = dot(F.coalesce(a, none), F.coalesce(b, none))
+    return F.when((na > 0) & (nb > 0), product / (na * nb)).otherwise(F.lit(0.0))
 
 
 def hits(norm: Column, words: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,21 +34,40 @@ def cohort_priors(entities: DataFrame) -> DataFrame:
     return x.withColumn("prior", M.prior_rate(F.col("geo_pop"), F.col("tier"))).drop("tier")
 
 
+def _greedy(gap: int):
+    """Keeps of rows in order of entity and time those at least ``gap`` after the last kept one; only that one is carried along."""
+
+    def keep(batches):
+        entity = at = None
+        for batch in batches:
+            e, t = (batch.column(i).to_numpy() for i in (0, 1))
+            if not len(e):
+                continue
+            low = min(int(t.min()), at if at is not None else int(t.min()))
+            line = np.concatenate([[0], np.cumsum(e[1:] != e[:-1])]) * (int(t.max()) - low + gap + 1) + (t - low)  # entities behind each other
+            after = np.searchsorted(line, line + gap)  # the next kept one of each, if it is kept; another entity's first one is
+            i = int(np.searchsorted(line, at - low + gap)) if entity == e[0] else 0
+            kept, follow = [], after.tolist()
+            while i < len(follow):
+                kept.append(i)
+                i = follow[i]
+            if kept:
+                entity, at = e[kept[-1]], int(t[kept[-1]])
+                if entity != e[-1]:
+                    entity = at = None
+                yield batch.take(pa.array(kept))
+
+    return keep
+
+
 def coalesced(times: DataFrame, hours: float = C.SEPARATION_H) -> DataFrame:
     """Of (entity, t) the greedily kept events: each at least ``hours`` after the last kept one.
 
-    An event that follows its predecessor by that much is always kept, so the history falls into
-    independent stretches there, and only events inside one stretch are folded in order.
+    Events stream through their partition in order, and only the last kept one is remembered, so a
+    busy entity needs no more memory than a quiet one.
     """
-    gap = int(hours * C.HOUR_MS)
-    along = W.partitionBy("entity").orderBy("t")
-    x = times.select("entity", "t").where("entity is not null and t is not null").distinct()
-    x = x.withColumn("new", F.coalesce((F.col("t") - F.lag("t").over(along) >= gap).cast("int"), F.lit(1)))
-    x = x.withColumn("stretch", F.sum("new").over(along))
-    lists = x.groupBy("entity", "stretch").agg(F.array_sort(F.collect_list("t")).alias("ts"))
-    none = F.array().cast("array<bigint>")
-    kept = F.aggregate("ts", none, lambda acc, t: F.when((F.size(acc) == 0) | (t - F.element_at(acc, -1) >= gap), F.concat(acc, F.array(t))).otherwise(acc))
-    return lists.select("entity", F.explode(kept).alias("t"))
+    x = times.select("entity", "t").where("entity is not null and t is not null")
+    return x.repartition("entity").sortWithinPartitions("entity", "t").mapInArrow(_greedy(int(hours * C.HOUR_MS)), x.schema)
 
 
 def gaps(events: DataFrame) -> DataFrame:

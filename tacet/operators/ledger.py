@@ -6,13 +6,19 @@ attempt of a named person stands for ever.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tacet import config as C
+from tacet.functions import maths as M
 from tacet.functions import web
+from tacet.sources.shared import numbered
 
 #: Keys that evidence must not carry, lower-cased.
 FORBIDDEN = ["dispatch", "dispatchto", "dispatchedto", "assignto", "assignedto", "assignment", "sendteam", "deployto", "deployment", "responderassignment", "orders", "tasking"]
@@ -34,15 +40,55 @@ def forbidden_fields(schema: T.DataType, path: str = "evidence", depth: int = 0)
     return out
 
 
+def _walk(value, see: Callable[[str, object], None], depth: int = 0) -> None:
+    """Shows every key of nested JSON with its value, down to DEEPEST levels."""
+    if depth > DEEPEST:
+        return
+    if isinstance(value, list):
+        for v in value:
+            _walk(v, see, depth + 1)
+    elif isinstance(value, dict):
+        for k, v in value.items():
+            see(k, v)
+            _walk(v, see, depth + 1)
+
+
+def _each(texts: pa.Array, kind: pa.DataType, look: Callable[[object], object]) -> pa.Array:
+    out = []
+    for text in texts.to_pylist():
+        try:
+            out.append(look(json.loads(text or "null")))
+        except ValueError:  # not JSON: no keys
+            out.append(look(None))
+    return pa.array(out, kind)
+
+
+def _forbidden(texts: pa.Array) -> pa.Array:
+    def look(value):
+        found = []
+        _walk(value, lambda k, v: found.append(k.lower() in FORBIDDEN))
+        return any(found)
+
+    return _each(texts, pa.bool_(), look)
+
+
+def _named(texts: pa.Array) -> pa.Array:
+    def look(value):
+        found: dict = {}
+        _walk(value, lambda k, v: found.setdefault(v) if isinstance(v, str) and v and k.lower().endswith(("entityid", "settlementid")) else None)
+        return list(found)
+
+    return _each(texts, pa.list_(pa.string()), look)
+
+
 def carries_forbidden(evidence: Column) -> Column:
-    """Whether JSON evidence has a forbidden key."""
-    keys = F.regexp_extract_all(evidence, F.lit(r'"([^"\\]*)"\s*:'), F.lit(1))
-    return F.coalesce(F.exists(keys, lambda k: F.lower(k).isin(FORBIDDEN)), F.lit(False))
+    """Whether JSON evidence has a forbidden key within DEEPEST levels."""
+    return F.arrow_udf(_forbidden, "boolean")(evidence)
 
 
 def named_entities(evidence: Column) -> Column:
-    """Every text under a key that ends in entityid or settlementid, in JSON evidence."""
-    return F.array_distinct(F.regexp_extract_all(evidence, F.lit(r'(?i)"[^"]*(?:entity|settlement)id"\s*:\s*"([^"]+)"'), F.lit(1)))
+    """Every text under a key that ends in entityid or settlementid, in JSON evidence, within DEEPEST levels."""
+    return F.arrow_udf(_named, "array<string>")(evidence)
 
 
 def approver(x: Column) -> Column:
@@ -81,6 +127,34 @@ def decide(items: DataFrame, attempts: DataFrame) -> tuple[DataFrame, DataFrame]
     return state, a.select("seq", "item", "verdict", "by", code.alias("code"))
 
 
+def heals(items: DataFrame, decided: DataFrame) -> DataFrame:
+    """An incident (seq, item, kind, message) for each decision: items (item, title), decided (item, status, approved_by, decided_seq)."""
+    done = decided.where("status <> 'pending'").select("item", "status", "approved_by", F.col("decided_seq").alias("seq"))
+    verb = F.when(F.col("status") == "approved", "Approved").otherwise("Rejected")
+    return done.join(items.select("item", "title"), "item").select("seq", "item", F.lit("heal").alias("kind"), F.concat(verb, F.lit(" by "), "approved_by", F.lit(": "), "title").alias("message"))
+
+
+def listed(decided: DataFrame, status: str | None = None) -> DataFrame:
+    """Items of a status, or all of them."""
+    return decided if status is None else decided.where(F.col("status") == status)
+
+
+def pending_first(decided: DataFrame) -> DataFrame:
+    """What waits for a person, newest first (created), ties by item."""
+    return listed(decided, "pending").orderBy(F.desc("created"), "item")
+
+
+def last_decided(decided: DataFrame, first: int = 5) -> DataFrame:
+    """The latest decisions."""
+    return decided.where("status <> 'pending'").orderBy(F.desc("decided_seq"), "item").limit(first)
+
+
+def waiting_rows(ranked: DataFrame, decided: DataFrame) -> DataFrame:
+    """The ranked rows of the entities that a pending item is about, once each."""
+    ids = listed(decided, "pending").where("entity is not null").select(F.col("entity").alias("id")).distinct()
+    return ranked.join(ids, "id", "left_semi")
+
+
 def shortlist(scope: DataFrame, entities: DataFrame) -> DataFrame:
     """Whom to inform: a row per district in scope (all of them if none is), in alphabetical order and no other.
 
@@ -92,7 +166,20 @@ def shortlist(scope: DataFrame, entities: DataFrame) -> DataFrame:
     some = per.where(F.size("found") > 0).select("item", "ids", F.explode("found").alias("district")).join(d, "district")
     none = per.where(F.size("found") == 0).select("item", "ids").join(d)
     y = some.select("item", "ids", *d.columns).unionByName(none.select("item", "ids", *d.columns))
-    return y.select("item", F.concat(F.lit("district-"), web.slug(F.col("district"))).alias("jurisdiction"), "district", "entities_in_district", F.array_sort(F.array_intersect("members", "ids")).alias("in_scope"), "population_in_district")
+    return y.select("item", F.concat(F.lit("district-"), web.slug(F.col("district"))).alias("jurisdiction"), "district", "entities_in_district", F.array_sort(F.array_intersect("members", "ids")).alias("in_scope"), "population_in_district").orderBy("item", "district")
+
+
+def append_incidents(path: str, new: DataFrame) -> None:
+    """Appends incidents (at, kind, message) to the log at path, with running numbers (seq) that go on from its last one.
+
+    One writer at a time; rows are numbered by time, then kind and message.
+    """
+    spark = new.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    last = 0
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        last = spark.read.parquet(path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
+    numbered(new.select("at", "kind", "message"), "at", "kind", "message", name="seq").withColumn("seq", F.col("seq") + last).write.mode("append").parquet(path)
 
 
 def incident_feed(incidents: DataFrame, cap: int = C.INCIDENT_CAP) -> DataFrame:
@@ -113,10 +200,34 @@ def cold_start_incidents(ranked: DataFrame, first: int = 3) -> DataFrame:
     return x.select(F.lit("cold-start").alias("kind"), "id", F.concat(F.lit("No report has ever named "), "name", F.lit(". Its baseline is that of cohort "), "cohort").alias("message"))
 
 
-def failed_stages(incidents: DataFrame, runs: DataFrame, slack_ms: int = 2000) -> DataFrame:
-    """Incidents that fall into a run: runs (run, last_at, duration_ms)."""
+def failed_stages(incidents: DataFrame, runs: DataFrame, slack_ms: int = 2000, bin_ms: int = C.HOUR_MS) -> DataFrame:
+    """(run, stage): stages that an incident of a degraded source names within a run. runs: run, last_at, duration_ms.
+
+    Runs are spread over the time bins that they touch, so the join is on equal bins.
+    """
     low, high = F.col("last_at") - F.col("duration_ms") - slack_ms, F.col("last_at") + slack_ms
-    return incidents.join(runs, (F.col("at") >= low) & (F.col("at") <= high))
+    spread = runs.select("run", low.alias("low"), high.alias("high")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / bin_ms), F.floor(F.col("high") / bin_ms))))
+    x = incidents.where("kind = 'degraded-source' and stage is not null").withColumn("bin", F.floor(F.col("at") / bin_ms))
+    return x.join(spread, "bin").where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))).select("run", "stage").distinct()
+
+
+def source_failure(current: DataFrame, reports: DataFrame) -> DataFrame:
+    """A demonstration: the first live source, else the first one, counts as degraded: one row (name, source_type, previous_status, status, contributed)."""
+    target = current.orderBy(F.when(F.col("status") == "live", 0).otherwise(1), "name").limit(1)
+    per = reports.groupBy(F.col("source_name").alias("name")).agg(F.count(F.lit(1)).alias("contributed"))
+    return target.join(per, "name", "left").select("name", "source_type", F.col("status").alias("previous_status"), F.lit("degraded").alias("status"), F.coalesce("contributed", F.lit(0)).alias("contributed"))
+
+
+def self_heals(failures: DataFrame, now_ms: int, after_ms: int = 20_000) -> DataFrame:
+    """Simulated failures (name, at, previous_status) whose time is up by ``now_ms``: the incident of their recovery and the status restored."""
+    due = failures.where(F.col("at") + after_ms <= now_ms)
+    return due.select("name", (F.col("at") + after_ms).alias("at"), F.lit("heal").alias("kind"), F.coalesce("previous_status", F.lit("ok")).alias("status"), F.concat(F.lit('Connector "'), "name", F.lit('" recovered - coverage restored')).alias("message"))
+
+
+def cold_start_shown(ranked: DataFrame) -> DataFrame:
+    """A demonstration: the first ranked entity with reports, else the first, is shown as one without: one row (id, message)."""
+    x = ranked.orderBy(F.when(F.col("coverage_basis") != "cohort-cold-start", 0).otherwise(1), "rank").limit(1)
+    return x.select("id", F.lit("cohort-cold-start").alias("coverage_basis"), F.concat("name", F.lit(" has no report history - scored from its hazard-tier cohort baseline, not its own data")).alias("message"))
 
 
 def changes(states: DataFrame, key: str) -> DataFrame:
@@ -134,9 +245,34 @@ def entity_detail(entity, ranked: DataFrame, reports: DataFrame, clusters: DataF
     return {"row": row, "reports": own, "clusters": clusters.join(part, "cluster_id", "left_semi"), "neighbours": ranked.join(near, "id", "left_semi"), "ledger": ledger.where(F.col("entity") == entity)}
 
 
-def run_stats(reports: DataFrame, ranked: DataFrame, clusters: int, pending: int) -> DataFrame:
-    n = ranked.agg(F.count(F.lit(1)).alias("ranked_count"))
-    return reports.agg(F.count(F.lit(1)).alias("report_count")).join(n).select("report_count", "ranked_count", F.lit(clusters).alias("cluster_count"), F.lit(pending).alias("pending_count"))
+def entity_overview(ranked: DataFrame, reports: DataFrame, clusters: DataFrame, edges: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Per entity what its page shows, as counts: reports, clusters (own ones and those of its reports), neighbours, items of the ledger."""
+    def per(x, key, name):
+        return x.where(f"{key} is not null").groupBy(F.col(key).alias("id")).agg(F.count(F.lit(1)).alias(name))
+
+    member = clusters.select("cluster_id", F.explode("report_ids").alias("r")).join(reports.select(F.col("id").alias("r"), "entity"), "r").select("entity", "cluster_id")
+    part = clusters.select("entity", "cluster_id").unionByName(member).distinct()
+    out = ranked.select("id", "name")
+    for x in (per(reports, "entity", "reports"), per(part, "entity", "clusters"), per(edges, "src", "neighbours"), per(ledger, "entity", "items")):
+        out = out.join(x, "id", "left")
+    return out.fillna(0, ["reports", "clusters", "neighbours", "items"])
+
+
+def run_stats(reports: DataFrame, ranked: DataFrame, clusters: DataFrame, decided: DataFrame) -> DataFrame:
+    """One row of counts: reports, ranked entities, clusters, and items that wait for a person."""
+    def count(x, name):
+        return x.agg(F.count(F.lit(1)).alias(name))
+
+    rows = [count(reports, "report_count"), count(ranked, "ranked_count"), count(clusters, "cluster_count"), count(listed(decided, "pending"), "pending_count")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.join(F.broadcast(r))  # one row each
+    return out
+
+
+def reports_of_sources(reports: DataFrame) -> DataFrame:
+    """(name, source_type, contributed): what each publisher has contributed."""
+    return reports.groupBy(F.col("source_name").alias("name")).agg(F.min("source_type").alias("source_type"), F.count(F.lit(1)).alias("contributed"))
 
 
 def pair_label(label: Column, title: Column, name: Column, fallback: str) -> Column:
@@ -146,13 +282,53 @@ def pair_label(label: Column, title: Column, name: Column, fallback: str) -> Col
     return F.coalesce(F.nullif(F.trim(label), F.lit("")), short, F.nullif(F.trim(name), F.lit("")), F.lit(fallback))
 
 
+def describe_pair(a: Column, b: Column, p: Column) -> Column:
+    """The title of an ambiguous match, of two labels and a probability."""
+    share = F.when(p.isNotNull() & ~F.isnan(p), F.concat(F.lit(" (match p="), number(p, 2), F.lit(")"))).otherwise("")
+    return F.concat(F.lit("Ambiguous match: "), a, F.lit(" vs "), b, share)
+
+
+def number(x: Column, digits: int = 1) -> Column:
+    """Rounded, without trailing zeros; what is not finite counts as 0."""
+    return F.regexp_replace(M.half_up(F.coalesce(x, F.lit(0.0)), digits).cast("string"), r"\.0$", "")
+
+
+def _missing(x: Column) -> Column:
+    return x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """With so many decimals, rounded half up."""
+    return F.format_string(f"%.{digits}f", M.half_up(x.cast("double"), digits))
+
+
+def number_text(x: Column, digits: int = 2) -> Column:
+    return F.when(_missing(x), "\u2014").otherwise(fixed(x, digits))
+
+
+def integer_text(x: Column) -> Column:
+    """In groups of three digits."""
+    return F.when(_missing(x), "\u2014").otherwise(F.format_number(x.cast("bigint"), 0))
+
+
+def count_text(x: Column) -> Column:
+    """Plain digits; 0 stays 0."""
+    return F.when(_missing(x), "\u2014").otherwise(x.cast("bigint").cast("string"))
+
+
+def rate_text(x: Column) -> Column:
+    """Events per hour: five decimals, or a power of ten below a thousandth."""
+    small = F.regexp_replace(F.format_string("%.3e", x.cast("double")), r"e([+-])0*(\d)", "e$1$2")
+    return F.when(_missing(x), "\u2014").otherwise(F.concat(F.when(x < 0.001, small).otherwise(fixed(x, 5)), F.lit(" /h")))
+
+
 def hours_text(x: Column) -> Column:
     """96.0h, or 120h from a hundred hours on."""
-    return F.when(x.isNull() | F.isnan(x), "\u2014").when(x >= 100, F.concat(F.floor(x + 0.5).cast("string"), F.lit("h"))).otherwise(F.concat(F.format_string("%.1f", x), F.lit("h")))
+    return F.when(_missing(x), "\u2014").when(x >= 100, F.concat(F.floor(x + 0.5).cast("string"), F.lit("h"))).otherwise(F.concat(fixed(x, 1), F.lit("h")))
 
 
 def signed_text(x: Column, digits: int = 2) -> Column:
-    return F.when(x.isNull() | F.isnan(x), "\u2014").otherwise(F.concat(F.when(x < 0, "\u2212").otherwise("+"), F.format_string(f"%.{digits}f", F.abs(x))))
+    return F.when(_missing(x), "\u2014").otherwise(F.concat(F.when(x < 0, "\u2212").otherwise("+"), fixed(F.abs(x), digits)))
 
 
 def relative_text(then_ms: Column, now_ms: Column) -> Column:

@@ -6,14 +6,13 @@ import itertools
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.functions import maths as M
 from tacet.functions import text as T
 from tacet.operators import graph
-from tacet.sources.shared import keep
+from tacet.sources.shared import keep, numbered
 
 WINDOW_MS = C.TIME_WINDOW_H * C.HOUR_MS
 
@@ -45,8 +44,8 @@ def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame) ->
     if 0 < n <= C.MAX_UNRESOLVED:
         timed = reports.where("t is not null").select("id", "t")
         x = _near(loose, timed, [])
-        v, w = vectors, vectors.select(F.col("id").alias("other"), F.col("grams").alias("grams2"), F.col("norm").alias("norm2"))
-        x = x.join(v, "id").join(w, "other").where(T.cosine(F.col("grams"), F.col("grams2"), F.col("norm"), F.col("norm2")) >= C.TEXT_BLOCK)
+        v, w = vectors, vectors.select(F.col("id").alias("other"), F.col("vector").alias("vector2"), F.col("norm").alias("norm2"))
+        x = x.join(v, "id").join(w, "other").where(T.cosine(F.col("vector"), F.col("vector2"), F.col("norm"), F.col("norm2")) >= C.TEXT_BLOCK)
         pairs = pairs.unionByName(x.select("id", "other"))
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
@@ -84,11 +83,11 @@ def scored_pairs(reports: DataFrame, edges: DataFrame) -> DataFrame:
     cols = ["id", "entity", "t", "source_type"]
     left = reports.select(*cols).join(vectors, "id", "left")
     for side in ("a", "b"):
-        pairs = pairs.join(left.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in [*cols[1:], "grams", "norm"]]), side)
+        pairs = pairs.join(left.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in [*cols[1:], "vector", "norm"]]), side)
     linked = edges.select(F.col("src").alias("entity_a"), F.col("dst").alias("entity_b"), F.lit(True).alias("next")).distinct()
     x = pairs.join(linked, ["entity_a", "entity_b"], "left")
     hours = F.abs(F.col("t_a") - F.col("t_b")) / C.HOUR_MS
-    sim = F.when(F.col("grams_a").isNull() | F.col("grams_b").isNull(), 0.0).otherwise(T.cosine(F.col("grams_a"), F.col("grams_b"), F.col("norm_a"), F.col("norm_b")))
+    sim = T.cosine(F.col("vector_a"), F.col("vector_b"), F.col("norm_a"), F.col("norm_b"))
     x = x.withColumns({"hours": hours, "sim": sim})
     levels = {
         "geo": F.when(F.col("entity_a").isNull() | F.col("entity_b").isNull(), "unknown").when(F.col("entity_a") == F.col("entity_b"), "same").when(F.col("next"), "adjacent").otherwise("far"),
@@ -122,12 +121,22 @@ def clusters(reports: DataFrame, scored: DataFrame) -> DataFrame:
     owner = votes.groupBy("cluster").agg(F.max_by("entity", F.struct("n", -F.coalesce("first", F.lit(1 << 62)), -F.col("entity"))).alias("owner"))
     whole = x.groupBy("cluster").agg(F.array_sort(F.collect_list("id")).alias("report_ids"), F.count_distinct("source_type").alias("source_diversity"), F.min("t").alias("first"))
     out = whole.join(owner, "cluster", "left").join(inside, "cluster", "left")
-    number = F.row_number().over(W.orderBy(F.asc_nulls_last("first"), "cluster"))
+    out = numbered(out.withColumn("late", F.col("first").isNull()), "late", "first", "cluster")
+    number = F.col("number")
     return out.select(F.concat(F.lit("cl-"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string"))).alias("cluster_id"), F.col("owner").alias("entity"), "report_ids", M.half_up(F.coalesce("mean", F.lit(0.5))).alias("confidence"), "source_diversity")
 
 
-def simulate_ambiguous(scored: DataFrame) -> DataFrame:
-    """One pair for a demonstration: a genuine ambiguous one, else the one nearest to the middle of the band, marked as forced."""
+def simulate_ambiguous(scored: DataFrame, reports: DataFrame | None = None) -> DataFrame:
+    """One pair (a, b, p, original_p, forced) for a demonstration.
+
+    A genuine ambiguous one if there is any; else the one nearest to the middle of the band, moved
+    there and marked as forced; without any pair one made of the first two reports.
+    """
     genuine = (F.col("p") >= C.AMBIGUOUS_LOW) & (F.col("p") < C.ADMIT)
     middle = (C.AMBIGUOUS_LOW + C.ADMIT) / 2
-    return scored.withColumn("forced", ~genuine).orderBy("forced", F.when(genuine, -F.col("p")).otherwise(F.abs(F.col("p") - middle)), "a", "b").limit(1).withColumn("p", F.when(F.col("forced"), middle).otherwise(F.col("p")))
+    x = scored.select("a", "b", "p", (~genuine).alias("forced"), F.lit(False).alias("made_up"))
+    if reports is not None:
+        two = reports.orderBy("id").limit(2).agg(F.min("id").alias("a"), F.max("id").alias("b"), F.lit(middle).alias("p"), F.lit(True).alias("forced"), F.lit(True).alias("made_up")).where("a < b")
+        x = x.unionByName(two)
+    x = x.orderBy("made_up", "forced", F.when(genuine, -F.col("p")).otherwise(F.abs(F.col("p") - middle)), "a", "b").limit(1)
+    return x.select("a", "b", F.when(F.col("forced"), middle).otherwise(F.col("p")).alias("p"), F.col("p").alias("original_p"), "forced")

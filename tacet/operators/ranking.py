@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.functions import maths as M
-from tacet.operators import cadence, spatial
+from tacet.operators import cadence, ledger, spatial
 
 
 def qualifies(silence: str = "silence_hours", nats: str = "surprisal", own: str = "own_z") -> Column:
@@ -64,7 +64,35 @@ def rank(entities: DataFrame, reports: DataFrame, edges: DataFrame, now: int = C
 def escalations(ranked: DataFrame, top: int = C.TOP_ESCALATIONS) -> DataFrame:
     """The first candidates by rank, with a title for whoever reviews them."""
     x = ranked.where("is_escalation_candidate").orderBy("rank").limit(top)
-    return x.withColumn("title", F.concat(F.lit("Review silence: "), "name", F.lit(" ("), "district", F.lit(")")))
+    hours, gap = ledger.number(F.col("silence_hours")), ledger.number(F.col("expected_gap_hours"))
+    return x.withColumn("title", F.concat(F.lit("Anomalous silence: "), "name", F.lit(" ("), "district", F.lit(") - "), hours, F.lit("h with no confirming report, expected roughly every "), gap, F.lit("h")))
+
+
+def label_tier(rank: Column) -> Column:
+    """Which labels a map shows first: 1 up to rank 3, 2 up to rank 10, else 3 (rows without a rank too)."""
+    r = F.coalesce(rank, F.lit(99))
+    return F.when(r <= 3, 1).when(r <= 10, 2).otherwise(3)
+
+
+def label_shown(tier: Column, zoom: float) -> Column:
+    """Whether the labels of a tier are wanted at a zoom."""
+    return (tier == 1) | ((tier == 2) & F.lit(zoom >= 8.0)) | ((tier == 3) & F.lit(zoom >= 9.5))
+
+
+def map_positions(rows: DataFrame, width: float, height: float) -> DataFrame:
+    """rows (id, lat, lon) with x and y on a plot of this size: all places fit, with a tenth around them (0.03 degrees at least) and a pad of 34.
+
+    Rows without finite coordinates are left out.
+    """
+    fine = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) for c in ("lat", "lon")]
+    pts = rows.where(fine[0] & fine[1])
+    pad = {c: F.greatest(F.lit(0.03), (F.max(c) - F.min(c)) * 0.1) for c in ("lat", "lon")}
+    extent = pts.agg((F.min("lon") - pad["lon"]).alias("west"), (F.max("lon") + pad["lon"]).alias("east"), (F.min("lat") - pad["lat"]).alias("south"), (F.max("lat") + pad["lat"]).alias("north"))
+    squeeze = F.cos(F.radians((F.col("south") + F.col("north")) / 2))
+    x = pts.join(F.broadcast(extent)).withColumn("k", squeeze)  # one row
+    x = x.withColumns({"w": (F.col("east") - F.col("west")) * F.col("k"), "h": F.col("north") - F.col("south")})
+    x = x.withColumn("s", F.least((width - 68) / F.col("w"), (height - 68) / F.col("h")))
+    return x.select("id", ((width - F.col("w") * F.col("s")) / 2 + (F.col("lon") - F.col("west")) * F.col("k") * F.col("s")).alias("x"), ((height - F.col("h") * F.col("s")) / 2 + (F.col("north") - F.col("lat")) * F.col("s")).alias("y"))
 
 
 def score_breakdown(ranked: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def run(reports: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFra
         items = one
         if out.scored is not None:
             two = ledger.new_ambiguous(linkage.ambiguous(out.scored, C.TOP_AMBIGUOUS), have)
-            items = one.unionByName(two.select(F.concat(F.lit("m-"), "fingerprint").alias("item"), F.lit("ambiguous-match").alias("kind"), F.lit(None).cast("bigint").alias("entity"), "fingerprint", F.concat(F.lit("Same event? "), "fingerprint").alias("title"), F.to_json(F.struct("a", "b", "p")).alias("evidence")))
+            items = one.unionByName(two.select(F.concat(F.lit("m-"), "fingerprint").alias("item"), F.lit("ambiguous-match").alias("kind"), F.lit(None).cast("bigint").alias("entity"), "fingerprint", ledger.describe_pair(F.col("a").cast("string"), F.col("b").cast("string"), F.col("p")).alias("title"), F.to_json(F.struct("a", "b", "p")).alias("evidence")))
         out.new_items = keep(items)
 
     if gazetteer is not None:
@@ -80,6 +80,7 @@ def run(reports: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFra
     return out
 
 
-def stats(done: Pass, pending: int) -> DataFrame:
-    clusters = done.clusters.count() if done.clusters is not None else 0
-    return ledger.run_stats(done.reports, done.ranked, clusters, pending)
+def stats(done: Pass, decided: DataFrame) -> DataFrame:
+    """Counts of a pass; decided: items of the ledger with their status."""
+    none = done.reports.limit(0)
+    return ledger.run_stats(done.reports, none if done.ranked is None else done.ranked, none if done.clusters is None else done.clusters, decided)

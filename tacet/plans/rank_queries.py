@@ -132,6 +132,7 @@ def corridor_segments(spark, d):
 
 
 _UP = lambda x, n=4: f"floor(({x}) * 1e{n} + 0.5) / 1e{n}"
+_NUM = lambda x: f"regexp_replace(CAST(floor(({x}) * 10 + 0.5) / 10 AS VARCHAR), '\\.0$', '')"
 _COHORT = "'t' || CASE WHEN hazard_tier = 0 THEN 1 ELSE hazard_tier END || '|' || CASE WHEN population < 5000 THEN 'p<5k' WHEN population <= 20000 THEN 'p5-20k' ELSE 'p>20k' END"
 
 
@@ -162,7 +163,7 @@ gi AS (SELECT *, CASE WHEN n < 2 OR sd <= 1e-12 OR spread <= 1e-12 THEN 0 ELSE (
  CASE WHEN n < 2 OR sd <= 1e-12 THEN 0 ELSE (neighbor_mean - mean) / sd END AS neighbor_z FROM local),
 flagged AS (SELECT *, gi > 1.96 AS is_local_anomaly, gi > 1.96 AND neighbor_z > 1.96 AND own_z > 0 AS is_regional_outage, own_z > 1.96 AND neighbor_z <= 1.96 AS is_solo_anomaly FROM gi),
 typed AS (SELECT *, CASE WHEN is_solo_anomaly THEN 'solo-anomaly' WHEN is_regional_outage THEN 'regional-outage' WHEN is_local_anomaly AND own_z > 0 THEN 'silent-cluster' WHEN is_local_anomaly THEN 'cluster-edge' ELSE 'none' END AS anomaly_type FROM flagged),
-rounded AS (SELECT id, name, district, population, hazard_tier, last_t AS last_report_ms, {_UP("silence_hours")} AS silence_hours, {_UP("1 / rate")} AS expected_gap_hours, {_UP("x")} AS surprisal, {_UP("gi")} AS gi_z,
+rounded AS (SELECT {_UP("rate", 6)} AS rate_per_hour, id, name, district, population, hazard_tier, last_t AS last_report_ms, {_UP("silence_hours")} AS silence_hours, {_UP("1 / rate")} AS expected_gap_hours, {_UP("x")} AS surprisal, {_UP("gi")} AS gi_z,
  CASE WHEN cold_start THEN 'cohort-cold-start' ELSE 'reports' END AS coverage_basis, cohort, fit_basis, sample_gaps, report_count, {_UP("own_z")} AS own_z, {_UP("neighbor_z")} AS neighbor_z, neighbor_count, anomaly_type FROM typed),
 gated AS (SELECT *, silence_hours >= 6 AND surprisal >= 3 AND own_z > 0 AS is_escalation_candidate FROM rounded),
 ranked AS (SELECT *, row_number() OVER (ORDER BY gi_z DESC, surprisal DESC, population DESC, id) AS rank FROM gated)
@@ -185,7 +186,7 @@ SQL = {
     "anomaly_types": _ALL + f"SELECT {', '.join(_TYPES)} FROM typed",
     "anomaly_types_block": _chain(V.SQL_REPORTS_BLOCK, 1.2) + f"SELECT {', '.join(_TYPES)} FROM typed",
     "entity_ranking": _ALL + f"SELECT {', '.join(_RANKED)} FROM ranked",
-    "escalation_candidates": _ALL + "SELECT id, name, rank, silence_hours, surprisal, own_z, 'Review silence: ' || name || ' (' || district || ')' AS title FROM ranked WHERE is_escalation_candidate ORDER BY rank LIMIT 8",
+    "escalation_candidates": _ALL + f"SELECT id, name, rank, silence_hours, surprisal, own_z, 'Anomalous silence: ' || name || ' (' || district || ') - ' || {_NUM('silence_hours')} || 'h with no confirming report, expected roughly every ' || {_NUM('expected_gap_hours')} || 'h' AS title FROM ranked WHERE is_escalation_candidate ORDER BY rank LIMIT 8",
     "escalation_gate": _ALL + "SELECT coverage_basis, is_escalation_candidate, count(*) AS n FROM ranked GROUP BY 1, 2",
     "score_breakdown": _ALL + f"SELECT id, cohort, silence_hours, expected_gap_hours, {_UP('1 / expected_gap_hours', 5)} AS rate, surprisal, {_UP('exp(-(1 / expected_gap_hours) * silence_hours)', 6)} AS survival_probability FROM ranked",
     "silence_bands": _ALL + f"SELECT band, count(*) AS n, {_UP('avg(radius)', 3)} AS mean_radius FROM (SELECT CASE WHEN s < 6 THEN 0 WHEN s < 18 THEN 1 WHEN s < 36 THEN 2 WHEN s < 60 THEN 3 WHEN s < 84 THEN 4 ELSE 5 END AS band, least(22.0, greatest(5.0, 5 + 16 * sqrt(population / 25000.0))) AS radius FROM (SELECT {_UP('silence_hours')} AS s, population FROM silence)) GROUP BY 1",

@@ -55,6 +55,13 @@ def chain(nodes: DataFrame) -> DataFrame:
     return both.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+def event_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster_id, entity, report_ids): made-up clusters of reports; every third has no entity of its own."""
+    r = reports(spark, sf_dir).withColumn("k", F.col("id") % 997)
+    c = r.groupBy("k").agg(F.array_sort(F.collect_list("id")).alias("report_ids"), F.max("entity").alias("top"))
+    return c.select(F.concat(F.lit("cl-"), F.lpad(F.col("k").cast("string"), 3, "0")).alias("cluster_id"), F.when(F.col("k") % 3 != 0, F.col("top")).alias("entity"), "report_ids")
+
+
 def doc_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, entity, t, source_type, title, text) over documents, with made-up entities and times."""
     d = table(spark, sf_dir, "documents")
@@ -78,5 +85,6 @@ def sql_entities(stretch: float = 1.0) -> str:
  FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey <= (SELECT max(user_id) * {stretch} FROM events))"""
 
 
+SQL_CLUSTERS = """clusters AS (SELECT 'cl-' || lpad(CAST(id % 997 AS VARCHAR), 3, '0') AS cluster_id, CASE WHEN id % 997 % 3 <> 0 THEN max(entity) END AS entity, list(id ORDER BY id) AS report_ids FROM reports GROUP BY id % 997)"""
 SQL_EDGES = "edges AS (SELECT a.id AS src, b.id AS dst FROM entities a JOIN entities b ON b.id = a.id - 1 OR b.id = a.id + 1)"
 SQL_DOC_REPORTS = f"doc_reports AS (SELECT doc_id AS id, CASE WHEN doc_id % 50 <> 7 THEN (doc_id * doc_id + doc_id // 3) % 60 END AS entity, 1704067200000 + doc_id * 2 * {C.HOUR_MS} AS t, lang AS source_type, text FROM documents)"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,7 +12,8 @@ from pyspark.sql import types as T
 
 from tacet import config as C
 from tacet.functions import web
-from tacet.operators.triage import relevant
+from tacet.operators.triage import relevant, relevant_link
+from tacet.sources.shared import keep
 
 REPORT = "id string, source_type string, source_name string, url string, title string, text string, published_ms bigint, fetched_ms bigint, time_imputed boolean"
 SERP_ITEM = "array<struct<title:string,name:string,description:string,snippet:string,summary:string,source:string,date:string,published:string,time:string,link:string,url:string,href:string>>"
@@ -72,11 +74,13 @@ def from_serp(payloads: DataFrame, now_ms: int, source_type: str = "news", needl
     return x if needles is None else x.where(relevant(F.col("title"), F.col("text"), needles))
 
 
-def listing_links(pages: DataFrame, most: int = 6, pattern: str | None = None) -> DataFrame:
-    """(target, url, label): the first links of each listing page that fit."""
+def listing_links(pages: DataFrame, most: int = C.MAX_ARTICLES, pattern: str | None = None, needles: list[str] | None = None) -> DataFrame:
+    """(target, url, label): the first links of each listing page that fit the pattern and, with needles, are relevant."""
     x = pages.select(F.col("url").alias("target"), F.explode(web.links(F.col("html"), F.col("url"))).alias("l")).select("target", "l.*")
     if pattern:
         x = x.where(F.rlike("url", F.lit(pattern)))
+    if needles is not None:
+        x = x.where(relevant_link(F.col("label"), F.col("url"), needles))
     x = x.groupBy("target", "url").agg(F.min("pos").alias("pos"), F.min_by("label", "pos").alias("label"))
     return x.withColumn("n", F.row_number().over(W.partitionBy("target").orderBy("pos"))).where(F.col("n") <= most).select("target", "url", "label")
 
@@ -103,6 +107,62 @@ def reanchor(reports: DataFrame, now_ms: int, absolute: bool = False) -> DataFra
     return x.withColumns({c: F.col(c) + F.coalesce("s", F.lit(0)) for c in ("published_ms", "fetched_ms")}).drop("s")
 
 
+def register(reports: DataFrame, at_ms: int) -> DataFrame:
+    """A log row (name, source_type, status, at) for each publisher of a seed, so that sources are known without a fetch."""
+    return reports.groupBy(F.col("source_name").alias("name")).agg(F.min("source_type").alias("source_type")).select("name", "source_type", F.lit("live").alias("status"), F.lit(at_ms).alias("at"))
+
+
+def from_listing(links: DataFrame, pages: DataFrame, source_type: str, needles: list[str], now_ms: int) -> DataFrame:
+    """The second hop: relevant reports of the fetched pages (url, html, error) of links (url, label); a page without a title takes the label."""
+    h = F.col("html")
+    x = links.select("url", "label").dropDuplicates(["url"]).join(pages.where("error is null").select("url", "html"), "url")
+    name = F.coalesce(F.nullif(web.title(h), F.lit("")), F.col("label"))
+    return x.select(*build(F.col("url"), name, web.body(h), F.lit(source_type), web.publisher(F.col("url")), web.published(h, now_ms), F.lit(now_ms))).where(relevant(F.col("title"), F.col("text"), needles))
+
+
+def run_connector(c: Connector, fetch: Callable[[DataFrame], DataFrame], spark: SparkSession, needles: list[str], now_ms: int) -> tuple[DataFrame, DataFrame]:
+    """(reports, errors (url, error)) of a connector. fetch: rows of url -> pages (url, html, error), each retried there.
+
+    A search connector parses what its targets return; a listing connector follows the first relevant links of each.
+    """
+    first = keep(fetch(spark.createDataFrame([(t,) for t in c.targets], "url string")))
+    errors = first.where("error is not null").select("url", "error")
+    good = first.where("error is null")
+    if c.kind == "serp":
+        return from_serp(good.select(F.col("url").alias("target"), F.col("html").alias("body")), now_ms, c.source_type, needles), errors
+    links = keep(listing_links(good.select("url", "html"), C.MAX_ARTICLES, c.link_pattern, needles))
+    pages = keep(fetch(links.select("url").distinct()))
+    return from_listing(links, pages, c.source_type, needles, now_ms), errors.unionByName(pages.where("error is not null").select("url", "error"))
+
+
+def run_connectors(connectors: list[Connector], fetch: Callable[[DataFrame], DataFrame], spark: SparkSession, needles: list[str], now_ms: int, seed: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(reports, log (name, source_type, status, at), incidents (at, kind, message)): every connector for itself, then the seed if none gives anything.
+
+    A connector that raises is down, one that gives nothing is degraded; neither ends the run. A
+    failed article is an incident and the rest of its listing goes on.
+    """
+    parts, log, said = {}, [], []
+    for c in connectors:
+        try:
+            found, errors = run_connector(c, fetch, spark, needles, now_ms)
+            found = keep(found)
+            status = "live" if found.limit(1).count() else "degraded"
+            said += [(now_ms, "degraded-source", f"{c.name}: {r['url']} failed: {r['error']}") for r in errors.collect()]  # as many as targets and articles
+            if status == "degraded":
+                said.append((now_ms, "degraded-source", f"{c.name} returned no usable items"))
+            parts[c.name] = found
+        except Exception as e:  # a dead source lessens coverage, no more
+            status = "down"
+            said.append((now_ms, "degraded-source", f"{c.name} failed: {type(e).__name__}: {e}"[:300]))
+        log.append((c.name, c.source_type, status, now_ms))
+    shape = "name string, source_type string, status string, at bigint"
+    if not any(s == "live" for _, _, s, _ in log) and seed is not None:
+        said.append((now_ms, "degraded-source", "Every live connector failed - falling back to the offline corpus"))
+        return first_of_each(seed, "id", "published_ms"), register(seed, now_ms), spark.createDataFrame(said, "at bigint, kind string, message string")
+    none = spark.createDataFrame([], REPORT)
+    return ingest(parts or {"none": none}), spark.createDataFrame(log, shape), spark.createDataFrame(said, "at bigint, kind string, message string")
+
+
 def ingest(parts: dict[str, DataFrame], seed: DataFrame | None = None) -> DataFrame:
     """The union of the connectors' reports without repeats; the seed where they give none."""
     rows = None

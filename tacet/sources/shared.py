@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -22,12 +23,17 @@ def _clean() -> None:
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the checkpoint directory; a temporary one only where none is set, as in local tests."""
+    """spark.checkpoint.dir, else the checkpoint directory; a temporary one only in local mode where none is set, as in tests.
+
+    On a cluster a machine's own folder would be seen by that machine alone, so there it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     have = spark._jsc.sc().getCheckpointDir()
     if not found and have.isDefined():
         found = have.get()
     if not found:
+        if not spark._jsc.sc().isLocal():
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tacet-"))
         found = spark._jsc.sc().getCheckpointDir().get()
     return found
@@ -40,3 +46,16 @@ def keep(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with the place of each row in the order, from 1: a range partitioning, then counts per partition, no single task."""
+    spark = df.sparkSession
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    local = keep(dealt.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
+    rows, before = [], 0
+    for pid, n in sorted(local.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()):  # a row per partition
+        rows.append((pid, before))
+        before += n
+    starts = F.broadcast(spark.createDataFrame(rows, "_pid int, _before bigint"))
+    return local.join(starts, "_pid").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_pid", "_at", "_before")

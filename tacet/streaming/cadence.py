@@ -7,9 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tacet import config as C
+from tacet.sources.shared import folder
 
 
 def read_events(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
@@ -25,33 +27,38 @@ def last_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("entity").agg(F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n"))
 
 
-def silence_alerts(stream: DataFrame, hours: float) -> DataFrame:
-    """(entity, since, gap_hours): silences of more than ``hours``.
+def silence_alerts(stream: DataFrame, hours: float | None = None) -> DataFrame:
+    """(entity, since, gap_hours): silences of more than ``hours``, or without it of more than each row's ``limit_hours``.
 
     A silence gives a row without gap_hours once the watermark has passed its limit, and a row with
-    gap_hours when it ends. State per entity is the time of its last event.
+    gap_hours when it ends. State per entity is the time of its last event and its limit.
     """
-    limit = int(hours * C.HOUR_MS)
+    rows = stream.select("entity", "ts", "t", (F.lit(hours) if hours is not None else F.col("limit_hours")).cast("double").alias("limit_hours"))
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         out = []
         if state.hasTimedOut:
-            (last,) = state.get
+            last, limit = state.get
             out.append((key[0], last, None))
-            state.update((last,))
+            state.update((last, limit))
         else:
-            last = state.get[0] if state.exists else None
-            for t in sorted(int(t) for f in frames for t in f["t"]):
+            last, limit = state.get if state.exists else (None, 0)
+            for t, h in sorted((int(t), float(h)) for f in frames for t, h in zip(f["t"], f["limit_hours"], strict=True)):
+                limit = int(h * C.HOUR_MS)
                 if last is not None and t - last > limit:
                     out.append((key[0], last, (t - last) / C.HOUR_MS))
                 last = t if last is None else max(last, t)
-            state.update((last,))
-            due = last + limit
-            if due > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(due)
+            state.update((last, limit))
+            if last + limit > state.getCurrentWatermarkMs():
+                state.setTimeoutTimestamp(last + limit)
         yield pd.DataFrame(out, columns=["entity", "since", "gap_hours"]).astype({"gap_hours": "float64"})
 
-    return stream.groupBy("entity").applyInPandasWithState(step, "entity bigint, since bigint, gap_hours double", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("entity").applyInPandasWithState(step, "entity bigint, since bigint, gap_hours double", "last bigint, limit bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def with_limits(stream: DataFrame, expected: DataFrame, gaps: float = C.SILENT_GAPS) -> DataFrame:
+    """Adds limit_hours, so many expected gaps of the entity (entity, expected_gap_hours); rows of unknown entities go."""
+    return stream.join(expected.select("entity", (F.col("expected_gap_hours") * gaps).alias("limit_hours")), "entity")
 
 
 def first_reports(stream: DataFrame) -> DataFrame:
@@ -60,13 +67,32 @@ def first_reports(stream: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what there is now, and returns the rows it put out."""
+    """Runs a stream over what there is now, and returns the rows it put out, which lie in the shared folder.
+
+    In complete mode each batch replaces the last one.
+    """
     spark = stream.sparkSession
-    from tacet.sources.shared import folder
+    at = f"{folder(spark).rstrip('/')}/{name}"
+    how = "overwrite" if mode == "complete" else "append"
+
+    def write(batch: DataFrame, _: int) -> None:
+        batch.write.mode(how).parquet(f"{at}/rows")
 
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{folder(spark).rstrip('/')}/{name}").trigger(availableNow=True).start()
+    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows")
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def poll_seconds(running: bool, retry_seconds: float | None = None) -> float:
+    """How long to wait before the next look: what a stale view has to wait, else short during a run."""
+    return retry_seconds if retry_seconds is not None else C.POLL_RUNNING_S if running else C.POLL_IDLE_S
+
+
+def watch(stream: DataFrame, path: str, running: bool = False) -> StreamingQuery:
+    """Appends a stream's rows to path again and again, at the poll's interval, until the query is stopped."""
+    every = f"{int(poll_seconds(running) * 1000)} milliseconds"
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(processingTime=every).start()
 
 
 def emit_once(batch: DataFrame, path: str, key: str) -> None:

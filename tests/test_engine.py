@@ -26,7 +26,7 @@ def test_pass(spark):
     items = done.new_items.collect()
     assert "e-10" in {r.item for r in items}
     assert done.ranked.where("id = 10").first().anomaly_type == "solo-anomaly"
-    assert engine.stats(done, 3).first().asDict() == {"report_count": 57, "ranked_count": 20, "cluster_count": done.clusters.count(), "pending_count": 3}
+    assert engine.stats(done, spark.createDataFrame([("a", "pending"), ("b", "approved"), ("c", "pending"), ("d", "pending")], "item string, status string")).first().asDict() == {"report_count": 57, "ranked_count": 20, "cluster_count": done.clusters.count(), "pending_count": 3}
     again = engine.run(*_tables(spark), held=done.new_items)
     assert again.new_items.count() == 0
 
@@ -58,6 +58,12 @@ def test_page_source(spark):
             self.end_headers()
             self.wfile.write(b"x" * 50)
 
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({**asked, "as": self.headers["Authorization"], "pad": "x" * 40}).encode())
+
         def log_message(self, *_):
             pass
 
@@ -66,6 +72,8 @@ def test_page_source(spark):
     base = f"http://127.0.0.1:{server.server_port}"
     spark.dataSource.register(fetch.PageSource)
     got = {r.url: r for r in spark.read.format("tacet_pages").option("targets", json.dumps([f"{base}/ok", f"{base}/bad"])).option("waits", "[0.01]").load().collect()}
+    posted = spark.read.format("tacet_pages").option("targets", '["http://far.example/"]').option("endpoint", base).option("zone", "z1").option("token", "t").load().first()
     server.shutdown()
+    assert {k: v for k, v in json.loads(posted.html).items() if k != "pad"} == {"zone": "z1", "url": "http://far.example/", "format": "raw", "as": "Bearer t"}
     assert got[f"{base}/ok"].status == "live" and got[f"{base}/ok"].attempts == 1
     assert got[f"{base}/bad"].status == "degraded" and got[f"{base}/bad"].html is None and got[f"{base}/bad"].attempts == 2

@@ -60,9 +60,29 @@ def test_text(spark):
     df = spark.createDataFrame([(1, "  Éàñ—The  RIVER!"), (2, None), (3, "éx")], "id bigint, text string")
     assert [r[0] for r in df.orderBy("id").select(T.normalize("text")).collect()] == ["ean the river", "", "ex"]
     v = {r.id: r for r in T.vectors(df, F.col("text")).collect()}
-    assert set(v) == {1, 3} and v[3].grams == {"  e": 1, " ex": 1, "ex ": 1, "x  ": 1} and v[3].norm == 2
-    pair = spark.createDataFrame([({"abc": 2}, {"abc": 1, "x": 1})], "a map<string,bigint>, b map<string,bigint>")
-    assert pair.select(T.cosine(F.col("a"), F.col("b"), F.lit(2.0), F.lit(2**0.5))).first()[0] == pytest.approx(0.5**0.5)
+    assert set(v) == {1, 3} and len(v[3].vector.grams) == 4 and v[3].vector.tf == [1] * 4 and v[3].norm == 2
+    a, b = (v[i] for i in (1, 3))
+    grams = lambda s: {s[i : i + 3]: s.count(s[i : i + 3]) for i in range(len(s) - 2)}
+    one, two = grams("  ean the river  "), grams("  ex  ")
+    want = sum(n * two.get(g, 0) for g, n in one.items()) / (sum(n * n for n in one.values()) ** 0.5 * 2)
+    pair = spark.createDataFrame([(a.vector, b.vector), (a.vector, None)], f"a {T.VECTOR}, b {T.VECTOR}")
+    got = [r[0] for r in pair.select(T.cosine(F.col("a"), F.col("b"), F.lit(a.norm), F.when(F.col("b").isNotNull(), b.norm))).collect()]
+    assert got == [pytest.approx(want), 0.0] and want > 0
+
+
+def test_similar_names_by_kernel_and_by_join(spark):
+    """The kernel for small gazetteers and the joins for large ones give the same scores."""
+    rng = random.Random(9)
+    names = ["Thanedble", "Erndble east", "Inwhorst", "a ba", "Lower Long Name Of Five"]
+    words = [w for n in names for w in n.lower().split()] + ["river", "valley", "xy", "q", "inworst", "thanedbel"]
+    rows = [(i, None, 0, "news", "", " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    reports = spark.createDataFrame(rows, REPORTS).repartition(3)
+    v = triage.variants(spark.createDataFrame([(i, n, ["alias"]) for i, n in enumerate(names)], "id bigint, name string, aliases array<string>"))
+    for least in (0.55, 0.01):
+        one, two = ({(r.id, r.entity): (round(r.score, 9), r.window) for r in triage.fuzzy_scores(reports, v, least, few).collect()} for few in (100, 0))
+        assert one == two and len(one) > 20
+    exact = {(r.id, r.entity) for r in triage.exact_matches(spark.createDataFrame([(1, None, 0, "news", "", "in lower long name of five people")], REPORTS), v).collect()}
+    assert exact == {(1, 4)}
 
 
 REPORTS = "id bigint, entity bigint, t bigint, source_type string, title string, text string"
@@ -113,3 +133,26 @@ def test_triage(spark):
     assert (got[6].entity, got[6].tier) == (2, 2) and 0.5 <= got[6].confidence <= 0.8
     assert got[7].entity in (2, 3) and got[7].tier == 2
     assert got[8].category == "noise" and len(got) == 8
+
+
+def test_outside_classifier(spark):
+    """At most so many calls, only offered entities, bounded confidence, failures and reports beyond the limit as incidents."""
+    text = "Flood waters rose near thanedbla yesterday and residents fled"
+    rows = [(i, None, 0, "news", "", text) for i in range(5)]
+    reports = spark.createDataFrame(rows, REPORTS)
+    v = triage.variants(spark.createDataFrame([(1, "Thanedble", []), (2, "Erndble", [])], "id bigint, name string, aliases array<string>"))
+    found = spark.createDataFrame([(i, None, "hazard-signal", 0.3, 3, None) for i in range(5)], "id bigint, entity bigint, category string, confidence double, tier int, matched_on string")
+    seen = []
+
+    def ask(report, offered):
+        seen.append((report["id"], offered))
+        if report["id"] == 2:
+            raise ValueError("no answer")
+        return {"entity": offered[0] if report["id"] == 0 else 77, "category": "hazard-signal" if report["id"] == 0 else "odd", "confidence": 5, "why": "w"}
+
+    out, said = triage.ask_outside(found, reports, v, ask, 3)
+    got = {r.id: (r.entity, r.category, r.confidence, r.matched_on) for r in out.collect()}
+    assert sorted(i for i, _ in seen) == [0, 1, 2] and all(o[0] == 1 for _, o in seen)
+    assert got[0] == (1, "hazard-signal", 0.7, "llm:1") and got[1] == (None, "noise", 0.7, "llm:unresolved")
+    assert all(got[i] == (None, "hazard-signal", 0.3, None) for i in (2, 3, 4))
+    assert {r.id: r.reason.split(":")[0] for r in said.collect()} == {0: "classified", 1: "classified", 2: "error", 3: "budget", 4: "budget"}

@@ -119,6 +119,60 @@ def test_texts(spark):
     assert got == ("13.4h", "121h", "−1.00", "30 min ago", "t" * 69 + "…")
 
 
+def test_nested_keys(spark):
+    """Keys are keys, not words inside values; depth is limited; what is not JSON has none."""
+    deep = '{"a":' * 7 + '{"orders": 1}' + "}" * 7
+    cases = ['{"note": "\\"orders\\": 1"}', '{"a": [{"Orders": null}]}', deep, "no json", None, '[{"tasking": {}}]']
+    df = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, e string")
+    assert [r[0] for r in df.orderBy("k").select(ledger.carries_forbidden(F.col("e"))).collect()] == [False, True, False, False, False, True]
+
+
+def test_incidents_are_numbered_on(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for base in (0, 10):
+        ledger.append_incidents(path, spark.createDataFrame([(base + k, "heal", f"m{k}") for k in range(4)], "at bigint, kind string, message string").repartition(3))
+    got = ledger.incident_feed(spark.read.parquet(path), 5).collect()
+    assert [(r.at, r.seq) for r in got] == [(13, 8), (12, 7), (11, 6), (10, 5), (3, 4)]
+
+
+def test_number_texts(spark):
+    got = one(spark, ledger.number_text(F.lit(2.345)), ledger.number_text(F.lit(None).cast("double")), ledger.integer_text(F.lit(1234567)), ledger.count_text(F.lit(0)), ledger.rate_text(F.lit(0.000123456)), ledger.rate_text(F.lit(0.0833333)), ledger.number(F.lit(96.0)), ledger.number(F.lit(12.25)))
+    assert got == ("2.35", "\u2014", "1,234,567", "0", "1.235e-4 /h", "0.08333 /h", "96", "12.3")
+
+
+def test_connectors(spark):
+    """A search, a listing with a bad article, one without results and one that raises; then the seed."""
+    serp = json.dumps({"organic": [{"title": "Flood near Nuwakot displaces many families along the river", "description": "Relief has come.", "link": "http://n.example/1"}]})
+    article = f"<h1>Flood reaches Nuwakot</h1><p>{'The river rose over its banks at night. ' * 4}</p>"
+    listing = '<a href="/a">Flood in the upper valley goes on</a><a href="/b">Flood warning for tomorrow morning</a><a href="/c">Cricket results of the whole week</a>'
+    pages = {"http://s.example/q": serp, "http://l.example/": listing, "http://l.example/a": article, "http://e.example/": "<p>nothing</p>"}
+
+    def fetch(urls):
+        rows = [(r.url, pages.get(r.url), None if r.url in pages else "HTTP 500") for r in urls.collect()]
+        if any("boom" in u for u, _, _ in rows):
+            raise OSError("boom")
+        return spark.createDataFrame(rows, "url string, html string, error string")
+
+    every = [S.Connector("search", "news", "serp", ("http://s.example/q",)), S.Connector("list", "official", "listing", ("http://l.example/",)), S.Connector("empty", "news", "listing", ("http://e.example/",)), S.Connector("dead", "news", "serp", ("http://boom.example/",))]
+    found, log, said = S.run_connectors(every, fetch, spark, ["nuwakot"], NOW)
+    assert {(r.url, r.source_type) for r in found.collect()} == {("http://n.example/1", "news"), ("http://l.example/a", "official")}
+    assert {r.name: r.status for r in log.collect()} == {"search": "live", "list": "live", "empty": "degraded", "dead": "down"}
+    assert sorted(r.message.split(":")[0] for r in said.collect()) == ["dead failed", "empty returned no usable items", "list"]
+    seed = found.drop("connector").limit(1)
+    back, log, said = S.run_connectors(every[2:], fetch, spark, ["nuwakot"], NOW, seed)
+    assert back.count() == 1 and [r.status for r in log.collect()] == ["live"] and any("offline corpus" in r.message for r in said.collect())
+
+
+def test_watch(spark, tmp_path):
+    assert (stream.poll_seconds(False), stream.poll_seconds(True), stream.poll_seconds(True, 8.0)) == (5.0, 1.2, 8.0)
+    path = str(tmp_path / "in")
+    spark.range(3).write.parquet(path)
+    query = stream.watch(spark.readStream.schema("id bigint").parquet(path), str(tmp_path / "out"), running=True)
+    query.processAllAvailable()
+    query.stop()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
 def test_streams(spark, tmp_path):
     rows = [(k, f"2024-01-01 0{k}:00:00", 1) for k in range(3)] + [(9, "2024-01-03 00:00:00", 1), (10, "2024-01-01 05:00:00", 2)]
     df = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint").withColumn("ts", F.to_timestamp("ts"))
@@ -128,6 +182,9 @@ def test_streams(spark, tmp_path):
     assert {r.entity: r.n for r in seen} == {1: 4, 2: 1}
     gone = stream.drain(stream.silence_alerts(stream.read_events(spark, path, "40 days"), 24), "gone", "append").where("gap_hours is not null").collect()
     assert [(r.entity, r.gap_hours) for r in gone] == [(1, 46.0)]
+    limits = spark.createDataFrame([(1, 10.0), (3, 1.0)], "entity bigint, expected_gap_hours double")
+    own = stream.drain(stream.silence_alerts(stream.with_limits(stream.read_events(spark, path), limits)), "own", "append").collect()
+    assert [(r.entity, r.gap_hours) for r in own] == [(1, 46.0)]
     once = str(tmp_path / "once")
     for _ in range(2):
         stream.emit_once(df, once, "user_id")
