@@ -338,21 +338,31 @@ def test_embeddings(spark):
     assert embeddings.near_embeddings(df.limit(0)).count() == 0
 
 
-def test_embeddings_design_reaches_its_recall():
-    for n in (10, 5_000, 1_000_000):
-        lines, groups, least = embeddings.design(n)
-        rng = np.random.default_rng(3)
-        x = rng.standard_normal((2000, 32))
-        x /= np.linalg.norm(x, axis=1)[:, None]
-        e = rng.standard_normal((2000, 32))
-        e -= (e * x).sum(1)[:, None] * x
-        e /= np.linalg.norm(e, axis=1)[:, None]
-        y = 0.9 * x + math.sqrt(1 - 0.81) * e
-        a, la = embeddings.projections(x, lines, groups)
-        b, lb = embeddings.projections(y, lines, groups)
-        reach = embeddings.WINDOW * math.sqrt(0.2 / 32)
-        found = (a == b).any(1) & ((np.abs(la - lb) <= reach).sum(1) >= least)
-        assert found.mean() > 0.93
+@pytest.mark.parametrize("n", [10, 5_000, 1_000_000])
+def test_embeddings_design_reaches_its_recall(n):
+    """Pairs with a cosine of exactly 0.9 meet in a window of some group and pass the count."""
+    lines, groups, least = embeddings.design(n)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((2000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    e = rng.standard_normal((2000, 32))
+    e -= (e * x).sum(1)[:, None] * x
+    e /= np.linalg.norm(e, axis=1)[:, None]
+    y = 0.9 * x + math.sqrt(1 - 0.81) * e
+    (a, p, la), (b, q, lb) = (embeddings.projections(z, lines, groups) for z in (x, y))
+    found = ((a == b) & (np.abs(p - q) <= embeddings.HALF)).any(1) & ((np.abs(la - lb) <= embeddings.HALF).sum(1) >= least)
+    assert found.mean() > 0.95
+
+
+def test_embedding_windows_and_counts():
+    rng = np.random.default_rng(7)
+    place, count = rng.integers(-300, 300, 90).astype(np.int32), rng.integers(-150, 150, (90, embeddings.LINES)).astype(np.int16)
+    count[40:] = count[:50] + rng.integers(-90, 90, (50, embeddings.LINES)).astype(np.int16)
+    side = rng.integers(0, 3, 90)
+    for same in (True, False):
+        want = {(i, j) for i in range(90) for j in range(90) if side[i] == 0 and (side[j] > 0 or (same and i < j)) and abs(int(place[i]) - int(place[j])) <= embeddings.HALF and sum(abs(int(x) - int(y)) <= embeddings.HALF for x, y in zip(count[i], count[j])) >= 20}
+        got = embeddings.passing(place, count, side, same, 20)
+        assert sorted(map(tuple, got.T.tolist())) == sorted(want) and want
 
 
 def test_classifier(spark, docs, none):
