@@ -380,8 +380,8 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE) ->
     """
     rows = grouped(docs, percent, k).where("component is not null").groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
     rows = K.keep(rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")))
-    first = rows.groupBy("component").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("component", "best")
-    gone = rows.join(first, "component").where(F.col("order") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
+    first = rows.groupBy("component").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    gone = K.lookup(rows, K.keep(first), "component", "rows").where(F.col("order") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
     left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")), "left_anti")
     again = rows.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
     if not again.limit(1).count():
