@@ -23,7 +23,7 @@ from tacet.sources.shared import keep  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text of one chunk (a group in a worker) and of one shuffle partition (many chunks).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 PARTITION_BYTES = 64 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)

@@ -1,7 +1,7 @@
 """Operator 2: removal of repeated passages (exact substring dedup on word windows).
 
-Every window of ``k`` consecutive words gets a Rabin-Karp hash. Texts are dealt into chunks of a few
-megabytes, many to a partition. A chunk sends each distinct window once, with the least doc_id that
+Every window of ``k`` consecutive words gets a Rabin-Karp hash. Texts are dealt into chunks of a
+megabyte, many to a partition. A chunk sends each distinct window once, with the least doc_id that
 has it there (copies inside the chunk are settled at once), packed by hash range; a range finds the
 least doc_id of each window and answers every chunk with one bit per window it sent. Chunks then
 merge the windows to remove into maximal intervals. The texts' one shuffle serves both passes,
@@ -70,15 +70,10 @@ def _send(k: int, ranges: int):
         *_, hashes, least, _, cuts = _windows(table, k, ranges)
         live = np.flatnonzero(np.diff(cuts))
         chunk = pa.array(np.full(len(live), table.column("_chunk")[0].as_py(), np.int32))
-        blobs, ids, places = [], [], []
-        for r in live:
-            known, number = np.unique(least[cuts[r] : cuts[r + 1]], return_inverse=True)
-            blobs.append(K.planar(hashes[cuts[r] : cuts[r + 1]], 8))
-            ids.append(K.planar(known, 8))
-            places.append(K.planar(number, 4))  # the upper planes are zeros, which the shuffle compresses away
+        blobs, ids = ([K.planar(x[cuts[r] : cuts[r + 1]], 8) for r in live] for x in (hashes, least))
         del hashes, least
         K.trim()
-        return pa.table({"rng": pa.array(live.astype(np.int32)), "chunk": chunk, "blob": pa.array(blobs, pa.binary()), "ids": pa.array(ids, pa.binary()), "places": pa.array(places, pa.binary())})
+        return pa.table({"rng": pa.array(live.astype(np.int32)), "chunk": chunk, "blob": pa.array(blobs, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     return send
 
@@ -89,7 +84,7 @@ def _count(table: pa.Table) -> pa.Table:
     cuts = np.cumsum([0, *map(len, blobs)])
     h = np.concatenate(blobs)
     del blobs
-    ids = np.concatenate([K.unplanar(i.as_buffer(), 8).astype(np.int64)[K.unplanar(p.as_buffer(), 4)] for i, p in zip(table.column("ids"), table.column("places"), strict=True)])
+    ids = np.concatenate([K.unplanar(i.as_buffer(), 8).view(np.int64) for i in table.column("ids")])
     by = np.argsort(h, kind="stable")
     h = h[by]
     begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -185,7 +180,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, *, texts: bool = True, chun
     ranges = max(16, math.ceil(size / 6 / range_windows))
     packed, width = K.dealt(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")), ["doc.doc_id", "doc.text"], n, size)
     packed = packed.repartition(width, "_chunk")
-    sent = packed.groupBy("_chunk").applyInArrow(_send(k, ranges), "rng int, chunk int, blob binary, ids binary, places binary")
+    sent = packed.groupBy("_chunk").applyInArrow(_send(k, ranges), "rng int, chunk int, blob binary, ids binary")
     sent = sent.repartition(K.parts(spark, math.ceil(ranges / 8)), "rng")  # several ranges each, to even them out
     bits = sent.groupBy("rng").applyInArrow(_count, "_chunk int, rng int, bits binary").repartition(width, "_chunk")
     shape = T.StructType([packed.schema["doc"], *T.StructType.fromDDL("n_words bigint, n_removed bigint, kept_sha256 string, spans array<struct<first:bigint,last:bigint>>" + ", text string" * texts)])
