@@ -48,6 +48,24 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def kept_tables() -> list[str]:
+    """Paths of the tables that keep has written and nothing has released, oldest first."""
+    return [path for _, path in _written]
+
+
+def release(spark: SparkSession, paths: list[str], reader: DataFrame | None = None) -> None:
+    """Deletes tables that keep has written, for when the results made from them have been read or written.
+
+    Nothing is deleted that ``reader`` still reads from.
+    """
+    files = reader.inputFiles() if reader is not None else []
+    gone = {p for p in paths if not any(p.rsplit("/", 1)[-1] in f for f in files)}
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _written[:] = [w for w in _written if w[1] not in gone]
+
+
 def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
     """df with the place of each row in the order, from 1: a range partitioning, then counts per partition, no single task."""
     spark = df.sparkSession

@@ -77,3 +77,15 @@ def test_page_source(spark):
     assert {k: v for k, v in json.loads(posted.html).items() if k != "pad"} == {"zone": "z1", "url": "http://far.example/", "format": "raw", "as": "Bearer t"}
     assert got[f"{base}/ok"].status == "live" and got[f"{base}/ok"].attempts == 1
     assert got[f"{base}/bad"].status == "degraded" and got[f"{base}/bad"].html is None and got[f"{base}/bad"].attempts == 2
+
+
+def test_release(spark):
+    from tacet.sources import shared
+
+    one = shared.keep(spark.range(3))
+    two = shared.keep(spark.range(4))
+    a, b = shared.kept_tables()[-2:]
+    shared.release(spark, [a, b], two.where("id > 1"))
+    assert a not in shared.kept_tables() and b in shared.kept_tables() and two.count() == 4
+    shared.release(spark, [b])
+    assert b not in shared.kept_tables() and one is not two
