@@ -3,7 +3,7 @@
 Documents of a source are cut into blocks by their rank in a hashed order. Block j of a source of
 weight w is released at slot floor(j / w) and due at ceil((j + 1) / w); earliest deadline first then
 fills the slots, and every source's share of every prefix stays less than one block from its target.
-When a source runs out, the weights of the others are rescaled and they go on from there, so every
+When a source runs out, time runs faster for the others, so their shares grow in proportion and every
 document is placed exactly once.
 
 The schedule has at most ``most_blocks`` blocks and one for each source, whatever the input; the
@@ -31,40 +31,33 @@ POWER = 0.7
 
 
 def interleave(blocks: list[int], weights: list[float]) -> list[tuple[int, int]]:
-    """(source, block) of every slot, by earliest deadline first among released blocks."""
+    """(source, block) of every slot, by earliest deadline first among released blocks.
+
+    Times are kept in units in which a source of weight w serves a block per 1 / w, whatever other
+    sources there are: a slot takes 1 over the weights still alive. Release and deadline of a block then
+    never change when a source ends, and the whole schedule costs a logarithm per block.
+    """
     out: list[tuple[int, int]] = []
-    done = [0] * len(blocks)
-    live = [s for s, n in enumerate(blocks) if n]
-    while live:
-        total = sum(weights[s] for s in live)
-        share = {s: weights[s] / total for s in live}
-        start = len(out)
-        waiting: list = []
-        ready: list = []
-
-        def add(s, j, share=share, waiting=waiting, start=start):
-            w = share[s]
-            heapq.heappush(waiting, (start + math.floor(j / w + 1e-9), start + math.ceil((j + 1) / w - 1e-9), s, j))
-
-        for s in live:
-            add(s, 0)
-        ended = None
-        while ended is None:
-            now = len(out)
-            while waiting and waiting[0][0] <= now:
-                _, due, s, j = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, s, j))
-            if not ready:  # only by rounding of a release time
-                _, due, s, j = heapq.heappop(waiting)
-                heapq.heappush(ready, (due, s, j))
-            _, s, j = heapq.heappop(ready)
-            out.append((s, done[s]))
-            done[s] += 1
-            if done[s] == blocks[s]:
-                ended = s
-            else:
-                add(s, j + 1)
-        live = [s for s in live if s != ended]
+    live = sum(w for n, w in zip(blocks, weights, strict=True) if n)
+    waiting = [(0.0, s, 0) for s, n in enumerate(blocks) if n]
+    heapq.heapify(waiting)
+    ready: list[tuple[float, int, int]] = []
+    now, left = 0.0, sum(1 for n in blocks if n)
+    while left:
+        if not ready and waiting[0][0] > now:  # the sources that ended had been served ahead of their time
+            now = waiting[0][0]
+        after = now + 1 / live
+        while waiting and (waiting[0][0] <= now or waiting[0][0] < after * (1 - 1e-12)):  # released within this slot
+            _, s, j = heapq.heappop(waiting)
+            heapq.heappush(ready, ((j + 1) / weights[s], s, j))
+        _, s, j = heapq.heappop(ready)
+        out.append((s, j))
+        now = after
+        if j + 1 < blocks[s]:
+            heapq.heappush(waiting, ((j + 1) / weights[s], s, j + 1))
+        else:
+            left -= 1
+            live = max(live - weights[s], min(weights))  # rounding must not end it
     return out
 
 
@@ -136,16 +129,24 @@ class Schedule:
         return {s: np.sort(np.array(h, np.int64)) for s, h in out.items()}
 
 
-def _place(borders, slots: dict, name: str):
+def _place(borders, name: str):
+    """borders: of each source the hashes at which its blocks after the first begin, and its blocks' slots."""
+
     @K.tidy
     def place(batches):
-        cut = borders.value
         for batch in batches:
-            source = batch.column("_source").to_pylist()
+            coded = batch.column("_source").dictionary_encode()
+            names = [*coded.dictionary.to_pylist(), None]
+            code = coded.indices.fill_null(len(names) - 1).to_numpy()
             h = batch.column("_h").to_numpy()
-            block = np.fromiter((np.searchsorted(cut[s], x, "right") for s, x in zip(source, h, strict=True)), np.int64, len(h))
-            slot = [slots[s][b] for s, b in zip(source, block.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("_h"), pa.array(slot, pa.int64())], [name, "_h", "_slot"])
+            slot = np.empty(len(h), np.int64)
+            order = np.argsort(code, kind="stable")
+            cuts = np.searchsorted(code[order], np.arange(len(names) + 1))
+            for c in np.flatnonzero(np.diff(cuts)):
+                at = order[cuts[c] : cuts[c + 1]]
+                begins, slots = borders.value[names[c]]
+                slot[at] = slots[np.searchsorted(begins, h[at], "right")]
+            yield pa.RecordBatch.from_arrays([batch.column(name), batch.column("_h"), pa.array(slot)], [name, "_h", "_slot"])
 
     return place
 
@@ -155,15 +156,21 @@ def placed(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = M
 
     Depends on the rows alone and not on their order, so the same rows always get the same slots.
     """
+    return _placed(docs, weights, most_blocks)[0]
+
+
+def _placed(docs: DataFrame, weights: dict | None, most_blocks: int) -> tuple[DataFrame, int]:
+    """placed, and the number of slots."""
     spark = docs.sparkSession
     plan = Schedule(docs, weights, most_blocks)
-    borders = spark.sparkContext.broadcast(plan.borders())  # at most most_blocks numbers
-    slots: dict = {s: [0] * n for s, n in zip(plan.sources, plan.blocks, strict=True)}
+    slots = {s: np.zeros(n, np.int64) for s, n in zip(plan.sources, plan.blocks, strict=True)}
     for slot, (s, b) in enumerate(plan.slots):
         slots[plan.sources[s]][b] = slot
+    begins = plan.borders()
+    borders = spark.sparkContext.broadcast({s: (begins[s], slots[s]) for s in plan.sources})  # most_blocks numbers and one per source
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("source").alias("_source"), F.xxhash64("doc_id").alias("_h"))
     shape = T.StructType([packed.schema["doc"], *T.StructType.fromDDL("_h bigint, _slot bigint")])
-    return packed.mapInArrow(_place(borders, slots, "doc"), shape)
+    return packed.mapInArrow(_place(borders, "doc"), shape), max(1, len(plan.slots))
 
 
 def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST_BLOCKS) -> DataFrame:
@@ -173,8 +180,10 @@ def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST
     without a source are a source of their own; rows of equal doc_id, repeated ones too, stay
     together in one block, which may then be larger. No row is dropped or repeated.
     """
+    out, total = _placed(docs, weights, most_blocks)
     width = K.parts(docs.sparkSession, 1)
-    out = placed(docs, weights=weights, most_blocks=most_blocks).repartitionByRange(width, "_slot", "_h").sortWithinPartitions("_slot", "_h")
+    # the number of slots is known, so they are dealt without sampling
+    out = out.repartitionById(width, F.least(F.lit(width - 1), F.floor(F.col("_slot") * width / total)).cast("int")).sortWithinPartitions("_slot", "_h")
     return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 

@@ -544,6 +544,41 @@ def test_interleave():
         assert all(abs(count[k] - weights[k] / total * t) < 1 for k in range(4))
 
 
+def test_interleave_goes_on_in_proportion():
+    """When a source has ended the others keep their proportions; thousands of sources are no trouble."""
+    blocks, weights = [5, 400, 100, 100], [0.5, 0.3, 0.1, 0.1]
+    slots = mixing.interleave(blocks, weights)
+    assert sorted(slots) == [(s, b) for s, n in enumerate(blocks) for b in range(n)]
+    count, first = [0] * 4, None
+    for s, _ in slots:
+        count[s] += 1
+        if first is None and count[0] == 5:
+            first = list(count)
+        if first and max(count[1] - 390, count[2] - 95, count[3] - 95) < 0:
+            since = [c - f for c, f in zip(count, first, strict=True)]
+            assert abs(since[1] / 3 - since[2]) <= 2 and abs(since[2] - since[3]) <= 2
+    many = mixing.interleave([1] * 20_000, [1 + k % 7 for k in range(20_000)])
+    assert len(set(many)) == 20_000
+    assert sorted(mixing.interleave([3, 2], [1.0, 1e-9])[:3]) == [(0, 0), (0, 1), (0, 2)]
+
+
+def test_positions_against_brute_force(spark, docs):
+    from pyspark.sql import functions as F
+
+    plan = mixing.Schedule(docs, most_blocks=6)
+    got = collections.Counter(map(tuple, plan.positions().select("doc_id", "source", "block", "slot", "position").collect()))
+    by = collections.defaultdict(list)
+    for r in docs.select("doc_id", "source", F.xxhash64("doc_id").alias("h")).collect():
+        by[r.source].append((r.h, r.doc_id is not None, r.doc_id))
+    start, at = 0, {}
+    for slot, (s, b) in enumerate(plan.slots):
+        name = plan.sources[s]
+        for k, (_, _, i) in enumerate(sorted(by[name])[b * plan.rows_per_block : (b + 1) * plan.rows_per_block]):
+            at[name, b, k] = (i, name, b, slot, start + k)
+        start += len(sorted(by[name])[b * plan.rows_per_block : (b + 1) * plan.rows_per_block])
+    assert got == collections.Counter(at.values()) and len(plan.slots) > 3
+
+
 @pytest.mark.parametrize("most", [5, 1000])
 def test_mixing(docs, none, most):
     out = mixing.mix(docs, most_blocks=most)
