@@ -38,7 +38,7 @@ def interleave(blocks: list[int], weights: list[float]) -> list[tuple[int, int]]
     never change when a source ends, and the whole schedule costs a logarithm per block.
     """
     out: list[tuple[int, int]] = []
-    live = sum(w for n, w in zip(blocks, weights, strict=True) if n)
+    live, least = sum(w for n, w in zip(blocks, weights, strict=True) if n), min(weights, default=1.0)
     waiting = [(0.0, s, 0) for s, n in enumerate(blocks) if n]
     heapq.heapify(waiting)
     ready: list[tuple[float, int, int]] = []
@@ -57,7 +57,7 @@ def interleave(blocks: list[int], weights: list[float]) -> list[tuple[int, int]]
             heapq.heappush(waiting, ((j + 1) / weights[s], s, j + 1))
         else:
             left -= 1
-            live = max(live - weights[s], min(weights))  # rounding must not end it
+            live = max(live - weights[s], least)  # rounding must not end it
     return out
 
 
