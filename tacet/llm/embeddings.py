@@ -35,8 +35,8 @@ MEETING = 300
 BLOCK = 1024
 CELL = 2.0
 SEED = 3
-#: Half a window, in the integer units of places on a line.
-HALF = 64
+#: Half a window, in the integer units of places on a sorted line, and on a counting line (where a place is one byte).
+HALF, COUNT_HALF = 64, 20
 #: Pairs of one step of counting.
 STEP = 1 << 18
 
@@ -55,7 +55,7 @@ def projections(x: np.ndarray, lines: int, groups: int, cosine: float = COSINE):
     d = x.shape[1]
     rng = np.random.default_rng([SEED, d])
     scale = HALF / (WINDOW * math.sqrt(2 * (1 - cosine)))  # over unit vectors a line's values spread by 1
-    count = np.rint(x @ rng.standard_normal((d, LINES)) * scale).astype(np.int16)
+    count = np.clip(np.rint(x @ rng.standard_normal((d, LINES)) * (scale * COUNT_HALF / HALF)), -127, 127).astype(np.int8)
     cells, places = np.empty((len(x), groups), np.int64), np.empty((len(x), groups), np.int32)
     for g in range(groups):
         p = x @ rng.standard_normal((d, lines))
@@ -117,7 +117,8 @@ def collided(count: np.ndarray, i: np.ndarray, j: np.ndarray, least: int):
     """Those of the pairs that collide on at least ``least`` counting lines; pairs leave as soon as they cannot."""
     hits = np.zeros(len(i), np.int16)
     for line in range(LINES):
-        hits += np.abs(count[i, line] - count[j, line]) <= HALF
+        at = count[:, line].astype(np.int16)
+        hits += np.abs(at[i] - at[j]) <= COUNT_HALF
         if line % 8 == 7:
             stay = hits >= least - (LINES - 1 - line)
             i, j, hits = i[stay], j[stay], hits[stay]
@@ -152,7 +153,7 @@ def _tasks(table: pa.Table):
 
 
 def _lines(table: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column("lines").to_pylist()), np.int16).reshape(-1, LINES)
+    return np.frombuffer(b"".join(table.column("lines").to_pylist()), np.int8).reshape(-1, LINES)
 
 
 def _scan(least: int):

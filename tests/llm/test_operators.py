@@ -350,17 +350,17 @@ def test_embeddings_design_reaches_its_recall(n):
     e /= np.linalg.norm(e, axis=1)[:, None]
     y = 0.9 * x + math.sqrt(1 - 0.81) * e
     (a, p, la), (b, q, lb) = (embeddings.projections(z, lines, groups) for z in (x, y))
-    found = ((a == b) & (np.abs(p - q) <= embeddings.HALF)).any(1) & ((np.abs(la - lb) <= embeddings.HALF).sum(1) >= least)
+    found = ((a == b) & (np.abs(p - q) <= embeddings.HALF)).any(1) & ((np.abs(la.astype(int) - lb) <= embeddings.COUNT_HALF).sum(1) >= least)
     assert found.mean() > 0.95
 
 
 def test_embedding_windows_and_counts():
     rng = np.random.default_rng(7)
-    place, count = rng.integers(-300, 300, 90).astype(np.int32), rng.integers(-150, 150, (90, embeddings.LINES)).astype(np.int16)
-    count[40:] = count[:50] + rng.integers(-90, 90, (50, embeddings.LINES)).astype(np.int16)
+    place, count = rng.integers(-300, 300, 90).astype(np.int32), rng.integers(-50, 50, (90, embeddings.LINES)).astype(np.int8)
+    count[40:] = count[:50] + rng.integers(-28, 28, (50, embeddings.LINES)).astype(np.int8)
     side = rng.integers(0, 3, 90)
     for same in (True, False):
-        want = {(i, j) for i in range(90) for j in range(90) if side[i] == 0 and (side[j] > 0 or (same and i < j)) and abs(int(place[i]) - int(place[j])) <= embeddings.HALF and sum(abs(int(x) - int(y)) <= embeddings.HALF for x, y in zip(count[i], count[j])) >= 20}
+        want = {(i, j) for i in range(90) for j in range(90) if side[i] == 0 and (side[j] > 0 or (same and i < j)) and abs(int(place[i]) - int(place[j])) <= embeddings.HALF and sum(abs(int(x) - int(y)) <= embeddings.COUNT_HALF for x, y in zip(count[i], count[j])) >= 20}
         got = embeddings.passing(place, count, side, same, 20)
         assert sorted(map(tuple, got.T.tolist())) == sorted(want) and want
 
