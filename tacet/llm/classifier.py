@@ -19,8 +19,8 @@ from tacet.llm import kernel as K
 WORD_BITS, GRAM_BITS = 15, 15
 SIZE = (1 << WORD_BITS) + 2 * (1 << GRAM_BITS) + 2
 DIM, EPOCHS, RATE = 8, 6, 2.0
-#: At most so many labelled texts train the model, those of the least hashed ids.
-SAMPLE = 4_000
+#: At most so many labelled texts train the model, those of the least hashed ids, as long as their features fit into so many bytes.
+SAMPLE, SAMPLE_BYTES = 4_000, 256 << 20
 CUT = 0.7
 SEED = 7
 
@@ -101,7 +101,7 @@ def _scorer(model):
                 part = batch.slice(a, b - a)
                 total, n = np.zeros(part.num_rows), np.zeros(part.num_rows)
                 for ids, first in features(part.column("text")):
-                    total += np.diff(np.concatenate([[0.0], np.cumsum(weights[ids])])[first])
+                    total += K.per_text(weights[ids], first)
                     n += np.diff(first)
                 z = total / np.maximum(n, 1) + bias
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i, c in enumerate(part.schema.names) if c != "text"), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], [*(c for c in part.schema.names if c != "text"), "score"])
@@ -109,13 +109,26 @@ def _scorer(model):
     return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE):
-    """A model of quality from at most ``sample`` labelled rows that are not held out."""
+def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
+    """A model of quality from at most ``sample`` labelled rows that are not held out, and ``sample_bytes`` of features.
+
+    Of rows that share a doc_id the text of the least hash counts, of labels that do the largest. Ids
+    are taken in the order of their hashes, so the sample does not depend on the order of the rows.
+    """
     held = F.pmod(K.crc32_column(F.col("doc_id")), F.lit(4)) == 2
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = {r["doc_id"]: int(r["quality"]) for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()}
-    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen)))
-    rows = texts.mapInArrow(_bags, "doc_id bigint, ids binary, share binary").toLocalIterator(prefetchPartitions=False) if chosen else []
+    if not chosen:
+        return train([], [])
+    texts = docs.select("doc_id", "text").where(F.col("doc_id").isin(list(chosen))).groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    bags = K.keep(texts.mapInArrow(_bags, "doc_id bigint, ids binary, share binary"))
+    sizes = {r["doc_id"]: r["n"] for r in bags.select("doc_id", (F.octet_length("ids") + F.octet_length("share")).alias("n")).collect()}  # at most ``sample`` rows
+    fits, total = [], 0
+    for i in chosen:
+        if i in sizes and total + sizes[i] <= sample_bytes:
+            fits.append(i)
+            total += sizes[i]
+    rows = bags.where(F.col("doc_id").isin(fits)).toLocalIterator(prefetchPartitions=False)
     got = {r["doc_id"]: (np.frombuffer(r["ids"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows}
     order = sorted(got)
     return train([got[i] for i in order], [chosen[i] for i in order])
@@ -124,8 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE):
 def classify(docs: DataFrame, model) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted.
 
-    Null and empty texts get the bias alone. A null doc_id is not held out. Repeated rows get equal
-    scores. Extra columns are ignored; without labelled rows every score is 0.5.
+    Null and empty texts get the bias alone. A null doc_id is not held out. Equal texts get equal
+    scores, wherever they stand. Extra columns are ignored; without labelled rows every score is 0.5.
     """
     held = F.coalesce(F.pmod(K.crc32_column(F.col("doc_id")), F.lit(4)) == 2, F.lit(False))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # SIZE numbers, whatever the input

@@ -136,6 +136,15 @@ def rolling(wh: np.ndarray, k: int) -> np.ndarray:
     return mix((total[k:] - total[:n]) * down[:n])
 
 
+def per_text(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of a value per word (or other place) over each text, which depend on nothing but the text."""
+    out = np.zeros(len(first) - 1, x.dtype)
+    full = np.flatnonzero(np.diff(first))
+    if len(full):
+        out[full] = np.add.reduceat(x, first[full])
+    return out
+
+
 def whole(first: np.ndarray, k: int) -> np.ndarray:
     """Which of the windows of k words lie within one text."""
     n = int(first[-1]) - k + 1

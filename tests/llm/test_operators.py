@@ -381,6 +381,23 @@ def test_classifier(spark, docs, none):
     assert classifier.classify(none, blank).count() == 0
 
 
+def test_classifier_does_not_depend_on_the_order(spark):
+    """Ids with two texts, in either order of rows and in batches of any size; a sample bound in bytes."""
+    rows = [(k, _passage(k, 30)) for k in range(60)] + [(k, "$$$ " + _passage(500 + k, 30)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id bigint, quality int, toxic int")
+    shape = "doc_id bigint, text string"
+    models = [classifier.fit(spark.createDataFrame(r, shape).repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert np.array_equal(models[0][0], models[1][0]) and models[0][1] == models[1][1]
+    texts = [(k, rows[k % 7][1]) for k in range(300)]
+    scores = collections.defaultdict(set)
+    for n in (1, 7):
+        for r in classifier.classify(spark.createDataFrame(texts, shape).repartition(n), models[0]).collect():
+            scores[r.doc_id % 7].add(r.score)
+    assert all(len(s) == 1 for s in scores.values())
+    small = classifier.fit(spark.createDataFrame(rows, shape), labels, sample_bytes=4000)
+    assert not np.array_equal(small[0], models[0][0])
+
+
 def test_licences(docs, rows, none):
     got = licences.scan_licences(docs).collect()
     want = []
