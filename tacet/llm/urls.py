@@ -5,7 +5,8 @@ tree. Level by level, as long as any node can still split, a segment stays liter
 urls at least; rare, variable segments become a wildcard, and so do branches whose labels do not
 differ statistically from those of their siblings. Each template's share of blocked urls is smoothed towards that of its
 parent (the host's towards that of its last domain label, that towards the whole); urls that no
-rule fits are blocked where the smoothed share is high.
+rule fits are blocked where the smoothed share exceeds a cutoff. The cutoff is the one that best
+separates labelled urls which the tree has not learned from: a hashed fifth of them.
 
 The tree is built on distinct urls with counts; every grouping is a partial sum first, so a host
 with a third of all pages costs no more than its distinct segments.
@@ -25,7 +26,9 @@ RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org"
 LEAST = 3
 Z = 1.96
 WEIGHT = 5.0
+#: The cutoff where held-out urls of both kinds are missing.
 PURITY = 0.75
+HELD_OUT, BINS = 5, 100
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -87,21 +90,51 @@ def templates(urls: DataFrame, levels: int | None = None) -> DataFrame:
     return state.select("host", "path", F.concat("template", tail).alias("template"), "purity")
 
 
-def judge_urls(pages: DataFrame, rules=RULES, *, levels: int | None = None, purity: float = PURITY) -> DataFrame:
+def best_cutoff(counts: dict[int, tuple[int, int]], default: float) -> float:
+    """Of held-out urls per bin of purity (blocked, allowed) the cutoff with the highest mean of both hit rates.
+
+    Of equally good ones the middle of the longest run of bins.
+    """
+    bad, good = (sum(c[k] for c in counts.values()) for k in (0, 1))
+    if not bad or not good:
+        return default
+    above, below, scores = bad, 0, []
+    for i in range(BINS + 1):  # blocked above bin i
+        b, g = counts.get(i, (0, 0))
+        above, below = above - b, below + g
+        scores.append(above * good + below * bad)
+    best, run, longest = max(scores), [], []
+    for i, x in enumerate([*scores, -1]):
+        if x == best:
+            run.append(i)
+        else:
+            longest = run if len(run) > len(longest) else longest
+            run = []
+    return (longest[len(longest) // 2] + 1) / BINS
+
+
+def judge_urls(pages: DataFrame, rules=RULES, *, levels: int | None = None, purity: float | None = None) -> DataFrame:
     """Per row: page_id, host, path, rule, verdict, template, purity.
 
     Urls that are null or without ``://`` have an empty host and path and form one template.
     Repeated rows count as often as they occur. Segments below the last level at which any node could split
-    (or beyond ``levels``) are one tail. Extra
+    (or beyond ``levels``) are one tail. ``purity`` is the cutoff; without it, it is calibrated. Extra
     columns are ignored; without labelled urls everything that no rule fits has a purity of 0.5 and
-    is judged by ``purity`` like any other.
+    is judged by PURITY.
     """
     host, path = host_and_path(F.col("url"))
     x = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     x = x.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("given"))
-    counts = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("given") == "block").alias("blocked"), F.count("given").alias("labelled")]
-    known = templates(K.keep(x.groupBy("host", "path").agg(*counts)), levels)
+    out = F.lit(False) if purity is not None else F.pmod(F.xxhash64("host", "path"), F.lit(HELD_OUT)) == 0
+    counts = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("given") == "block").alias("bad"), F.count("given").alias("all")]
+    urls = K.keep(x.groupBy("host", "path").agg(*counts).withColumn("out", out))
+    learned = [F.when(F.col("out"), 0).otherwise(F.col(c)).alias(name) for c, name in (("bad", "blocked"), ("all", "labelled"))]
+    known = K.keep(templates(urls.select("host", "path", "n", *learned), levels))
+    if purity is None:
+        held = urls.where("out and `all` > 0").select("host", "path", (F.col("bad") > 0).alias("bad")).join(known, ["host", "path"])
+        bins = held.groupBy(F.floor(F.col("purity") * BINS).cast("int").alias("bin")).agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good"))
+        purity = best_cutoff({r["bin"]: (r["bad"], r["good"]) for r in bins.collect()}, PURITY)  # at most BINS + 1 rows
     verdict = F.coalesce("given", F.when(F.col("purity") > purity, "block").otherwise("allow"))
     return x.join(known, ["host", "path"]).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "template", "purity")
 

@@ -545,10 +545,35 @@ def test_urls_split_deep_and_small_branches(spark):
     rows += [(1000 + k, f"http://wide.com/{'bad' if k < 20 else 'ok'}/{k}") for k in range(3000)]
     rules = [("deep.com", f"/a/b/c/d/e/ads/{d}", "block") for d in range(1, 6)] + [("deep.com", "/a/b/c/d/e/news/", "allow")]
     rules += [("wide.com", "/bad/1", "block"), ("wide.com", "/ok/", "allow")]
-    got = urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules).where("rule is null").collect()
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules, purity=0.75).where("rule is null").collect()
     assert {r.host for r in got} == {"deep.com", "wide.com"} and all(r.verdict == "block" for r in got)
 
 
+def test_url_cutoff_is_calibrated(spark):
+    """Labels decide the cutoff: where a fifth is held out, bad branches of few labels are rejected and good ones are not."""
+    assert urls.best_cutoff({10: (0, 5), 30: (4, 0)}, 0.75) == 0.21 and urls.best_cutoff({5: (0, 3)}, 0.75) == 0.75
+    rows = [(k, f"http://h{k % 8}.com/{'ads' if k % 2 else 'news'}/{k}") for k in range(2000)]
+    rules = [(f"h{h}.com", f"/{part}/{d}", v) for h in range(8) for part, v in (("ads", "block"), ("news", "allow")) for d in (1, 2)]
+    got = urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules).where("rule is null").collect()
+    assert len(got) > 400 and all((r.verdict == "block") == ("/ads/" in r.path) for r in got)
+
+
+def test_url_parts_against_sql(spark):
+    """Host, path and rule of all test pages equal those of plain SQL."""
+    import os
+
+    import duckdb
+
+    at = "/root/testdata/sf0.001/pages.parquet"
+    if not os.path.exists(at):
+        pytest.skip("no test tables here")
+    rules = "(VALUES ('org', '/'), ('example.org', '/es/'), ('example.org', '/en/1'), ('com', '/fr/'), ('com', '/de/')) AS r(h, p)"
+    want = duckdb.execute(f"""WITH x AS (SELECT page_id, coalesce(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1)), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM '{at}')
+SELECT page_id, host, path, (SELECT arg_max(h || p, length(h || p)) FROM {rules} WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)) AS rule FROM x""").fetchall()
+    got = [tuple(r) for r in urls.judge_urls(spark.read.parquet(at)).select("page_id", "host", "path", "rule").collect()]
+    assert sorted(got, key=_key) == sorted(want, key=_key)
+
+
 def test_interleave():
     blocks, weights = [50, 20, 7, 1], [0.5, 0.3, 0.15, 0.05]
     slots = mixing.interleave(blocks, weights)
