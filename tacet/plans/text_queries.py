@@ -73,7 +73,7 @@ def components(spark, d):
 
 
 def clusters(spark, d):
-    return linkage.clusters(_reports(spark, d), _scored(spark, d))
+    return linkage.clusters(_reports(spark, d), _scored(spark, d)).withColumn("report_ids", F.array_join("report_ids", ","))
 
 
 def simulated_ambiguous(spark, d):
@@ -148,6 +148,28 @@ levels AS (SELECT a, b, CASE WHEN ea IS NULL OR eb IS NULL THEN 'unknown' WHEN e
 ratios AS (SELECT *, {_RATIO} AS ratio FROM levels),
 scored AS (SELECT a, b, geo, time, text, source, {_UP("sim")} AS text_similarity, {_UP("hours", 2)} AS hours_apart, {_UP("ratio")} AS log_ratio, {_UP(f"{C.PRIOR_MATCH / (1 - C.PRIOR_MATCH)!r} * exp(ratio) / (1 + {C.PRIOR_MATCH / (1 - C.PRIOR_MATCH)!r} * exp(ratio))")} AS p FROM ratios)
 """
+
+
+def _refined() -> str:
+    """CTEs: components of the admitted pairs (comp0), then level by level each without its weakest bridge, if that is weak and has two members on either side."""
+    out = f"edges0 AS (SELECT a, b, p FROM scored WHERE p >= {C.ADMIT})"
+    for k in range(C.MAX_DEPTH + 2):
+        out += f""", links{k} AS (SELECT a, b FROM edges{k} UNION ALL SELECT b, a FROM edges{k}), reach{k} AS (SELECT a AS v, a AS u FROM links{k} UNION SELECT r.v, l.b FROM reach{k} r JOIN links{k} l ON l.a = r.u), comp{k} AS (SELECT v, min(u) AS c, count(*) AS size FROM reach{k} GROUP BY 1)"""
+        if k <= C.MAX_DEPTH:
+            out += f""", side{k} AS (SELECT a AS ea, b AS eb, a AS u FROM edges{k} WHERE p <= {C.WEAK_BRIDGE} UNION SELECT s.ea, s.eb, l.b FROM side{k} s JOIN links{k} l ON l.a = s.u WHERE NOT ((l.a = s.ea AND l.b = s.eb) OR (l.a = s.eb AND l.b = s.ea))),
+whole{k} AS (SELECT ea, eb, count(*) AS n, max(CASE WHEN u = eb THEN 1 ELSE 0 END) AS back FROM side{k} GROUP BY 1, 2),
+bridge{k} AS (SELECT e.a, e.b, w.n, c.size, row_number() OVER (PARTITION BY c.c ORDER BY e.p, e.a, e.b) AS k FROM whole{k} w JOIN edges{k} e ON e.a = w.ea AND e.b = w.eb JOIN comp{k} c ON c.v = e.a WHERE w.back = 0 AND c.size >= 3),
+edges{k + 1} AS (SELECT e.* FROM edges{k} e LEFT JOIN (SELECT a, b FROM bridge{k} WHERE k = 1 AND n >= 2 AND size - n >= 2) x ON x.a = e.a AND x.b = e.b WHERE x.a IS NULL)"""
+    return out
+
+
+_LAST = f"comp{C.MAX_DEPTH + 1}"
+_CLUSTERS = f""", {_refined()}, member AS (SELECT d.id, coalesce(m.c, d.id) AS cluster, d.entity, d.t, d.source_type FROM doc_reports d LEFT JOIN {_LAST} m ON m.v = d.id),
+inside AS (SELECT x.c AS cluster, avg(e.p) AS mean FROM edges0 e JOIN {_LAST} x ON x.v = e.a JOIN {_LAST} y ON y.v = e.b AND y.c = x.c GROUP BY 1),
+votes AS (SELECT cluster, entity, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, min(t), entity) AS k FROM member WHERE entity IS NOT NULL GROUP BY 1, 2),
+per AS (SELECT cluster, array_to_string(list(id ORDER BY id), ',') AS report_ids, count(DISTINCT source_type) AS source_diversity, min(t) AS first FROM member GROUP BY 1),
+numbered AS (SELECT p.*, row_number() OVER (ORDER BY first NULLS LAST, cluster) AS n FROM per p)
+SELECT 'cl-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS cluster_id, v.entity, report_ids, {_UP('coalesce(mean, 0.5)')} AS confidence, source_diversity FROM numbered u LEFT JOIN inside i ON i.cluster = u.cluster LEFT JOIN votes v ON v.cluster = u.cluster AND v.k = 1"""
 _LEX = {"hazard": lexicons.HAZARD, "strong": lexicons.STRONG, "weak": lexicons.WEAK, "warning": lexicons.WARNING, "negative": lexicons.NEGATIVE, "noise": lexicons.NOISE}
 _COUNTS = f"counts AS (SELECT doc_id, {', '.join('(' + ' + '.join(f"CASE WHEN contains(s, '{w}') THEN 1 ELSE 0 END" for w in ws) + f') AS {k}' for k, ws in _LEX.items())} FROM (SELECT doc_id, {_NORM} AS s FROM documents))"
 _VARIANTS = "variants AS (SELECT DISTINCT entity, " + _N.format("raw") + " AS norm FROM (VALUES " + ", ".join(f"({i}, '{r}')" for i, name, al in GAZETTEER for r in [name, *al]) + ") AS g(entity, raw))"
@@ -209,6 +231,7 @@ SQL = {
     "ambiguous_pairs": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}",
     "ambiguous_top": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT} ORDER BY p DESC, a, b LIMIT {C.TOP_AMBIGUOUS}",
     "components": _PAIRS + f", links AS (SELECT a, b FROM scored WHERE p >= {C.ADMIT} UNION ALL SELECT b, a FROM scored WHERE p >= {C.ADMIT}), reach AS (SELECT id, id AS other FROM doc_reports UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1",
+    "clusters": _PAIRS + _CLUSTERS,
     "simulated_ambiguous": _PAIRS + f""", every AS (SELECT a, b, p, NOT (p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}) AS forced, FALSE AS made_up FROM scored UNION ALL SELECT min(id), max(id), {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}, TRUE, TRUE FROM (SELECT id FROM doc_reports ORDER BY id LIMIT 2) HAVING count(*) = 2)
 SELECT a, b, CASE WHEN forced THEN {(C.AMBIGUOUS_LOW + C.ADMIT) / 2} ELSE p END AS p, p AS original_p, forced FROM every ORDER BY made_up, forced, CASE WHEN forced THEN abs(p - {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}) ELSE -p END, a, b LIMIT 1""",
     "outcome_table": f"""WITH levels AS (SELECT g.l AS geo, t.l AS time, x.l AS text, s.l AS source FROM {', '.join(f"(SELECT unnest({list(t)}) AS l) AS {n}" for n, t in zip('gtxs', C.MATCH_TABLE.values(), strict=True))}), r AS (SELECT *, {_RATIO} AS ratio FROM levels),
