@@ -48,6 +48,12 @@ def keep(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan that Spark would read in fewer tasks than there are cores, dealt out to all of them for the work on its rows."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def kept_tables() -> list[str]:
     """Paths of the tables that keep has written and nothing has released, oldest first."""
     return [path for _, path in _written]
