@@ -148,7 +148,7 @@ def classify(docs: DataFrame, model) -> DataFrame:
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document."""
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (K.read(spark, sf_dir, t) for t in ("documents", "labels"))
     return classify(docs, fit(docs, labels))
 
 

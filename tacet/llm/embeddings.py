@@ -284,7 +284,7 @@ def near_embeddings(table: DataFrame, *, cosine: float = COSINE, recall: float =
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector."""
-    return near_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return near_embeddings(K.read(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {"op6_embedding_dedup": op6_embedding_dedup}

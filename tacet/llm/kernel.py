@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tacet.operators.graph import components  # noqa: F401 (used as kernel.components)
-from tacet.sources.shared import keep  # noqa: F401
+from tacet.sources.shared import keep, spread  # noqa: F401
 
 U64 = np.uint64
 #: Bytes of text of one chunk (a group in a worker) and of one shuffle partition (many chunks).
@@ -203,6 +203,11 @@ def crc32_column(c):
     return F.crc32(F.encode(c.cast("string"), "UTF-8"))
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, spread over all cores if it has fewer parts."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, share: int = 1000) -> DataFrame:
     """rows left-joined with table (one row per key; ``count``: how many rows have it) by key, without gathering a common key's rows.
 

@@ -136,7 +136,7 @@ def scan_licences(docs: DataFrame, *, phrases: dict[str, str] = PHRASES, templat
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence labels of every document."""
-    return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans")
+    return scan_licences(K.read(spark, sf_dir, "documents")).drop("spans")
 
 
 QUERIES = {"op9_license_scan": op9_license_scan}

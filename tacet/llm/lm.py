@@ -395,7 +395,7 @@ def score_texts(docs: DataFrame, *, seeds: int = SEEDS, classes: int = CLASSES,
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every document under the contract's columns."""
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return score_texts(K.read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {"op10_lm_scoring": op10_lm_scoring}

@@ -189,7 +189,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the schedule puts every document."""
-    return Schedule(spark.read.parquet(f"{sf_dir}/documents.parquet")).positions()
+    return Schedule(K.read(spark, sf_dir, "documents")).positions()
 
 
 QUERIES = {"op8_source_mixing": op8_source_mixing}

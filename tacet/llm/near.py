@@ -394,7 +394,7 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE) ->
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=CONTRACT_PERCENT)
+    return near_duplicates(K.read(spark, sf_dir, "documents"), percent=CONTRACT_PERCENT)
 
 
 QUERIES = {"op4_near_dedup": op4_near_dedup}

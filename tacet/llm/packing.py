@@ -320,7 +320,7 @@ def tokenizer_path() -> str:
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequences."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+    return pack(K.read(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES = {"op5_packing": op5_packing}

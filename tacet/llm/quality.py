@@ -198,7 +198,7 @@ def filter_documents(docs: DataFrame) -> DataFrame:
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of every document."""
-    out = quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = quality(K.read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 

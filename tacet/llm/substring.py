@@ -189,7 +189,7 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, *, texts: bool = True, chun
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = K.read(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs, texts=False).select(F.col("doc.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

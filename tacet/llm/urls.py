@@ -141,7 +141,7 @@ def judge_urls(pages: DataFrame, rules=RULES, *, levels: int | None = None, puri
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page's url."""
-    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return judge_urls(K.read(spark, sf_dir, "pages"))
 
 
 QUERIES = {"op1_url_filters": op1_url_filters}
