@@ -89,7 +89,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = kernel.read(spark, sf_dir, "documents")
     read: list[str] = []
     for _, stage in STAGES[:-1]:
         docs = kernel.keep(stage(spark, docs, sf_dir))
