@@ -12,6 +12,7 @@ from tacet.functions.text import let
 NAMED = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "rsquo": "\u2019", "lsquo": "\u2018", "ldquo": '"', "rdquo": '"', "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026"}
 #: Milliseconds of the units of relative dates; a month is 30 days and a year 365.
 UNITS = {"second": 1000, "sec": 1000, "minute": 60_000, "min": 60_000, "hour": C.HOUR_MS, "hr": C.HOUR_MS, "day": 24 * C.HOUR_MS, "week": 168 * C.HOUR_MS, "month": 720 * C.HOUR_MS, "year": 8760 * C.HOUR_MS}
+#: Fixed values, here and in the functions below: the patterns that find titles, bodies, links and dates in a page.
 BLANK = r"[\s\u00a0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+"
 
 

@@ -14,7 +14,8 @@ def components(edges: DataFrame, most: int = 40) -> DataFrame:
     """(v, c): the least vertex c reachable from each vertex v of edges (a, b).
 
     Large-star and small-star steps alternate; each keeps the number of edges linear, hubs are only
-    aggregated by a minimum or joined, and a logarithmic number of rounds suffices.
+    aggregated by a minimum or joined, and a logarithmic number of rounds suffices. After ``most``
+    rounds without an end (which a graph of any real size does not take) it raises an error.
     """
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None

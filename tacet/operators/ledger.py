@@ -338,6 +338,16 @@ def relative_text(then_ms: Column, now_ms: Column) -> Column:
     return F.when(s < 0, "just now").when(s < 45, unit(s, "s ago")).when(m < 60, unit(m, " min ago")).when(s < 48 * 3600, unit(F.floor(s / 3600), "h ago")).otherwise(unit(F.floor(s / 86400), "d ago"))
 
 
+def state_rows(ranked: DataFrame, decided: DataFrame, incidents: DataFrame, sources: DataFrame) -> DataFrame:
+    """(part, id, json): the whole state for an API, a row per entity, ledger item, incident and source."""
+    parts = [("entities", ranked, "id"), ("ledger", decided, "item"), ("incidents", incidents, "seq"), ("sources", sources, "name")]
+    out = None
+    for name, x, key in parts:
+        one = x.select(F.lit(name).alias("part"), F.col(key).cast("string").alias("id"), F.to_json(F.struct(*x.columns)).alias("json"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def state_json(ranked: DataFrame) -> DataFrame:
     """One JSON text per entity, for an API."""
     return ranked.select("id", F.to_json(F.struct(*ranked.columns)).alias("json"))

@@ -190,6 +190,13 @@ def decoded_entities(spark, d):
     return e.select("event_id", web.decode_entities(text).alias("decoded"))
 
 
+def api_state(spark, d):
+    incidents = V.events(spark, d).where("event_type = 'error'").select(F.col("event_id").alias("seq"), F.col("t").alias("at"), F.lit("degraded-source").alias("kind"))
+    x = ledger.state_rows(V.entities(spark, d), Q._decisions(spark, d)[0], incidents, S.health(Q._log(spark, d)))
+    label = F.coalesce(F.get_json_object("json", "$.name"), F.get_json_object("json", "$.status"), F.get_json_object("json", "$.kind"))
+    return x.select("part", "id", label.alias("label"))
+
+
 _MS = "(epoch_us(ts) // 1000)"
 _CL = f"{V.SQL_REPORTS}, {V.SQL_CLUSTERS}, owner AS (SELECT unnest(report_ids) AS id, cluster_id FROM clusters)"
 _STATE = f"{Q._DECIDE}, facts AS (SELECT user_id % 400 AS item, min({_MS}) AS created, min(user_id) AS entity FROM events GROUP BY 1), state AS (SELECT facts.*, 'Item ' || item AS title, coalesce(verdict, 'pending') AS status, name AS approved_by, seq AS decided_seq FROM facts LEFT JOIN won USING (item))"
@@ -197,6 +204,8 @@ _STAGE = "['ingest', 'triage', 'dedup', 'rank'][event_id % 5 + 1]"
 _UP3 = lambda x: f"floor(({x}) * 1e3 + 0.5) / 1e3"
 _WHEN = "strftime(ts, '%Y-%m-%dT%H:%M:%SZ')"
 SQL = {
+    "api_state": f"""WITH {V.sql_entities()}, {Q._DECIDE}, log AS (SELECT DISTINCT 'src' || user_id % 20 AS name FROM events)
+SELECT 'entities' AS part, CAST(id AS VARCHAR) AS id, name AS label FROM entities UNION ALL SELECT 'ledger', CAST(item AS VARCHAR), coalesce(verdict, 'pending') FROM items LEFT JOIN won USING (item) UNION ALL SELECT 'incidents', CAST(event_id AS VARCHAR), 'degraded-source' FROM events WHERE event_type = 'error' UNION ALL SELECT 'sources', name, name FROM log""",
     "clustered_events": f"WITH {_CL} SELECT entity, min(t) AS t FROM reports JOIN owner USING (id) WHERE entity IS NOT NULL GROUP BY entity, cluster_id",
     "corroboration": f"""WITH {_CL}, {V.sql_entities()}, own AS (SELECT c.cluster_id, coalesce(any_value(c.entity), arg_min(r.entity, r.id)) AS entity FROM clusters c JOIN owner o ON o.cluster_id = c.cluster_id JOIN reports r ON r.id = o.id GROUP BY 1),
 a AS (SELECT entity, count(*) AS n FROM own GROUP BY 1), b AS (SELECT entity, count(*) AS n FROM reports GROUP BY 1) SELECT e.id AS entity, coalesce(a.n, b.n, 0) AS corroboration_count FROM entities e LEFT JOIN a ON a.entity = e.id LEFT JOIN b ON b.entity = e.id""",
@@ -233,4 +242,4 @@ SELECT id, {_UP3("(800 - w * s) / 2 + (lon - west) * k * s")} AS x, {_UP3("(600
     "published_dates": f"SELECT event_id, CASE WHEN event_id % 5 < 4 THEN {_MS} // 1000 * 1000 END AS at FROM events",
     "decoded_entities": "SELECT event_id, chr(CAST(65 + event_id % 26 AS INT)) || chr(CAST(8364 + event_id % 5 AS INT)) || '<& &copy;' AS decoded FROM events",
 }
-QUERIES = {f.__name__: f for f in (clustered_events, corroboration, entity_overview, failed_stages, new_escalations, new_ambiguous, named_entities, pair_titles, pending_items, decided_recently, items_by_status, pending_entities, heal_incidents, reports_of_sources, registered_sources, source_failure, self_heals, cold_start_shown, map_positions, map_labels, link_relevance, page_links_18, serp_reports, normalized_reports, loose_dates, published_dates, decoded_entities)}
+QUERIES = {f.__name__: f for f in (api_state, clustered_events, corroboration, entity_overview, failed_stages, new_escalations, new_ambiguous, named_entities, pair_titles, pending_items, decided_recently, items_by_status, pending_entities, heal_incidents, reports_of_sources, registered_sources, source_failure, self_heals, cold_start_shown, map_positions, map_labels, link_relevance, page_links_18, serp_reports, normalized_reports, loose_dates, published_dates, decoded_entities)}
