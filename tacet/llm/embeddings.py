@@ -141,17 +141,6 @@ def passing(place, count, side, same: bool, least: int):
 TASK = ["group", "cell", "stretch", "i", "j"]
 
 
-def _tasks(table: pa.Table):
-    """The tasks of a bin: (table in order, where each begins and ends)."""
-    table = table.sort_by([(c, "ascending") for c in [*TASK, "side", "v"]])
-    keys = [table.column(c).to_numpy() for c in TASK]
-    new = np.zeros(max(0, table.num_rows - 1), bool)
-    for k in keys:
-        new |= k[1:] != k[:-1]
-    cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
-    return table, [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
-
-
 def _lines(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("lines").to_pylist()), np.int8).reshape(-1, LINES)
 
@@ -160,7 +149,7 @@ def _scan(least: int):
     """Counting: the members of each task that have a pair which passes."""
 
     def scan(table: pa.Table) -> pa.Table:
-        table, tasks = _tasks(table)
+        table, tasks = K.in_order(table, TASK, ["side", "v"])
         place, side, i, j, count = table.column("place").to_numpy(), table.column("side").to_numpy(), table.column("i").to_numpy(), table.column("j").to_numpy(), _lines(table)
         keep = []
         for a, b in tasks:
@@ -177,7 +166,7 @@ def _verify(least: int, cosine: float):
     """Verification of the pairs that pass: link counts (kind 0) and spanning links (kind 1)."""
 
     def verify(table: pa.Table) -> pa.Table:
-        table, tasks = _tasks(table)
+        table, tasks = K.in_order(table, TASK, ["side", "v"])
         g, bi, bj, side, v, copies = (table.column(c).to_numpy() for c in ("group", "i", "j", "side", "v", "copies"))
         place, count = table.column("place").to_numpy(), _lines(table)
         cells, places, vectors = (table.column(c).combine_chunks() for c in ("cells", "places", "embedding"))
@@ -237,12 +226,7 @@ def _dealt(spots: DataFrame) -> DataFrame:
     both = spots.select("v", "group", "cell", "place", F.explode(F.array(F.struct(home.alias("stretch"), F.lit(0).alias("side")), F.struct((home - 1).alias("stretch"), F.lit(2).alias("side")))).alias("r")).select("v", "group", "cell", "place", "r.*")
     crowds = both.groupBy("group", "cell", "stretch").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("side") == 0).alias("own")).where("n > 1 and own > 0").select("group", "cell", "stretch", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     x = both.join(crowds, ["group", "cell", "stretch"]).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
-    task = lambda i, j, side: F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
-    lefts = F.transform(every, lambda j: task(F.col("block"), j, 0))
-    later = F.transform(F.filter(every, lambda i: i < F.col("block")), lambda i: task(i, F.col("block"), 1))
-    nexts = F.transform(every, lambda i: task(i, F.col("block"), 2))
-    return x.select("v", "group", "cell", "stretch", "place", F.explode(F.when(F.col("side") == 0, F.concat(lefts, later)).otherwise(nexts)).alias("t")).select("v", "group", "cell", "stretch", "place", "t.*")
+    return K.block_tasks(x.withColumn("left", F.col("side") == 0).drop("side"), ["v", "group", "cell", "stretch", "place"])
 
 
 def near_embeddings(table: DataFrame, *, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:

@@ -223,6 +223,34 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, share: int =
     return near.unionByName(far).drop("_key", count)
 
 
+def block_tasks(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of tasks: ``columns``, i, j, side, of rows that have also left, block and blocks.
+
+    Rows of a group are compared left with left (each pair once) and left with others. Task (i, j) holds
+    the left rows of block i (side 0), and of block j the left rows if j > i (side 1) and the others (side 2).
+    """
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)
+
+    def task(i, j, side):
+        return F.struct(i.alias("i"), j.alias("j"), F.lit(side).alias("side"))
+
+    lefts = F.transform(every, lambda j: task(F.col("block"), j, 0))
+    later = F.transform(F.filter(every, lambda i: i < F.col("block")), lambda i: task(i, F.col("block"), 1))
+    others = F.transform(every, lambda i: task(i, F.col("block"), 2))
+    return rows.select(*columns, F.explode(F.when(F.col("left"), F.concat(lefts, later)).otherwise(others)).alias("t")).select(*columns, "t.*")
+
+
+def in_order(table: pa.Table, keys: list[str], then: list[str]):
+    """The tasks of a bin: (table in order, where each task of two rows or more begins and ends)."""
+    table = table.sort_by([(c, "ascending") for c in [*keys, *then]])
+    new = np.zeros(max(0, table.num_rows - 1), bool)
+    for c in keys:
+        k = table.column(c).to_numpy()
+        new |= k[1:] != k[:-1]
+    cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [table.num_rows]])
+    return table, [(a, b) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if b - a > 1]
+
+
 def text_bytes(docs: DataFrame) -> tuple[int, int]:
     """Rows and bytes of text of a table."""
     row = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).first()

@@ -8,8 +8,9 @@ whatever the estimate cannot rule out is verified on the full sets.
 
 Documents with equal sets form one class and only classes are compared. Classes that share a band
 gather in families. A small family is solved in one task. In a large one every member is first
-verified against the family's most connected member, block by block; only members that this leaves
-unlinked are then compared with the blocks of the family. Tasks return spanning links, never all
+verified against the family's most connected member, block by block. Members that this leaves
+unlinked are then compared within the buckets that they are in, block by block: first by registers,
+then, where a pair cannot be ruled out, by full sets. Tasks return spanning links, never all
 pairs, and no link between different components is lost.
 """
 
@@ -34,8 +35,8 @@ MISSED = 1e-6
 BLOCK = 256
 BLOCK_SHINGLES = 1 << 20
 SIGMAS = 5
-#: Most partitions for comparisons inside large families (a number of tasks, not a limit on work).
-WIDEST = 20_000
+#: Rows of a block of a crowded bucket, and of a bin of tasks: with registers, and with full sets.
+BUCKET_BLOCK, BIN_ROWS, BIN_SETS = 1024, 4096, 512
 
 
 def tiny(percent: int) -> int:
@@ -147,14 +148,12 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def spanning(sets: list, left: np.ndarray, right: np.ndarray, joined: np.ndarray, percent: int):
-    """Links that connect what the pairs left x right connect; joined members are one component from the start."""
-    n = len(sets)
+def spanning(sets: list, percent: int):
+    """Links that connect what the pairs of these sets connect."""
+    n, t = len(sets), percent / 100
     regs = np.array([registers(u) for u in sets]).reshape(n, REGISTERS)
     sizes = np.array([len(u) for u in sets])
     root = np.arange(n)
-    if len(joined):
-        root[joined] = joined[0]
 
     def find(x):
         while root[x] != x:
@@ -163,16 +162,11 @@ def spanning(sets: list, left: np.ndarray, right: np.ndarray, joined: np.ndarray
         return x
 
     pairs: list = []
-    inside, both = np.zeros(n, bool), np.zeros(n, bool)
-    inside[left] = True
-    both[np.intersect1d(left, right)] = True
-    for i in left:
-        # two members of both sides meet twice, so once is enough; a left-only one meets every right one only here
-        other = right[(right > i) | ~inside[right]] if both[i] else right
-        other = other[(100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i]))]
+    for i in range(n - 1):
+        other = np.arange(i + 1, n)
+        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
         if len(other):
             j, used = estimates(regs[i], sizes[i], regs[other], sizes[other])
-            t = percent / 100
             ok = j >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
             pairs.append(np.stack([np.full(ok.sum(), i, np.float64), other[ok], j[ok]]))
     out = []
@@ -266,8 +260,7 @@ def _small(percent: int):
         v, fam, sets, out = _ids(table, "v"), _ids(table, "family"), _sets(table), []
         cuts = np.flatnonzero(np.diff(fam)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(fam)], strict=True):
-            every = np.arange(b - a)
-            out += [(a + x, a + y) for x, y in spanning(sets[a:b], every, every, every[:0], percent)]
+            out += [(a + x, a + y) for x, y in spanning(sets[a:b], percent)]
         return _edges(v, out)
 
     return solve
@@ -282,41 +275,106 @@ def _star(percent: int):
     return star
 
 
-def _pairs(percent: int):
-    def pairs(table: pa.Table) -> pa.Table:
-        v, kind, sets = _ids(table, "v"), _ids(table, "kind"), _sets(table)
-        right = np.flatnonzero(kind > 0)
-        own = set(v[right].tolist())
-        left = np.flatnonzero(kind == 0)
-        twice = np.array([i for i in left if v[i] in own], np.int64)  # also in the block itself
-        if len(twice):
-            spot = {int(x): i for i, x in zip(right, v[right], strict=True)}
-            left = np.array(sorted({*left.tolist()} - {*twice.tolist()} | {spot[int(v[i])] for i in twice}), np.int64)
-        return _edges(v, spanning(sets, left, right, np.flatnonzero(kind == 2), percent))
+TASK = ["key", "i", "j"]
 
-    return pairs
 
+def candidates(regs: np.ndarray, sizes: np.ndarray, side: np.ndarray, same: bool, key: int, percent: int):
+    """Pairs of a task that the estimate cannot rule out (i, j, estimate), of left rows (side 0) with others, and with each other if same.
 
-def _links(sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    edges, shape = [], "a bigint, b bigint"
+    A pair that shares several bands is taken in the first of them alone.
+    """
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side > 0)
+    t, found = percent / 100, []
+    for n, i in enumerate(left):
+        other = np.concatenate([right, left[n + 1 :]]) if same else right
+        other = other[100 * np.minimum(sizes[other], sizes[i]) >= percent * np.maximum(sizes[other], sizes[i])]
+        if len(other):
+            j, used = estimates(regs[i], sizes[i], regs[other], sizes[other])
+            ok = j >= t - SIGMAS * np.sqrt(t * (1 - t) / np.maximum(used, 1))
+            found.append(np.stack([np.full(ok.sum(), i, np.float64), other[ok], j[ok]]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    i, j, estimate = np.concatenate(found, 1)
+    i, j = i.astype(np.int64), j.astype(np.int64)
+    bands = band_keys(regs, rows_per_band(percent))[1].reshape(len(regs), -1)
+    first = bands[i, (bands[i] == bands[j]).argmax(1)] == np.array(key, np.int64).astype(np.uint64)
+    return i[first], j[first], estimate[first]
+
+
+def _scan(percent: int):
+    """The members of each task that have a pair to verify, by their registers alone."""
+
+    def scan(table: pa.Table) -> pa.Table:
+        table, tasks = K.in_order(table, TASK, ["side", "v"])
+        side, key, bi, bj, sizes = (table.column(c).to_numpy() for c in ("side", "key", "i", "j", "n"))
+        regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        keep = []
+        for a, b in tasks:
+            i, j, _ = candidates(regs[a:b], sizes[a:b], side[a:b], bi[a] == bj[a], key[a], percent)
+            if len(i):
+                keep.append(a + np.unique(np.concatenate([i, j])))
+        K.trim()
+        return table.select([*TASK, "side", "v"]).take(pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64)))
+
+    return scan
+
+
+def _verify(percent: int):
+    """Spanning links of the pairs of a bin's tasks, on full sets; rows of one group are one component from the start."""
+
+    def verify(table: pa.Table) -> pa.Table:
+        table, tasks = K.in_order(table, TASK, ["side", "v"])
+        side, key, bi, bj, v, group = (table.column(c).to_numpy() for c in ("side", "key", "i", "j", "v", "grp"))
+        out = []
+        for a, b in tasks:
+            sets = _sets(table.slice(a, b - a))
+            regs, sizes = np.array([registers(u) for u in sets]).reshape(b - a, REGISTERS), np.array([len(u) for u in sets])
+            i, j, estimate = candidates(regs, sizes, side[a:b], bi[a] == bj[a], key[a], percent)
+            root: dict = {}
+
+            def find(x, root=root):
+                while root.setdefault(x, x) != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for k in np.argsort(-estimate, kind="stable").tolist():
+                x, y = int(i[k]), int(j[k])
+                p, q = find(int(group[a + x])), find(int(group[a + y]))
+                if p != q and linked(sets[x], sets[y], percent):
+                    root[p] = q
+                    out.append((a + x, a + y))
+        return _edges(v, out)
+
+    return verify
+
+
+def _links(sets: DataFrame, sizes: DataFrame, hits: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect what is linked. hits: (key, v) of buckets; reps: v, regs, n."""
+    edges, shape, spark = [], "a bigint, b bigint", sets.sparkSession
     total = sizes.agg(F.sum(F.when(F.col("blocks") == 1, F.col("shingles"))).alias("small"), F.max("blocks").alias("most")).first()
     if total["small"]:
         bins = max(48, math.ceil(total["small"] / BLOCK_SHINGLES))
-        edges.append(sets.where("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins))).repartition(K.parts(sets.sparkSession, bins), "bin").groupBy("bin").applyInArrow(_small(percent), shape))
+        edges.append(sets.where("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("family"), F.lit(bins))).repartition(K.parts(spark, bins), "bin").groupBy("bin").applyInArrow(_small(percent), shape))
     if (total["most"] or 0) > 1:
         big = sets.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
         with_hub = big.where("v <> hub").unionByName(big.where("v = hub").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))))
         star = K.keep(with_hub.groupBy("family", "block").applyInArrow(_star(percent), shape))
         edges.append(star)
-        done = star.select(F.col("a").alias("v")).distinct()
-        left = K.keep(big.where("v <> hub").join(done, "v", "left_anti"))
-        rest = left.groupBy("family").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("shingles").cast("long") / 8) / BLOCK_SHINGLES)).alias("lefts"))
-        one = left.join(rest, "family").select("family", F.pmod(F.xxhash64("v", F.lit(1)), F.col("lefts")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"), "v", F.lit(0).alias("kind"), "shingles")
-        held = done.withColumn("yes", F.lit(True))
-        two = big.join(rest, "family").join(held, "v", "left").select("family", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lefts") - 1)).alias("i"), F.col("block").alias("j"), "v", F.when(F.col("yes") | (F.col("v") == F.col("hub")), 2).otherwise(1).alias("kind"), "shingles")
-        tasks = rest.join(sizes, "family").agg(F.sum(F.col("lefts") * F.col("blocks")).alias("n")).first()["n"] or 0
-        width = K.parts(sets.sparkSession, min(WIDEST, math.ceil(tasks / 4)))
-        edges.append(one.unionByName(two).repartition(width, "family", "i", "j").groupBy("family", "i", "j").applyInArrow(_pairs(percent), shape))
+        held = star.select(F.col("a").alias("v")).distinct().withColumn("held", F.lit(True))
+        state = K.keep(big.select("v", "hub").join(held, "v", "left").select("v", (F.col("held").isNull() & (F.col("v") != F.col("hub"))).alias("left"), F.when(F.col("held") | (F.col("v") == F.col("hub")), F.col("hub")).otherwise(F.col("v")).alias("grp")))
+        marked = hits.select("key", "v").join(state.select("v", "left"), "v")
+        active = K.keep(marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if("left").alias("lefts")).where("lefts > 0 and n > 1").select("key", "n", F.ceil(F.col("n") / BUCKET_BLOCK).alias("blocks")))
+        met = K.lookup(marked, active, "key", "n").where("blocks is not null").withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")))
+        tasks = K.keep(K.block_tasks(met, ["key", "v"]))
+        bins = K.parts(spark, math.ceil(tasks.count() / BIN_ROWS))
+        of = F.pmod(F.xxhash64(*TASK), F.lit(bins))
+        asked = tasks.join(reps, "v").withColumn("bin", of).repartition(bins, "bin")
+        passed = K.keep(asked.groupBy("bin").applyInArrow(_scan(percent), "key bigint, i bigint, j bigint, side int, v bigint"))
+        bins = K.parts(spark, math.ceil(passed.count() / BIN_SETS))
+        of = F.pmod(F.xxhash64(*TASK), F.lit(bins))
+        full = passed.join(big.select("v", "shingles"), "v").join(state.select("v", "grp"), "v").withColumn("bin", of).repartition(bins, "bin")
+        edges.append(full.groupBy("bin").applyInArrow(_verify(percent), shape))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
@@ -331,9 +389,10 @@ def grouped(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     large = sig.where(F.col("n_shingles") > tiny(percent))
     reps = large.join(classes.withColumnRenamed("least", "doc_id").select("v", "doc_id"), ["v", "doc_id"]).dropDuplicates(["v"]).select("v", "regs")
     nameless = large.where("doc_id is null").join(classes.where("least is null").select("v"), "v", "left_semi").dropDuplicates(["v"]).select("v", "regs")
-    bands = reps.unionByName(nameless).select("v", "regs").mapInArrow(_bands(rows_per_band(percent)), "key bigint, v bigint")
+    reps = K.keep(reps.unionByName(nameless).join(classes.select("v", "n"), "v"))
+    bands = reps.select("v", "regs").mapInArrow(_bands(rows_per_band(percent)), "key bigint, v bigint")
     buckets = bands.groupBy("key").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    hits = K.keep(bands.join(buckets, "key").select("v", "low", "n"))
+    hits = K.keep(bands.join(buckets, "key").select("key", "v", "low", "n"))
     families = K.components(hits.select(F.col("v").alias("a"), F.col("low").alias("b")))
     degree = hits.groupBy("v").agg(F.sum("n").alias("degree"))
     member = K.keep(families.select("v", F.col("c").alias("family")).join(degree, "v").join(classes, "v"))
@@ -348,7 +407,7 @@ def grouped(docs: DataFrame, percent: int, k: int = SHINGLE) -> DataFrame:
     sets = K.keep(sets.dropDuplicates(["v"]))
     label = classes.select("v", F.col("v").alias("component"), "least", "copies")
     if sizes.limit(1).count():
-        root = K.components(_links(sets, sizes, percent)).join(classes.select("v", "least"), "v")
+        root = K.components(_links(sets, sizes, hits, reps, percent)).join(classes.select("v", "least"), "v")
         lows = root.groupBy("c").agg(F.min("least").alias("low"))
         merged = root.join(lows, "c").select("v", "c", "low")
         label = label.join(merged, "v", "left").select("v", F.coalesce("c", "v").alias("component"), F.coalesce("low", "least").alias("least"), "copies")

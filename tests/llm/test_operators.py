@@ -140,17 +140,51 @@ def test_lone_star_and_pairs(spark):
     assert set(got.values()) == {0}
 
 
-@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0), (1, 2, 0)])
-def test_pairs_compare_a_left_row_with_every_right_row(order):
-    """A left-only row meets the block's own left rows wherever the rows of the group lie."""
-    import pyarrow as pa
-
-    a = np.unique(np.random.default_rng(6).integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2))
-    rows = [(1, 0, a[:380]), (2, 0, a[20:]), (2, 1, a[20:])]  # v, kind, set: 2 is left and also in the block
-    rows = [rows[k] for k in order]
-    table = pa.table({"v": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "shingles": pa.array([r[2].tobytes() for r in rows], pa.binary())})
-    got = near._pairs(85)(table).to_pylist()
-    assert [{r["a"], r["b"]} for r in got] == [{1, 2}]
+def test_bucket_tasks_find_every_linked_pair_once():
+    """Left rows meet each other and all others of the bucket, in the first band that a pair shares."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 400).astype(np.uint64) * np.uint64(2)
+    sets = [np.unique(np.concatenate([base[k * 6 :], rng.integers(0, 2**63, k * 6).astype(np.uint64)])) for k in range(9)]
+    regs, sizes = np.array([near.registers(u) for u in sets]), np.array([len(u) for u in sets])
+    bands = near.band_keys(regs, near.rows_per_band(85))[1].reshape(len(sets), -1)
+    side = np.array([0, 0, 0, 0, 2, 2, 2, 2, 2])
+    found = collections.Counter()
+    for key in set(bands.reshape(-1).tolist()):
+        at = np.flatnonzero((bands == np.uint64(key)).any(1))
+        i, j, _ = near.candidates(regs[at], sizes[at], side[at], True, np.array(key, np.uint64).astype(np.int64), 85)
+        found.update(tuple(sorted((int(at[x]), int(at[y])))) for x, y in zip(i, j, strict=True))
+    want = {(x, y) for x in range(9) for y in range(x + 1, 9) if x < 4 and near.linked(sets[x], sets[y], 85)}
+    assert len(want) > 8 and want <= set(found) and set(found.values()) == {1}
+
+
+def test_crowded_families(spark, monkeypatch):
+    """Several clusters that boilerplate glues into one family, in blocks of a few rows, against brute force."""
+    monkeypatch.setattr(near, "BLOCK", 4)
+    monkeypatch.setattr(near, "BUCKET_BLOCK", 3)
+    rng = np.random.default_rng(12)
+    glue = _passage(800, 400).split()
+    rows = []
+    for c in range(6):
+        own = _passage(810 + c, 90).split()
+        for k in range(7):
+            w = glue[: 330 + 10 * (c % 3)] + own
+            for at in rng.integers(0, len(w), 2):
+                w[int(at)] = f"x{c}{k}"
+            rows.append((c * 10 + k, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    want = {}
+    for i in sorted(sets):
+        todo, seen = [i], {i}
+        while todo:
+            x = todo.pop()
+            for y in sets:
+                if y not in seen and 100 * len(sets[x] & sets[y]) >= 85 * len(sets[x] | sets[y]):
+                    seen.add(y)
+                    todo.append(y)
+        want[i] = min(seen)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in near.near_duplicates(df, percent=85).collect()} == want
+    assert 1 < len(set(want.values())) < 42
 
 
 def test_near_limits_follow_the_percentage(spark):
