@@ -37,15 +37,6 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def trigrams(norm: Column) -> Column:
-    """Character trigrams with two blanks put at either end; none of an empty text."""
-
-    def cut(p: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))
-
-    return let(F.concat(F.lit("  "), norm, F.lit("  ")), lambda p: F.when(F.length(p) > 4, cut(p)).otherwise(F.array().cast("array<string>")))
-
-
 #: Trigrams of normalised text are numbers: three of 37 symbols (blank, a-z, 0-9).
 SYMBOLS = 37
 GRAMS = SYMBOLS**3

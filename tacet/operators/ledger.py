@@ -346,10 +346,3 @@ def state_rows(ranked: DataFrame, decided: DataFrame, incidents: DataFrame, sour
         one = x.select(F.lit(name).alias("part"), F.col(key).cast("string").alias("id"), F.to_json(F.struct(*x.columns)).alias("json"))
         out = one if out is None else out.unionByName(one)
     return out
-
-
-def state_json(ranked: DataFrame) -> DataFrame:
-    """One JSON text per entity, for an API."""
-    return ranked.select("id", F.to_json(F.struct(*ranked.columns)).alias("json"))
-
-

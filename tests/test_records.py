@@ -127,6 +127,17 @@ def test_nested_keys(spark):
     assert [r[0] for r in df.orderBy("k").select(ledger.carries_forbidden(F.col("e"))).collect()] == [False, True, False, False, False, True]
 
 
+def test_entity_detail(spark):
+    ranked = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id bigint, name string")
+    reports = spark.createDataFrame([(10, 1), (11, 2), (12, 1)], "id bigint, entity bigint")
+    clusters = spark.createDataFrame([("c1", None, [10, 11]), ("c2", 1, [12]), ("c3", 2, [11])], "cluster_id string, entity bigint, report_ids array<bigint>")
+    edges = spark.createDataFrame([(1, 2), (2, 3)], "src bigint, dst bigint")
+    items = spark.createDataFrame([("i", 1), ("j", 2)], "item string, entity bigint")
+    got = {k: sorted(r[0] for r in v.collect()) for k, v in ledger.entity_detail(1, ranked, reports, clusters, edges, items).items()}
+    assert got == {"row": [1], "reports": [10, 12], "clusters": ["c1", "c2"], "neighbours": [2], "ledger": ["i"]}
+    assert ledger.entity_detail(9, ranked, reports, clusters, edges, items)["row"].count() == 0
+
+
 def test_incidents_are_numbered_on(spark, tmp_path):
     path = str(tmp_path / "log")
     for base in (0, 10):
