@@ -49,11 +49,12 @@ def test_bridges_and_refinement():
     assert graph.refine([0, 1, 2], [(0, 1, 0.9), (1, 2, 0.61)]) == [[0, 1, 2]]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_components(spark, few):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 300), (300, 250)]
-    got = {r.v: r.c for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    got = {r.v: r.c for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint"), few=few).collect()}
     assert {got[i] for i in range(41)} == {0} and got[101] == 100 and got[300] == got[250] == 200
-    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint"), few=few).count() == 0
 
 
 def test_text(spark):
