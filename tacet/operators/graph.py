@@ -12,8 +12,8 @@ from tacet import config as C
 from tacet.sources.shared import keep
 
 
-#: Edges of a graph that one task joins up at once (counted first; some megabytes).
-FEW_EDGES = 100_000
+#: Edges of a graph that one task joins up at once (counted first; under a megabyte).
+FEW_EDGES = 20_000
 
 
 def _joined(table: pa.Table) -> pa.Table:
