@@ -172,7 +172,9 @@ def remove_repeats(docs: DataFrame, k: int = WINDOW, *, texts: bool = True, chun
     they never remove from each other, and are spread over the chunks like any other. Null ids count
     as larger than any; null and empty texts have no words and stay as they are (text then is empty).
     Other columns pass through in doc. In ``text`` a removed word takes along the white space before
-    it. One text is handled whole: a worker needs some 40 bytes per byte of the longest text.
+    it. One text is handled whole: a worker needs some 40 bytes per byte of the longest text. Windows are
+    equal if their 64-bit hashes and, by another hash, their ranges are: among 10**12 windows in 10**6
+    ranges some two differ and still count as equal with a probability of 3 %.
     """
     spark = docs.sparkSession
     rows, size = K.text_bytes(docs)
