@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("substring", "near", "lm", "packing", "quality", "classifier", "licences", "urls", "embeddings", "mixing")
+MODULES = ("substring", "near", "lm", "packing", "quality", "classifier", "licences", "urls", "embeddings", "mixing", "infill", "runs", "exact")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:
