@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 
 from tacet.llm import kernel as K
 
-BUCKET_BYTES = 64 << 20
-#: The directory has at most 2 ** MOST_BITS cells: that many small rows go to the driver and to every task.
-MOST_BITS = 17
+BUCKET_BYTES = 16 << 20
+#: The directory has at most 2 ** MOST_BITS cells: that many rows of some 16 bytes go to the driver and to every task.
+#: A corpus of more than BUCKET_BYTES * 2 ** (MOST_BITS - 1) bytes gets larger buckets; owners stream through them.
+MOST_BITS = 20
 ENTRY_BYTES = 64  # an entry's own bytes, beside those of its text
 NO_ID = np.iinfo(np.int64).min
 ENTRY = "chunk bigint, entry int, key bigint, n bigint, top bigint, text binary"
@@ -205,7 +206,7 @@ def _settle(batches):
 
 def _own(entries: DataFrame, owners: int) -> DataFrame:
     """Entries with bucket, page, pages and owner, settled by the owners' tasks."""
-    x = entries.repartition(K.parts(entries.sparkSession, owners), "owner").sortWithinPartitions("bucket", "page", "key")
+    x = entries.repartitionById(owners, F.pmod("owner", F.lit(owners)).cast("int")).sortWithinPartitions("bucket", "page", "key")
     return x.select("bucket", "page", "key", "pages", "chunk", "entry", "n", "top", "win", "text").mapInArrow(K.tidy(_settle), MEMBER)
 
 
