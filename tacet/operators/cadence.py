@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tacet import config as C
 from tacet.functions import maths as M
+from tacet.sources.shared import keep
 
 
 def last_seen(entities: DataFrame, reports: DataFrame) -> DataFrame:
@@ -34,46 +39,191 @@ def cohort_priors(entities: DataFrame) -> DataFrame:
     return x.withColumn("prior", M.prior_rate(F.col("geo_pop"), F.col("tier"))).drop("tier")
 
 
-def _greedy(gap: int):
-    """Keeps of rows in order of entity and time those at least ``gap`` after the last kept one; only that one is carried along."""
+def _runs(e: np.ndarray) -> list[int]:
+    """Where a new entity begins, and the end."""
+    return [0, *(np.flatnonzero(e[1:] != e[:-1]) + 1).tolist(), len(e)]
+
+
+class _Orbits:
+    """What a piece of one entity's events makes of the last event kept before it, whichever that was.
+
+    Only events within ``gap`` of the piece's first can be the first one kept. From each of them the kept ones
+    follow; those that meet go on as one, so every event is passed once. ``table`` gives, for first kept ones up to a
+    time, the last one kept.
+    """
+
+    def __init__(self, gap: int):
+        self.gap, self.limit = gap, None
+        self.entry = np.zeros(0, np.int64)  # times that may be the first kept one
+        self.way = np.zeros(0, np.int64)  # the orbit of each
+        self.last = np.zeros(0, np.int64)  # the last kept time of each orbit
+
+    def add(self, t: np.ndarray, follow: np.ndarray) -> None:
+        """Times in order, and for each the number of the next kept one of ``t`` if it is kept (or their number)."""
+        if self.limit is None:
+            self.limit, self.closed = int(t[0]) + self.gap, False
+        start = np.searchsorted(t, self.last + self.gap)
+        if not self.closed:
+            stop = int(np.searchsorted(t, self.limit))
+            new = np.unique(t[: stop + 1])  # up to the first one that nothing before the piece can hold back
+            new = new[~np.isin(new, self.entry[-1:])]
+            self.closed = stop < len(t)
+            self.way = np.concatenate([self.way, len(self.last) + np.arange(len(new))])
+            self.entry, self.last = np.concatenate([self.entry, new]), np.concatenate([self.last, new])
+            start = np.concatenate([start, np.searchsorted(t, new)])
+        seen, follow, last = {}, follow.tolist(), self.last.tolist()
+        for o, i in enumerate(start.tolist()):
+            at = None
+            while i < len(follow) and i not in seen:
+                seen[i], at, i = o, i, follow[i]
+            if i < len(follow):
+                last[o] = last[seen[i]]  # from here on it is the earlier one's way
+            elif at is not None:
+                last[o] = int(t[at])
+        self.last, back = np.unique(np.array(last, np.int64), return_inverse=True)
+        self.way = back[self.way]
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """(up to, last): for a first kept time of at most ``up to`` (and over the one before) the last kept time."""
+        last = self.last[self.way]
+        ends = np.flatnonzero(np.append(last[1:] != last[:-1], True)) if len(last) else np.zeros(0, np.int64)
+        return self.entry[ends], last[ends]
+
+
+def _kept(t: np.ndarray, follow: list[int], last: int | None, gap: int) -> list[int]:
+    """Numbers of the kept ones among the times of one entity, after the last kept one before them."""
+    i, out = 0 if last is None else int(np.searchsorted(t, last + gap)), []
+    while i < len(follow):
+        out.append(i)
+        i = follow[i]
+    return out
+
+
+def _block(gap: int, fields: list[str]):
+    """Of a block of (entity, t) in order: kept events of entities that begin in it; open events of its first one, and what they make of an earlier kept one."""
+
+    def work(batches):
+        block = TaskContext.get().partitionId()
+        head = orbits = entity = last = None
+
+        def rows(kind, e, t, other):
+            n = len(t)
+            return pa.RecordBatch.from_arrays([pa.array([kind] * n), pa.array([block] * n, pa.int32()), e, pa.array(t, pa.int64()), pa.array(other, pa.int64())], names=fields)
 
-    def keep(batches):
-        entity = at = None
         for batch in batches:
-            e, t = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(e):
+            column, t = batch.column(0), batch.column(1).to_numpy()
+            if not len(t):
                 continue
-            low = min(int(t.min()), at if at is not None else int(t.min()))
-            line = np.concatenate([[0], np.cumsum(e[1:] != e[:-1])]) * (int(t.max()) - low + gap + 1) + (t - low)  # entities behind each other
-            after = np.searchsorted(line, line + gap)  # the next kept one of each, if it is kept; another entity's first one is
-            i = int(np.searchsorted(line, at - low + gap)) if entity == e[0] else 0
-            kept, follow = [], after.tolist()
-            while i < len(follow):
-                kept.append(i)
-                i = follow[i]
-            if kept:
-                entity, at = e[kept[-1]], int(t[kept[-1]])
-                if entity != e[-1]:
-                    entity = at = None
-                yield batch.take(pa.array(kept))
-
-    return keep
-
-
-def coalesced(times: DataFrame, hours: float = C.SEPARATION_H) -> DataFrame:
-    """Of (entity, t) the greedily kept events: each at least ``hours`` after the last kept one.
-
-    Events stream through their partition in order, and only the last kept one is remembered, so a
-    busy entity needs no more memory than a quiet one.
+            e = column.to_numpy(zero_copy_only=False)
+            cuts = _runs(e)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                own = t[a:b]
+                follow = np.searchsorted(own, own + gap)
+                if head is None:
+                    head, orbits = column[a], _Orbits(gap)
+                if orbits is not None and column[a] == head:
+                    orbits.add(own, follow)
+                    yield rows("open", column.slice(a, b - a), own, [None] * (b - a))
+                    continue
+                if entity is None or column[a] != entity:
+                    entity, last = column[a], None
+                kept = _kept(own, follow.tolist(), last, gap)
+                if kept:
+                    times = own[kept]
+                    yield rows("kept", column.slice(a, b - a).take(pa.array(kept)), times, [last, *times[:-1].tolist()])
+                    last = int(times[-1])
+        if head is not None:
+            upto, after = orbits.table()
+            yield rows("way", pa.array([head.as_py()] * len(upto), head.type), upto, after)
+            if entity is not None:  # the block's last entity, which may go on in the next one
+                yield rows("end", pa.array([entity.as_py()], entity.type), [last], [None])
+
+    return work
+
+
+def _compose(gap: int):
+    """The last event kept before each block of one entity, by going through what the blocks before make of it."""
+
+    def work(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("block", "ascending"), ("t", "ascending")])
+        kind, block, t, other = (table.column(c).to_pylist() for c in ("kind", "block", "t", "other"))
+        blocks, before, last, i = [], [], None, 0
+        while i < len(kind):
+            j = i
+            while j < len(kind) and block[j] == block[i] and kind[j] == "way":
+                j += 1
+            if j == i:  # the end of the block in which the entity begins
+                last, i = t[i], i + 1
+                continue
+            blocks.append(block[i])
+            before.append(last)
+            k = bisect.bisect_left(t, last + gap, i, j) if last is not None else i
+            last, i = other[k] if k < j else last, j
+        return pa.table({"block": pa.array(blocks, pa.int32()), "last": pa.array(before, pa.int64())})
+
+    return work
+
+
+def _reopened(gap: int):
+    """Kept events of open pieces (block, entity, t, last), each in order behind each other."""
+
+    def work(batches):
+        now = last = None
+        for batch in batches:
+            block, t = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            if not len(t):
+                continue
+            before = batch.column(3)
+            cuts = _runs(block)
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if block[a] != now:
+                    now, last = block[a], before[a].as_py()
+                own = t[a:b]
+                kept = _kept(own, np.searchsorted(own, own + gap).tolist(), last, gap)
+                if kept:
+                    times = own[kept]
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a).take(pa.array(kept)), pa.array(times), pa.array([last, *times[:-1].tolist()], pa.int64())], names=["entity", "t", "previous"])
+                    last = int(times[-1])
+
+    return work
+
+
+def settled_blocks(times: DataFrame, gap: int, parts: int | None = None) -> DataFrame:
+    """(kind, block, entity, t, other) of range-partitioned (entity, t), written: the first pass of the segmented greedy scan.
+
+    kept: an event that stays, with the kept one before it. open: an event of the entity that its block begins with.
+    way: for first kept times of that entity up to t, the last one kept. end: the last kept event of the block's last entity.
+    """
+    x = times.select("entity", F.col("t").cast("bigint").alias("t")).where("entity is not null and t is not null")
+    n = parts or int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shape = T.StructType([*T.StructType.fromDDL("kind string, block int"), x.schema["entity"], *T.StructType.fromDDL("t bigint, other bigint")])
+    return keep(x.repartitionByRange(n, "entity", "t").sortWithinPartitions("entity", "t").mapInArrow(_block(gap, shape.names), shape))
+
+
+def coalesced(times: DataFrame, hours: float = C.SEPARATION_H, parts: int | None = None) -> DataFrame:
+    """Of (entity, t) the greedily kept events (entity, t, previous): each at least ``hours`` after the last kept one.
+
+    A segmented scan, so that a busy entity spreads over tasks. Events are dealt into blocks by entity and time. A
+    block settles all its entities but the first, which may have begun before; of that one it finds which last kept event
+    follows from each event that may be kept first. A task per entity goes through these functions of its blocks, of at most
+    as many rows a block as the entity has events in one gap, and then every block settles its first entity too.
     """
-    x = times.select("entity", "t").where("entity is not null and t is not null")
-    return x.repartition("entity").sortWithinPartitions("entity", "t").mapInArrow(_greedy(int(hours * C.HOUR_MS)), x.schema)
+    gap = int(hours * C.HOUR_MS)
+    first = settled_blocks(times, gap, parts)
+    kept = first.where("kind = 'kept'").select("entity", "t", F.col("other").alias("previous"))
+    ways = first.where("kind in ('way', 'end')").select("kind", "block", "entity", "t", "other")
+    last = ways.groupBy("entity").applyInArrow(_compose(gap), "block int, last bigint")
+    # a row per block at most
+    open_ = first.where("kind = 'open'").select("block", "entity", "t").join(F.broadcast(last), "block").where(F.col("last").isNull() | (F.col("t") >= F.col("last") + gap))
+    width = parts or int(times.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    late = open_.select("block", "entity", "t", "last").repartitionById(width, "block").sortWithinPartitions("block", "t").mapInArrow(_reopened(gap), kept.schema)
+    return kept.unionByName(late)
 
 
 def gaps(events: DataFrame) -> DataFrame:
-    """(entity, t, gap_hours) between consecutive events, only positive ones."""
-    g = (F.col("t") - F.lag("t").over(W.partitionBy("entity").orderBy("t"))) / C.HOUR_MS
-    return events.withColumn("gap_hours", g).where("gap_hours > 0")
+    """(entity, t, gap_hours) between consecutive events, only positive ones; coalesced events know their previous one."""
+    before = F.col("previous") if "previous" in events.columns else F.lag("t").over(W.partitionBy("entity").orderBy("t"))
+    return events.withColumn("gap_hours", (F.col("t") - before) / C.HOUR_MS).where("gap_hours > 0").drop("previous")
 
 
 def mle_rates(gap_rows: DataFrame) -> DataFrame:

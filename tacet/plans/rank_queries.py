@@ -29,11 +29,15 @@ def cohort_prior(spark, d):
 
 
 def coalesced_events(spark, d):
+    return _coalesced(spark, d).select("entity", "t")
+
+
+def _coalesced(spark, d):
     return cadence.coalesced(cadence.event_times(V.reports(spark, d)))
 
 
 def inter_event_gaps(spark, d):
-    return cadence.gaps(coalesced_events(spark, d)).select("entity", "t", M.half_up("gap_hours").alias("gap_hours"))
+    return cadence.gaps(_coalesced(spark, d)).select("entity", "t", M.half_up("gap_hours").alias("gap_hours"))
 
 
 def mle_rate_by_entity(spark, d):
