@@ -12,6 +12,7 @@ from tacet import config as C
 from tacet.functions import maths as M
 from tacet.functions import text as T
 from tacet.operators import graph
+from tacet.operators.sweep import near_pairs, similar_to_few
 from tacet.sources.shared import keep, numbered
 
 WINDOW_MS = C.TIME_WINDOW_H * C.HOUR_MS
@@ -21,32 +22,20 @@ def snippet() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, C.SNIPPET))
 
 
-def _near(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Pairs of equal ``on`` within the time window, by way of window-sized bins."""
-    x = a.withColumn("bin", F.floor(F.col("t") / WINDOW_MS))
-    y = b.withColumn("at", F.floor(F.col("t") / WINDOW_MS)).withColumn("bin", F.explode(F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)))
-    y = y.select(*on, "bin", F.col("id").alias("other"), F.col("t").alias("u"))
-    return x.select(*on, "bin", "id", "t").join(y, [*on, "bin"]).where((F.col("id") != F.col("other")) & (F.abs(F.col("t") - F.col("u")) <= WINDOW_MS)).select("id", "other")
-
-
-def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame) -> DataFrame:
+def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame, parts: int | None = None) -> DataFrame:
     """(a, b), a < b: reports within the time window of the same or of adjacent entities, and unresolved ones with anything similar.
 
-    The last block is left out altogether when more than MAX_UNRESOLVED reports are unresolved.
+    Reports are swept in order of entity and time; those of adjacent entities are moved to one of the two for it. The last
+    block is left out altogether when more than MAX_UNRESOLVED reports are unresolved, so its vectors are few.
     """
-    known = reports.where("entity is not null and t is not null").select("id", "entity", "t")
-    same = _near(known, known, ["entity"])
-    moved = known.join(edges, F.col("entity") == F.col("src")).select("id", F.col("dst").alias("entity"), "t")
-    next_to = _near(moved, known, ["entity"])
-    pairs = same.unionByName(next_to)
-    loose = reports.where("entity is null and t is not null").select("id", "t")
+    known = reports.where("entity is not null and t is not null").select("id", F.col("entity").alias("key"), "t")
+    links = edges.where("src <> dst").select(F.least("src", "dst").alias("key"), F.greatest("src", "dst").alias("dst")).distinct()
+    moved = known.join(links, "key").select("id", F.col("dst").alias("key"), "t")
+    pairs = near_pairs(known.withColumn("moved", F.lit(False)).unionByName(moved.withColumn("moved", F.lit(True))), WINDOW_MS, parts)
     n = reports.where("entity is null").limit(C.MAX_UNRESOLVED + 1).count()
     if 0 < n <= C.MAX_UNRESOLVED:
-        timed = reports.where("t is not null").select("id", "t")
-        x = _near(loose, timed, [])
-        v, w = vectors, vectors.select(F.col("id").alias("other"), F.col("vector").alias("vector2"), F.col("norm").alias("norm2"))
-        x = x.join(v, "id").join(w, "other").where(T.cosine(F.col("vector"), F.col("vector2"), F.col("norm"), F.col("norm2")) >= C.TEXT_BLOCK)
-        pairs = pairs.unionByName(x.select("id", "other"))
+        timed = reports.where("t is not null").select("id", "t", "entity").join(vectors, "id")
+        pairs = pairs.unionByName(similar_to_few(timed, timed.where("entity is null"), C.TEXT_BLOCK, WINDOW_MS))
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 

@@ -1,10 +1,12 @@
 """Operators that must spread one hot entity or one large component over tasks, held against plain folds and loops."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tacet import config as C
-from tacet.operators import cadence
+from tacet.functions import text as T
+from tacet.operators import cadence, linkage, sweep
 
 H = C.HOUR_MS
 
@@ -46,3 +48,68 @@ def test_a_hot_entity_lies_in_many_blocks(hot):
     per = {r.block: r["count"] for r in first.where("kind = 'open' and entity = 'hot'").groupBy("block").count().collect()}
     assert len(per) >= 8 and max(per.values()) < 6050 / 4
     assert first.where("kind = 'way'").count() < 100  # what is composed is a small part of the events
+
+
+@pytest.mark.parametrize("parts", [1, 5, 40])
+def test_sweep_splits_a_hot_key(spark, parts):
+    rng = np.random.default_rng(7)
+    rows = [("hot", int(t), i, bool(i % 5 == 0)) for i, t in enumerate(rng.integers(0, 3000, 900))]
+    rows += [(f"k{i % 9}", int(t), 1000 + i, bool(i % 4 == 0)) for i, t in enumerate(rng.integers(0, 3000, 400))] + [("tie", 5, 2000 + i, False) for i in range(30)]
+    rows += [("k1", int(t), 1000 + i, True) for i, t in enumerate(rng.integers(0, 3000, 50))]  # ids that are there twice
+    frame = spark.createDataFrame(rows, "key string, t bigint, id bigint, moved boolean").repartition(4)
+    got = sorted((min(r), max(r)) for r in sweep.near_pairs(frame, 100, parts).collect())
+    expect = sorted((min(a[2], b[2]), max(a[2], b[2])) for k, a in enumerate(rows) for b in rows[:k] if a[0] == b[0] and abs(a[1] - b[1]) <= 100 and not (a[3] and b[3]) and a[2] != b[2])
+    assert got == expect
+    if parts == 40:
+        own = {r.to: r["count"] for r in sweep.sent_rows(frame, 100, parts).where("own and key = 'hot'").groupBy("to").count().collect()}
+        assert len(own) >= 15 and max(own.values()) < 150
+    assert not sweep.near_pairs(frame.limit(0), 100, parts).collect()
+
+
+def _some_vectors(n, seed):
+    rng = np.random.default_rng(seed)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 8))) for _ in range(120)]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 14))) for _ in range(n)]
+    return [t if k % 3 else texts[k - k % 2] + " " + words[k % 120] for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("least", [0.35, 0.8])
+def test_prefix_filter_loses_no_pair(least):
+    texts = _some_vectors(300, 4)
+    columns = T.count_grams(pa.array([f"  {t}  " for t in texts]))
+    grams, tf = columns.field("grams").to_pylist(), columns.field("tf").to_pylist()
+    norm = [float(np.sqrt(sum(x * x for x in v))) for v in tf]
+    few = sweep.Few([(k, 0, grams[k], tf[k], norm[k]) for k in range(0, 300, 10)], least)
+    of = np.repeat(np.arange(300), [len(g) for g in grams])
+    flat = [np.array([x for v in y for x in v], np.int64) for y in (grams, tf)]
+    row, other, cosine = few.similar(of, *flat, np.array(norm), np.zeros(300, np.int64), np.arange(300), 0)
+    got = {(int(r), int(o) * 10) for r, o, c in zip(row, other, cosine, strict=True) if c >= least}
+    vectors = [dict(zip(g, t, strict=True)) for g, t in zip(grams, tf, strict=True)]
+    expect = {(a, b) for a in range(300) for b in range(0, 300, 10) if a != b and sum(n * vectors[b].get(g, 0) for g, n in vectors[a].items()) / (norm[a] * norm[b]) >= least}
+    assert got == expect and expect
+    tried = len(few.candidates(of, *flat, np.array(norm))[0])
+    assert tried < 300 * 30 * (0.9 if least < 0.5 else 0.35)  # of all pairs
+
+
+def test_candidate_pairs_against_all_pairs(spark):
+    texts = _some_vectors(240, 9)
+    rng = np.random.default_rng(1)
+    rows = [(i, None if i % 20 == 3 else 7 if i % 3 else int(rng.integers(0, 12)), int(rng.integers(0, 400)) * H if i % 31 else None, "x", "", t) for i, t in enumerate(texts)]
+    edges = [(i, i + 1) for i in range(12)] + [(i + 1, i) for i in range(12)] + [(3, 3)]
+    reports = spark.createDataFrame(rows, "id bigint, entity bigint, t bigint, source_type string, title string, text string")
+    links = spark.createDataFrame(edges, "src bigint, dst bigint")
+    vectors = T.vectors(reports, linkage.snippet())
+    columns = T.count_grams(pa.array([f"  {t}  " for t in texts]))
+    v = [dict(zip(g, n, strict=True)) for g, n in zip(columns.field("grams").to_pylist(), columns.field("tf").to_pylist(), strict=True)]
+    norm = [sum(n * n for n in x.values()) ** 0.5 for x in v]
+    expect = set()
+    for a in range(240):
+        for b in range(a + 1, 240):
+            (_, ea, ta, *_), (_, eb, tb, *_) = rows[a], rows[b]
+            if ta is None or tb is None or abs(ta - tb) > 72 * H:
+                continue
+            similar = sum(n * v[b].get(g, 0) for g, n in v[a].items()) / (norm[a] * norm[b]) >= C.TEXT_BLOCK
+            if similar if ea is None or eb is None else ea == eb or (ea, eb) in edges:
+                expect.add((a, b))
+    for parts in (2, 9):
+        assert {tuple(r) for r in linkage.candidate_pairs(reports, links, vectors, parts).collect()} == expect
