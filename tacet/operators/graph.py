@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tacet import config as C
-from tacet.sources.shared import keep
+from tacet.sources.shared import keep, numbered
 
 
 #: Edges of a graph that one task joins up at once (counted first; under a megabyte).
@@ -141,16 +140,144 @@ def refine(nodes: list, edges: list[tuple], weak: float = C.WEAK_BRIDGE, deepest
     return sorted(done)
 
 
-def refined(edges: DataFrame, labels: DataFrame) -> DataFrame:
+def _refined_at_once(weak: float, deepest: int):
+    """(v, cluster) of all components of a small graph."""
+
+    def work(table: pa.Table) -> pa.Table:
+        links = list(zip(*(table.column(c).to_pylist() for c in ("a", "b", "p")), strict=True))
+        parts: dict[int, list] = {}
+        for a, b, p, c in zip(*(table.column(c).to_pylist() for c in ("a", "b", "p", "c")), strict=True):
+            parts.setdefault(c, []).append((a, b, p))
+        out = []
+        for links in parts.values():
+            members = sorted({v for a, b, _ in links for v in (a, b)})
+            out += [(v, side[0]) for side in refine(members, links, weak, deepest) for v in side]
+        return pa.table({"v": pa.array([v for v, _ in out], pa.int64()), "cluster": pa.array([c for _, c in out], pa.int64())})
+
+    return work
+
+
+def _jumped(pointers: DataFrame, most: int = 40) -> DataFrame:
+    """(c, d) with d the root of each c, of pointers (c, d) that lead to roots (d, d): pointers are doubled until nothing moves."""
+    for _ in range(most):
+        far = pointers.select(F.col("c").alias("d"), F.col("d").alias("e"))
+        moved = keep(pointers.join(far, "d").select("c", F.col("e").alias("d"), (F.col("d") != F.col("e")).alias("moved")))
+        pointers = moved.select("c", "d")
+        if not moved.where("moved").limit(1).count():
+            return pointers
+    raise RuntimeError("pointers did not converge")
+
+
+def spanning_forest(edges: DataFrame, most: int = 64) -> DataFrame:
+    """Numbers e of the edges (e, a, b) of a spanning forest. Edges may be parallel; loops belong to none.
+
+    Each round every part takes its edge of the least hash, and parts that are so joined become one; at least half of
+    the parts that can be joined go each round.
+    """
+    live, taken = keep(edges.where("a <> b").select("e", "a", "b")), None
+    for _ in range(most):
+        if not live.limit(1).count():
+            return keep(edges.select("e").limit(0)) if taken is None else taken.distinct()
+        both = live.unionByName(live.select("e", F.col("b").alias("a"), F.col("a").alias("b")))
+        best = keep(both.groupBy(F.col("a").alias("c")).agg(F.min(F.struct(F.xxhash64("e").alias("h"), F.col("e"), F.col("b").alias("d"))).alias("x")).select("c", "x.e", "x.d"))
+        taken = best.select("e") if taken is None else taken.unionByName(best.select("e"))
+        other = best.select(F.col("c").alias("d"), F.col("d").alias("back"))
+        # of two parts that chose each other the lesser is a root; hashes are in one order, so no longer circle exists
+        roots = best.join(other, "d", "left").select("c", F.when((F.col("back") == F.col("c")) & (F.col("c") < F.col("d")), F.col("c")).otherwise(F.col("d")).alias("d"))
+        root = _jumped(keep(roots))
+        for side in ("a", "b"):
+            live = live.join(root.withColumnsRenamed({"c": side, "d": f"{side}2"}), side).drop(side).withColumnRenamed(f"{side}2", side)
+        live = live.select("e", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b")
+        live = keep(live.groupBy("a", "b").agg(F.min_by("e", F.xxhash64("e")).alias("e")).select("e", "a", "b"))
+    raise RuntimeError("the spanning forest did not converge")
+
+
+def bridge_edges(edges: DataFrame, most: int = 64) -> DataFrame:
+    """Numbers e of the edges (e, a, b) whose removal disconnects their ends; edges may be parallel.
+
+    Every edge outside a spanning forest covers the forest's path between its ends. It gives two words of random bits
+    to both ends; a forest edge is covered if the words of the vertices on one side of it do not cancel out, so uncovered
+    ones are the bridges (that a covered one cancels out has a probability of 2**-128). Sides are stretches of the forest's
+    Euler tour: the sums from each arc to the end of the tour are found by doubling. No step gathers a component.
+    """
+    edges = keep(edges.where("a <> b").select("e", "a", "b"))
+    forest = keep(edges.join(spanning_forest(edges), "e"))
+    arcs = forest.select("e", F.col("a").alias("x"), F.col("b").alias("y")).unionByName(forest.select("e", F.col("b").alias("x"), F.col("a").alias("y")))
+    rest = edges.join(forest.select("e"), "e", "left_anti")
+    words = [F.bit_xor(F.xxhash64("e", F.lit(seed))).alias(f"w{seed}") for seed in (1, 2)]
+    cover = rest.select("e", "a").unionByName(rest.select("e", F.col("b").alias("a"))).groupBy(F.col("a").alias("y")).agg(*words)
+    # the tour goes on from an arc into y to the next arc out of y, in the order of the other ends: places in one global order
+    out = numbered(arcs.select("e", "x", "y"), "x", "y", name="place")
+    ends = out.groupBy("x").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    into = out.select("e", F.col("place").alias("arc"), F.col("x").alias("from"), F.col("y"))
+    back = out.select("e", F.col("place").alias("turn"), F.col("y").alias("from"), F.col("x").alias("y"))
+    tour = into.join(back, ["e", "from", "y"]).join(ends.withColumnRenamed("x", "y"), "y")
+    following = F.when(F.col("turn") == F.col("high"), F.col("low")).otherwise(F.col("turn") + 1)
+    first = F.col("turn") == F.col("low")  # one arc into each vertex brings the vertex's words along
+    tour = tour.join(cover, "y", "left").select("e", "arc", following.alias("next"), *[F.when(first, F.coalesce(w, F.lit(0).cast("bigint"))).otherwise(F.lit(0).cast("bigint")).alias(w) for w in ("w1", "w2")], "from")
+    least = components(forest.select("a", "b")).groupBy("c").agg(F.lit(1).alias("one")).select(F.col("c").alias("from"))
+    starts = out.join(least.withColumnRenamed("from", "x"), "x").groupBy("x").agg(F.min("place").alias("start")).select(F.col("start").alias("next"), F.lit(True).alias("cut"))
+    now = keep(tour.join(starts, "next", "left").select("e", "arc", F.when(F.col("cut").isNull(), F.col("next")).alias("next"), "w1", "w2"))  # each tour is cut open once
+    for _ in range(most):
+        if not now.where("next is not null").limit(1).count():
+            pair = now.groupBy("e").agg(F.bit_xor("w1").alias("w1"), F.bit_xor("w2").alias("w2"))
+            return pair.where("w1 = 0 and w2 = 0").select("e")
+        later = now.select(F.col("arc").alias("next"), F.col("next").alias("next2"), F.col("w1").alias("v1"), F.col("w2").alias("v2"))
+        x = now.join(later, "next", "left")
+        sums = [F.when(F.col(v).isNull(), F.col(w)).otherwise(F.col(w).bitwiseXOR(F.col(v))).alias(w) for w, v in (("w1", "v1"), ("w2", "v2"))]
+        now = keep(x.select("e", "arc", F.col("next2").alias("next"), *sums))
+    raise RuntimeError("the tours did not end")
+
+
+def _labelled(edges: DataFrame, nodes: DataFrame, few: int) -> DataFrame:
+    """(v, c) of nodes (v), those without edges (a, b) too."""
+    c = components(edges.select("a", "b"), few=few)
+    return nodes.select("v").join(c, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
+
+
+def refined(edges: DataFrame, labels: DataFrame, few: int = FEW_EDGES, weak: float = C.WEAK_BRIDGE, deepest: int = C.MAX_DEPTH) -> DataFrame:
     """(v, cluster): components of scored edges (a, b, p), refined. A cluster is named by its least member.
 
-    Only the edges and members of one component meet in a task.
+    A part of three members or more is cut at its weakest bridge, if that is weak and both sides have two members,
+    up to ``deepest`` times behind each other. Cutting a bridge makes or ends no other, so the weak bridges are found once:
+    parts that strong edges join are contracted, and the bridges of what is left are the weak ones. What no weak bridge
+    divides is then a block with its size, blocks and weak bridges form a forest, and each round cuts every tree of it at
+    its weakest bridge. A graph of at most ``few`` edges (counted first) is refined by one task instead; otherwise
+    no step gathers a component.
     """
+    edges = keep(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("p").alias("p")).where("a <> b"))
+    if edges.count() <= few:
+        x = edges.join(labels.select(F.col("v").alias("a"), "c"), "a").select("a", "b", "p", "c").withColumn("_all", F.lit(0))
+        return x.groupBy("_all").applyInArrow(_refined_at_once(weak, deepest), "v bigint, cluster bigint")
+    nodes = keep(labels.select("v", "c").join(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"))
+    strong = keep(_labelled(edges.where(F.col("p") > weak), nodes, few))
+    thin = numbered(_ends(edges.where(F.col("p") <= weak), strong).where("ca <> cb"), "a", "b", name="e")
+    thin = keep(thin)
+    found = keep(thin.join(bridge_edges(thin.select("e", F.col("ca").alias("a"), F.col("cb").alias("b"))), "e").select("e", "a", "b", "p"))
+    block = keep(_labelled(edges.join(found.select("a", "b"), ["a", "b"], "left_anti"), nodes, few))
+    tree = keep(_ends(found, block).select("e", "a", "b", "p", F.col("ca").alias("x"), F.col("cb").alias("y")))
+    sizes = block.groupBy(F.col("c").alias("v")).agg(F.count(F.lit(1)).alias("size"))
+    part = keep(block.where("v = c").select("v").join(nodes, "v").join(sizes, "v"))  # blocks: v, the tree c they are in, size
+    live = tree
+    for _ in range(deepest + 1):
+        if not live.limit(1).count():
+            break
+        owned = live.join(part.select(F.col("v").alias("x"), "c"), "x")
+        large = part.groupBy("c").agg(F.sum("size").alias("members")).where("members >= 3")
+        target = keep(owned.groupBy("c").agg(F.min(F.struct("p", "a", "b", "e")).alias("t")).join(large, "c", "left_semi").select("c", "t.e"))
+        mine = part.join(target.select("c"), "c", "left_semi")
+        rest = keep(owned.join(target.select("c"), "c", "left_semi").join(target.select("e"), "e", "left_anti"))
+        cut = keep(_labelled(rest.select(F.col("x").alias("a"), F.col("y").alias("b")), mine, few).withColumnRenamed("c", "side").join(mine, "v"))
+        small = cut.groupBy("c", "side").agg(F.sum("size").alias("n")).where("n < 2").select("c").distinct()
+        done = cut.select("v", "side", "c", "size").join(small, "c", "left_anti")  # parts whose cut holds
+        part = keep(part.join(done.select("v", "side"), "v", "left").select("v", F.coalesce("side", "c").alias("c"), "size"))
+        live = keep(rest.join(small, "c", "left_anti").drop("c"))
+    least = block.join(part.select(F.col("v").alias("c"), F.col("c").alias("part")), "c").select("v", "part")
+    return least.join(least.groupBy("part").agg(F.min("v").alias("cluster")), "part").select("v", "cluster")
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        links = [(int(a), int(b), float(p)) for a, b, p in zip(pdf.a, pdf.b, pdf.p, strict=True)]
-        members = sorted({v for a, b, _ in links for v in (a, b)})
-        return pd.DataFrame([(v, side[0]) for side in refine(members, links) for v in side], columns=["v", "cluster"])
 
-    x = edges.join(labels.select(F.col("v").alias("a"), "c"), "a").select("a", "b", "p", "c")
-    return x.groupBy("c").applyInPandas(split, "v bigint, cluster bigint")
+def _ends(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """edges with the labels ca and cb of their ends."""
+    for side in ("a", "b"):
+        edges = edges.join(labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}")), side)
+    return edges

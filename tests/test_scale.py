@@ -6,7 +6,7 @@ import pytest
 
 from tacet import config as C
 from tacet.functions import text as T
-from tacet.operators import cadence, linkage, sweep
+from tacet.operators import cadence, graph, linkage, sweep
 
 H = C.HOUR_MS
 
@@ -113,3 +113,57 @@ def test_candidate_pairs_against_all_pairs(spark):
                 expect.add((a, b))
     for parts in (2, 9):
         assert {tuple(r) for r in linkage.candidate_pairs(reports, links, vectors, parts).collect()} == expect
+
+
+def _many_graphs():
+    """Random graphs beside each other: sparse and dense ones, trees, circles, long paths and stars, with parallel edges."""
+    rng = np.random.default_rng(6)
+    edges, base = [], 0
+    for k in range(70):
+        n = int(rng.integers(2, 14))
+        kind = k % 5
+        if kind == 0:
+            pairs = [(a, b) for a in range(n) for b in range(a) if rng.random() < 0.3]
+        elif kind == 1:
+            pairs = [(a, int(rng.integers(0, a))) for a in range(1, n)]
+        elif kind == 2:
+            pairs = [(a, (a + 1) % n) for a in range(n) if n > 2] + [(0, n), (n, n + 1), (n + 1, n + 2)]
+        elif kind == 3:
+            pairs = [(a, a + 1) for a in range(60)]
+        else:
+            pairs = [(0, a) for a in range(1, 40)] + [(1, 2), (5, 50), (50, 51)]
+        names = rng.permutation(64) + base  # any order of names
+        edges += [(int(min(names[a], names[b])), int(max(names[a], names[b])), round(float(rng.choice([0.61, 0.65, 0.7, 0.75, 0.76, 0.9])), 4)) for a, b in pairs]
+        base += 64
+    return sorted({(a, b): (a, b, p) for a, b, p in edges}.values())
+
+
+def test_bridges_by_joins(spark):
+    edges = _many_graphs()
+    twice = edges + [e for k, e in enumerate(edges) if k % 11 == 0]  # parallel edges
+    nodes = sorted({v for a, b, _ in edges for v in (a, b)})
+    expect = set(graph.bridges(nodes, twice))
+    frame = spark.createDataFrame([(e, a, b) for e, (a, b, _) in enumerate(twice)] + [(10**6, 5, 5)], "e bigint, a bigint, b bigint")
+    assert {r.e for r in graph.bridge_edges(frame).collect()} == expect and len(expect) > 100
+    forest = {r.e for r in graph.spanning_forest(frame).collect()}
+    parts = {r.c for r in graph.components(frame.select("a", "b")).collect()}
+    assert len(forest) == len(nodes) - len(parts) and expect <= forest
+    assert not graph.bridge_edges(frame.limit(0)).collect()
+
+
+def test_refinement_by_joins(spark):
+    edges = _many_graphs()
+    frame = spark.createDataFrame(edges, "a bigint, b bigint, p double")
+    labels = graph.components(frame.select("a", "b"))
+    by_part = {}
+    part = {r.v: r.c for r in labels.collect()}
+    for e in edges:
+        by_part.setdefault(part[e[0]], []).append(e)
+    expect = {}
+    for links in by_part.values():
+        for side in graph.refine(sorted({v for a, b, _ in links for v in (a, b)}), links):
+            expect |= dict.fromkeys(side, side[0])
+    for few in (0, 10**6):  # by joins, and by one task
+        assert {r.v: r.cluster for r in graph.refined(frame, labels, few=few).collect()} == expect
+    assert len(set(expect.values())) > len(by_part) + 20
+    assert not graph.refined(frame.limit(0), labels.limit(0), few=0).collect()
