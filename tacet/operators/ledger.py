@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from tacet import config as C
 from tacet.functions import maths as M
 from tacet.functions import web
-from tacet.sources.shared import numbered
+from tacet.sources import commits
 
 #: Keys that evidence must not carry, lower-cased.
 FORBIDDEN = ["dispatch", "dispatchto", "dispatchedto", "assignto", "assignedto", "assignment", "sendteam", "deployto", "deployment", "responderassignment", "orders", "tasking"]
@@ -169,17 +169,19 @@ def shortlist(scope: DataFrame, entities: DataFrame) -> DataFrame:
     return y.select("item", F.concat(F.lit("district-"), web.slug(F.col("district"))).alias("jurisdiction"), "district", "entities_in_district", F.array_sort(F.array_intersect("members", "ids")).alias("in_scope"), "population_in_district").orderBy("item", "district")
 
 
-def append_incidents(path: str, new: DataFrame) -> None:
-    """Appends incidents (at, kind, message) to the log at path, with running numbers (seq) that go on from its last one.
+def append_incidents(path: str, new: DataFrame, batch: str) -> bool:
+    """Appends incidents (at, kind, message) to the log at path as one commit, with running numbers (seq) that go on from its last one.
 
-    One writer at a time; rows are numbered by time, then kind and message.
+    Rows are numbered by time, then kind and message. A batch that is there already changes nothing, and a second writer
+    neither doubles nor renumbers; False tells that it was there.
     """
-    spark = new.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    last = 0
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        last = spark.read.parquet(path).agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0]
-    numbered(new.select("at", "kind", "message"), "at", "kind", "message", name="seq").withColumn("seq", F.col("seq") + last).write.mode("append").parquet(path)
+    return commits.commit(new.sparkSession, path, batch, lambda _: new.select("at", "kind", "message"), ["at", "kind", "message"])
+
+
+def incident_log(spark: SparkSession, path: str) -> DataFrame:
+    """The incidents (at, kind, message, seq) appended to the log at path."""
+    have = commits.table(spark, path)
+    return spark.createDataFrame([], "at bigint, kind string, message string, seq bigint") if have is None else have
 
 
 def incident_feed(incidents: DataFrame, cap: int = C.INCIDENT_CAP) -> DataFrame:

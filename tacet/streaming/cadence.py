@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tacet import config as C
+from tacet.sources import commits
 from tacet.sources.shared import folder
 
 
@@ -27,33 +28,62 @@ def last_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("entity").agg(F.max("t").alias("last_t"), F.count(F.lit(1)).alias("n"))
 
 
+class Silence(StatefulProcessor):
+    """One entity's state: the time of its last event, its limit, and whether the silence since then has been told; a timer at its limit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "t bigint, limit bigint, told boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 (Spark's names)
+        last, limit, told = self.last.get() if self.last.exists() else (None, 0, False)
+        frame = pd.concat(list(rows)).sort_values(["t", "limit_hours"])
+        out = []
+        for t, hours in zip(frame["t"].tolist(), frame["limit_hours"].tolist(), strict=True):
+            limit = int(hours * C.HOUR_MS)
+            if last is not None and t - last > limit:
+                out.append((key[0], last, (t - last) / C.HOUR_MS))
+            if last is None or t > last:
+                last, told = t, False
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not told and last + limit > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(last + limit)
+        elif not told:  # its limit is past already, so no timer would ever tell it
+            out.append((key[0], last, None))
+            told = True
+        self.last.update((last, limit, told))
+        yield _silences(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        last, limit, told = self.last.get()
+        self.last.update((last, limit, True))
+        yield _silences([] if told else [(key[0], last, None)])
+
+    def close(self) -> None:
+        pass
+
+
+def _silences(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=["entity", "since", "gap_hours"]).astype({"gap_hours": "float64"})
+
+
+#: The store that states with timers need; it is a setting of the session, read when a query starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def silence_alerts(stream: DataFrame, hours: float | None = None) -> DataFrame:
     """(entity, since, gap_hours): silences of more than ``hours``, or without it of more than each row's ``limit_hours``.
 
-    A silence gives a row without gap_hours once the watermark has passed its limit, and a row with
-    gap_hours when it ends. State per entity is the time of its last event and its limit.
+    A silence gives one row without gap_hours, when the watermark passes its limit, or at once if an event comes so late
+    that it has; and a row with gap_hours when it ends. Rows without entity or time are left out. State per entity is three
+    values and a timer, kept in the query's checkpoint, so a restarted query tells what it still owes. Sets the session's state
+    store to one that has timers, for the query to be started.
     """
+    stream.sparkSession.conf.set(*STATE_STORE)
     rows = stream.select("entity", "ts", "t", (F.lit(hours) if hours is not None else F.col("limit_hours")).cast("double").alias("limit_hours"))
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            last, limit = state.get
-            out.append((key[0], last, None))
-            state.update((last, limit))
-        else:
-            last, limit = state.get if state.exists else (None, 0)
-            for t, h in sorted((int(t), float(h)) for f in frames for t, h in zip(f["t"], f["limit_hours"], strict=True)):
-                limit = int(h * C.HOUR_MS)
-                if last is not None and t - last > limit:
-                    out.append((key[0], last, (t - last) / C.HOUR_MS))
-                last = t if last is None else max(last, t)
-            state.update((last, limit))
-            if last + limit > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(last + limit)
-        yield pd.DataFrame(out, columns=["entity", "since", "gap_hours"]).astype({"gap_hours": "float64"})
-
-    return rows.groupBy("entity").applyInPandasWithState(step, "entity bigint, since bigint, gap_hours double", "last bigint, limit bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.where("entity is not null and t is not null and limit_hours is not null")
+    return rows.groupBy("entity").transformWithStateInPandas(Silence(), "entity bigint, since bigint, gap_hours double", "Append", "eventTime")
 
 
 def with_limits(stream: DataFrame, expected: DataFrame, gaps: float = C.SILENT_GAPS) -> DataFrame:
@@ -67,21 +97,23 @@ def first_reports(stream: DataFrame) -> DataFrame:
 
 
 def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """Runs a stream over what there is now, and returns the rows it put out, which lie in the shared folder.
+    """Runs a stream over what there is now, and returns the rows it has put out so far, which lie in the shared folder.
 
-    In complete mode each batch replaces the last one.
+    Each batch has a folder of its own that a replay replaces, so a restart doubles nothing. In complete mode the last
+    batch stands for all.
     """
     spark = stream.sparkSession
     at = f"{folder(spark).rstrip('/')}/{name}"
-    how = "overwrite" if mode == "complete" else "append"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode(how).parquet(f"{at}/rows")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else number}")
 
-    spark.createDataFrame([], stream.schema).write.parquet(f"{at}/rows")
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/rows")
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows/*")
 
 
 def poll_seconds(running: bool, retry_seconds: float | None = None) -> float:
@@ -95,11 +127,11 @@ def watch(stream: DataFrame, path: str, running: bool = False) -> StreamingQuery
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").trigger(processingTime=every).start()
 
 
-def emit_once(batch: DataFrame, path: str, key: str) -> None:
-    """For foreachBatch: appends to the table at path the rows whose key it does not have yet."""
-    spark = batch.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    new = batch.dropDuplicates([key])
-    if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
-        new = new.join(spark.read.parquet(path).select(key), key, "left_anti")
-    new.write.mode("append").parquet(path)
+def emit_once(batch: DataFrame, path: str, key: str, number: int, writer: str = "stream") -> bool:
+    """For foreachBatch: commits to the table at path the rows whose key it does not have yet, each key once for ever.
+
+    The commit carries the writer's name and the number of the batch, so a replayed batch changes nothing, and what another
+    writer commits in between is looked at again before this commit can succeed. False if there was nothing left to do.
+    """
+    new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
+    return commits.commit(batch.sparkSession, path, f"{writer}-{number}", lambda have: new if have is None else new.join(have.select(key).distinct(), key, "left_anti").select(new.columns))

@@ -2,12 +2,14 @@
 
 import json
 
+import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tacet import config as C
 from tacet.functions import web
 from tacet.operators import ledger
+from tacet.sources import commits
 from tacet.sources import reports as S
 from tacet.streaming import cadence as stream
 
@@ -140,9 +142,11 @@ def test_entity_detail(spark):
 
 def test_incidents_are_numbered_on(spark, tmp_path):
     path = str(tmp_path / "log")
-    for base in (0, 10):
-        ledger.append_incidents(path, spark.createDataFrame([(base + k, "heal", f"m{k}") for k in range(4)], "at bigint, kind string, message string").repartition(3))
-    got = ledger.incident_feed(spark.read.parquet(path), 5).collect()
+    assert ledger.incident_log(spark, path).count() == 0
+    for base in (0, 10, 0, 10):  # each twice: a replay changes nothing
+        ledger.append_incidents(path, spark.createDataFrame([(base + k, "heal", f"m{k}") for k in range(4)], "at bigint, kind string, message string").repartition(3), f"run-{base}")
+    assert ledger.incident_log(spark, path).count() == 8
+    got = ledger.incident_feed(ledger.incident_log(spark, path), 5).collect()
     assert [(r.at, r.seq) for r in got] == [(13, 8), (12, 7), (11, 6), (10, 5), (3, 4)]
 
 
@@ -196,7 +200,106 @@ def test_streams(spark, tmp_path):
     limits = spark.createDataFrame([(1, 10.0), (3, 1.0)], "entity bigint, expected_gap_hours double")
     own = stream.drain(stream.silence_alerts(stream.with_limits(stream.read_events(spark, path), limits)), "own", "append").collect()
     assert [(r.entity, r.gap_hours) for r in own] == [(1, 46.0)]
-    once = str(tmp_path / "once")
-    for _ in range(2):
-        stream.emit_once(df, once, "user_id")
-    assert spark.read.parquet(once).count() == 2
+
+
+def _events(spark, path, rows):
+    df = spark.createDataFrame([(k, e, t) for k, (e, t) in enumerate(rows)], "event_id bigint, user_id bigint, ts string").withColumn("ts", F.to_timestamp("ts"))
+    df.coalesce(1).write.mode("append").parquet(path)
+
+
+def test_late_silences_and_restart(spark, tmp_path):
+    """A silence whose limit is past when its event comes is told at once, and a restarted query keeps its timers."""
+    path = str(tmp_path / "events")
+
+    def run():
+        x = stream.drain(stream.silence_alerts(stream.read_events(spark, path, "10 hours"), 2), "late", "append").collect()
+        return sorted((r.entity, r.gap_hours is None, r.since // 3_600_000 % 24) for r in x)
+
+    _events(spark, path, [(1, "2024-01-01 00:00:00"), (9, "2024-01-01 11:00:00")])  # watermark: 1 o'clock
+    assert run() == []  # entity 1 is silent since 0 and due at 2 o'clock
+    _events(spark, path, [(9, "2024-01-01 20:00:00")])  # watermark: 10 o'clock
+    assert run() == [(1, True, 0), (9, False, 11)]  # the timer of the first run goes off in the second
+    _events(spark, path, [(2, "2024-01-01 11:00:00")])  # in time
+    _events(spark, path, [(9, "2024-01-02 04:00:00")])  # watermark: 18 o'clock
+    third = run()
+    assert (2, True, 11) in third and (9, False, 20) in third
+    _events(spark, path, [(3, "2024-01-01 15:30:00"), (9, "2024-01-02 04:10:00")])  # too late for the watermark, as its limit is
+    fourth = run()
+    assert len([x for x in fourth if x[0] == 1]) == 1 and len([x for x in fourth if x[0] == 2]) == 1  # each silence is told once
+
+
+def test_late_event_is_told_at_once():
+    """The processor on its own: an event that is not behind the watermark, with a limit that is."""
+
+    class Handle:
+        timers: list[int] = []
+        value = None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+        def listTimers(self):  # noqa: N802
+            return iter(list(self.timers))
+
+        def deleteTimer(self, t):  # noqa: N802
+            self.timers.remove(t)
+
+        def registerTimer(self, t):  # noqa: N802
+            self.timers.append(t)
+
+    class Now:
+        def __init__(self, at):
+            self.at = at
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.at
+
+    h, p, hour = Handle(), stream.Silence(), 3_600_000
+    p.init(h)
+
+    def feed(at, *times):
+        frame = pd.DataFrame({"t": [t * hour for t in times], "limit_hours": [2.0] * len(times)})
+        return [tuple(r) for f in p.handleInputRows((7,), iter([frame]), Now(at * hour)) for r in f.itertuples(index=False)]
+
+    first = feed(10, 5)
+    assert len(first) == 1 and first[0][:2] == (7, 5 * hour) and first[0][2] != first[0][2] and not h.timers  # no gap yet
+    assert feed(10, 4) == []  # told already; an earlier event changes nothing
+    assert [x[2] for x in feed(10, 9)] == [4.0] and h.timers == [11 * hour]
+    assert [x[1] for f in p.handleExpiredTimer((7,), Now(12 * hour), None) for x in f.itertuples(index=False)] == [9 * hour]
+    assert feed(12, 9) == [] and [x[2] for x in feed(12, 20)] == [11.0]
+
+
+def test_emission_once(spark, tmp_path):
+    path = str(tmp_path / "once")
+    one_, two = (spark.createDataFrame([(k, s) for k in ks], "user_id bigint, tag string") for ks, s in (((1, 2, 2, None), "a"), ((2, 3), "b")))
+    assert stream.emit_once(one_, path, "user_id", 0) and not stream.emit_once(one_, path, "user_id", 0)
+    assert stream.emit_once(two, path, "user_id", 0, writer="other") and stream.emit_once(two, path, "user_id", 1)
+    got = commits.table(spark, path).collect()
+    assert sorted((r.user_id, r.tag, r.seq) for r in got) == [(1, "a", 1), (2, "a", 2), (3, "b", 3)]
+    spark.createDataFrame([(9, "z", 1)], "user_id bigint, tag string, place bigint").write.parquet(f"{path}/rows/attempt=crashed")
+    assert commits.table(spark, path).count() == 3  # what no commit names is not there
+
+
+def test_a_faster_writer_is_seen(spark, tmp_path):
+    """A commit that another writer overtakes is made again from the table as it is then."""
+    path, calls = str(tmp_path / "race"), []
+    mine = spark.createDataFrame([(1,), (2,)], "k bigint")
+
+    def rows(have):
+        calls.append(have is not None)
+        if len(calls) == 1:  # the other writer commits between reading and claiming
+            assert commits.commit(spark, path, "theirs", lambda _: spark.createDataFrame([(2,)], "k bigint"))
+        return mine if have is None else mine.join(have.select("k"), "k", "left_anti")
+
+    assert commits.commit(spark, path, "mine", rows) and calls == [False, True]
+    assert sorted((r.k, r.seq) for r in commits.table(spark, path).collect()) == [(1, 2), (2, 1)]
+    assert [(r.version, r.batch, r.rows) for r in commits.log(spark, path).orderBy("version").collect()] == [(1, "theirs", 1), (2, "mine", 1)]
