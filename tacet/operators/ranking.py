@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.functions import maths as M
 from tacet.operators import cadence, ledger, spatial
+from tacet.sources.shared import numbered
 
 
 def qualifies(silence: str = "silence_hours", nats: str = "surprisal", own: str = "own_z") -> Column:
@@ -57,8 +57,7 @@ def rank(entities: DataFrame, reports: DataFrame, edges: DataFrame, now: int = C
         "is_regional_outage", "is_solo_anomaly", "anomaly_type",
     )
     out = out.withColumn("is_escalation_candidate", qualifies())
-    order = W.orderBy(F.desc("gi_z"), F.desc("surprisal"), F.desc("population"), "id")
-    return out.withColumn("rank", F.row_number().over(order))
+    return numbered(out, F.desc("gi_z"), F.desc("surprisal"), F.desc("population"), "id", name="rank")
 
 
 def escalations(ranked: DataFrame, top: int = C.TOP_ESCALATIONS) -> DataFrame:

@@ -8,6 +8,7 @@ from tacet import config as C
 from tacet.functions import maths as M
 from tacet.operators import cadence, ranking, spatial
 from tacet.plans import views as V
+from tacet.sources.shared import numbered
 
 
 def _base(spark, d):
@@ -51,11 +52,9 @@ def cohort_posterior(spark, d):
 
 
 def surprisal_rank(spark, d):
-    from pyspark.sql import Window as W
-
     e, r = _base(spark, d)
     x = cadence.surprisal(e, r, C.NOW_MS).select("id", "cohort", M.half_up("silence_hours").alias("silence_hours"), M.half_up("surprisal").alias("surprisal"))
-    return x.withColumn("position", F.row_number().over(W.orderBy(F.desc("surprisal"), "id")))
+    return numbered(x, F.desc("surprisal"), "id", name="position")
 
 
 def neighbour_weights(spark, d):

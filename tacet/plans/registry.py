@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rank_queries", "text_queries", "record_queries", "desk_queries")
+MODULES = ("rank_queries", "text_queries", "record_queries", "desk_queries", "open_queries")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 for _name in MODULES:

@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
@@ -72,8 +72,11 @@ def release(spark: SparkSession, paths: list[str], reader: DataFrame | None = No
     _written[:] = [w for w in _written if w[1] not in gone]
 
 
-def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
-    """df with the place of each row in the order, from 1: a range partitioning, then counts per partition, no single task."""
+def numbered(df: DataFrame, *order: str | Column, name: str = "number") -> DataFrame:
+    """df with the place of each row in the order, from 1: a range partitioning, then counts per partition, no single task.
+
+    The rows are written once. Rows that the order does not tell apart have places of their own, in no set order.
+    """
     spark = df.sparkSession
     dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     local = keep(dealt.withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}))
