@@ -1,4 +1,4 @@
-"""Exact dedup, fill-in-middle and periodic runs, held against brute force and exact round trips."""
+"""Exact dedup, fill-in-middle, periodic runs and url trees, held against brute force and exact round trips."""
 
 import collections
 import hashlib
@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tacet.llm import exact, infill, runs
+from tacet.llm import exact, infill, runs, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -200,3 +200,73 @@ def test_runs_of_extreme_texts():
         a, b = b, b + a
     w = np.frombuffer(b[:1500].encode(), np.uint8).astype(np.int64)
     assert runs.find_runs(w, np.array([0, len(w)])) == [_plain_runs(w.tolist())]
+
+
+def _grow(rows, template, out):
+    """The path tree, node by node, of rows (key, rest, blocked, labelled)."""
+    if len(rows) < urls.LEAST or not any(r[1] for r in rows):
+        out.update({r[0]: template + ("/**" if r[1] else "") for r in rows})
+        return
+    pieces, fork = [], None
+    for pos in range(max(len(r[1]) for r in rows)):
+        here = collections.Counter(r[1][pos] for r in rows if len(r[1]) > pos)
+        if len(here) > 1 and max(here.values()) >= urls.LEAST:
+            fork = pos
+            break
+        pieces.append(next(iter(here)) if len(here) == 1 and max(here.values()) >= urls.LEAST else "*")
+    kids = collections.defaultdict(list)
+    at = [r for r in rows if fork is not None and len(r[1]) > fork]
+    b, n = sum(r[2] for r in at), sum(r[3] for r in at)
+    for key, rest, *label in rows:
+        name = template + "".join(f"/{p}" for p in pieces[: len(rest)])
+        if fork is None or len(rest) <= fork:
+            out[key] = name
+            continue
+        same = [r for r in at if r[1][fork] == rest[fork]]
+        own_b, own_l = sum(r[2] for r in same), sum(r[3] for r in same)
+        mid, left = (b + 1) / (n + 2), n - own_l
+        similar = own_l > 0 and left > 0 and abs(own_b / own_l - (b - own_b) / left) / (mid * (1 - mid) * (1 / own_l + 1 / left)) ** 0.5 < urls.Z
+        name += "/" + (rest[fork] if len(same) >= urls.LEAST and not similar else "*")
+        if rest[fork + 1 :]:
+            kids[name].append((key, rest[fork + 1 :], *label))
+        else:
+            out[key] = name
+    for name, own in kids.items():
+        _grow(own, name, out)
+
+
+def test_url_trees_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for k in range(900):
+        host = ["a.com", "b.com", "c.com", "d.org", "e.net"][min(4, int(rng.integers(0, 9)))]
+        first = ["ads", "news", "shop", "x"][int(rng.integers(0, 4))]
+        path = [first, str(int(rng.integers(0, 300)))] + ["p", ["q", "r"][k % 2], str(k)][: int(rng.integers(0, 4))]
+        rows.append((k, f"http://{host}/" + "/".join(path) + ["", "/", "?x=1", "#y"][k % 4]))
+    rows += [(2000 + k, f"http://long.com/{'/'.join(['s'] * 300)}/{k}") for k in range(5)] + [(3000, "http://a.com"), (3001, "http://a.com/"), (3002, None), (3003, "http://e.net/ads/7")]
+    rules = [("a.com", "/ads/1", "block"), ("b.com", "/ads/", "block"), ("b.com", "/news/2", "allow"), ("c.com", "/shop/", "allow"), ("d.org", "/x/", "block"), ("d.org", "/news/", "allow"), ("a.com", "/news/", "allow")]
+    got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules, purity=0.5).collect()}
+    assert len(got) == len(rows)
+    paths = {(r.host, r.path): (int(r.verdict == "block"), 1) if r.rule else (0, 0) for r in got.values()}
+    trees = collections.defaultdict(list)
+    for (host, path), label in paths.items():
+        for tree in (host, None):
+            trees[tree].append(((host, path), path[1:].split("/") if path else [], *label))
+    of, shape = {}, {}
+    for tree, own in trees.items():
+        _grow(own, "", shape if tree is None else of)
+    for r in got.values():
+        key = (r.host, r.path)
+        assert (r.template, r.shape) == (of[key], shape[key])
+        mine = [paths[k] for k in paths if k[0] == r.host and of[k] == of[key]]
+        other = [paths[k] for k in paths if k[0] != r.host and shape[k] == shape[key]]
+        b, n, ob, on = (sum(x[i] for x in y) for y in (mine, other) for i in (0, 1))
+        share = (ob + 1) / (on + 2)
+        purity = (b + urls.WEIGHT * share) / (n + urls.WEIGHT) if n + on >= urls.LABELS else None
+        assert r.purity == purity or abs(r.purity - purity) < 1e-12
+        assert r.rule or r.verdict == ("block" if purity is not None and purity > 0.5 else "allow")
+    free = collections.defaultdict(set)
+    for r in got.values():
+        if not r.rule:
+            free[r.host].add(r.verdict)
+    assert len(free["e.net"]) == 2  # verdicts differ within a host that has no label of its own
