@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tacet.operators.graph import components  # noqa: F401 (used as kernel.components)
@@ -25,6 +26,8 @@ U64 = np.uint64
 #: Bytes of text of one chunk (a group in a worker) and of one shuffle partition (many chunks).
 CHUNK_BYTES = 1 << 20
 PARTITION_BYTES = 64 << 20
+#: Narrow rows (ids, hashes, places) of one shuffle partition.
+PARTITION_ROWS = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -223,6 +226,19 @@ def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, share: int =
     return near.unionByName(far).drop("_key", count)
 
 
+def running(rows: DataFrame, value: str, order: str, name: str) -> DataFrame:
+    """rows with the sum of ``value`` over all rows before each in the order (of distinct values): sums per range, then within the range."""
+    spark = rows.sparkSession
+    dealt = keep(rows.repartitionByRange(parts(spark, 1), order).withColumn("_pid", F.spark_partition_id()))
+    before, at = [], 0
+    for pid, held in sorted(dealt.groupBy("_pid").agg(F.sum(value)).collect()):  # a row per partition
+        before.append((pid, at))
+        at += held
+    starts = F.broadcast(spark.createDataFrame(before, "_pid int, _before bigint"))
+    own = F.sum(value).over(W.partitionBy("_pid").orderBy(order)) - F.col(value)
+    return dealt.join(starts, "_pid").withColumn(name, F.col("_before") + own).drop("_pid", "_before")
+
+
 def block_tasks(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Members of tasks: ``columns``, i, j, side, of rows that have also left, block and blocks.
 

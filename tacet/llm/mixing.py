@@ -87,7 +87,7 @@ class Schedule:
     def __init__(self, docs: DataFrame, weights: dict | None = None, most_blocks: int = MOST_BLOCKS):
         spark = docs.sparkSession
         keyed = docs.select("doc_id", "source", F.xxhash64("doc_id").alias("h"))
-        width = K.parts(spark, 1)
+        width = K.parts(spark, math.ceil(keyed.count() / K.PARTITION_ROWS))
         dealt = keyed.repartitionByRange(width, "source", "h", "doc_id").sortWithinPartitions("source", "h", "doc_id")
         local = K.keep(dealt.mapInArrow(_local, "doc_id bigint, source string, h bigint, pid bigint, local bigint"))
         per = local.groupBy("source", "pid").agg(F.count(F.lit(1)).alias("n"))
@@ -181,7 +181,7 @@ def mix(docs: DataFrame, *, weights: dict | None = None, most_blocks: int = MOST
     together in one block, which may then be larger. No row is dropped or repeated.
     """
     out, total = _placed(docs, weights, most_blocks)
-    width = K.parts(docs.sparkSession, 1)
+    width = K.parts(docs.sparkSession, math.ceil(K.text_bytes(docs)[1] / K.PARTITION_BYTES))
     # the number of slots is known, so they are dealt without sampling
     out = out.repartitionById(width, F.least(F.lit(width - 1), F.floor(F.col("_slot") * width / total)).cast("int")).sortWithinPartitions("_slot", "_h")
     return out.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

@@ -381,15 +381,15 @@ def one_of_each(docs: DataFrame, *, percent: int = PERCENT, k: int = SHINGLE) ->
     rows = grouped(docs, percent, k).where("component is not null").groupBy("component", "doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
     rows = K.keep(rows.withColumn("order", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")))
     first = rows.groupBy("component").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    gone = K.lookup(rows, K.keep(first), "component", "rows").where(F.col("order") != F.col("best")).select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content")), "left_anti")
-    again = rows.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"))
-    if not again.limit(1).count():
-        return left
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_content"))
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    equal = left.join(again, match, "left_semi").groupBy("doc_id", F.xxhash64("text").alias("_content")).agg(F.first(whole).alias("_row"))
-    return left.join(again, match, "left_anti").unionByName(equal.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns]))
+    gone = K.lookup(rows, K.keep(first), "component", "rows").where(F.col("order") != F.col("best")).select("doc_id", "content")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))  # columns of any name go along
+    match = F.col("doc.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("doc.text") == F.col("content"))
+    left = whole.join(gone, match, "left_anti")
+    again = rows.where("n > 1").select("doc_id", "content")
+    if again.limit(1).count():
+        equal = left.join(again, match, "left_semi").groupBy(F.col("doc.doc_id").alias("doc_id"), F.xxhash64("doc.text").alias("content")).agg(F.first("doc").alias("doc"))
+        left = left.join(again, match, "left_anti").unionByName(equal.select("doc"))
+    return left.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

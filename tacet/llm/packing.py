@@ -296,7 +296,7 @@ def pack_in_order(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int =
     shape = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
     keys = ["_slot", "_h", "doc_id", "start", "ids_crc32"]
     cut = K.keep(docs.select("doc_id", "text", "_slot", "_h").mapInArrow(_cut(path, limit, end), f"{shape}, pid bigint, local bigint, _slot bigint, _h bigint").drop("pid", "local"))
-    dealt = cut.repartitionByRange(K.parts(spark, 1), *keys).sortWithinPartitions(*keys)
+    dealt = cut.repartitionByRange(K.parts(spark, -(-cut.count() // K.PARTITION_ROWS)), *keys).sortWithinPartitions(*keys)
     numbered = K.keep(dealt.mapInArrow(_number, f"{shape}, _slot bigint, _h bigint, pid bigint, local bigint"))
     per = {r["pid"]: r["n"] for r in numbered.groupBy("pid").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row per shuffle partition
     rows, before = [], 0
@@ -308,7 +308,7 @@ def pack_in_order(docs: DataFrame, path: str, *, limit: int = LIMIT, end: int =
     packed = K.keep(at.drop("_slot", "_h", "pid", "local", "before").repartition(K.parts(spark, -(-before // (64 * segment))), "segment").groupBy("segment").applyInArrow(_pack_segment(limit), f"{shape}, segment bigint, number bigint, offset bigint"))
     sizes = packed.groupBy("segment").agg((F.max("number") + 1).alias("n"))
     # a row per segment: grows with the input, so it is never broadcast
-    base = sizes.select("segment", (F.sum("n").over(W.orderBy("segment")) - F.col("n")).alias("base"))
+    base = K.running(sizes, "n", "segment", "base").select("segment", "base")
     return packed.join(base.hint("merge"), "segment").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("number")).alias("sequence_id"), "offset")
 
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tacet.llm import exact, infill, runs, urls
+from tacet.llm import exact, infill, kernel, near, runs, urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -270,3 +270,19 @@ def test_url_trees_against_brute_force(spark):
         if not r.rule:
             free[r.host].add(r.verdict)
     assert len(free["e.net"]) == 2  # verdicts differ within a host that has no label of its own
+
+
+def test_one_of_each_takes_columns_of_any_name(spark):
+    shape = "doc_id bigint, text string, _id int, _content string, content int, component double, n int, doc string, `a.b` int"
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(i, t, i, "c", 1, 2.0, 3, "d", 4) for i, t in enumerate([text, text, text + " end", "other words stand here and more", None])]
+    rows += [rows[1], rows[3]]  # repeated rows
+    got = near.one_of_each(spark.createDataFrame(rows, shape))
+    assert got.columns == [f.split()[0].strip("`") for f in shape.split(", ")]
+    assert sorted(tuple(r) for r in got.collect()) == sorted([rows[0], rows[3], rows[4]], key=lambda r: r[0])
+
+
+def test_running_sums(spark):
+    values = [(k, (k * 7) % 11) for k in range(200)]
+    got = {r.k: r.before for r in kernel.running(spark.createDataFrame(values, "k bigint, v bigint").repartition(5), "v", "k", "before").collect()}
+    assert got == {k: sum(v for j, v in values if j < k) for k, _ in values}
