@@ -6,10 +6,8 @@ attempt of a named person stands for ever.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,55 +38,43 @@ def forbidden_fields(schema: T.DataType, path: str = "evidence", depth: int = 0)
     return out
 
 
-def _walk(value, see: Callable[[str, object], None], depth: int = 0) -> None:
-    """Shows every key of nested JSON with its value, down to DEEPEST levels."""
-    if depth > DEEPEST:
-        return
-    if isinstance(value, list):
-        for v in value:
-            _walk(v, see, depth + 1)
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            see(k, v)
-            _walk(v, see, depth + 1)
-
-
-def _each(texts: pa.Array, kind: pa.DataType, look: Callable[[object], object]) -> pa.Array:
-    out = []
-    for text in texts.to_pylist():
-        try:
-            out.append(look(json.loads(text or "null")))
-        except ValueError:  # not JSON: no keys
-            out.append(look(None))
-    return pa.array(out, kind)
+def _walked(variant: Column, found: Callable[[Column], Column], kind: str) -> Column:
+    """What ``found`` makes of the objects (array of map<string,variant>) at each level of a variant, down to DEEPEST, level by level.
 
+    All inside the JVM: the state of the fold is what was found and the values of the next level.
+    """
+    none = F.array().cast("array<variant>")
 
-def _forbidden(texts: pa.Array) -> pa.Array:
-    def look(value):
-        found = []
-        _walk(value, lambda k, v: found.append(k.lower() in FORBIDDEN))
-        return any(found)
+    def step(state: Column, _: Column) -> Column:
+        objects = F.transform(state["nodes"], lambda v: F.try_variant_get(v, "$", "map<string,variant>"))
+        below = F.transform(state["nodes"], lambda v: F.coalesce(F.map_values(F.try_variant_get(v, "$", "map<string,variant>")), F.try_variant_get(v, "$", "array<variant>"), none))
+        return F.struct(F.concat(state["found"], found(F.filter(objects, lambda m: m.isNotNull()))).alias("found"), F.flatten(below).alias("nodes"))
 
-    return _each(texts, pa.bool_(), look)
+    start = F.struct(F.array().cast(kind).alias("found"), F.filter(F.array(variant), lambda v: v.isNotNull()).alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(DEEPEST)), start, step, lambda state: state["found"])
 
 
-def _named(texts: pa.Array) -> pa.Array:
-    def look(value):
-        found: dict = {}
-        _walk(value, lambda k, v: found.setdefault(v) if isinstance(v, str) and v and k.lower().endswith(("entityid", "settlementid")) else None)
-        return list(found)
+def carries_forbidden(evidence: Column) -> Column:
+    """Whether JSON evidence has a forbidden key within DEEPEST levels.
 
-    return _each(texts, pa.list_(pa.string()), look)
+    Texts that are no JSON have no keys; what begins like an object or a list and cannot be read (also because a key
+    is there twice) is taken to carry one.
+    """
+    variant = F.try_parse_json(evidence)
+    keys = _walked(variant, lambda objects: F.flatten(F.transform(objects, lambda m: F.transform(F.map_keys(m), F.lower))), "array<string>")
+    unread = variant.isNull() & F.coalesce(F.rlike(evidence, F.lit(r"^\s*[{\[]")), F.lit(False))
+    return unread | F.arrays_overlap(keys, F.array(*map(F.lit, FORBIDDEN)))
 
 
-def carries_forbidden(evidence: Column) -> Column:
-    """Whether JSON evidence has a forbidden key within DEEPEST levels."""
-    return F.arrow_udf(_forbidden, "boolean")(evidence)
+def named_entities(evidence: Column) -> Column:
+    """Every text under a key that ends in entityid or settlementid, in JSON evidence, within DEEPEST levels; once each, upper levels first."""
 
+    def named(m: Column) -> Column:
+        fits = F.filter(F.map_entries(m), lambda e: F.rlike(e["key"], F.lit("(?i)(entityid|settlementid)$")) & (F.schema_of_variant(e["value"]) == "STRING"))
+        return F.transform(fits, lambda e: F.try_variant_get(e["value"], "$", "string"))
 
-def named_entities(evidence: Column) -> Column:
-    """Every text under a key that ends in entityid or settlementid, in JSON evidence, within DEEPEST levels."""
-    return F.arrow_udf(_named, "array<string>")(evidence)
+    texts = _walked(F.try_parse_json(evidence), lambda objects: F.flatten(F.transform(objects, named)), "array<string>")
+    return F.array_distinct(F.filter(texts, lambda t: t != ""))
 
 
 def approver(x: Column) -> Column:

@@ -1,6 +1,7 @@
 """Web extraction, sources, ledgers and streams."""
 
 import json
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -129,6 +130,35 @@ def test_nested_keys(spark):
     assert [r[0] for r in df.orderBy("k").select(ledger.carries_forbidden(F.col("e"))).collect()] == [False, True, False, False, False, True]
 
 
+def test_keys_against_a_plain_walk(spark):
+    """Random nested evidence: the same answers as a recursive walk, and no Python worker in the plan."""
+    rng = random.Random(4)
+
+    def make(depth):
+        kind = rng.random()
+        if depth > 8 or kind < 0.3:
+            return rng.choice([1, "x", None, "orders", 2.5, True, "e7", ""])
+        if kind < 0.5:
+            return [make(depth + 1) for _ in range(rng.randint(0, 3))]
+        return {rng.choice(["a", "b", "c", "OrDers", "leftSettlementId", "entityID", "entityIdx", "é"]) + rng.choice(["", "", "1"]): make(depth + 1) for _ in range(rng.randint(0, 3))}
+
+    def walk(v, depth=0):
+        if depth <= ledger.DEEPEST and isinstance(v, list):
+            return [x for y in v for x in walk(y, depth + 1)]
+        return [x for k, y in v.items() for x in [(k, y), *walk(y, depth + 1)]] if depth <= ledger.DEEPEST and isinstance(v, dict) else []
+
+    cases = [make(0) for _ in range(400)]
+    df = spark.createDataFrame([(k, json.dumps(c)) for k, c in enumerate(cases)] + [(1000, "{broken"), (1001, "broken"), (1002, '{"a": 1, "a": 2}')], "k int, e string")
+    out = df.select("k", ledger.carries_forbidden(F.col("e")).alias("bad"), ledger.named_entities(F.col("e")).alias("named"))
+    got = {r.k: (r.bad, sorted(r.named)) for r in out.collect()}
+    assert got.pop(1000) == (True, []) and got.pop(1001) == (False, []) and got.pop(1002) == (True, [])
+    for k, c in enumerate(cases):
+        seen = walk(c)
+        assert got[k] == (any(x.lower() in ledger.FORBIDDEN for x, _ in seen), sorted({v for x, v in seen if isinstance(v, str) and v and x.lower().endswith(("entityid", "settlementid"))}))
+    assert sum(b for b, _ in got.values()) > 20 and sum(bool(n) for _, n in got.values()) > 20
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_entity_detail(spark):
     ranked = spark.createDataFrame([(1, "A"), (2, "B"), (3, "C")], "id bigint, name string")
     reports = spark.createDataFrame([(10, 1), (11, 2), (12, 1)], "id bigint, entity bigint")
