@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tacet.functions.text import GRAMS
+from tacet.operators.prefixes import prefix
 from tacet.sources.shared import keep
 
 PAIRS = 1 << 18  # pairs in one batch of output
@@ -101,14 +102,7 @@ class Few:
 
     def prefix(self, of: np.ndarray, gram: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> np.ndarray:
         """Numbers of the entries of vectors (row, gram, count) that belong to their row's prefix."""
-        order = np.lexsort((gram, self.often[gram], of))
-        weight = (tf.astype(float) ** 2)[order]
-        row = of[order]
-        total = np.bincount(row, weight, len(norm))
-        first = np.searchsorted(row, np.arange(len(norm)))
-        before = np.concatenate([[0.0], np.cumsum(weight)])
-        left = total[row] - (before[:-1] - before[first[row]])  # weight from this entry on
-        return order[left >= (self.least * norm[row]) ** 2 * (1 - 1e-9)]
+        return prefix(of, gram, tf, norm, self.often, self.least)
 
     def candidates(self, of: np.ndarray, gram: np.ndarray, tf: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, number of a vector of these) that share a gram of both prefixes."""

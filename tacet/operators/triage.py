@@ -3,7 +3,7 @@
 gazetteer: id, name, aliases. reports: id, title, text, source_type. Exact names are found by
 equi-joins of token windows with the gazetteer's variants, never by a pattern per variant. Similar
 names are found where the texts are, against the trigrams of all variants, if these are few enough
-to be sent everywhere; a larger gazetteer is joined by trigrams.
+to be sent everywhere; a larger gazetteer is joined by its rare trigrams.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from tacet import config as C
 from tacet.functions import maths as M
 from tacet.functions import text as T
 from tacet.operators import lexicons as L
+from tacet.operators.prefixes import similar_texts
 from tacet.sources.shared import keep
 
 
@@ -38,11 +39,6 @@ def variants(gazetteer: DataFrame) -> DataFrame:
     return keyed.join(v, "id").select("entity", "raw", "norm", F.size(F.split("norm", " ")).alias("words"), "vector", "gram_norm")
 
 
-def _grams(variants_: DataFrame, *columns: str) -> DataFrame:
-    """A row per trigram of a variant: gram, vtf and the given columns."""
-    return variants_.select(*columns, F.explode(F.arrays_zip("vector.grams", "vector.tf")).alias("g")).select(*columns, F.col("g.grams").alias("gram"), F.col("g.tf").alias("vtf"))
-
-
 def whole_text() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, C.MAX_TEXT))
 
@@ -132,15 +128,12 @@ def _similar(entities: np.ndarray, grams: np.ndarray, norms: np.ndarray, least:
     return look
 
 
-def _joined_scores(reports: DataFrame, gazetteer_variants: DataFrame) -> DataFrame:
-    """(id, entity, score, at, window) by equi-joins of trigrams, for gazetteers of any size."""
+def _joined_scores(reports: DataFrame, gazetteer_variants: DataFrame, least: float) -> DataFrame:
+    """(id, entity, score, at, window) by equi-joins of rare trigrams, for gazetteers of any size."""
     feature = F.array(*[F.lit(w) for w in L.FEATURES])
     w = windows(reports, 3).where((F.length("window") >= 4) & ~F.coalesce(F.col("after").isin(L.FEATURES), F.lit(False)) & ~F.arrays_overlap("tokens", feature))
     w = w.groupBy("id", "window").agg(F.min("at").alias("at"))
-    v = T.vectors(w.select(F.col("window").alias("id"), "window").distinct(), F.col("window"))
-    counts = v.select(F.col("id").alias("window"), F.col("norm").alias("size"), F.explode(F.arrays_zip("vector.grams", "vector.tf")).alias("g")).select("window", "size", F.col("g.grams").alias("gram"), F.col("g.tf").alias("tf"))
-    dots = counts.join(_grams(gazetteer_variants, "entity", "norm", "gram_norm"), "gram").groupBy("window", "size", "entity", "norm", "gram_norm").agg(F.sum(F.col("tf") * F.col("vtf")).alias("dot"))
-    best = dots.groupBy("window", "entity").agg(F.max(F.col("dot") / (F.col("size") * F.col("gram_norm"))).alias("score"))
+    best = similar_texts(w.select(F.col("window").alias("text")), gazetteer_variants, least).withColumnRenamed("text", "window")
     return w.join(best, "window").select("id", "entity", "score", "at", "window")
 
 
@@ -152,7 +145,7 @@ def fuzzy_scores(reports: DataFrame, gazetteer_variants: DataFrame, least: float
         texts = reports.select("id", T.normalize(whole_text()).alias("norm")).where("norm <> ''")
         hit = texts.mapInArrow(_similar(known["entity"].to_numpy(), grams, known["gram_norm"].to_numpy(), least), "id bigint, entity bigint, score double, at bigint, window string")
     else:
-        hit = _joined_scores(reports, gazetteer_variants).where(F.col("score") >= least)
+        hit = _joined_scores(reports, gazetteer_variants, least)
     return hit.groupBy("id", "entity").agg(F.max("score").alias("score"), F.max_by("window", F.struct("score", -F.col("at"), -F.length("window"))).alias("window"))
 
 
@@ -163,11 +156,8 @@ def unknown_places(reports: DataFrame, gazetteer_variants: DataFrame) -> DataFra
     one = F.regexp_extract_all(raw, F.lit(rf"\b{name}\s+(?:{'|'.join(L.PLACE_AFTER)})\b"), F.lit(1))
     two = F.regexp_extract_all(raw, F.lit(rf"\b(?:{'|'.join(L.PLACE_BEFORE)})\s+of\s+{name}\b"), F.lit(1))
     x = reports.select("id", F.posexplode(F.array_distinct(F.concat(one, two))).alias("pos", "name")).where(F.length("name") >= 3).withColumn("norm", T.normalize("name")).where("norm <> ''")
-    v = T.vectors(x.select(F.col("norm").alias("id"), "norm").distinct(), F.col("norm")).select(F.col("id").alias("norm"), F.explode(F.arrays_zip("vector.grams", "vector.tf")).alias("g"), F.col("norm").alias("gn"))
-    known = _grams(gazetteer_variants.withColumnRenamed("norm", "variant"), "variant", "gram_norm")
-    near = v.select("norm", "gn", F.col("g.grams").alias("gram"), F.col("g.tf").alias("tf")).join(known, "gram").groupBy("norm", "gn", "variant", "gram_norm").agg(F.sum(F.col("tf") * F.col("vtf")).alias("dot"))
-    best = near.groupBy("norm").agg(F.max(F.col("dot") / (F.col("gn") * F.col("gram_norm"))).alias("best"))
-    free = x.join(best, "norm", "left").where(F.coalesce("best", F.lit(0.0)) < C.UNKNOWN_BAR)
+    known = similar_texts(x.select(F.col("norm").alias("text")), gazetteer_variants, C.UNKNOWN_BAR).select(F.col("text").alias("norm")).distinct()
+    free = x.join(known, "norm", "left_anti")
     return free.groupBy("id").agg(F.min_by("name", "pos").alias("unknown_place"))
 
 

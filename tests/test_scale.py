@@ -3,10 +3,12 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.functions import text as T
-from tacet.operators import cadence, graph, linkage, sweep
+from tacet.operators import cadence, graph, linkage, prefixes, sweep, triage
+from tacet.sources import shared
 
 H = C.HOUR_MS
 
@@ -91,6 +93,39 @@ def test_prefix_filter_loses_no_pair(least):
     assert tried < 300 * 30 * (0.9 if least < 0.5 else 0.35)  # of all pairs
 
 
+def test_a_gazetteer_of_100000_names(spark):
+    """Scores of windows against all names, and how few pairs are met on the way."""
+    rng = np.random.default_rng(12)
+    parts = ["".join(rng.choice(list("abcdefghiklmnoprstuvwxyz"), rng.integers(2, 5))) for _ in range(900)]
+    names = sorted({" ".join("".join(rng.choice(parts, 2)) for _ in range(int(rng.integers(1, 3)))) for _ in range(112_000)})[:100_000]
+    assert len(names) == 100_000
+    gazetteer = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "id bigint, name string").withColumn("aliases", F.array().cast("array<string>"))
+    known = shared.keep(triage.variants(gazetteer))
+    texts = [f"{names[int(rng.integers(0, 100_000))]} {parts[k]}{'x' * (k % 3)}" for k in range(12)] + ["", "river"]
+    reports = spark.createDataFrame([(k, "", t) for k, t in enumerate(texts)], "id bigint, title string, text string")
+    got = {(r.id, r.entity): round(r.score, 9) for r in triage.fuzzy_scores(reports, known).collect()}
+
+    columns = T.count_grams(pa.array([f"  {n}  " for n in names]))
+    grams, counts = columns.field("grams"), columns.field("tf")
+    of = np.repeat(np.arange(len(names)), np.diff(grams.offsets.to_numpy()))
+    gram, tf = grams.flatten().to_numpy(), counts.flatten().to_numpy().astype(float)
+    norm = np.sqrt(np.bincount(of, tf**2))
+    expect = {}
+    windows = {(w.id, w.window) for w in triage.windows(reports, 3).collect() if len(w.window) >= 4 and "river" not in (*w.tokens, w.after)}
+    for i, window in windows:
+        one = T.count_grams(pa.array([f"  {window}  "]))
+        weight = np.zeros(T.GRAMS)
+        weight[one.field("grams").flatten().to_numpy()] = one.field("tf").flatten().to_numpy()
+        score = np.bincount(of, tf * weight[gram]) / (norm * np.sqrt((weight**2).sum()))
+        for e in np.flatnonzero(score >= C.FUZZY_MIN).tolist():
+            expect[i, e] = max(expect.get((i, e), 0), round(float(score[e]), 9))
+    assert got == expect and len(got) > 100
+    often = prefixes.frequencies(known)
+    assert (often == np.bincount(gram, minlength=T.GRAMS)).all()
+    lead = prefixes.prefix(of, gram, tf, norm, often, C.FUZZY_MIN)
+    assert (often[gram[lead]]).sum() < 0.5 * often[gram].sum()  # the pairs of all names with each other that a join meets
+
+
 def test_candidate_pairs_against_all_pairs(spark):
     texts = _some_vectors(240, 9)
     rng = np.random.default_rng(1)
