@@ -1,7 +1,9 @@
-"""Structured Streaming forms: last events, silence alerts with event-time timers, emission once."""
+"""Structured Streaming forms: last events, silence alerts with event-time timers, emission once, polled pages."""
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,7 +14,8 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from tacet import config as C
 from tacet.sources import commits
-from tacet.sources.shared import folder
+from tacet.sources.fetch import PageSource
+from tacet.sources.shared import folder, keep
 
 
 def read_events(spark: SparkSession, path: str, late: str = "1 hour") -> DataFrame:
@@ -135,3 +138,21 @@ def emit_once(batch: DataFrame, path: str, key: str, number: int, writer: str =
     """
     new = batch.where(F.col(key).isNotNull()).dropDuplicates([key])
     return commits.commit(batch.sparkSession, path, f"{writer}-{number}", lambda have: new if have is None else new.join(have.select(key).distinct(), key, "left_anti").select(new.columns))
+
+
+def watch_pages(spark: SparkSession, targets: list[str], path: str, seconds: float = C.POLL_IDLE_S, once: bool = False, **options: str) -> StreamingQuery:
+    """Fetches each target once per interval and commits the pages to the table at path, until the query is stopped.
+
+    With ``once`` the query ends after the visit that is due, if one is. A batch is a commit of its own (``sources.commits``) named
+    after its number: a replayed batch that had been committed is not even fetched again. Failed visits are rows with their
+    error. The query's state lies beside the table, so a restart goes on with the intervals. Other options are the source's.
+    """
+    spark.dataSource.register(PageSource)
+    stream = spark.readStream.format("tacet_pages").options(targets=json.dumps(targets), interval=str(seconds), **options).load()
+
+    def write(batch: DataFrame, number: int) -> None:
+        fetched = functools.cache(lambda: keep(batch))  # every look at a batch would fetch its pages again
+        commits.commit(spark, path, f"pages-{number}", lambda _: fetched(), ["url", "fetched_ms"])
+
+    out = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/state")
+    return (out.trigger(availableNow=True) if once else out.trigger(processingTime=f"{max(1, int(seconds * 1000))} milliseconds")).start()

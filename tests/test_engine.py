@@ -5,9 +5,12 @@ import http.server
 import json
 import threading
 
+import pytest
+
 from tacet import config as C
 from tacet.plans import engine
-from tacet.sources import fetch
+from tacet.sources import commits, fetch
+from tacet.streaming import cadence
 
 H = C.HOUR_MS
 
@@ -79,6 +82,49 @@ def test_page_source(spark):
     assert got[f"{base}/bad"].status == "degraded" and got[f"{base}/bad"].html is None and got[f"{base}/bad"].attempts == 2
 
 
+def test_pages_are_polled_once_per_interval(spark, tmp_path):
+    visits = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            visits.append(self.path)
+            self.send_response(200 if self.path != "/bad" else 500)
+            self.end_headers()
+            self.wfile.write(b"x" * 50)
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    targets = [f"http://127.0.0.1:{server.server_port}{p}" for p in ("/a", "/b", "/bad")]
+    path = f"{tmp_path}/pages"
+
+    def visit(seconds):
+        query = cadence.watch_pages(spark, targets, path, seconds, once=True, waits="[]")
+        query.awaitTermination(90)
+        assert query.exception() is None
+
+    forever = 10.0**9  # one interval for two triggers
+    visit(forever)
+    assert sorted(visits) == ["/a", "/b", "/bad"]
+    visit(forever)
+    assert len(visits) == 3
+    rows = commits.table(spark, path).collect()
+    assert sorted((r.url, r.status, r.html is None, r.seq) for r in rows) == [(u, "degraded" if k == 2 else "live", k == 2, k + 1) for k, u in enumerate(targets)]
+    visit(1.0)  # a later interval of the same stream
+    assert sorted(visits) == sorted(["/a", "/b", "/bad"] * 2) and commits.table(spark, path).count() == 6
+    assert commits.log(spark, path).count() == 2
+    server.shutdown()
+
+    stream = fetch.PageStream({"targets": json.dumps(targets), "interval": "60"})
+    assert stream.partitions(stream.initialOffset(), stream.latestOffset()) and not stream.partitions({"interval": 7}, {"interval": 7})
+    stream.partitions({"interval": 10**12}, {"interval": 10**12})  # a restart with a clock that has gone back
+    assert stream.latestOffset() == {"interval": 10**12}
+    with pytest.raises(ValueError):
+        fetch.PageStream({"interval": "0"})
+
+
 def test_release(spark):
     from tacet.sources import shared
 
