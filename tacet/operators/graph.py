@@ -60,6 +60,22 @@ def components(edges: DataFrame, most: int = 40, few: int = FEW_EDGES) -> DataFr
     raise RuntimeError("components did not converge")
 
 
+def updated(labels: DataFrame, edges: DataFrame, few: int = FEW_EDGES) -> DataFrame:
+    """(v, c) of a graph whose components were ``labels`` (v, c) and that has got the edges (a, b): the same as of all its edges.
+
+    The new edges are joined up between the labels of their ends, which takes rounds over no more than these edges; then every
+    vertex looks its label up. An end without a label is a new vertex.
+    """
+    edges = edges.where("a <> b").select("a", "b").distinct()
+    for side in ("a", "b"):
+        edges = edges.join(labels.select(F.col("v").alias(side), F.col("c").alias(f"c{side}")), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    edges = keep(edges)
+    merged = components(edges.select(F.col("ca").alias("a"), F.col("cb").alias("b")), few=few).select(F.col("v").alias("c"), F.col("c").alias("to"))
+    ends = edges.select("a", "ca").unionByName(edges.select(F.col("b").alias("a"), F.col("cb").alias("ca"))).toDF("v", "c").distinct()
+    every = labels.select("v", "c").unionByName(ends.join(labels.select("v"), "v", "left_anti"))
+    return every.join(merged, "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+
+
 def bridges(nodes: list, edges: list[tuple]) -> list[int]:
     """Numbers of the edges whose removal disconnects their ends.
 

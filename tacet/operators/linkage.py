@@ -22,20 +22,29 @@ def snippet() -> Column:
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, C.SNIPPET))
 
 
-def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame, parts: int | None = None) -> DataFrame:
+def few_unresolved(reports: DataFrame) -> bool:
+    """Whether unresolved reports are compared with everything similar: if there are any, and at most MAX_UNRESOLVED."""
+    return 0 < reports.where("entity is null").limit(C.MAX_UNRESOLVED + 1).count() <= C.MAX_UNRESOLVED
+
+
+def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame, parts: int | None = None, held: str | None = None, loose: bool | None = None) -> DataFrame:
     """(a, b), a < b: reports within the time window of the same or of adjacent entities, and unresolved ones with anything similar.
 
     Reports are swept in order of entity and time; those of adjacent entities are moved to one of the two for it. The last
-    block is left out altogether when more than MAX_UNRESOLVED reports are unresolved, so its vectors are few.
+    block is left out altogether when more than MAX_UNRESOLVED reports are unresolved, so its vectors are few; ``loose`` says
+    so for reports that are only a part of all. Of two reports with the boolean column ``held`` set no pair is made.
     """
-    known = reports.where("entity is not null and t is not null").select("id", F.col("entity").alias("key"), "t")
+    old = F.lit(0) if held is None else F.when(F.col(held), 2).otherwise(0)
+    known = reports.where("entity is not null and t is not null").select("id", F.col("entity").alias("key"), "t", old.alias("moved"))
     links = edges.where("src <> dst").select(F.least("src", "dst").alias("key"), F.greatest("src", "dst").alias("dst")).distinct()
-    moved = known.join(links, "key").select("id", F.col("dst").alias("key"), "t")
-    pairs = near_pairs(known.withColumn("moved", F.lit(False)).unionByName(moved.withColumn("moved", F.lit(True))), WINDOW_MS, parts)
-    n = reports.where("entity is null").limit(C.MAX_UNRESOLVED + 1).count()
-    if 0 < n <= C.MAX_UNRESOLVED:
-        timed = reports.where("t is not null").select("id", "t", "entity").join(vectors, "id")
-        pairs = pairs.unionByName(similar_to_few(timed, timed.where("entity is null"), C.TEXT_BLOCK, WINDOW_MS))
+    moved = known.join(links, "key").select("id", F.col("dst").alias("key"), "t", (F.col("moved") + 1).alias("moved"))
+    pairs = near_pairs(known.unionByName(moved), WINDOW_MS, parts)
+    if few_unresolved(reports) if loose is None else loose:
+        timed = reports.where("t is not null").select("id", "t", "entity", (old > 0).alias("old")).join(vectors, "id")
+        few = timed.where("entity is null")
+        pairs = pairs.unionByName(similar_to_few(timed if held is None else timed.where("not old"), few, C.TEXT_BLOCK, WINDOW_MS))
+        if held is not None:
+            pairs = pairs.unionByName(similar_to_few(timed.where("old"), few.where("not old"), C.TEXT_BLOCK, WINDOW_MS))
     return pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
@@ -65,10 +74,10 @@ def outcome_table() -> list[tuple]:
     return out
 
 
-def scored_pairs(reports: DataFrame, edges: DataFrame) -> DataFrame:
-    """Candidate pairs with their comparison levels, similarity, hours apart and match probability."""
+def scored_pairs(reports: DataFrame, edges: DataFrame, held: str | None = None, loose: bool | None = None) -> DataFrame:
+    """Candidate pairs with their comparison levels, similarity, hours apart and match probability; held and loose as for them."""
     vectors = keep(T.vectors(reports, snippet()))
-    pairs = keep(candidate_pairs(reports, edges, vectors))
+    pairs = keep(candidate_pairs(reports, edges, vectors, held=held, loose=loose))
     cols = ["id", "entity", "t", "source_type"]
     left = reports.select(*cols).join(vectors, "id", "left")
     for side in ("a", "b"):
@@ -102,7 +111,11 @@ def clusters(reports: DataFrame, scored: DataFrame) -> DataFrame:
     """
     admitted = keep(scored.where(F.col("p") >= C.ADMIT).select("a", "b", "p"))
     labels = graph.components(admitted)
-    member = keep(graph.refined(admitted, labels))
+    return assembled(reports, admitted, keep(graph.refined(admitted, labels)))
+
+
+def assembled(reports: DataFrame, admitted: DataFrame, member: DataFrame) -> DataFrame:
+    """The clusters of ``clusters``, from admitted pairs (a, b, p) and the cluster of each report that has one (v, cluster)."""
     x = reports.join(member, F.col("id") == F.col("v"), "left").withColumn("cluster", F.coalesce("cluster", "id"))
     sides = [member.select(F.col("v").alias(s), F.col("cluster").alias(f"c{s}")) for s in ("a", "b")]
     inside = admitted.join(sides[0], "a").join(sides[1], "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.avg("p").alias("mean"))

@@ -42,7 +42,7 @@ def _sweep(window: int):
                 m = partners[a:b]
                 right = np.repeat(np.arange(a, b), m)
                 left = np.arange(len(right)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(first[a:b], m)
-                fit = ~(moved[left] & moved[right]) & (ids[left] != ids[right])
+                fit = ((moved[left] & moved[right]) == 0) & (ids[left] != ids[right])
                 if fit.any():
                     yield pa.RecordBatch.from_arrays([pa.array(ids[left[fit]]), pa.array(ids[right[fit]])], names=["id", "other"])
                 a = b
@@ -71,7 +71,7 @@ def sent_rows(rows: DataFrame, window: int, parts: int) -> DataFrame:
 def near_pairs(rows: DataFrame, window: int, parts: int | None = None) -> DataFrame:
     """(id, other) of rows (key, t, id, moved) of the same key whose times differ by at most ``window``; of two moved rows none.
 
-    A key with a third of all rows is split by time; a task carries the rows of the window alone.
+    ``moved`` may also be a number: two rows that have a bit of it in common are no pair. A key with a third of all rows is split by time; a task carries the rows of the window alone.
     """
     n = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = sent_rows(rows, window, n).repartitionById(n, "to").sortWithinPartitions("to", "key", "t", "id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tacet import config as C
 from tacet.functions import maths as M
 from tacet.functions import text as T
-from tacet.operators import graph, lexicons, linkage, triage
+from tacet.operators import graph, increments, lexicons, linkage, triage
 from tacet.plans import views as V
 
 #: A made-up gazetteer of words that occur in the test documents, with misspelt aliases: id, name, aliases.
@@ -76,6 +76,17 @@ def clusters(spark, d):
     return linkage.clusters(_reports(spark, d), _scored(spark, d)).withColumn("report_ids", F.array_join("report_ids", ","))
 
 
+def clusters_in_batches(spark, d):
+    """The clusters of all reports, which come in three batches by time, the second of them last."""
+    r = _reports(spark, d)
+    low, high = r.agg(F.min("t"), F.max("t")).first()
+    third = F.least(F.lit(2), F.floor((F.col("t") - low) * 3 / max(1, (high or 0) - (low or 0))))
+    held = increments.begin(r.where(third == 0), V.doc_edges(spark))
+    for k in (2, 1):
+        held = increments.extend(held, r.where(third == k), V.doc_edges(spark))
+    return held.clusters().withColumn("report_ids", F.array_join("report_ids", ","))
+
+
 def simulated_ambiguous(spark, d):
     return linkage.simulate_ambiguous(_scored(spark, d), _reports(spark, d))
 
@@ -232,6 +243,7 @@ SQL = {
     "ambiguous_top": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT} ORDER BY p DESC, a, b LIMIT {C.TOP_AMBIGUOUS}",
     "components": _PAIRS + f", links AS (SELECT a, b FROM scored WHERE p >= {C.ADMIT} UNION ALL SELECT b, a FROM scored WHERE p >= {C.ADMIT}), reach AS (SELECT id, id AS other FROM doc_reports UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1",
     "clusters": _PAIRS + _CLUSTERS,
+    "clusters_in_batches": _PAIRS + _CLUSTERS,
     "simulated_ambiguous": _PAIRS + f""", every AS (SELECT a, b, p, NOT (p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}) AS forced, FALSE AS made_up FROM scored UNION ALL SELECT min(id), max(id), {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}, TRUE, TRUE FROM (SELECT id FROM doc_reports ORDER BY id LIMIT 2) HAVING count(*) = 2)
 SELECT a, b, CASE WHEN forced THEN {(C.AMBIGUOUS_LOW + C.ADMIT) / 2} ELSE p END AS p, p AS original_p, forced FROM every ORDER BY made_up, forced, CASE WHEN forced THEN abs(p - {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}) ELSE -p END, a, b LIMIT 1""",
     "outcome_table": f"""WITH levels AS (SELECT g.l AS geo, t.l AS time, x.l AS text, s.l AS source FROM {', '.join(f"(SELECT unnest({list(t)}) AS l) AS {n}" for n, t in zip('gtxs', C.MATCH_TABLE.values(), strict=True))}), r AS (SELECT *, {_RATIO} AS ratio FROM levels),
@@ -250,4 +262,4 @@ vg AS (SELECT entity, norm AS variant, substr(p, i, 3) AS gram, count(*) AS tf F
 s AS (SELECT wg.win, vg.entity, vg.variant, sum(wg.tf * vg.tf) AS dot FROM wg JOIN vg ON vg.gram = wg.gram GROUP BY 1, 2, 3), best AS (SELECT s.win, s.entity, max(dot / (wn.norm * vn.norm)) AS score FROM s JOIN wn ON wn.win = s.win JOIN vn ON vn.entity = s.entity AND vn.variant = s.variant GROUP BY 1, 2)
 SELECT id, entity, {_UP("max(score)")} AS score FROM w JOIN best ON best.win = w.win GROUP BY 1, 2 HAVING max(score) >= {C.FUZZY_MIN}""",
 }
-QUERIES = {f.__name__: f for f in (normalize_text, trigram_tf, trigram_cosine_pairs, candidate_pairs, scored_pairs, outcome_table, ambiguous_pairs, ambiguous_top, components, clusters, simulated_ambiguous, lexicon_hits, triage_category, tier1_matches, tier2_best, triage_reports, relevant_documents, unknown_places)}
+QUERIES = {f.__name__: f for f in (normalize_text, trigram_tf, trigram_cosine_pairs, candidate_pairs, scored_pairs, outcome_table, ambiguous_pairs, ambiguous_top, components, clusters, clusters_in_batches, simulated_ambiguous, lexicon_hits, triage_category, tier1_matches, tier2_best, triage_reports, relevant_documents, unknown_places)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.functions import text as T
-from tacet.operators import cadence, graph, linkage, prefixes, sweep, triage
+from tacet.operators import cadence, graph, increments, linkage, prefixes, sweep, triage
 from tacet.sources import shared
 
 H = C.HOUR_MS
@@ -202,3 +202,36 @@ def test_refinement_by_joins(spark):
         assert {r.v: r.cluster for r in graph.refined(frame, labels, few=few).collect()} == expect
     assert len(set(expect.values())) > len(by_part) + 20
     assert not graph.refined(frame.limit(0), labels.limit(0), few=0).collect()
+
+
+def test_components_in_batches(spark):
+    rng = np.random.default_rng(8)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (600, 2))] + [(5, 5), (905, 905)]
+    frame = spark.createDataFrame([(*e, int(rng.integers(0, 3))) for e in edges], "a bigint, b bigint, batch int")
+    expect = {r.v: r.c for r in graph.components(frame.select("a", "b")).collect()}
+    for few in (10**6, 0):
+        labels = graph.components(frame.where("batch = 0").select("a", "b"))
+        for k in (1, 2, 1):  # a batch that comes again changes nothing
+            labels = shared.keep(graph.updated(labels, frame.where(f"batch = {k}").select("a", "b"), few))
+        assert {r.v: r.c for r in labels.collect()} == expect and labels.count() == len(expect)
+    assert graph.updated(labels, frame.limit(0)).count() == len(expect)
+
+
+@pytest.mark.parametrize("most", [200, 8])  # with 8 there are too many unresolved reports from the second batch on
+def test_linkage_in_batches(spark, monkeypatch, most):
+    monkeypatch.setattr(C, "MAX_UNRESOLVED", most)
+    texts = _some_vectors(150, 9)
+    texts = [texts[k // 8] if k % 4 else t for k, t in enumerate(texts)]
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 14 == 3 else i // 8 % 5, (i // 8 * 20 + int(rng.integers(0, 30))) * H if i % 31 else None, "xy"[i % 2], "", t) for i, t in enumerate(texts)]
+    reports = spark.createDataFrame(rows, "id bigint, entity bigint, t bigint, source_type string, title string, text string")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(5)] + [(i + 1, i) for i in range(5)], "src bigint, dst bigint")
+    scored = shared.keep(linkage.scored_pairs(reports, edges))
+    expect = sorted(map(str, linkage.clusters(reports, scored).collect()))
+    held = increments.begin(reports.where("id % 5 = 0"), edges)
+    assert held.loose
+    for batch in ("id % 5 in (1, 4)", "id % 5 in (1, 4)", "id % 5 in (0, 2, 3)"):  # the second has come before, the last in part
+        held = increments.extend(held, reports.where(batch), edges)
+    assert sorted(map(str, held.scored.collect())) == sorted(map(str, scored.collect()))
+    assert sorted(map(str, held.clusters().collect())) == expect and len(expect) < 130
+    assert held.loose == (most == 200) and increments.extend(held, reports.limit(0), edges) is held
