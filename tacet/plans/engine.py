@@ -1,6 +1,7 @@
 """One batch pass over reports, and what an application reads from it.
 
-Stages are isolated: one that fails leaves an incident and its input, and the pass goes on.
+Stages are isolated: one that fails leaves an incident and its input, and the pass goes on. A pass over new reports alone takes
+the linkage of the pass before.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tacet import config as C
-from tacet.operators import ledger, linkage, ranking, triage
+from tacet.operators import increments, ledger, linkage, ranking, triage
 from tacet.sources.shared import keep
 
 ITEMS = "item string, kind string, entity bigint, fingerprint string, title string, evidence string"
@@ -28,16 +29,20 @@ class Pass:
     clusters: DataFrame | None = None
     ranked: DataFrame | None = None
     new_items: DataFrame | None = None
+    linked: increments.Linked | None = None
     incidents: list[tuple[str, str, str]] = field(default_factory=list)
     duration_ms: int = 0
 
 
-def run(reports: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFrame | None = None, gazetteer: DataFrame | None = None, now: int = C.NOW_MS) -> Pass:
+def run(reports: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFrame | None = None, gazetteer: DataFrame | None = None, now: int = C.NOW_MS, classifier: Callable[[dict, list], dict] | None = None, before: increments.Linked | None = None) -> Pass:
     """Triage (with a gazetteer), linkage, ranking and new items for the ledger ``held``.
 
     reports: id, entity, t, source_type, title, text. With a gazetteer its triage sets the entity.
+    classifier: asked about residual reports, within the limits of ``triage.ask_outside``; those that it leaves are incidents.
+    before: the linkage of the pass before, to which ``reports`` come; ranking is over all, and ``linked`` is for the next pass.
+    If linkage fails, ranking sees the new reports and ``linked`` stays as it was.
     """
-    began, out = time.monotonic(), Pass(reports)
+    began, out = time.monotonic(), Pass(reports, linked=before)
 
     def stage(name: str, work: Callable[[], None]) -> None:
         try:
@@ -46,13 +51,24 @@ def run(reports: DataFrame, entities: DataFrame, edges: DataFrame, held: DataFra
             out.incidents.append(("degraded-source", name, f"{type(e).__name__}: {e}"[:300]))
 
     def do_triage() -> None:
-        found = triage.triage(out.reports, gazetteer).select("id", "entity", "category", "confidence", "tier")
+        found = keep(triage.triage(out.reports, gazetteer).select("id", "entity", "category", "confidence", "tier", "matched_on"))
+        if classifier is not None:
+            found, said = triage.ask_outside(found, out.reports.drop("entity"), keep(triage.variants(gazetteer)), classifier)
+            by = said.where("reason <> 'classified'").groupBy("reason").agg(F.count(F.lit(1)).alias("n")).orderBy("reason")
+            left = by.limit(triage.MOST_CALLS + 1).collect()  # a reason for each call, and one for those beyond
+            out.incidents += [("llm-fallback", "triage", f"{r['n']} reports were not classified: {r['reason']}") for r in left]
+            found = keep(found)
         out.reports = keep(out.reports.drop("entity").join(found, "id", "left"))
-        n = out.reports.where("tier = 3").count()
+        n = 0 if classifier is not None else out.reports.where("tier = 3").count()
         if n:
             out.incidents.append(("llm-fallback", "triage", f"{n} reports need an outside classifier"))
 
     def do_linkage() -> None:
+        if before is not None:
+            linked = increments.extend(before, out.reports, edges)
+            scored, clusters = linked.scored, keep(linked.clusters())
+            out.linked, out.scored, out.clusters, out.reports = linked, scored, clusters, linked.reports
+            return
         out.scored = keep(linkage.scored_pairs(out.reports, edges))
         out.clusters = keep(linkage.clusters(out.reports, out.scored))
 

@@ -8,6 +8,7 @@ import threading
 import pytest
 
 from tacet import config as C
+from tacet.operators import increments
 from tacet.plans import engine
 from tacet.sources import commits, fetch
 from tacet.streaming import cadence
@@ -34,6 +35,41 @@ def test_pass(spark):
     assert again.new_items.count() == 0
 
 
+def test_passes_over_batches(spark):
+    """Passes that each take some new reports end with the linkage and ranking of one pass over all."""
+    reports, entities, edges = _tables(spark)
+    near = spark.createDataFrame([(900 + k, k % 4, C.NOW_MS - (1 + k % 3) * H, "news", "", "the same words of the same report") for k in range(9)], reports.schema)
+    reports = reports.unionByName(near)
+    whole = engine.run(reports, entities, edges)
+    done = engine.run(reports.where("id % 2 = 0"), entities, edges, before=increments.begin(reports.limit(0), edges))
+    done = engine.run(reports.where("id % 2 = 1"), entities, edges, before=done.linked)
+    assert not [i for i in done.incidents if i[0] == "degraded-source"] and done.reports.count() == reports.count()
+    for name in ("clusters", "ranked", "new_items"):
+        assert sorted(map(str, getattr(done, name).collect())) == sorted(map(str, getattr(whole, name).collect()))
+    assert whole.clusters.count() < reports.count()
+
+
+def test_a_pass_with_an_outside_classifier(spark):
+    reports, entities, edges = _tables(spark)
+    flood = spark.createDataFrame([(900 + k, None, C.NOW_MS - H, "news", "", f"the flood took the road {k}") for k in range(8)], reports.schema)
+    gazetteer = spark.createDataFrame([(1, "Thanedble", [])], "id bigint, name string, aliases array<string>")
+    seen = []
+
+    def ask(report, offered):
+        seen.append(report["id"])
+        if report["id"] == 901:
+            raise ValueError("no answer")
+        return {"category": "hazard-signal", "confidence": 0.6, "why": "a flood"}
+
+    done = engine.run(reports.unionByName(flood), entities, edges, gazetteer=gazetteer, classifier=ask)
+    assert sorted(seen) == [900, 901, 902, 903, 904, 905]
+    assert {m for k, s, m in done.incidents if k == "llm-fallback"} == {"1 reports were not classified: error: no answer", "2 reports were not classified: budget"}
+    got = {r.id: (r.confidence, r.matched_on) for r in done.reports.where("id >= 900").collect()}
+    assert got[900] == (0.6, "llm:unresolved") and got[901] == got[907] == (0.3, None)
+    plain = engine.run(flood, entities, edges, gazetteer=gazetteer)
+    assert ("llm-fallback", "triage", "8 reports need an outside classifier") in plain.incidents
+
+
 def test_a_failing_stage(spark):
     reports, entities, edges = _tables(spark)
     done = engine.run(reports.drop("text"), entities, edges)
