@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -106,3 +106,17 @@ def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
 def hits(norm: Column, words: list[str]) -> Column:
     """The entries of a lexicon that occur in a normalised text, in the lexicon's order."""
     return let(norm, lambda s: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(s, w)))
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the table function trigrams(text) known to the session's SQL: (gram, tf) of a text, normalised as ``normalize`` does.
+
+    SELECT id, t.* FROM reports, LATERAL trigrams(text) AS t. It is a function in SQL that counts sorted trigrams where the
+    text is: no Python worker and no shuffle. Null and empty texts have no rows.
+    """
+    norm = "trim(regexp_replace(lower(regexp_replace(translate(text, '{0}', '{1}'), '[\\u0300-\\u036F]', '')), '[^a-z0-9]+', ' '))".format(MARKED, PLAIN)
+    padded = f"transform(filter(array({norm}), n -> n <> ''), n -> '  ' || n || '  ')"
+    grams = f"transform({padded}, p -> array_sort(transform(sequence(1, length(p) - 2), i -> substr(p, i, 3))))"
+    starts = "filter(sequence(1, size(g)), i -> NOT (get(g, i - 1) <=> get(g, i - 2)))"  # of each run of equal ones
+    runs = f"transform({grams}, g -> transform(array({starts}), s -> transform(sequence(1, size(s)), k -> struct(get(g, get(s, k - 1) - 1) AS gram, coalesce(get(s, k), size(g) + 1) - get(s, k - 1) AS tf))))"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION trigrams(text STRING) RETURNS TABLE (gram STRING, tf INT) RETURN SELECT p.gram, p.tf FROM (SELECT explode(flatten(flatten({runs}))) AS p)")

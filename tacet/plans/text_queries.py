@@ -34,6 +34,13 @@ def trigram_tf(spark, d):
     return v.select("id", F.size("vector.grams").alias("distinct_grams"), M.half_up("norm").alias("norm"))
 
 
+def trigram_rows(spark, d):
+    """Counts from the table function of SQL."""
+    T.register(spark)
+    rows = spark.sql("SELECT d.doc_id AS id, t.gram, t.tf FROM {docs} AS d, LATERAL trigrams(d.text) AS t", docs=V.table(spark, d, "documents"))
+    return rows.groupBy("id").agg(F.count(F.lit(1)).alias("distinct_grams"), F.sum("tf").alias("grams"), F.max("tf").alias("most"), F.max_by("gram", F.struct("tf", "gram")).alias("top"))
+
+
 def trigram_cosine_pairs(spark, d):
     x = V.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     v = T.vectors(x, F.col("text"))
@@ -236,6 +243,7 @@ CASE WHEN exact = 1 THEN only_matched WHEN settled AND category = 'new-settlemen
 SQL = {
     "normalize_text": f"SELECT doc_id, md5({_NORM}) AS digest, length({_NORM}) AS n FROM documents",
     "trigram_tf": f"WITH {_SNIP}, {_vectors('snip')} SELECT id, distinct_grams, {_UP('norm')} AS norm FROM norms",
+    "trigram_rows": f"WITH snip AS (SELECT doc_id AS id, text FROM documents), {_vectors('snip')} SELECT id, count(*) AS distinct_grams, CAST(sum(tf) AS BIGINT) AS grams, CAST(max(tf) AS INTEGER) AS most, arg_max(gram, (tf, gram)) AS top FROM v GROUP BY id",
     "trigram_cosine_pairs": f"WITH {_SNIP}, {_vectors('snip')} SELECT p.id, {_UP('coalesce(dot, 0) / (p.norm * q.norm)')} AS cosine FROM norms p JOIN norms q ON q.id = p.id + 1 LEFT JOIN (SELECT x.id, sum(x.tf * y.tf) AS dot FROM v x JOIN v y ON y.id = x.id + 1 AND y.gram = x.gram GROUP BY 1) d ON d.id = p.id",
     "candidate_pairs": _PAIRS + "SELECT a, b FROM pairs",
     "scored_pairs": _PAIRS + "SELECT * FROM scored",
@@ -262,4 +270,4 @@ vg AS (SELECT entity, norm AS variant, substr(p, i, 3) AS gram, count(*) AS tf F
 s AS (SELECT wg.win, vg.entity, vg.variant, sum(wg.tf * vg.tf) AS dot FROM wg JOIN vg ON vg.gram = wg.gram GROUP BY 1, 2, 3), best AS (SELECT s.win, s.entity, max(dot / (wn.norm * vn.norm)) AS score FROM s JOIN wn ON wn.win = s.win JOIN vn ON vn.entity = s.entity AND vn.variant = s.variant GROUP BY 1, 2)
 SELECT id, entity, {_UP("max(score)")} AS score FROM w JOIN best ON best.win = w.win GROUP BY 1, 2 HAVING max(score) >= {C.FUZZY_MIN}""",
 }
-QUERIES = {f.__name__: f for f in (normalize_text, trigram_tf, trigram_cosine_pairs, candidate_pairs, scored_pairs, outcome_table, ambiguous_pairs, ambiguous_top, components, clusters, clusters_in_batches, simulated_ambiguous, lexicon_hits, triage_category, tier1_matches, tier2_best, triage_reports, relevant_documents, unknown_places)}
+QUERIES = {f.__name__: f for f in (normalize_text, trigram_tf, trigram_rows, trigram_cosine_pairs, candidate_pairs, scored_pairs, outcome_table, ambiguous_pairs, ambiguous_top, components, clusters, clusters_in_batches, simulated_ambiguous, lexicon_hits, triage_category, tier1_matches, tier2_best, triage_reports, relevant_documents, unknown_places)}

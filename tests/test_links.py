@@ -71,6 +71,21 @@ def test_text(spark):
     assert got == [pytest.approx(want), 0.0] and want > 0
 
 
+def test_trigrams_as_a_table_function(spark):
+    T.register(spark)
+    texts = ["  Éàñ—The  RIVER! the the", None, "", "éx", "it's ---", "?!"]
+    spark.createDataFrame(list(enumerate(texts)), "id bigint, text string").createOrReplaceTempView("some_texts")
+    x = spark.sql("SELECT id, t.gram, t.tf FROM some_texts, LATERAL trigrams(text) AS t")
+    plan = x._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange hashpartitioning" not in plan
+    want = set()
+    for i, norm in ((0, "ean the river the the"), (3, "ex"), (4, "it s")):
+        p = f"  {norm}  "
+        all_ = [p[k : k + 3] for k in range(len(p) - 2)]
+        want |= {(i, g, all_.count(g)) for g in all_}
+    assert {tuple(r) for r in x.collect()} == want and x.count() == len(want)
+
+
 def test_similar_names_by_kernel_and_by_join(spark):
     """The kernel for small gazetteers and the joins for large ones give the same scores."""
     rng = random.Random(9)
