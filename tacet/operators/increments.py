@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.operators import graph, linkage
-from tacet.sources.shared import keep
+from tacet.sources.shared import keep, release, scratch
 
 COLUMNS = ("id", "entity", "t", "source_type", "title", "text")
 #: Tables that grow by a part a batch are written as one again when they have more parts than this.
@@ -24,7 +26,8 @@ def _whole(parts: list[DataFrame]) -> DataFrame:
 
 
 def _grown(parts: list[DataFrame], new: DataFrame) -> list[DataFrame]:
-    parts = [*parts, keep(new)]
+    """Parts and one more, which has been written."""
+    parts = [*parts, new]
     return [keep(_whole(parts))] if len(parts) > MOST_PARTS else parts
 
 
@@ -54,6 +57,21 @@ class Linked:
         return linkage.assembled(self.reports, keep(self.admitted), self.member.select("v", "cluster"))
 
 
+def _tidy(work: Callable[..., Linked]) -> Callable[..., Linked]:
+    """work, which deletes at its end what it has written besides the linkage that it returns."""
+
+    @functools.wraps(work)
+    def run(*args, **kw) -> Linked:
+        with scratch() as made:
+            out = work(*args, **kw)
+        needed = [*out.report_parts, *out.scored_parts, out.member]
+        release(out.member.sparkSession, [path for path, table in made if not any(table is x for x in needed)])
+        return out
+
+    return run
+
+
+@_tidy
 def begin(reports: DataFrame, edges: DataFrame) -> Linked:
     """The linkage of a first batch (id, entity, t, source_type, title, text). An id that stands there twice counts once."""
     new = keep(reports.select(*COLUMNS).dropDuplicates(["id"]))
@@ -68,6 +86,20 @@ def _relinked(reports: list[DataFrame], scored: list[DataFrame], loose: bool) ->
     return Linked(reports, scored, keep(labels.join(graph.refined(admitted, labels), "v").select("v", "c", "cluster")), loose)
 
 
+def _reached(held: DataFrame, new: DataFrame, low: int | None, high: int | None) -> DataFrame:
+    """Held reports of the time bins next to those of new ones, whose times are from low to high.
+
+    These two bounds reach the scan, so that files and row groups of other times are passed over; texts are read of the rest.
+    """
+    place = F.floor(F.col("t") / linkage.WINDOW_MS)
+    if low is None:
+        return held.limit(0)
+    bins = new.where("t is not null").select(F.explode(F.array(place - 1, place, place + 1)).alias("bin")).distinct()
+    near = held.where(F.col("t").between(low - linkage.WINDOW_MS, high + linkage.WINDOW_MS))
+    return near.withColumn("bin", place).join(bins, "bin", "left_semi").select(*COLUMNS)
+
+
+@_tidy
 def extend(held: Linked, batch: DataFrame, edges: DataFrame) -> Linked:
     """The linkage of what is held and a batch of reports together, in whichever batches they came; ``edges`` must be the same.
 
@@ -75,15 +107,15 @@ def extend(held: Linked, batch: DataFrame, edges: DataFrame) -> Linked:
     other and with the held ones of the time bins next to theirs; labels are joined up over the new pairs; components that a new
     pair touches are refined again from their pairs. Of the rest only ids and probabilities are read. When unresolved
     reports become more than MAX_UNRESOLVED, the pairs that were found through them go, once, and all is labelled anew.
+    What is held before stays as it is; tables that only this batch's work needed are deleted.
     """
     new = keep(batch.select(*COLUMNS).dropDuplicates(["id"]).join(held.reports.select("id"), "id", "left_anti"))
-    if not new.limit(1).count():
+    n, low, high = new.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
+    if not n:
         return held
     reports = _grown(held.report_parts, new)
     loose = linkage.few_unresolved(_whole(reports))
-    place = F.floor(F.col("t") / linkage.WINDOW_MS)
-    bins = new.where("t is not null").select(F.explode(F.array(place - 1, place, place + 1)).alias("bin")).distinct()
-    near = held.reports.withColumn("bin", place).join(bins, "bin", "left_semi").select(*COLUMNS)
+    near = _reached(held.reports, new, low, high)
     both = keep(near.withColumn("held", F.lit(True)).unionByName(new.withColumn("held", F.lit(False))))
     found = keep(linkage.scored_pairs(both, edges, held="held", loose=loose))
     if held.loose and not loose:

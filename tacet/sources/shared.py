@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_here = threading.local()
 
 
 @atexit.register
@@ -45,7 +49,23 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{folder(spark).rstrip('/')}/tacet-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if getattr(_here, "made", None) is not None:
+        _here.made.append((path, out))
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[list[tuple[str, DataFrame]]]:
+    """Lists (path, table) of what keep writes in the block, in this thread alone, so that what is not needed later can be released."""
+    outer, made = getattr(_here, "made", None), []
+    _here.made = made
+    try:
+        yield made
+    finally:
+        _here.made = outer
+        if outer is not None:
+            outer += made
 
 
 def spread(scan: DataFrame) -> DataFrame:

@@ -235,3 +235,33 @@ def test_linkage_in_batches(spark, monkeypatch, most):
     assert sorted(map(str, held.scored.collect())) == sorted(map(str, scored.collect()))
     assert sorted(map(str, held.clusters().collect())) == expect and len(expect) < 130
     assert held.loose == (most == 200) and increments.extend(held, reports.limit(0), edges) is held
+
+
+def test_batches_leave_no_tables_but_their_linkage(spark):
+    texts = _some_vectors(60, 4)
+    rows = [(i, i // 8 % 5, i * 10 * H, "x", "", t) for i, t in enumerate(texts)]
+    reports = spark.createDataFrame(rows, "id bigint, entity bigint, t bigint, source_type string, title string, text string")
+    edges = spark.createDataFrame([(0, 1), (1, 0)], "src bigint, dst bigint")
+    before = set(shared.kept_tables())
+    held = increments.begin(reports.where("id < 30"), edges)
+    first = sorted(map(str, held.clusters().collect()))
+    held_tables = set(shared.kept_tables()) - before
+    with shared.scratch() as made:
+        now = increments.extend(held, reports.where("id >= 30"), edges)
+    left = [path for path, _ in made if path in set(shared.kept_tables())]
+    assert len(left) == len(now.report_parts) + len(now.scored_parts) + 1 - 2 and len(made) > 2 * len(left)  # parts of before stay where they are
+    assert held_tables <= set(shared.kept_tables()) and sorted(map(str, held.clusters().collect())) == first
+    scored = shared.keep(linkage.scored_pairs(reports, edges))
+    assert sorted(map(str, now.clusters().collect())) == sorted(map(str, linkage.clusters(reports, scored).collect()))
+
+
+def test_only_held_reports_near_in_time_are_read(spark):
+    held = shared.keep(spark.createDataFrame([(i, 1, i * 100 * H, "x", "", "t") for i in range(20)] + [(99, 1, None, "x", "", "t")], "id bigint, entity bigint, t bigint, source_type string, title string, text string"))
+    new = held.where("id in (3, 15)")
+    low, high = 300 * H, 1500 * H
+    near = increments._reached(held, new, low, high)
+    got, bins = {r.id for r in near.collect()}, lambda i: i * 100 * H // linkage.WINDOW_MS
+    assert got == {i for i in range(20) if any(abs(bins(i) - bins(j)) <= 1 for j in (3, 15))}
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(t," in plan and "LessThanOrEqual(t," in plan  # they reach the scan
+    assert increments._reached(held, new, None, None).count() == 0
