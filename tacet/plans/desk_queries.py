@@ -162,6 +162,23 @@ def serp_reports(spark, d):
     return S.from_serp(payloads, C.NOW_MS).select("id", "url", "title", "source_name", "published_ms", "time_imputed")
 
 
+def search_reports(spark, d):
+    """Search results made of whole documents, a payload per document, each also once cut off, which gives nothing.
+
+    All four lists occur, with other field names in each; results without an address, a web address or a title are left out.
+    """
+    text, n = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    title = [F.substring(text, 40 * k + 1, 40) for k in range(4)]
+    organic = F.struct(title[0].alias("title"), text.alias("description"), F.concat(F.lit("/o/"), n).alias("link"), F.concat((F.col("doc_id") % 9).cast("string"), F.lit(" hours ago")).alias("date"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("source"))
+    news = F.struct(title[1].alias("name"), F.substring(text, 1, 300).alias("snippet"), F.concat(F.lit("https://news.example/"), n).alias("url"), F.lit("yesterday").alias("published"))
+    results = [F.struct(title[2].alias("title"), text.alias("summary"), href.alias("href"), F.lit("2023-11-05T10:00:00Z").alias("time")) for href in (F.concat(F.lit("?page="), n), F.lit(None).cast("string"))]
+    stories = [F.struct(title[3].alias("name"), F.concat(F.lit(place), n).alias("link")) for place in ("s/", "mailto:a")]
+    lists = F.struct(F.array(organic).alias("organic"), F.array(news).alias("news"), F.array(*results).alias("organic_results"), F.array(*stories).alias("top_stories"))
+    x = V.table(spark, d, "documents").select(F.concat(F.lit("https://s"), (F.col("doc_id") % 50).cast("string"), F.lit(".example/search/q")).alias("target"), F.to_json(lists).alias("body"))
+    payloads = x.select("target", F.explode(F.array("body", F.expr("left(body, length(body) - 2)"))).alias("body"))
+    return S.from_serp(payloads, C.NOW_MS).select("id", "url", "title", F.md5("text").alias("text_digest"), "source_name", "published_ms", "time_imputed")
+
+
 def normalized_reports(spark, d):
     e = V.events(spark, d)
     raw = e.select(F.lit("").alias("id"), F.when(F.col("event_id") % 7 != 0, F.concat(F.lit(" http://x"), (F.col("user_id") % 30).cast("string"), F.lit(".example/"), F.col("event_id").cast("string"))).alias("url"), F.concat(F.lit("T "), F.col("event_type")).alias("title"), F.lit("t").alias("text"), F.when(F.col("event_id") % 2 == 0, "official").otherwise("odd").alias("source_type"), F.lit(None).cast("string").alias("source_name"), F.when(F.col("event_id") % 3 == 0, F.col("t")).alias("published_ms"), (F.col("t") + 1).alias("fetched_ms"))
@@ -236,10 +253,16 @@ SELECT id, {_UP3("(800 - w * s) / 2 + (lon - west) * k * s")} AS x, {_UP3("(600
     "map_labels": R._ALL + "SELECT id, CASE WHEN rank <= 3 THEN 1 WHEN rank <= 10 THEN 2 ELSE 3 END AS tier, rank <= 10 AS shown FROM ranked",
     "link_relevance": Q._LINKS + f" SELECT page_id, count(*) FILTER ({' OR '.join(f"contains(lower(label || ' ' || url), '{w}')" for w in [*triage.L.EVENTS, *NEEDLES])}) AS relevant, count(*) AS links FROM b WHERE length(label) >= 2 GROUP BY 1",
     "page_links_18": Q._LINKS + " SELECT page_id, url, arg_min(label, i) AS label FROM b WHERE length(label) >= 18 GROUP BY 1, 2",
+    "search_reports": f"""WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, 'S' || doc_id % 50 AS host, 'https://s' || doc_id % 50 || '.example' AS root FROM documents),
+ items AS (SELECT substr(text, 1, 40) AS title, text, root || '/o/' || doc_id AS url, coalesce(CASE WHEN doc_id % 2 = 0 THEN lang END, host) AS source_name, {C.NOW_MS} - doc_id % 9 * 3600000 AS published FROM d
+ UNION ALL SELECT substr(text, 41, 40), substr(text, 1, 300), 'https://news.example/' || doc_id, 'News', {C.NOW_MS - 24 * C.HOUR_MS} FROM d
+ UNION ALL SELECT substr(text, 81, 40), text, root || '/search/q?page=' || doc_id, host, 1699178400000 FROM d
+ UNION ALL SELECT substr(text, 121, 40), '', root || '/search/s/' || doc_id, host, NULL FROM d)
+SELECT 'rpt-' || substr(sha1(url), 1, 12) AS id, url, substr(title, 1, {C.MAX_TITLE}) AS title, md5(substr(text, 1, {C.MAX_TEXT})) AS text_digest, source_name, coalesce(published, {C.NOW_MS}) AS published_ms, published IS NULL AS time_imputed FROM items WHERE title <> ''""",
     "serp_reports": f"SELECT 'rpt-' || substr(sha1(url), 1, 12) AS id, url, title, CASE WHEN event_id % 2 = 0 THEN 'Daily' ELSE 'S' || user_id % 50 END AS source_name, {C.NOW_MS} - event_id % 5 * 3600000 AS published_ms, FALSE AS time_imputed FROM (SELECT *, 'https://s' || user_id % 50 || '.example/e/' || event_id AS url, 'Report ' || event_id AS title FROM events)",
     "normalized_reports": f"SELECT 'rpt-' || substr(sha1(url), 1, 12) AS id, CASE WHEN event_id % 2 = 0 THEN 'official' ELSE 'news' END AS source_type, 'X' || user_id % 30 AS source_name, url, 'T ' || event_type AS title, 't' AS text, CASE WHEN event_id % 3 = 0 THEN {_MS} ELSE {_MS} + 1 END AS published_ms, {_MS} + 1 AS fetched_ms FROM (SELECT *, 'http://x' || user_id % 30 || '.example/' || event_id AS url FROM events WHERE event_id % 7 <> 0)",
     "loose_dates": f"SELECT event_id, CASE event_id % 11 WHEN 0 THEN {C.NOW_MS - 24 * C.HOUR_MS} WHEN 1 THEN {C.NOW_MS} WHEN 2 THEN NULL WHEN 3 THEN {_MS} // 1000 * 1000 ELSE {C.NOW_MS} - event_id % 40 * [60000, 3600000, 86400000, 604800000, 2592000000][event_id % 5 + 1] END AS at FROM events",
     "published_dates": f"SELECT event_id, CASE WHEN event_id % 5 < 4 THEN {_MS} // 1000 * 1000 END AS at FROM events",
     "decoded_entities": "SELECT event_id, chr(CAST(65 + event_id % 26 AS INT)) || chr(CAST(8364 + event_id % 5 AS INT)) || '<& &copy;' AS decoded FROM events",
 }
-QUERIES = {f.__name__: f for f in (api_state, clustered_events, corroboration, entity_overview, failed_stages, new_escalations, new_ambiguous, named_entities, pair_titles, pending_items, decided_recently, items_by_status, pending_entities, heal_incidents, reports_of_sources, registered_sources, source_failure, self_heals, cold_start_shown, map_positions, map_labels, link_relevance, page_links_18, serp_reports, normalized_reports, loose_dates, published_dates, decoded_entities)}
+QUERIES = {f.__name__: f for f in (api_state, clustered_events, corroboration, entity_overview, failed_stages, new_escalations, new_ambiguous, named_entities, pair_titles, pending_items, decided_recently, items_by_status, pending_entities, heal_incidents, reports_of_sources, registered_sources, source_failure, self_heals, cold_start_shown, map_positions, map_labels, link_relevance, page_links_18, serp_reports, search_reports, normalized_reports, loose_dates, published_dates, decoded_entities)}
