@@ -116,7 +116,7 @@ def register(spark: SparkSession) -> None:
     """
     norm = "trim(regexp_replace(lower(regexp_replace(translate(text, '{0}', '{1}'), '[\\u0300-\\u036F]', '')), '[^a-z0-9]+', ' '))".format(MARKED, PLAIN)
     padded = f"transform(filter(array({norm}), n -> n <> ''), n -> '  ' || n || '  ')"
-    grams = f"transform({padded}, p -> array_sort(transform(sequence(1, length(p) - 2), i -> substr(p, i, 3))))"
+    grams = f"transform({padded}, p -> sort_array(regexp_extract_all(p, '(?=(...))', 1)))"  # one pass, where substr would count from the start each time
     starts = "filter(sequence(1, size(g)), i -> NOT (get(g, i - 1) <=> get(g, i - 2)))"  # of each run of equal ones
     runs = f"transform({grams}, g -> transform(array({starts}), s -> transform(sequence(1, size(s)), k -> struct(get(g, get(s, k - 1) - 1) AS gram, coalesce(get(s, k), size(g) + 1) - get(s, k - 1) AS tf))))"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION trigrams(text STRING) RETURNS TABLE (gram STRING, tf INT) RETURN SELECT p.gram, p.tf FROM (SELECT explode(flatten(flatten({runs}))) AS p)")

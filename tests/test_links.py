@@ -1,7 +1,9 @@
 """Linkage, refinement of components, and triage."""
 
+import collections
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -86,6 +88,18 @@ def test_trigrams_as_a_table_function(spark):
     assert {tuple(r) for r in x.collect()} == want and x.count() == len(want)
 
 
+def test_trigrams_of_a_long_text_take_one_pass(spark):
+    T.register(spark)
+    text = "".join(random.Random(2).choices("abcdefgh ", k=600_000))
+    frame = spark.createDataFrame([(text,)], "text string").cache()
+    frame.count()
+    begin = time.monotonic()
+    got = {r.gram: r.tf for r in spark.sql("SELECT t.gram, t.tf FROM {docs}, LATERAL trigrams(text) AS t", docs=frame).collect()}
+    assert time.monotonic() - begin < 20  # a position that is counted from the start each time takes minutes
+    p = "  " + " ".join(text.split()) + "  "
+    assert got == collections.Counter(p[k : k + 3] for k in range(len(p) - 2))
+
+
 def test_similar_names_by_kernel_and_by_join(spark):
     """The kernel for small gazetteers and the joins for large ones give the same scores."""
     rng = random.Random(9)
