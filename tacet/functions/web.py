@@ -128,12 +128,14 @@ def absolute(href: Column, base: Column) -> Column:
     return F.when(scheme != "", F.regexp_replace(F.regexp_replace(out, r"/\./", "/"), r"/[^/:]+/\.\./", "/")).when(F.rlike(href, F.lit("(?i)^https?://")), href)
 
 
+ANCHOR = r"(?is)<a\b[^>]*href=[\"']([^\"'#]+)[\"'][^>]*>(.{0,200}?)</a>"
+
+
 def links(html: Column, base: Column, least: int = 18) -> Column:
     """array<struct<pos, url, label>> of the anchors with a long enough label; the first label of each url."""
-    pattern = r"(?is)<a\b[^>]*href=[\"']([^\"'#]+)[\"'][^>]*>(.{0,200}?)</a>"
 
     def collect(h: Column) -> Column:
-        hrefs, labels = (F.regexp_extract_all(h, F.lit(pattern), F.lit(i)) for i in (1, 2))
+        hrefs, labels = (F.regexp_extract_all(h, F.lit(ANCHOR), F.lit(i)) for i in (1, 2))
         rows = F.transform(F.arrays_zip(hrefs.alias("h"), labels.alias("l")), lambda p, i: F.struct(i.alias("pos"), absolute(p["h"], base).alias("url"), strip_tags(p["l"]).alias("label")))
         return F.filter(rows, lambda r: r["url"].isNotNull() & (F.length(r["label"]) >= least))
 

@@ -34,9 +34,11 @@ def page_links(spark, d):
 
 
 def listing_articles(spark, d):
-    x = _pages(spark, d).select("url", "html").dropDuplicates(["url"])
-    y = x.select(F.col("url").alias("target"), F.explode(web.links(F.col("html"), F.col("url"), 2)).alias("l")).select("target", "l.*")
-    return y.groupBy("target").agg(F.count_distinct("url").alias("links"))
+    """Of pages with the same address the first with an anchor counts, by page_id."""
+    x = _pages(spark, d).where(F.rlike("html", F.lit(web.ANCHOR)))
+    x = x.select(F.col("url").alias("target"), "page_id", F.array_distinct(F.transform(web.links(F.col("html"), F.col("url"), 2), lambda r: r["url"])).alias("urls"))
+    y = x.groupBy("target").agg(F.min_by("urls", "page_id").alias("urls"))
+    return y.select("target", F.size("urls").cast("bigint").alias("links")).where("links > 0")
 
 
 def page_reports(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from tacet import config as C
 from tacet.functions import web
 from tacet.operators import ledger
+from tacet.plans import record_queries
 from tacet.sources import commits
 from tacet.sources import reports as S
 from tacet.streaming import cadence as stream
@@ -37,6 +38,19 @@ def test_page(spark):
     assert [(r.url, r.label) for r in listed] == [("https://www.daily.example/a/one", "A label that is long enough")]
 
 
+def test_of_pages_with_one_address_the_first_with_an_anchor_counts(spark, tmp_path):
+    def page(n):
+        return "".join(f'<a href="/p/{k}">label {k}</a>' for k in range(n)) or "<p>none</p>"
+
+    rows = [(i, f"https://h{u}.example/list", page((i - 2) % 9 if i > 8 else 0)) for i in range(40, 0, -1) for u in (i % 3,)]
+    spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(7, "html").write.parquet(str(tmp_path / "pages.parquet"))
+    expect = {}
+    for i, u, h in sorted(rows):
+        if "<a" in h:
+            expect.setdefault(u, h.count("<a"))
+    assert {r.target: r.links for r in record_queries.listing_articles(spark, str(tmp_path)).collect()} == expect
+
+
 def test_entities_and_tags(spark):
     got = one(spark, web.decode_entities(F.lit("&#65;&#x42;&lt;&nbsp;&copy;&AMP;")), web.strip_tags(F.lit("<style>x</style>a<br>b <!-- c -->&amp;lt;")))
     assert got == ("AB< &copy;&", "a b &lt;") or got == ("AB< &copy;&", "a b <")
