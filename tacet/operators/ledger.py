@@ -188,15 +188,24 @@ def cold_start_incidents(ranked: DataFrame, first: int = 3) -> DataFrame:
     return x.select(F.lit("cold-start").alias("kind"), "id", F.concat(F.lit("No report has ever named "), "name", F.lit(". Its baseline is that of cohort "), "cohort").alias("message"))
 
 
-def failed_stages(incidents: DataFrame, runs: DataFrame, slack_ms: int = 2000, bin_ms: int = C.HOUR_MS) -> DataFrame:
+def failed_stages(incidents: DataFrame, runs: DataFrame, slack_ms: int = 2000) -> DataFrame:
     """(run, stage): stages that an incident of a degraded source names within a run. runs: run, last_at, duration_ms.
 
-    Runs are spread over the time bins that they touch, so the join is on equal bins.
+    No run meets its incidents one by one. A run's time is cut at a multiple of a power of two so that it is the end of one bin
+    and the beginning of the next one, both of that power's length. It has an incident of a stage if the last one of the first bin
+    is not before the run, or the first one of the second bin not after it. So each run looks at two bins, and an
+    incident is counted once for every length that occurs, at most some sixty and in practice a dozen.
     """
-    low, high = F.col("last_at") - F.col("duration_ms") - slack_ms, F.col("last_at") + slack_ms
-    spread = runs.select("run", low.alias("low"), high.alias("high")).withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / bin_ms), F.floor(F.col("high") / bin_ms))))
-    x = incidents.where("kind = 'degraded-source' and stage is not null").withColumn("bin", F.floor(F.col("at") / bin_ms))
-    return x.join(spread, "bin").where((F.col("at") >= F.col("low")) & (F.col("at") <= F.col("high"))).select("run", "stage").distinct()
+    r = runs.select("run", (F.col("last_at") - F.col("duration_ms") - slack_ms).alias("low"), (F.col("last_at") + slack_ms).alias("high")).where("low <= high")
+    differ = F.length(F.bin(F.col("low").bitwiseXOR(F.col("high")))) - 1  # the highest bit in which both ends differ
+    r = r.withColumn("level", F.least(differ, F.length(F.bin(F.col("high") - F.col("low"))))).withColumn("bin", F.expr("shiftright(high, level)"))
+    levels = F.broadcast(r.select("level").distinct())  # at most 64 rows
+    x = incidents.where("kind = 'degraded-source' and stage is not null and at is not null").select("stage", "at").crossJoin(levels)
+    x = x.groupBy("level", F.expr("shiftright(at, level)").alias("bin"), "stage").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    sides = F.explode(F.array(F.struct((F.col("bin") - 1).alias("bin"), F.lit(True).alias("early")), F.struct("bin", F.lit(False).alias("early"))))
+    looks = r.select("run", "level", "low", "high", sides.alias("s")).select("run", "level", "low", "high", "s.*")
+    hit = F.when(F.col("early"), (F.col("last") >= F.col("low")) & (F.col("last") <= F.col("high"))).otherwise((F.col("first") <= F.col("high")) & (F.col("first") >= F.col("low")))
+    return looks.join(x, ["level", "bin"]).where(hit).select("run", "stage").distinct()
 
 
 def source_failure(current: DataFrame, reports: DataFrame) -> DataFrame:
