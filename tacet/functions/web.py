@@ -49,10 +49,14 @@ def _utf8(n: Column) -> Column:
 
 def decode_entities(x: Column) -> Column:
     """Decimal, then hexadecimal, then the named references above; others stay."""
-    x = F.when(F.contains(x, F.lit("&#")), _chars(_chars(x, "&#([0-9]{1,7});", lambda f: f.cast("int")), "&#[xX]([0-9a-fA-F]{1,6});", lambda f: F.conv(f, 16, 10).cast("int"))).otherwise(x)
-    for name, char in [*((k, v) for k, v in NAMED.items() if k != "amp"), ("amp", "&")]:
-        x = F.regexp_replace(x, f"(?i)&{name};", char)
-    return x
+
+    def decoded(x: Column) -> Column:
+        y = F.when(F.contains(x, F.lit("&#")), _chars(_chars(x, "&#([0-9]{1,7});", lambda f: f.cast("int")), "&#[xX]([0-9a-fA-F]{1,6});", lambda f: F.conv(f, 16, 10).cast("int"))).otherwise(x)
+        for name, char in [*((k, v) for k, v in NAMED.items() if k != "amp"), ("amp", "&")]:
+            y = F.regexp_replace(y, f"(?i)&{name};", char)
+        return F.when(F.contains(x, F.lit("&")), y).otherwise(x)
+
+    return let(x, decoded)
 
 
 def strip_tags(html: Column) -> Column:
@@ -63,9 +67,11 @@ def strip_tags(html: Column) -> Column:
 
 def first_match(html: Column, *patterns: str) -> Column:
     """The first capture that is not blank, decoded; else an empty text."""
-    found = [F.nullif(F.regexp_extract(html, p, 1), F.lit("")) for p in patterns]
-    found = [F.when(F.trim(F.regexp_replace(f, BLANK, " ")) != "", f) for f in found]
-    return F.coalesce(squeeze(decode_entities(F.coalesce(*found))), F.lit(""))
+
+    def found(h: Column) -> Column:
+        return F.coalesce(*[let(F.regexp_extract(h, p, 1), lambda f: F.when(squeeze(f) != "", f)) for p in patterns])
+
+    return F.coalesce(squeeze(decode_entities(let(html, found))), F.lit(""))
 
 
 def _meta(key: str, names: str, value: str = "content") -> str:
@@ -95,15 +101,23 @@ def body(html: Column) -> Column:
 def loose_date(x: Column, now_ms) -> Column:
     """Epoch milliseconds of "n units ago", yesterday, today, just now, or an ISO date; null for anything else."""
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
-    s = F.trim(F.lower(x))
     rel = r"^(?:about\s+)?(\d{1,9})\s*(second|sec|minute|min|hour|hr|day|week|month|year)s?\s+ago$"
-    unit, per = F.regexp_extract(s, rel, 2), F.lit(None).cast("bigint")
-    for name, ms in UNITS.items():
-        per = F.when(unit == name, F.lit(ms).cast("bigint")).otherwise(per)
-    n = F.regexp_extract(s, rel, 1)
-    ago = F.when(n != "", now - F.when(n != "", n).cast("bigint") * per)
-    iso = F.unix_millis(F.try_to_timestamp(x))
-    return F.when(s == "", None).when(ago.isNotNull(), ago).when(s == "yesterday", now - 24 * C.HOUR_MS).when(s.isin("today", "just now"), now).otherwise(iso)
+
+    def ago(m: Column) -> Column:
+        per = F.lit(None).cast("bigint")
+        for name, ms in UNITS.items():
+            per = F.when(m["unit"] == name, F.lit(ms).cast("bigint")).otherwise(per)
+        return F.when(m["n"] != "", now - F.when(m["n"] != "", m["n"]).cast("bigint") * per)
+
+    def read(t: Column) -> Column:
+        def dated(s: Column) -> Column:
+            relative = let(F.struct(F.regexp_extract(s, rel, 1).alias("n"), F.regexp_extract(s, rel, 2).alias("unit")), ago)
+            other = F.when(s == "yesterday", now - 24 * C.HOUR_MS).when(s.isin("today", "just now"), now).otherwise(F.unix_millis(F.try_to_timestamp(t)))
+            return F.when(s == "", None).when(F.endswith(s, F.lit("ago")), F.coalesce(relative, other)).otherwise(other)
+
+        return let(F.trim(F.lower(t)), dated)
+
+    return let(x, read)
 
 
 def published(html: Column, now_ms) -> Column:
