@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import types as T
 from tacet import config as C
 from tacet.functions import web
 from tacet.operators import ledger
-from tacet.plans import record_queries
+from tacet.plans import open_queries, record_queries
 from tacet.sources import commits
 from tacet.sources import reports as S
 from tacet.streaming import cadence as stream
@@ -347,3 +348,34 @@ def test_a_faster_writer_is_seen(spark, tmp_path):
     assert commits.commit(spark, path, "mine", rows) and calls == [False, True]
     assert sorted((r.k, r.seq) for r in commits.table(spark, path).collect()) == [(1, 2), (2, 1)]
     assert [(r.version, r.batch, r.rows) for r in commits.log(spark, path).orderBy("version").collect()] == [(1, "theirs", 1), (2, "mine", 1)]
+
+
+def test_a_page_is_looked_through_once_for_its_date(spark):
+    frame = spark.range(1).select(F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("h"))
+    plan = frame.select(web.published(F.col("h"), NOW).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("datePublished") == 1 and plan.count("pubdate") == 1
+    texts = ["3 hours ago\n", "ago", " Yesterday ", "an age ago", "7 days ago x", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", web.loose_date(F.col("t"), NOW).alias("d")).orderBy("i").collect()
+    assert [r.d for r in got] == [NOW - 3 * C.HOUR_MS, None, NOW - 24 * C.HOUR_MS, None, None, None]
+
+
+def test_listings_by_status_fold_the_ledger_once(spark):
+    plan = open_queries.open_by_status(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") <= 3
+
+
+def test_stages_of_runs_among_many_incidents(spark):
+    rng = random.Random(5)
+    incidents = [("degraded-source" if rng.random() < 0.8 else "heal", rng.choice(["a", "b", None]), rng.randrange(0, 1 << rng.randrange(1, 24))) for _ in range(400)]
+    runs = [(k, rng.randrange(-5, 1 << rng.randrange(1, 24)), rng.choice([0, 1, 1000, 3_600_000, rng.randrange(1 << 22)])) for k in range(400)]
+    some, more = spark.createDataFrame(incidents, "kind string, stage string, at bigint"), spark.createDataFrame(runs, "run bigint, last_at bigint, duration_ms bigint")
+    for slack in (0, 3, 2000):
+        expect = {(r, s) for r, t, d in runs for k, s, at in incidents if k == "degraded-source" and s and t - d - slack <= at <= t + slack}
+        got = [tuple(r) for r in ledger.failed_stages(some, more, slack).collect()]
+        assert set(got) == expect and len(got) == len(expect)
+    assert not ledger.failed_stages(some.limit(0), more).collect() and not ledger.failed_stages(some, more.limit(0)).collect()
+    many = spark.range(60_000).select(F.lit("degraded-source").alias("kind"), F.lit("a").alias("stage"), (F.col("id") * 50).alias("at"))
+    long = spark.range(60_000).select(F.col("id").alias("run"), (F.lit(2_900_000) + F.col("id")).alias("last_at"), F.lit(2_800_000).alias("duration_ms"))
+    begin = time.monotonic()
+    assert ledger.failed_stages(many, long).count() == 60_000
+    assert time.monotonic() - begin < 30  # every run meets nearly every incident: 3.4 billion pairs
