@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,7 @@ GRAMS = SYMBOLS**3
 CODE = np.zeros(256, np.int32)
 CODE[[*range(0x61, 0x7B), *range(0x30, 0x3A)]] = np.arange(1, SYMBOLS)
 VECTOR = "struct<grams:array<int>,tf:array<int>>"
+ARROW_VECTOR = pa.struct([("grams", pa.list_(pa.int32())), ("tf", pa.list_(pa.int32()))])
 
 
 def text_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -59,11 +61,34 @@ def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)).astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+#: Symbols or grams that are counted or compared at a time, so that the arrays made for it stay small whatever the batch.
+SLICE = 1 << 20
+
+
+def _slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have at most SLICE elements together, or are a single row."""
+    at, n = 0, len(offs) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offs, offs[at] + SLICE, "right")) - 1)
+        yield at, to
+        at = to
+
+
+def _joined(parts: list[pa.Array], kind: pa.DataType) -> pa.Array:
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def count_grams(padded: pa.Array) -> pa.Array:
     """The distinct trigrams of each text, in order, and their counts."""
+    lengths = pc.fill_null(pc.binary_length(padded), 0).to_numpy(zero_copy_only=False)
+    offs = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    return _joined([_count(padded.slice(at, to - at)) for at, to in _slices(offs)], ARROW_VECTOR)
+
+
+def _count(padded: pa.Array) -> pa.Array:
     code, offs = text_codes(padded)
     n, size = len(offs) - 1, max(0, len(code) - 2)
-    gram = (code[:size].astype(np.int64) * SYMBOLS + code[1 : size + 1]) * SYMBOLS + code[2 : size + 2]
+    gram = (code[:size] * SYMBOLS + code[1 : size + 1]) * SYMBOLS + code[2 : size + 2]
     of = np.repeat(np.arange(n), np.diff(offs))[:size]
     whole = np.arange(size) + 2 < offs[of + 1] if size else np.zeros(0, bool)
     key, tf = np.unique(of[whole] * GRAMS + gram[whole], return_counts=True)
@@ -73,7 +98,11 @@ def count_grams(padded: pa.Array) -> pa.Array:
 
 def dot_products(a: pa.Array, b: pa.Array) -> pa.Array:
     """Of each row the dot product of two vectors."""
+    offs = a.field("grams").offsets.to_numpy().astype(np.int64) + b.field("grams").offsets.to_numpy()
+    return _joined([_dot(a.slice(at, to - at), b.slice(at, to - at)) for at, to in _slices(offs)], pa.int64())
+
 
+def _dot(a: pa.Array, b: pa.Array) -> pa.Array:
     def flat(v):
         grams, tf = v.field("grams"), v.field("tf")
         size = np.diff(grams.offsets.to_numpy())

@@ -4,13 +4,16 @@ import collections
 import itertools
 import random
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tacet import config as C
 from tacet.functions import text as T
 from tacet.operators import graph, linkage, triage
+from tacet.plans import text_queries
 
 H = C.HOUR_MS
 
@@ -100,6 +103,30 @@ def test_trigrams_of_a_long_text_take_one_pass(spark):
     assert got == collections.Counter(p[k : k + 3] for k in range(len(p) - 2))
 
 
+def test_trigrams_of_a_batch_are_counted_in_slices():
+    rng = random.Random(3)
+    texts = [f"  {''.join(rng.choices('abcdefgh ', k=rng.choice([0, 3, 4000, 9000])))}  " for _ in range(1500)] + [None, ""]
+    batch = pa.array(texts)
+    tracemalloc.start()
+    got = T.count_grams(batch)
+    dots = T.dot_products(got.slice(1), got.slice(0, len(got) - 1))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6  # all at once take five times that
+    for k in [*range(0, 1500, 100), 1500, 1501]:
+        n = collections.Counter((texts[k] or "")[i : i + 3] for i in range(len(texts[k] or "") - 2))
+        assert sorted(got[k].as_py()["tf"]) == sorted(n.values()) and got[k].as_py()["grams"] == sorted(got[k].as_py()["grams"])
+        before = dict(zip(*got[k - 1].as_py().values(), strict=True)) if k else {}
+        assert not k or dots[k - 1].as_py() == sum(t * before.get(g, 0) for g, t in zip(*got[k].as_py().values(), strict=True))
+    assert len(T.count_grams(pa.array([], pa.string()))) == 0 and len(T.dot_products(got.slice(0, 0), got.slice(0, 0))) == 0
+
+
+@pytest.mark.parametrize("query", [text_queries.lexicon_hits, text_queries.triage_category])
+def test_a_text_is_normalised_once_for_all_lexicons(spark, query):
+    plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("translate(") == 1
+
+
 def test_similar_names_by_kernel_and_by_join(spark):
     """The kernel for small gazetteers and the joins for large ones give the same scores."""
     rng = random.Random(9)
