@@ -165,6 +165,15 @@ def lexicon_columns(norm: Column) -> dict[str, Column]:
     return {name: T.hits(norm, words) for name, words in (("hazard", L.HAZARD), ("strong", L.STRONG), ("weak", L.WEAK), ("warning", L.WARNING), ("negative", L.NEGATIVE), ("noise", L.NOISE))}
 
 
+def counted(texts: DataFrame, *keys: str) -> DataFrame:
+    """(keys, hazard, strong, ...): how many entries of each lexicon occur in normalised texts (norm).
+
+    A text is normalised once and each lexicon counted once, as what is read from here is a column and not its expression.
+    """
+    hits = F.struct(*[F.size(c).alias(k) for k, c in lexicon_columns(F.col("norm")).items()])
+    return texts.select(*keys, F.explode(F.array(hits)).alias("n")).select(*keys, "n.*")
+
+
 def classify(entity: Column, unknown: Column, source: Column, n: dict[str, Column]) -> tuple[Column, Column]:
     """(category, strength) by the first rule that fits; n: hits per lexicon."""
     named = entity.isNotNull()

@@ -99,15 +99,15 @@ def simulated_ambiguous(spark, d):
 
 
 def lexicon_hits(spark, d):
-    n = triage.lexicon_columns(T.normalize("text"))
-    return V.table(spark, d, "documents").select("doc_id", *[F.size(c).alias(k) for k, c in n.items()])
+    return triage.counted(V.table(spark, d, "documents").select("doc_id", T.normalize("text").alias("norm")), "doc_id")
 
 
 def triage_category(spark, d):
-    n = {k: F.size(c) for k, c in triage.lexicon_columns(T.normalize("text")).items()}
+    x = lexicon_hits(spark, d)
+    n = {k: F.col(k) for k in x.columns[1:]}
     entity = F.when(F.col("doc_id") % 3 != 0, F.col("doc_id"))
     category, strength = triage.classify(entity, F.lit(None).cast("string"), F.when(F.col("doc_id") % 2 == 0, "official").otherwise("news"), n)
-    return V.table(spark, d, "documents").select("doc_id", category.alias("category"), strength.alias("strength"))
+    return x.select("doc_id", category.alias("category"), strength.alias("strength"))
 
 
 def tier1_matches(spark, d):
