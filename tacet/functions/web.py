@@ -113,7 +113,7 @@ def loose_date(x: Column, now_ms) -> Column:
         def dated(s: Column) -> Column:
             relative = let(F.struct(F.regexp_extract(s, rel, 1).alias("n"), F.regexp_extract(s, rel, 2).alias("unit")), ago)
             other = F.when(s == "yesterday", now - 24 * C.HOUR_MS).when(s.isin("today", "just now"), now).otherwise(F.unix_millis(F.try_to_timestamp(t)))
-            return F.when(s == "", None).when(F.endswith(s, F.lit("ago")), F.coalesce(relative, other)).otherwise(other)
+            return F.when(s == "", None).when(F.contains(s, F.lit("ago")), F.coalesce(relative, other)).otherwise(other)
 
         return let(F.trim(F.lower(t)), dated)
 

@@ -353,7 +353,7 @@ def test_a_faster_writer_is_seen(spark, tmp_path):
 def test_a_page_is_looked_through_once_for_its_date(spark):
     frame = spark.range(1).select(F.concat(F.lit("<p>"), F.col("id").cast("string")).alias("h"))
     plan = frame.select(web.published(F.col("h"), NOW).alias("d"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("datePublished") == 1 and plan.count("pubdate") == 1
+    assert plan.count("datePublished") == 1 and plan.count("(?:pubdate|") == 1
     texts = ["3 hours ago\n", "ago", " Yesterday ", "an age ago", "7 days ago x", None]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", web.loose_date(F.col("t"), NOW).alias("d")).orderBy("i").collect()
     assert [r.d for r in got] == [NOW - 3 * C.HOUR_MS, None, NOW - 24 * C.HOUR_MS, None, None, None]
