@@ -117,11 +117,22 @@ def _dot(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.bincount(kb[both] // GRAMS, ta[at[both]] * tb[both], len(a)).astype(np.int64))
 
 
+def _vectors(batches):
+    """(id, vector, norm) of rows (id, normalised text between two blanks on either side); empty texts go."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        batch, lengths = batch.filter(pa.array(lengths > 4)), lengths[lengths > 4]
+        for at, to in _slices(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])):
+            vector = _count(batch.column(1).slice(at, to - at))
+            tf = vector.field("tf")
+            squares = np.concatenate([[0], np.cumsum(tf.values.to_numpy().astype(np.int64) ** 2)])[tf.offsets.to_numpy()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), vector, pa.array(np.sqrt(np.diff(squares).astype(float)))], names=["id", "vector", "norm"])
+
+
 def vectors(rows: DataFrame, text: Column) -> DataFrame:
     """(id, vector, norm) of rows with an id: trigram counts as sorted arrays. Empty texts have none; nothing is shuffled."""
-    count = F.arrow_udf(count_grams, VECTOR)
-    x = rows.select("id", normalize(text).alias("_norm")).where("_norm <> ''").select("id", count(F.concat(F.lit("  "), "_norm", F.lit("  "))).alias("vector"))
-    return x.withColumn("norm", F.sqrt(F.aggregate("vector.tf", F.lit(0).cast("bigint"), lambda s, t: s + t * t).cast("double")))
+    x = rows.select("id", F.concat(F.lit("  "), normalize(text), F.lit("  ")).alias("padded"))
+    return x.mapInArrow(_vectors, f"id {x.schema['id'].dataType.simpleString()}, vector {VECTOR}, norm double")
 
 
 def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
@@ -132,6 +143,26 @@ def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return F.when((na > 0) & (nb > 0), product / (na * nb)).otherwise(F.lit(0.0))
 
 
+def with_cosine(rows: DataFrame) -> DataFrame:
+    """rows with their cosine ``sim`` in place of vector_a, norm_a, vector_b and norm_b; 0 where one is missing.
+
+    It is computed once a row, whatever is asked of it later: a condition on a column is moved below and computed twice.
+    """
+    none = F.struct(F.array().cast("array<int>").alias("grams"), F.array().cast("array<int>").alias("tf"))
+    own = [c for c in rows.columns if c not in ("vector_a", "norm_a", "vector_b", "norm_b")]
+    at = len(own)
+
+    def work(batches):
+        for batch in batches:
+            product = dot_products(batch.column(at), batch.column(at + 1)).to_numpy()
+            norms = batch.column(at + 2).to_numpy() * batch.column(at + 3).to_numpy()
+            sim = np.divide(product, norms, out=np.zeros(len(norms)), where=norms > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(sim)], names=[*own, "sim"])
+
+    x = rows.select(*own, *[F.coalesce(v, none).alias(v) for v in ("vector_a", "vector_b")], *[F.coalesce(n, F.lit(0.0)).alias(n) for n in ("norm_a", "norm_b")])
+    return x.mapInArrow(work, rows.select(*own, F.lit(0.0).alias("sim")).schema)
+
+
 def hits(norm: Column, words: list[str]) -> Column:
     """The entries of a lexicon that occur in a normalised text, in the lexicon's order."""
     return let(norm, lambda s: F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(s, w)))

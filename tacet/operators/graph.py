@@ -33,17 +33,42 @@ def _joined(table: pa.Table) -> pa.Table:
     return pa.table({"v": pa.array(nodes), "c": pa.array(nodes[[find(x) for x in range(len(nodes))]])})
 
 
+def _stretches(batches):
+    """Of each batch of edges (a, b) its vertices with their least neighbour over edges of the batch, by union-find."""
+    for batch in batches:
+        if batch.num_rows:
+            yield from _joined(pa.Table.from_batches([batch])).to_batches()
+
+
 def components(edges: DataFrame, most: int = 40, few: int = FEW_EDGES) -> DataFrame:
     """(v, c): the least vertex c reachable from each vertex v of edges (a, b).
 
-    Large-star and small-star steps alternate; each keeps the number of edges linear, hubs are only
-    aggregated by a minimum or joined, and a logarithmic number of rounds suffices. After ``most``
-    rounds without an end (which a graph of any real size does not take) it raises an error. A graph
-    of at most ``few`` edges is joined up by one task instead.
+    A graph of at most ``few`` edges is joined up by one task. A larger one is laid out in the order of its vertices, and each
+    batch of edges is joined up where it lies; what is left are links between the roots of a vertex that batches share,
+    which are a graph of their own, and a far smaller one if linked vertices are near each other. If it is not, it takes rounds.
     """
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.count() <= few:
+    n = e.count()
+    if n <= few:
         return e.withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_joined, "v bigint, c bigint")
+    dealt = e.repartitionByRange(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "b", "a").sortWithinPartitions("b", "a")
+    stars = keep(dealt.mapInArrow(_stretches, "v bigint, c bigint"))
+    root = keep(stars.groupBy("v").agg(F.min("c").alias("c")))
+    links = keep(stars.join(root.withColumnRenamed("c", "b"), "v").where("c <> b").select(F.col("c").alias("a"), "b").distinct())
+    left = links.count()
+    if not left:
+        return root
+    top = components(links, most, few) if left <= max(few, n // 2) else _rounds(links, most)
+    return root.join(top.select(F.col("v").alias("c"), F.col("c").alias("to")), "c", "left").select("v", F.coalesce("to", "c").alias("c"))
+
+
+def _rounds(e: DataFrame, most: int) -> DataFrame:
+    """(v, c) of edges (a, b) with a > b.
+
+    Large-star and small-star steps alternate; each keeps the number of edges linear, hubs are only
+    aggregated by a minimum or joined, and a logarithmic number of rounds suffices. After ``most``
+    rounds without an end (which a graph of any real size does not take) it raises an error.
+    """
     last = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -173,6 +198,28 @@ def _refined_at_once(weak: float, deepest: int):
     return work
 
 
+def _refined_in_turn(weak: float, deepest: int):
+    """(v, cluster) of rows in the order of their component, one whole component after the other."""
+    at_once = _refined_at_once(weak, deepest)
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = pa.Table.from_batches([batch])
+            x = x if held is None else pa.concat_tables([held, x])
+            own = x.column("c").to_numpy()
+            ready = int(np.searchsorted(own, own[-1]))  # the last component may go on in the next batch
+            if ready:
+                yield from at_once(x.slice(0, ready)).to_batches()
+            held = x.slice(ready)
+        if held is not None:
+            yield from at_once(held).to_batches()
+
+    return work
+
+
 def _jumped(pointers: DataFrame, most: int = 40) -> DataFrame:
     """(c, d) with d the root of each c, of pointers (c, d) that lead to roots (d, d): pointers are doubled until nothing moves."""
     for _ in range(most):
@@ -255,16 +302,27 @@ def refined(edges: DataFrame, labels: DataFrame, few: int = FEW_EDGES, weak: flo
     """(v, cluster): components of scored edges (a, b, p), refined. A cluster is named by its least member.
 
     A part of three members or more is cut at its weakest bridge, if that is weak and both sides have two members,
-    up to ``deepest`` times behind each other. Cutting a bridge makes or ends no other, so the weak bridges are found once:
-    parts that strong edges join are contracted, and the bridges of what is left are the weak ones. What no weak bridge
-    divides is then a block with its size, blocks and weak bridges form a forest, and each round cuts every tree of it at
-    its weakest bridge. A graph of at most ``few`` edges (counted first) is refined by one task instead; otherwise
-    no step gathers a component.
+    up to ``deepest`` times behind each other. Components of at most ``few`` edges (counted first) are refined where their
+    edges lie together, one after the other. For the others no step gathers a component: cutting a bridge makes or ends no
+    other, so the weak bridges are found once: parts that strong edges join are contracted, and the bridges of what is left
+    are the weak ones. What no weak bridge divides is then a block with its size, blocks and weak bridges form a forest, and
+    each round cuts every tree of it at its weakest bridge.
     """
-    edges = keep(edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("p").alias("p")).where("a <> b"))
-    if edges.count() <= few:
-        x = edges.join(labels.select(F.col("v").alias("a"), "c"), "a").select("a", "b", "p", "c").withColumn("_all", F.lit(0))
-        return x.groupBy("_all").applyInArrow(_refined_at_once(weak, deepest), "v bigint, cluster bigint")
+    edges = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("p").alias("p")).where("a <> b")
+    edges = keep(edges.join(labels.select(F.col("v").alias("a"), "c"), "a").select("a", "b", "p", "c"))
+    large = keep(edges.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > few).select("c"))
+    some = large.limit(1).count() > 0
+    small = edges.join(large, "c", "left_anti").select("a", "b", "p", "c") if some else edges
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = small.repartition(parts, "c").sortWithinPartitions("c").mapInArrow(_refined_in_turn(weak, deepest), "v bigint, cluster bigint")
+    if not some:
+        return each
+    own = keep(edges.join(large, "c", "left_semi").select("a", "b", "p"))
+    return each.unionByName(_refined_apart(own, labels, few, weak, deepest))
+
+
+def _refined_apart(edges: DataFrame, labels: DataFrame, few: int, weak: float, deepest: int) -> DataFrame:
+    """``refined`` for large components: edges (a, b, p), each pair once; no step gathers a component."""
     nodes = keep(labels.select("v", "c").join(edges.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"))
     strong = keep(_labelled(edges.where(F.col("p") > weak), nodes, few))
     thin = numbered(_ends(edges.where(F.col("p") <= weak), strong).where("ca <> cb"), "a", "b", name="e")

@@ -85,8 +85,7 @@ def scored_pairs(reports: DataFrame, edges: DataFrame, held: str | None = None,
     linked = edges.select(F.col("src").alias("entity_a"), F.col("dst").alias("entity_b"), F.lit(True).alias("next")).distinct()
     x = pairs.join(linked, ["entity_a", "entity_b"], "left")
     hours = F.abs(F.col("t_a") - F.col("t_b")) / C.HOUR_MS
-    sim = T.cosine(F.col("vector_a"), F.col("vector_b"), F.col("norm_a"), F.col("norm_b"))
-    x = x.withColumns({"hours": hours, "sim": sim})
+    x = T.with_cosine(x.withColumn("hours", hours).drop("t_a", "t_b"))
     levels = {
         "geo": F.when(F.col("entity_a").isNull() | F.col("entity_b").isNull(), "unknown").when(F.col("entity_a") == F.col("entity_b"), "same").when(F.col("next"), "adjacent").otherwise("far"),
         "time": F.when(F.col("hours") < 6, "lt6h").when(F.col("hours") < 24, "lt24h").when(F.col("hours") < 72, "lt72h").otherwise("beyond"),

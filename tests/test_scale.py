@@ -204,6 +204,53 @@ def test_refinement_by_joins(spark):
     assert not graph.refined(frame.limit(0), labels.limit(0), few=0).collect()
 
 
+def test_small_components_take_few_steps(spark):
+    """A large graph of small components is joined up and refined where its edges lie, whatever the sizes of the batches."""
+    edges = _many_graphs()
+    frame = shared.keep(spark.createDataFrame(edges, "a bigint, b bigint, p double"))
+    labels = shared.keep(graph.components(frame.select("a", "b"), few=10**6))
+    expect = {r.v: r.c for r in labels.collect()}
+    clusters = {r.v: r.cluster for r in graph.refined(frame, labels).collect()}
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    for rows in ("7", "1000"):
+        spark.conf.set(size, rows)
+        try:
+            have = len(shared.kept_tables())
+            assert {r.v: r.c for r in graph.components(frame.select("a", "b"), few=300).collect()} == expect
+            assert rows == "7" or len(shared.kept_tables()) - have <= 6  # rounds wrote a table each
+            have = len(shared.kept_tables())
+            assert {r.v: r.cluster for r in graph.refined(frame, labels, few=300).collect()} == clusters
+            assert len(edges) > 600 and len(shared.kept_tables()) - have <= 3  # by joins there are dozens
+        finally:
+            spark.conf.set(size, before)
+    rng = np.random.default_rng(2)
+    mixed = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 700, (500, 2))], "a bigint, b bigint")  # linked vertices lie anywhere
+    whole = {r.v: r.c for r in graph.components(mixed).collect()}
+    assert {r.v: r.c for r in graph.components(mixed, few=0).collect()} == whole
+    assert {r.v: r.c for r in graph._rounds(shared.keep(mixed.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()), 40).collect()} == whole
+
+
+def test_texts_are_normalised_and_compared_once(spark):
+    reports = spark.createDataFrame([(k, 1, k, "x", "", t) for k, t in enumerate(_some_vectors(20, 3))], "id bigint, entity bigint, t bigint, source_type string, title string, text string")
+    plan = T.vectors(reports, linkage.snippet())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("[^a-z0-9]+") == 1
+    scored = linkage.scored_pairs(reports, spark.createDataFrame([], "src bigint, dst bigint"))
+    plan = scored.where("p >= 0.6").select("a", "b", "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    text = {r.id: r.text for r in reports.collect()}
+    grams: dict[int, dict[str, int]] = {k: {} for k in text}
+    for k, t in text.items():
+        padded = f"  {t.strip()}  "
+        for i in range(len(padded) - 2):
+            grams[k][padded[i : i + 3]] = grams[k].get(padded[i : i + 3], 0) + 1
+    for r in scored.collect():
+        x, y = grams[r.a], grams[r.b]
+        cosine = sum(n * y.get(g, 0) for g, n in x.items()) / (sum(n * n for n in x.values()) ** 0.5 * sum(n * n for n in y.values()) ** 0.5)
+        assert abs(r.text_similarity - cosine) < 1e-4
+    assert scored.count() == 190
+
+
 def test_components_in_batches(spark):
     rng = np.random.default_rng(8)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 900, (600, 2))] + [(5, 5), (905, 905)]
