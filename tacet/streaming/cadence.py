@@ -6,6 +6,7 @@ import functools
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,10 +68,76 @@ class Silence(StatefulProcessor):
         pass
 
 
+class Silences(StatefulProcessor):
+    """The states of ``Silence`` of 2**GROUP_BITS neighbouring entities under one key, so that the calls to the state are shared.
+
+    The timer is that of the earliest limit; when it goes off, all of whom the watermark has passed the limit are told.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "entity array<bigint>, last array<bigint>, due array<bigint>, told array<boolean>, timer bigint")
+
+    def _get(self):
+        held = self.held.get()
+        entity, last, due, told = ([], [], [], []) if held is None else held[:4]
+        return np.array(entity, np.int64), np.array(last, np.int64), np.array(due, np.int64), np.array(told, bool), None if held is None else held[4]
+
+    def _put(self, entity, last, due, told, timer: int | None, fired: bool = False) -> None:
+        """Holds the states, and sets the timer on; one that has gone off is deleted by Spark."""
+        following = None if told.all() else int(due[~told].min())
+        if following != timer or fired:
+            if timer is not None and not fired:
+                self.handle.deleteTimer(timer)
+            if following is not None:
+                self.handle.registerTimer(following)
+        self.held.update((entity.tolist(), last.tolist(), due.tolist(), told.tolist(), following))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802 (Spark's names)
+        frames = [x[["entity", "t", "limit_hours"]] for x in rows]
+        frame = pd.concat(frames).sort_values(["entity", "t", "limit_hours"])
+        of, t, limit = frame["entity"].to_numpy(np.int64), frame["t"].to_numpy(np.int64), (frame["limit_hours"].to_numpy(float) * C.HOUR_MS).astype(np.int64)
+        entity, last, due, told, timer = self._get()
+        every = np.union1d(entity, of)
+        grown = [np.zeros(len(every), x.dtype) for x in (last, due, told)]
+        at = np.searchsorted(every, entity)
+        for x, old in zip(grown, (last, due, told), strict=True):
+            x[at] = old
+        last, due, told = grown
+        known = np.isin(every, entity)
+        place = np.searchsorted(every, of)
+        first = np.concatenate([[True], of[1:] != of[:-1]])
+        before = np.concatenate([t[:1], t[:-1]])  # the entity's time before each row; of its first row the one that is held
+        before = np.where(known[place], np.where(first, last[place], np.maximum(before, last[place])), before)
+        ended = (t - before > limit) & (known[place] | ~first)
+        out = [pd.DataFrame({"entity": of[ended], "since": before[ended], "gap_hours": (t - before)[ended] / C.HOUR_MS})]
+        final = np.concatenate([of[1:] != of[:-1], [True]])
+        own, newest = place[final], t[final]
+        told[own] &= known[own] & (newest <= last[own])
+        last[own] = np.where(known[own], np.maximum(newest, last[own]), newest)
+        due[own] = last[own] + limit[final]
+        late = np.zeros(len(every), bool)  # their limit is past already, so no timer would ever tell them
+        late[own] = ~told[own] & (due[own] <= timerValues.getCurrentWatermarkInMs())
+        out.append(pd.DataFrame({"entity": every[late], "since": last[late], "gap_hours": np.full(int(late.sum()), np.nan)}))
+        self._put(every, last, due, told | late, timer)
+        yield pd.concat(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        entity, last, due, told, timer = self._get()
+        now = ~told & (due < timerValues.getCurrentWatermarkInMs())  # as Spark lets timers go off
+        self._put(entity, last, due, told | now, timer, fired=True)
+        yield pd.DataFrame({"entity": entity[now], "since": last[now], "gap_hours": np.full(int(now.sum()), np.nan)})
+
+    def close(self) -> None:
+        pass
+
+
 def _silences(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["entity", "since", "gap_hours"]).astype({"gap_hours": "float64"})
 
 
+#: Entities whose numbers differ in the last bits only are held under one key: enough to share its calls, few for a busy one's sake.
+GROUP_BITS = 4
 #: The store that states with timers need; it is a setting of the session, read when a query starts.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -79,14 +146,15 @@ def silence_alerts(stream: DataFrame, hours: float | None = None) -> DataFrame:
     """(entity, since, gap_hours): silences of more than ``hours``, or without it of more than each row's ``limit_hours``.
 
     A silence gives one row without gap_hours, when the watermark passes its limit, or at once if an event comes so late
-    that it has; and a row with gap_hours when it ends. Rows without entity or time are left out. State per entity is three
-    values and a timer, kept in the query's checkpoint, so a restarted query tells what it still owes. Sets the session's state
-    store to one that has timers, for the query to be started.
+    that it has; and a row with gap_hours when it ends. Rows without entity or time are left out. State per entity is four
+    values, and a timer per group of entities, kept in the query's checkpoint, so a restarted query tells what it still owes.
+    Sets the session's state store to one that has timers, for the query to be started.
     """
     stream.sparkSession.conf.set(*STATE_STORE)
     rows = stream.select("entity", "ts", "t", (F.lit(hours) if hours is not None else F.col("limit_hours")).cast("double").alias("limit_hours"))
     rows = rows.where("entity is not null and t is not null and limit_hours is not null")
-    return rows.groupBy("entity").transformWithStateInPandas(Silence(), "entity bigint, since bigint, gap_hours double", "Append", "eventTime")
+    rows = rows.withColumn("many", F.shiftright("entity", GROUP_BITS))
+    return rows.groupBy("many").transformWithStateInPandas(Silences(), "entity bigint, since bigint, gap_hours double", "Append", "eventTime")
 
 
 def with_limits(stream: DataFrame, expected: DataFrame, gaps: float = C.SILENT_GAPS) -> DataFrame:

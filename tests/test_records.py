@@ -4,6 +4,7 @@ import json
 import random
 import time
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -323,6 +324,62 @@ def test_late_event_is_told_at_once():
     assert feed(12, 9) == [] and [x[2] for x in feed(12, 20)] == [11.0]
 
 
+class _Store:
+    """A state of one key and its timers, which go off as Spark's do: those before the watermark, in order."""
+
+    def __init__(self, processor):
+        self.value, self.timers, self.calls, self.processor = None, set(), 0, processor
+        processor.init(self)
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value, self.calls = value, self.calls + 1
+
+    def listTimers(self):  # noqa: N802
+        return iter(sorted(self.timers))
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.remove(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.add(t)
+
+    def batch(self, key, frame, mark):
+        class Now:
+            getCurrentWatermarkInMs = staticmethod(lambda: mark)  # noqa: N815
+
+        out = list(self.processor.handleInputRows((key,), iter([frame[:2], frame[2:]]), Now)) if len(frame) else []
+        for t in sorted(x for x in self.timers if x < mark):
+            out += self.processor.handleExpiredTimer((key,), Now, None)
+            self.timers.remove(t)
+        return [(r.entity, r.since, None if r.gap_hours != r.gap_hours else r.gap_hours) for f in out for r in f.itertuples(index=False)]
+
+
+def test_silences_of_a_group_are_those_of_each():
+    """Entities that share a key are told the same as each on its own, for one call to the state instead of one each."""
+    rng = np.random.default_rng(5)
+    alone, group, n = {e: _Store(stream.Silence()) for e in range(-8, 8)}, _Store(stream.Silences()), 0
+    for k in range(60):
+        mark = max(0, k * 20 - 25) * 3_600_000
+        some = rng.permutation(16)[: rng.integers(0, 9)] - 8
+        rows = [(int(e), int(t) * 1_800_000, 2.0 + int(e) % 5 * 9.25) for e in some for t in rng.integers(max(0, k * 40 - 100), k * 40 + 40, rng.integers(1, 5))]
+        frame = pd.DataFrame(rows, columns=["entity", "t", "limit_hours"]).astype({"entity": "int64", "t": "int64", "limit_hours": "float64"})
+        expect = [x for e, s in alone.items() for x in s.batch(e, frame[frame["entity"] == e][["t", "limit_hours"]], mark)]
+        got = group.batch(0, frame, mark)
+        assert sorted(got, key=str) == sorted(expect, key=str)
+        assert len(group.timers) <= 1
+        n += len(got)
+    assert n > 200 and group.calls * 4 < sum(s.calls for s in alone.values()) * 3
+
+
 def test_emission_once(spark, tmp_path):
     path = str(tmp_path / "once")
     one_, two = (spark.createDataFrame([(k, s) for k in ks], "user_id bigint, tag string") for ks, s in (((1, 2, 2, None), "a"), ((2, 3), "b")))
