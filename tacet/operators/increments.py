@@ -74,12 +74,22 @@ def _tidy(work: Callable[..., Linked]) -> Callable[..., Linked]:
 @_tidy
 def begin(reports: DataFrame, edges: DataFrame) -> Linked:
     """The linkage of a first batch (id, entity, t, source_type, title, text). An id that stands there twice counts once."""
-    new = keep(reports.select(*COLUMNS).dropDuplicates(["id"]))
+    new = _fresh(reports)
     loose = linkage.few_unresolved(new)
     scored = keep(linkage.scored_pairs(new, edges, loose=loose))
     return _relinked([new], [scored], loose)
 
 
+def _fresh(batch: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """The reports of a batch, each id once and none that is held, written. Whole reports are only moved if an id asks for it."""
+    new = keep(batch.select(*COLUMNS))
+    if held is not None and new.select("id").join(held.select("id"), "id", "left_semi").limit(1).count():
+        new = keep(new.join(held.select("id"), "id", "left_anti"))
+    if new.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        new = keep(new.dropDuplicates(["id"]))
+    return new
+
+
 def _relinked(reports: list[DataFrame], scored: list[DataFrame], loose: bool) -> Linked:
     admitted = keep(_whole(scored).where(F.col("p") >= C.ADMIT).select("a", "b", "p"))
     labels = keep(graph.components(admitted))
@@ -109,14 +119,14 @@ def extend(held: Linked, batch: DataFrame, edges: DataFrame) -> Linked:
     reports become more than MAX_UNRESOLVED, the pairs that were found through them go, once, and all is labelled anew.
     What is held before stays as it is; tables that only this batch's work needed are deleted.
     """
-    new = keep(batch.select(*COLUMNS).dropDuplicates(["id"]).join(held.reports.select("id"), "id", "left_anti"))
+    new = _fresh(batch, held.reports)
     n, low, high = new.agg(F.count(F.lit(1)), F.min("t"), F.max("t")).first()
     if not n:
         return held
     reports = _grown(held.report_parts, new)
     loose = linkage.few_unresolved(_whole(reports))
-    near = _reached(held.reports, new, low, high)
-    both = keep(near.withColumn("held", F.lit(True)).unionByName(new.withColumn("held", F.lit(False))))
+    near = keep(_reached(held.reports, new, low, high))
+    both = near.withColumn("held", F.lit(True)).unionByName(new.withColumn("held", F.lit(False)))
     found = keep(linkage.scored_pairs(both, edges, held="held", loose=loose))
     if held.loose and not loose:
         return _relinked(reports, [keep(_whole([*held.scored_parts, found]).where("geo <> 'unknown'"))], loose)

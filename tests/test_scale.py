@@ -264,6 +264,17 @@ def test_components_in_batches(spark):
     assert graph.updated(labels, frame.limit(0)).count() == len(expect)
 
 
+def test_fresh_reports_move_only_if_ids_ask_for_it(spark):
+    """Of each id one report and none that is held; reports are written once, and again only where an id comes twice."""
+    frame = spark.createDataFrame([(k, 1, k, "x", "", f"text {k}") for k in range(20)], "id bigint, entity bigint, t bigint, source_type string, title string, text string")
+    held = frame.where("id < 5")
+    for batch, before, written, ids in ((frame, None, 1, range(20)), (frame.where("id >= 5"), held, 1, range(5, 20)), (frame, held, 2, range(5, 20)), (frame.unionByName(held), None, 2, range(20)), (frame.unionByName(frame), held, 3, range(5, 20)), (held, held, 2, [])):
+        have = len(shared.kept_tables())
+        got = increments._fresh(batch, before)
+        assert len(shared.kept_tables()) - have == written
+        assert sorted((r.id, r.text) for r in got.collect()) == [(k, f"text {k}") for k in ids]
+
+
 @pytest.mark.parametrize("most", [200, 8])  # with 8 there are too many unresolved reports from the second batch on
 def test_linkage_in_batches(spark, monkeypatch, most):
     monkeypatch.setattr(C, "MAX_UNRESOLVED", most)
