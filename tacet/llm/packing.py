@@ -6,16 +6,18 @@ first, each into the shortest pack that still exists, updating counts of packing
 piece then finds its pattern by its rank among the pieces of its length: ranks come from counts
 per input partition, so no length is gathered in one task.
 
-Token ids come from the tokenizer file. A text is split where white space follows other characters;
-no token of a byte-level BPE of this kind reaches over such a place, so each distinct stretch is
-encoded once and kept in a bounded cache: Latin ones by a rank encoder built from the same file
-(equal ids, several times faster), the rest by the tokenizer itself. Texts with other white space
-than ASCII's, or with a special token's string, are encoded whole by the tokenizer.
+Token ids come from the tokenizer file. A text may be cut where white space follows other characters;
+no token of a byte-level BPE of this kind reaches over such a place. Latin texts go in long slices to a
+rank encoder built from the same file (equal ids, several times faster); it keeps no cache, as most
+distinct stretches of a large corpus are rare and a cache of them costs more than their encoding.
+Stretches with other letters go to the tokenizer itself, each distinct one once while a bounded cache
+holds it. Texts with other white space than ASCII's, or with a special token's string, are encoded
+whole by the tokenizer.
 """
 
 from __future__ import annotations
 
-import re
+import itertools
 import zlib
 from collections import defaultdict
 
@@ -30,15 +32,21 @@ from tacet.llm import kernel as K
 
 LIMIT = 2048
 END_ID = 1
+#: Stretches that the cache holds, and the most characters of one that is kept.
 CACHE = 150_000
+KEPT_CHARS = 256
+#: Bytes of text, as a power of two, that the rank encoder gets at once (one stretch at least).
+SLICE_BITS = 16
 #: Pieces of one segment where the order of the documents counts.
 SEGMENT = 4096
-#: Stretches with letters beyond Latin go to the tokenizer itself, whose Unicode tables are its own.
-PLAIN = "\u0250"
+#: Stretches with letters from here on, beyond Latin, go to the tokenizer itself, whose Unicode tables are its own.
+PLAIN = "\u0250".encode()
 #: White space that is not ASCII's, and controls that some tables count as such (an RE2 pattern).
 ODD = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x1c-\x1f]"
 #: The split pattern of byte-level BPE vocabularies of this kind (a fixed value of that public format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The same where no two white spaces meet: without look-ahead, which a third of the time goes into.
+SINGLE = SPLIT.replace(r"\s+(?!\S)|", "")
 
 
 def _bytes_of_symbols() -> dict[str, int]:
@@ -48,8 +56,8 @@ def _bytes_of_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def rank_encoder(path: str):
-    """A faster encoder with the same ids, or None where the file's merges are not in the order of their ids."""
+def rank_encoders(path: str):
+    """Faster encoders with the same ids: of texts where no two white spaces meet, and of any; None where the file's merges are not in the order of their ids."""
     import json
 
     import tiktoken
@@ -66,11 +74,11 @@ def rank_encoder(path: str):
         return None
     symbol = _bytes_of_symbols()
     ranks = {bytes(symbol[c] for c in t): i for t, i in vocab.items() if t not in special}
-    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+    return tuple(tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary for p in (SINGLE, SPLIT))
 
 
 class Encoder:
-    """Token ids of whole texts, by way of their distinct stretches."""
+    """Token ids of whole texts, by way of slices and stretches of them."""
 
     _of: dict[str, Encoder] = {}
 
@@ -78,9 +86,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.fast = rank_encoder(path)
+        self.fast = rank_encoders(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd = re.compile("[\\x1c-\\x1f\\x85\\xa0]|" + "|".join(map(re.escape, self.special)))
         self.reset()
 
     @classmethod
@@ -90,38 +97,32 @@ class Encoder:
         return cls._of[path]
 
     def reset(self) -> None:
-        self.number: dict[str, int] = {}
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.at, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-
-    def _add(self, texts: list[str]) -> None:
-        odd = self.odd.search
-        for i in range(0, len(texts), 20_000):
-            part = texts[i : i + 20_000]
-            ids = [self.fast(s) if self.fast and max(s) < PLAIN and not odd(s) else None for s in part]
-            slow = [i for i, x in enumerate(ids) if x is None]
-            for i, e in zip(slow, self.tokenizer.encode_batch_fast([part[i] for i in slow], add_special_tokens=False), strict=True):
-                ids[i] = e.ids
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((x for e in ids for x in e), np.uint32, int(size.sum()))
-            first, n = len(self.number), len(ids)
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while first + n > len(self.at):
-                self.at, self.size = np.concatenate([self.at, np.zeros_like(self.at)]), np.concatenate([self.size, np.zeros_like(self.size)])
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.at[first : first + n] = self.used + np.cumsum(size) - size
-            self.size[first : first + n] = size
-            self.used += len(flat)
-            self.number.update(zip(part, range(first, first + n), strict=True))
+        self.known: dict[str, bytes] = {}
+
+    def _slow(self, stretches: pa.StringArray) -> np.ndarray:
+        """The ids of each stretch by the tokenizer, as bytes."""
+        if len(self.known) > CACHE:
+            self.reset()
+        coded = stretches.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [s for s in distinct if s not in self.known]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            ends = [0, *itertools.accumulate(4 * len(x) for x in ids)]
+            raw = np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4).tobytes()
+            self.known.update((s, raw[a:b]) for s, (a, b) in zip(part, itertools.pairwise(ends), strict=True))
+        ids = np.empty(len(distinct), object)
+        ids[:] = [self.known[s] for s in distinct]
+        for s in new:
+            if len(s) > KEPT_CHARS:
+                del self.known[s]
+        return ids[coded.indices.to_numpy()]
 
     def encode(self, column, end: int):
         """The ids of all texts behind each other, each closed by ``end``, and their lengths."""
-        if len(self.number) > CACHE:
-            self.reset()
         if column.null_count:
             column = pc.fill_null(column, "")
-        n = len(column)
         buf, offs = K.buffer_of(column)
         odd = pc.match_substring_regex(column, ODD)
         for s in self.special:
@@ -134,20 +135,29 @@ class Encoder:
         for d in np.flatnonzero(odd):  # one stretch each
             start[offs[d] + 1 : offs[d + 1]] = False
         starts = np.flatnonzero(start)
-        stretch = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf)))
-        coded = stretch.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        self._add([s for s in distinct if s not in self.number])
-        place = np.fromiter((self.number[s] for s in distinct), np.int64, len(distinct))[coded.indices.to_numpy()] if len(starts) else np.zeros(0, np.int64)
+        doc = np.searchsorted(offs, starts, "right") - 1
+        # who encodes a stretch: the rank encoders (0, and 1 if white spaces meet in it) or the tokenizer (2)
+        by = np.full(len(starts), 0 if self.fast else 2, np.int8)
+        if self.fast:
+            by[np.searchsorted(starts, np.flatnonzero(gap[1:] & gap[:-1]), "right") - 1] = 1
+            beyond = buf > PLAIN[0]
+            beyond[:-1] |= (buf[:-1] == PLAIN[0]) & (buf[1:] >= PLAIN[1])
+            by[np.searchsorted(starts, np.flatnonzero(beyond), "right") - 1] = 2
+            by[odd[doc]] = 2
+            by[(by == 1) & (np.diff(starts, append=len(buf)) >> SLICE_BITS > 0)] = 2  # a run of white space there may exceed the look-ahead's stack
+        # neighbouring stretches of one text that a rank encoder gets are one slice
+        cut = np.ones(len(starts), bool)
+        cut[1:] = (by[1:] == 2) | (by[1:] != by[:-1]) | (doc[1:] != doc[:-1]) | (starts[1:] >> SLICE_BITS != starts[:-1] >> SLICE_BITS)
+        starts, by = starts[cut], by[cut]
+        slices = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(buf)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(buf)))
+        ids = np.empty(len(starts), object)
+        for k, fast in enumerate(self.fast or ()):
+            ids[by == k] = [np.array(fast(s), "<u4").tobytes() for s in slices.filter(pa.array(by == k)).to_pylist()]
+        ids[by == 2] = self._slow(slices.filter(pa.array(by == 2)))
         first = np.searchsorted(starts, offs)
-        at, size = np.insert(self.at[place], first[1:], -1), np.insert(self.size[place], first[1:], 1)
-        run = np.cumsum(size)
-        closing = run[first[1:] + np.arange(n)] - 1  # where each text's end id stands
-        source = np.repeat(at - (run - size), size) + np.arange(run[-1] if len(run) else 0)
-        source[closing] = 0
-        flat = self.pool[source] if self.used else np.zeros(len(source), np.uint32)
-        flat[closing] = end
-        return flat.astype("<u4", copy=False), np.diff(np.concatenate([[-1], closing]))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        closed = np.insert(ids, first[1:], np.uint32(end).astype("<u4").tobytes())
+        return np.frombuffer(b"".join(closed), "<u4"), K.per_text(size, first) + 1
 
 
 def _cut(path: str, limit: int, end: int):

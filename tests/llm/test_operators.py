@@ -5,8 +5,10 @@ import hashlib
 import math
 import re
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tacet.llm import classifier, embeddings, licences, lm, mixing, near, packing, quality, substring, urls
@@ -322,6 +324,43 @@ def test_packing(docs, rows, none):
     assert packing.pack(none, path).count() == 0
 
 
+def test_packing_encodes_rare_words_by_the_slice(monkeypatch):
+    """A word that no other text has costs no call of its own."""
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    calls, real = [], tiktoken.Encoding
+
+    class Counted:
+        def __init__(self, *args, **named):
+            encode = real(*args, **named)._core_bpe.encode_ordinary
+            self._core_bpe = SimpleNamespace(encode_ordinary=lambda s: calls.append(s) or encode(s))
+
+    monkeypatch.setattr(tiktoken, "Encoding", Counted)
+    path = packing.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    texts = [" ".join(f"w{i * 1000 + j:x}en," for j in range(1000)) for i in range(40)]
+    flat, total = packing.Encoder(path).encode(pa.array(texts), 1)
+    assert flat.tolist() == [x for t in texts for x in [*tok.encode(t, add_special_tokens=False).ids, 1]]
+    assert len(total) == 40 and len(calls) <= 80
+
+
+def test_packing_encodes_odd_texts_as_the_tokenizer():
+    """White space of all lengths and kinds, other letters, special tokens, slices and their ends."""
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path()
+    tok, rng = Tokenizer.from_file(path), np.random.default_rng(3)
+    parts = ["a", "the", "Ünï", "²³½", "12", "'s", "don't", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x00", "\x1c", "\x85", "\xa0", "\u3000", "\u024f", "\u0250", "слово", "中文", "“", "—", "😀", "<|endoftext|>", "%%%", ","]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(2000)]
+    texts += [None, "", " ", "  ", "ab " * 50_000, "a  b" * 40_000, "word " * 20_000 + "Ж" + " word" * 20_000, "x" * 100_000, " " * 1_200_000 + "x"]
+    flat, total = packing.Encoder.of(path).encode(pa.array(texts), 1)
+    ends = np.cumsum(total)
+    for t, a, b in zip(texts, ends - total, ends, strict=True):
+        assert flat[a:b].tolist() == [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+    assert ends[-1] == len(flat)
+
+
 def test_patterns():
     rng = np.random.default_rng(1)
     histogram = {int(k): int(rng.integers(1, 400)) for k in range(1, 513)}
