@@ -65,7 +65,7 @@ def _lists(of: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
 SLICE = 1 << 20
 
 
-def _slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
+def slices(offs: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of rows that have at most SLICE elements together, or are a single row."""
     at, n = 0, len(offs) - 1
     while at < n:
@@ -82,7 +82,7 @@ def count_grams(padded: pa.Array) -> pa.Array:
     """The distinct trigrams of each text, in order, and their counts."""
     lengths = pc.fill_null(pc.binary_length(padded), 0).to_numpy(zero_copy_only=False)
     offs = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    return _joined([_count(padded.slice(at, to - at)) for at, to in _slices(offs)], ARROW_VECTOR)
+    return _joined([_count(padded.slice(at, to - at)) for at, to in slices(offs)], ARROW_VECTOR)
 
 
 def _count(padded: pa.Array) -> pa.Array:
@@ -99,7 +99,7 @@ def _count(padded: pa.Array) -> pa.Array:
 def dot_products(a: pa.Array, b: pa.Array) -> pa.Array:
     """Of each row the dot product of two vectors."""
     offs = a.field("grams").offsets.to_numpy().astype(np.int64) + b.field("grams").offsets.to_numpy()
-    return _joined([_dot(a.slice(at, to - at), b.slice(at, to - at)) for at, to in _slices(offs)], pa.int64())
+    return _joined([_dot(a.slice(at, to - at), b.slice(at, to - at)) for at, to in slices(offs)], pa.int64())
 
 
 def _dot(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -122,7 +122,7 @@ def _vectors(batches):
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         batch, lengths = batch.filter(pa.array(lengths > 4)), lengths[lengths > 4]
-        for at, to in _slices(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])):
+        for at, to in slices(np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])):
             vector = _count(batch.column(1).slice(at, to - at))
             tf = vector.field("tf")
             squares = np.concatenate([[0], np.cumsum(tf.values.to_numpy().astype(np.int64) ** 2)])[tf.offsets.to_numpy()]

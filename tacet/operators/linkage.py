@@ -12,7 +12,7 @@ from tacet import config as C
 from tacet.functions import maths as M
 from tacet.functions import text as T
 from tacet.operators import graph
-from tacet.operators.sweep import near_pairs, similar_to_few
+from tacet.operators.sweep import near_pairs, similar_to_few, similar_to_loose
 from tacet.sources.shared import keep, numbered
 
 WINDOW_MS = C.TIME_WINDOW_H * C.HOUR_MS
@@ -27,19 +27,23 @@ def few_unresolved(reports: DataFrame) -> bool:
     return 0 < reports.where("entity is null").limit(C.MAX_UNRESOLVED + 1).count() <= C.MAX_UNRESOLVED
 
 
-def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame, parts: int | None = None, held: str | None = None, loose: bool | None = None) -> DataFrame:
+def candidate_pairs(reports: DataFrame, edges: DataFrame, vectors: DataFrame, parts: int | None = None, held: str | None = None, loose: bool | None = None, whole: bool = False) -> DataFrame:
     """(a, b), a < b: reports within the time window of the same or of adjacent entities, and unresolved ones with anything similar.
 
     Reports are swept in order of entity and time; those of adjacent entities are moved to one of the two for it. The last
     block is left out altogether when more than MAX_UNRESOLVED reports are unresolved, so its vectors are few; ``loose`` says
-    so for reports that are only a part of all. Of two reports with the boolean column ``held`` set no pair is made.
+    so for reports that are only a part of all. With ``whole`` unresolved reports are compared however many they are. Of two
+    reports with the boolean column ``held`` set no pair is made.
     """
     old = F.lit(0) if held is None else F.when(F.col(held), 2).otherwise(0)
     known = reports.where("entity is not null and t is not null").select("id", F.col("entity").alias("key"), "t", old.alias("moved"))
     links = edges.where("src <> dst").select(F.least("src", "dst").alias("key"), F.greatest("src", "dst").alias("dst")).distinct()
     moved = known.join(links, "key").select("id", F.col("dst").alias("key"), "t", (F.col("moved") + 1).alias("moved"))
     pairs = near_pairs(known.unionByName(moved), WINDOW_MS, parts)
-    if few_unresolved(reports) if loose is None else loose:
+    if whole:
+        timed = reports.where("t is not null").select("id", "t", F.col("entity").isNull().alias("loose"), (old > 0).alias("old"))
+        pairs = pairs.unionByName(similar_to_loose(timed, vectors, C.TEXT_BLOCK, WINDOW_MS))
+    elif few_unresolved(reports) if loose is None else loose:
         timed = reports.where("t is not null").select("id", "t", "entity", (old > 0).alias("old")).join(vectors, "id")
         few = timed.where("entity is null")
         pairs = pairs.unionByName(similar_to_few(timed if held is None else timed.where("not old"), few, C.TEXT_BLOCK, WINDOW_MS))
@@ -74,10 +78,10 @@ def outcome_table() -> list[tuple]:
     return out
 
 
-def scored_pairs(reports: DataFrame, edges: DataFrame, held: str | None = None, loose: bool | None = None) -> DataFrame:
-    """Candidate pairs with their comparison levels, similarity, hours apart and match probability; held and loose as for them."""
+def scored_pairs(reports: DataFrame, edges: DataFrame, held: str | None = None, loose: bool | None = None, whole: bool = False) -> DataFrame:
+    """Candidate pairs with their comparison levels, similarity, hours apart and match probability; held, loose and whole as for them."""
     vectors = keep(T.vectors(reports, snippet()))
-    pairs = keep(candidate_pairs(reports, edges, vectors, held=held, loose=loose))
+    pairs = keep(candidate_pairs(reports, edges, vectors, held=held, loose=loose, whole=whole))
     cols = ["id", "entity", "t", "source_type"]
     left = reports.select(*cols).join(vectors, "id", "left")
     for side in ("a", "b"):

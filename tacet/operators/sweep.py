@@ -1,4 +1,4 @@
-"""Pairs of rows near each other in time, by a sorted sweep over ranges; and similarity with a few vectors by prefix filtering."""
+"""Pairs of rows near each other in time, by a sorted sweep over ranges; and similarity with a few vectors by prefix filtering, or with many in chunks."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tacet.functions.text import GRAMS
+from tacet.functions.text import GRAMS, slices
 from tacet.operators.prefixes import prefix
-from tacet.sources.shared import keep
+from tacet.sources.shared import keep, numbered
 
 PAIRS = 1 << 18  # pairs in one batch of output
+CHUNK = 256  # loose rows that other rows are compared with at a time
+UNIT = 1 << 14  # rows that meet a chunk in one place
 
 
 def _sweep(window: int):
@@ -118,14 +120,29 @@ class Few:
         row, other = self.candidates(of, gram, tf, norm)
         near = (np.abs(t[row] - self.t[other]) <= window) & (ids[row] != self.ids[other])
         row, other = row[near], other[near]
+        return row, other, self.cosines(row, other, of, gram, tf, norm)
+
+    def near(self, t: np.ndarray, ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number) of all pairs within the window, for vectors that were given in order of time."""
+        first = np.searchsorted(self.t, t - window)
+        n = np.searchsorted(self.t, t + window, "right") - first
+        row = np.repeat(np.arange(len(t)), n)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(n) - n - first, n)
+        fit = ids[row] != self.ids[other]
+        return row[fit], other[fit]
+
+    def cosines(self, row, other, of, gram, tf, norm) -> np.ndarray:
+        """The cosine of each pair (row, number), over whole vectors; as many pairs at a time as have SLICE grams."""
         first = np.searchsorted(of, np.arange(len(norm) + 1))
-        size = np.diff(first)[row]
-        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[row], size)
-        known = self.often[gram[at]] > 0
-        pair = np.repeat(np.arange(len(row)), size)[known]
-        at = at[known]
-        dot = np.bincount(pair, tf[at] * self.table[other[pair], self.column[gram[at]]], len(row))
-        return row, other, dot / (norm[row] * self.norm[other])
+        sizes, dots = np.diff(first)[row], [np.zeros(0)]
+        for a, b in slices(np.concatenate([[0], np.cumsum(sizes)])):
+            size = sizes[a:b]
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - first[row[a:b]], size)
+            known = self.often[gram[at]] > 0
+            pair = np.repeat(np.arange(b - a), size)[known]
+            at = at[known]
+            dots.append(np.bincount(pair, tf[at] * self.table[other[a:b][pair], self.column[gram[at]]], b - a))
+        return np.concatenate(dots) / (norm[row] * self.norm[other])
 
 
 def similar_to_few(rows: DataFrame, few: DataFrame, least: float, window: int) -> DataFrame:
@@ -147,3 +164,124 @@ def similar_to_few(rows: DataFrame, few: DataFrame, least: float, window: int) -
             yield pa.RecordBatch.from_arrays([pa.array(ids[row[fit]]), pa.array(index.ids[other[fit]])], names=["id", "other"])
 
     return rows.select("id", "t", "vector", "norm").mapInArrow(work, "id bigint, other bigint")
+
+
+class Chunks:
+    """Loose rows in order of time and id, ``CHUNK`` after ``CHUNK``: the first of each chunk, its last time, and the units that it is met in."""
+
+    def __init__(self, first: list[tuple[int, int]], last: list[int], window: int):
+        self.first = np.array(first, [("t", np.int64), ("id", np.int64)])
+        self.last, self.window = np.array(last, np.int64), window
+        self.deal(np.zeros(len(first), np.int64))
+
+    def deal(self, rows: np.ndarray) -> None:
+        """A chunk is met in as many units as its number of rows asks for."""
+        self.units = np.maximum(1, -(-rows // UNIT))
+        self.before = np.cumsum(self.units) - self.units
+
+    def reached(self, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each time the first chunk with a time in its window, and the one behind the last."""
+        return np.searchsorted(self.last, t - self.window), np.searchsorted(self.first["t"], t + self.window, "right")
+
+    def counted(self, batches):
+        """(chunk, n): how many of the rows (t) of a partition reach it."""
+        n = np.zeros(len(self.first) + 1, np.int64)
+        for batch in batches:
+            a, b = self.reached(batch.column(0).to_numpy())
+            some = a < b
+            np.add.at(n, a[some], 1)
+            np.add.at(n, b[some], -1)
+        n = np.cumsum(n)
+        chunk = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(n[chunk])], names=["chunk", "n"])
+
+    def places(self, ids: pa.Array, t: pa.Array, loose: pa.Array) -> pa.Array:
+        """Of each row the units that it goes to: one of each chunk that it reaches, and as a loose row (``few``) all of its own."""
+        ids, t, loose = (x.to_numpy(zero_copy_only=False) for x in (ids, t, loose))
+        a, b = self.reached(t)
+        row, chunk = _ranges(a, np.maximum(b - a, 0))
+        unit = self.before[chunk] + ((ids[row].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % self.units[chunk]
+        at = np.flatnonzero(loose)
+        probe = np.empty(len(at), self.first.dtype)
+        probe["t"], probe["id"] = t[at], ids[at]
+        own = np.searchsorted(self.first, probe, "right") - 1
+        few, unit_of_few = _ranges(self.before[own], self.units[own])
+        row, to = np.concatenate([row, at[few]]), np.concatenate([unit, unit_of_few])
+        is_few = np.arange(len(row)) >= len(unit)
+        order = np.argsort(row, kind="stable")
+        offsets = np.searchsorted(row[order], np.arange(len(t) + 1))
+        places = pa.StructArray.from_arrays([pa.array(to[order].astype(np.int64)), pa.array(is_few[order])], ["to", "few"])
+        return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places)
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the n values from start on of each row."""
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n - start, n)
+
+
+def _flat(rows: pa.RecordBatch):
+    """id, t, old, and the vectors as (row, gram, count) with their norms, of rows (id, t, old, vector, norm)."""
+    vector = rows.column(3)
+    grams, tf = vector.field("grams"), vector.field("tf")
+    of = np.repeat(np.arange(rows.num_rows), np.diff(grams.offsets.to_numpy()))
+    ids, t, old, norm = (rows.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2, 4))
+    return ids, t, old, of, grams.flatten().to_numpy().astype(np.int64), tf.flatten().to_numpy().astype(np.int64), norm
+
+
+def _meet(least: float, window: int):
+    """Rows (to, few, id, t, old, vector, norm) by unit, in each the loose ones (``few``) first: pairs of one of these and another row."""
+
+    def index(held: list[pa.RecordBatch]) -> tuple[Few, np.ndarray]:
+        rows = pa.Table.from_batches(held).sort_by("t").combine_chunks().to_batches()[0]
+        ids, t, old, of, gram, tf, norm = _flat(rows)
+        at = np.searchsorted(of, np.arange(len(t) + 1))
+        return Few([(ids[k], t[k], gram[at[k] : at[k + 1]], tf[at[k] : at[k + 1]], norm[k]) for k in range(len(t))], least), old
+
+    def work(batches):
+        unit, held, few = None, [], None
+        for batch in batches:
+            to, is_few = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cuts = np.flatnonzero((to[1:] != to[:-1]) | (is_few[1:] != is_few[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True) if len(to) else []:
+                rows = batch.slice(a, b - a).select(range(2, 7))
+                if is_few[a]:
+                    unit, held, few = to[a], [*(held if to[a] == unit else []), rows], None
+                    continue
+                if to[a] != unit:  # no text of this chunk has a vector
+                    continue
+                few, held = few or index(held), []
+                sizes = np.diff(rows.column(3).field("grams").offsets.to_numpy()).astype(np.int64)
+                for x, y in slices(np.concatenate([[0], np.cumsum(sizes)])):
+                    ids, t, old, *vectors = _flat(rows.slice(x, y - x))
+                    row, other = few[0].near(t, ids, window)
+                    new = ~(old[row] & few[1][other])
+                    row, other = row[new], other[new]
+                    fit = few[0].cosines(row, other, *vectors) >= least
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row[fit]]), pa.array(few[0].ids[other[fit]])], names=["id", "other"])
+
+    return work
+
+
+def similar_to_loose(rows: DataFrame, vectors: DataFrame, least: float, window: int) -> DataFrame:
+    """(id, other) of rows (id, t, loose, old) within the window of loose ones, however many these are, with a cosine of ``least``; of two old rows none.
+
+    Loose rows are dealt to chunks in order of time and id. Any row goes to the chunks that its window reaches; a chunk that
+    many rows reach is met in as many units, each with the chunk's vectors, so that a task holds one chunk and streams the
+    rest. The driver gets three numbers a chunk. vectors: (id, vector, norm); without one a row has no pair.
+    """
+    placed = numbered(rows.where("loose").select("id", "t"), "t", "id").withColumn("chunk", F.floor((F.col("number") - 1) / CHUNK))
+    found = sorted(tuple(r) for r in placed.groupBy("chunk").agg(F.min(F.struct("t", "id")).alias("first"), F.max("t").alias("last")).collect())
+    if not found:
+        return rows.select("id", F.col("id").alias("other")).limit(0)
+    chunks = Chunks([tuple(r[1]) for r in found], [r[2] for r in found], window)
+    n = np.zeros(len(found), np.int64)
+    for r in rows.select("t").mapInArrow(chunks.counted, "chunk bigint, n bigint").groupBy("chunk").agg(F.sum("n").alias("n")).collect():
+        n[r.chunk] = r.n
+    chunks.deal(n)
+    places = F.arrow_udf(chunks.places, "array<struct<to:bigint,few:boolean>>")(F.col("id"), F.col("t"), F.col("loose"))
+    sent = rows.select("id", "t", "old", F.explode(places).alias("place")).join(vectors, "id")
+    sent = sent.select("place.to", "place.few", "id", "t", "old", "vector", "norm")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = sent.repartitionById(parts, (F.col("to") % parts).cast("int")).sortWithinPartitions("to", F.desc("few"))
+    return dealt.mapInArrow(_meet(least, window), "id bigint, other bigint")

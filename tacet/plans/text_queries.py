@@ -79,8 +79,13 @@ def components(spark, d):
     return ids.join(c, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
+def _whole(spark, d):
+    """The scored pairs of clusters: unresolved reports are compared however many they are."""
+    return linkage.scored_pairs(_reports(spark, d), V.doc_edges(spark), whole=True)
+
+
 def clusters(spark, d):
-    return linkage.clusters(_reports(spark, d), _scored(spark, d)).withColumn("report_ids", F.array_join("report_ids", ","))
+    return linkage.clusters(_reports(spark, d), _whole(spark, d)).withColumn("report_ids", F.array_join("report_ids", ","))
 
 
 def clusters_in_batches(spark, d):
@@ -166,6 +171,8 @@ levels AS (SELECT a, b, CASE WHEN ea IS NULL OR eb IS NULL THEN 'unknown' WHEN e
 ratios AS (SELECT *, {_RATIO} AS ratio FROM levels),
 scored AS (SELECT a, b, geo, time, text, source, {_UP("sim")} AS text_similarity, {_UP("hours", 2)} AS hours_apart, {_UP("ratio")} AS log_ratio, {_UP(f"{C.PRIOR_MATCH / (1 - C.PRIOR_MATCH)!r} * exp(ratio) / (1 + {C.PRIOR_MATCH / (1 - C.PRIOR_MATCH)!r} * exp(ratio))")} AS p FROM ratios)
 """
+#: The same for the queries that compare unresolved reports however many they are.
+_WHOLE = _PAIRS.replace(f" AND (SELECT count(*) FROM doc_reports WHERE entity IS NULL) BETWEEN 1 AND {C.MAX_UNRESOLVED}", "")
 
 
 def _refined() -> str:
@@ -250,7 +257,7 @@ SQL = {
     "ambiguous_pairs": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}",
     "ambiguous_top": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT} ORDER BY p DESC, a, b LIMIT {C.TOP_AMBIGUOUS}",
     "components": _PAIRS + f", links AS (SELECT a, b FROM scored WHERE p >= {C.ADMIT} UNION ALL SELECT b, a FROM scored WHERE p >= {C.ADMIT}), reach AS (SELECT id, id AS other FROM doc_reports UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1",
-    "clusters": _PAIRS + _CLUSTERS,
+    "clusters": _WHOLE + _CLUSTERS,
     "clusters_in_batches": _PAIRS + _CLUSTERS,
     "simulated_ambiguous": _PAIRS + f""", every AS (SELECT a, b, p, NOT (p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}) AS forced, FALSE AS made_up FROM scored UNION ALL SELECT min(id), max(id), {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}, TRUE, TRUE FROM (SELECT id FROM doc_reports ORDER BY id LIMIT 2) HAVING count(*) = 2)
 SELECT a, b, CASE WHEN forced THEN {(C.AMBIGUOUS_LOW + C.ADMIT) / 2} ELSE p END AS p, p AS original_p, forced FROM every ORDER BY made_up, forced, CASE WHEN forced THEN abs(p - {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}) ELSE -p END, a, b LIMIT 1""",
