@@ -39,6 +39,7 @@ class Linked:
     scored_parts: list[DataFrame]
     member: DataFrame  # v, c, cluster
     loose: bool  # whether unresolved reports have been compared with everything similar
+    whole: bool = False  # whether they are, however many they become
 
     @property
     def reports(self) -> DataFrame:
@@ -72,12 +73,15 @@ def _tidy(work: Callable[..., Linked]) -> Callable[..., Linked]:
 
 
 @_tidy
-def begin(reports: DataFrame, edges: DataFrame) -> Linked:
-    """The linkage of a first batch (id, entity, t, source_type, title, text). An id that stands there twice counts once."""
+def begin(reports: DataFrame, edges: DataFrame, whole: bool = False) -> Linked:
+    """The linkage of a first batch (id, entity, t, source_type, title, text). An id that stands there twice counts once.
+
+    With ``whole``, here and in all batches after it, unresolved reports are compared however many they are.
+    """
     new = _fresh(reports)
-    loose = linkage.few_unresolved(new)
-    scored = keep(linkage.scored_pairs(new, edges, loose=loose))
-    return _relinked([new], [scored], loose)
+    loose = whole or linkage.few_unresolved(new)
+    scored = keep(linkage.scored_pairs(new, edges, loose=loose, whole=whole))
+    return _relinked([new], [scored], loose, whole)
 
 
 def _fresh(batch: DataFrame, held: DataFrame | None = None) -> DataFrame:
@@ -90,10 +94,10 @@ def _fresh(batch: DataFrame, held: DataFrame | None = None) -> DataFrame:
     return new
 
 
-def _relinked(reports: list[DataFrame], scored: list[DataFrame], loose: bool) -> Linked:
+def _relinked(reports: list[DataFrame], scored: list[DataFrame], loose: bool, whole: bool = False) -> Linked:
     admitted = keep(_whole(scored).where(F.col("p") >= C.ADMIT).select("a", "b", "p"))
     labels = keep(graph.components(admitted))
-    return Linked(reports, scored, keep(labels.join(graph.refined(admitted, labels), "v").select("v", "c", "cluster")), loose)
+    return Linked(reports, scored, keep(labels.join(graph.refined(admitted, labels), "v").select("v", "c", "cluster")), loose, whole)
 
 
 def _reached(held: DataFrame, new: DataFrame, low: int | None, high: int | None) -> DataFrame:
@@ -116,7 +120,8 @@ def extend(held: Linked, batch: DataFrame, edges: DataFrame) -> Linked:
     Reports whose id is held already are left out, so a replayed batch changes nothing. New reports are compared with each
     other and with the held ones of the time bins next to theirs; labels are joined up over the new pairs; components that a new
     pair touches are refined again from their pairs. Of the rest only ids and probabilities are read. When unresolved
-    reports become more than MAX_UNRESOLVED, the pairs that were found through them go, once, and all is labelled anew.
+    reports become more than MAX_UNRESOLVED, the pairs that were found through them go, once, and all is labelled anew;
+    in a linkage that was begun as a whole they stay.
     What is held before stays as it is; tables that only this batch's work needed are deleted.
     """
     new = _fresh(batch, held.reports)
@@ -124,20 +129,20 @@ def extend(held: Linked, batch: DataFrame, edges: DataFrame) -> Linked:
     if not n:
         return held
     reports = _grown(held.report_parts, new)
-    loose = linkage.few_unresolved(_whole(reports))
+    loose = held.whole or linkage.few_unresolved(_whole(reports))
     near = keep(_reached(held.reports, new, low, high))
     both = near.withColumn("held", F.lit(True)).unionByName(new.withColumn("held", F.lit(False)))
-    found = keep(linkage.scored_pairs(both, edges, held="held", loose=loose))
+    found = keep(linkage.scored_pairs(both, edges, held="held", loose=loose, whole=held.whole))
     if held.loose and not loose:
         return _relinked(reports, [keep(_whole([*held.scored_parts, found]).where("geo <> 'unknown'"))], loose)
     scored = _grown(held.scored_parts, found)
     links = keep(found.where(F.col("p") >= C.ADMIT).select("a", "b", "p"))
     if not links.limit(1).count():
-        return Linked(reports, scored, held.member, loose)
+        return Linked(reports, scored, held.member, loose, held.whole)
     labels = keep(graph.updated(held.member.select("v", "c"), links))
     touched = keep(labels.join(links.select(F.col("a").alias("v")).distinct(), "v", "left_semi").select("c").distinct())
     again = keep(labels.join(touched, "c", "left_semi").select("v", "c"))
     admitted = _whole(scored).where(F.col("p") >= C.ADMIT).select("a", "b", "p")
     refined = graph.refined(admitted.join(again.select(F.col("v").alias("a")), "a", "left_semi"), again)
     rest = labels.join(touched, "c", "left_anti").join(held.member.select("v", "cluster"), "v").select("v", "c", "cluster")
-    return Linked(reports, scored, keep(rest.unionByName(again.join(refined, "v").select("v", "c", "cluster"))), loose)
+    return Linked(reports, scored, keep(rest.unionByName(again.join(refined, "v").select("v", "c", "cluster"))), loose, held.whole)

@@ -73,17 +73,17 @@ def ambiguous_top(spark, d):
     return linkage.ambiguous(_scored(spark, d), C.TOP_AMBIGUOUS).select("a", "b", "p")
 
 
+def _whole(spark, d):
+    """The scored pairs of clusters: unresolved reports are compared however many they are."""
+    return linkage.scored_pairs(_reports(spark, d), V.doc_edges(spark), whole=True)
+
+
 def components(spark, d):
     c = graph.components(_scored(spark, d).where(F.col("p") >= C.ADMIT).select("a", "b"))
     ids = _reports(spark, d).select("id")
     return ids.join(c, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
-def _whole(spark, d):
-    """The scored pairs of clusters: unresolved reports are compared however many they are."""
-    return linkage.scored_pairs(_reports(spark, d), V.doc_edges(spark), whole=True)
-
-
 def clusters(spark, d):
     return linkage.clusters(_reports(spark, d), _whole(spark, d)).withColumn("report_ids", F.array_join("report_ids", ","))
 
@@ -93,7 +93,7 @@ def clusters_in_batches(spark, d):
     r = _reports(spark, d)
     low, high = r.agg(F.min("t"), F.max("t")).first()
     third = F.least(F.lit(2), F.floor((F.col("t") - low) * 3 / max(1, (high or 0) - (low or 0))))
-    held = increments.begin(r.where(third == 0), V.doc_edges(spark))
+    held = increments.begin(r.where(third == 0), V.doc_edges(spark), whole=True)
     for k in (2, 1):
         held = increments.extend(held, r.where(third == k), V.doc_edges(spark))
     return held.clusters().withColumn("report_ids", F.array_join("report_ids", ","))
@@ -258,7 +258,7 @@ SQL = {
     "ambiguous_top": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT} ORDER BY p DESC, a, b LIMIT {C.TOP_AMBIGUOUS}",
     "components": _PAIRS + f", links AS (SELECT a, b FROM scored WHERE p >= {C.ADMIT} UNION ALL SELECT b, a FROM scored WHERE p >= {C.ADMIT}), reach AS (SELECT id, id AS other FROM doc_reports UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1",
     "clusters": _WHOLE + _CLUSTERS,
-    "clusters_in_batches": _PAIRS + _CLUSTERS,
+    "clusters_in_batches": _WHOLE + _CLUSTERS,
     "simulated_ambiguous": _PAIRS + f""", every AS (SELECT a, b, p, NOT (p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}) AS forced, FALSE AS made_up FROM scored UNION ALL SELECT min(id), max(id), {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}, TRUE, TRUE FROM (SELECT id FROM doc_reports ORDER BY id LIMIT 2) HAVING count(*) = 2)
 SELECT a, b, CASE WHEN forced THEN {(C.AMBIGUOUS_LOW + C.ADMIT) / 2} ELSE p END AS p, p AS original_p, forced FROM every ORDER BY made_up, forced, CASE WHEN forced THEN abs(p - {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}) ELSE -p END, a, b LIMIT 1""",
     "outcome_table": f"""WITH levels AS (SELECT g.l AS geo, t.l AS time, x.l AS text, s.l AS source FROM {', '.join(f"(SELECT unnest({list(t)}) AS l) AS {n}" for n, t in zip('gtxs', C.MATCH_TABLE.values(), strict=True))}), r AS (SELECT *, {_RATIO} AS ratio FROM levels),

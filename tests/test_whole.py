@@ -7,7 +7,7 @@ import pytest
 
 from tacet import config as C
 from tacet.functions import text as T
-from tacet.operators import linkage, sweep
+from tacet.operators import increments, linkage, sweep
 from tacet.plans import text_queries
 
 H = C.HOUR_MS
@@ -58,6 +58,20 @@ def test_pairs_of_new_reports_alone(spark, monkeypatch):
     assert got == {(a, b) for a, b in expect if a % 4 > 1 or b % 4 > 1}
 
 
+def test_batches_keep_the_pairs_of_unresolved_reports(spark, monkeypatch):
+    monkeypatch.setattr(C, "MAX_UNRESOLVED", 12)  # the first batch has fewer
+    monkeypatch.setattr(sweep, "CHUNK", 7)
+    reports, edges, expect = _frames(spark, 120, 7)
+    scored = linkage.scored_pairs(reports, edges, whole=True).collect()
+    held = increments.begin(reports.where("id % 5 = 0"), edges, whole=True)
+    for batch in ("id % 5 in (1, 4)", "id % 5 in (1, 4)", "id % 5 in (0, 2, 3)"):  # the second has come before, the last in part
+        held = increments.extend(held, reports.where(batch), edges)
+    assert held.loose and held.whole and sorted(map(str, held.scored.collect())) == sorted(map(str, scored))
+    assert {(r.a, r.b) for r in scored} == expect
+    one = linkage.clusters(reports, spark.createDataFrame(scored))
+    assert sorted(map(str, held.clusters().collect())) == sorted(map(str, one.collect()))
+
+
 def test_a_task_holds_one_chunk(spark, monkeypatch):
     """Rows that reach a chunk are dealt to units of some UNIT rows; loose rows at one time to chunks of CHUNK."""
     monkeypatch.setattr(sweep, "UNIT", 50)
@@ -84,7 +98,7 @@ def _against_sql(spark, query):
     return got, sorted(str(tuple(r)) for r in con.execute(text_queries.SQL[query]).fetchall())
 
 
-@pytest.mark.parametrize("query", ["clusters"])
+@pytest.mark.parametrize("query", ["clusters", "clusters_in_batches"])
 def test_results_do_not_depend_on_how_many_are_unresolved(spark, monkeypatch, query):
     expect = _against_sql(spark, query)
     monkeypatch.setattr(C, "MAX_UNRESOLVED", 3)
