@@ -74,12 +74,12 @@ def ambiguous_top(spark, d):
 
 
 def _whole(spark, d):
-    """The scored pairs of clusters: unresolved reports are compared however many they are."""
+    """The scored pairs of components and clusters: unresolved reports are compared however many they are."""
     return linkage.scored_pairs(_reports(spark, d), V.doc_edges(spark), whole=True)
 
 
 def components(spark, d):
-    c = graph.components(_scored(spark, d).where(F.col("p") >= C.ADMIT).select("a", "b"))
+    c = graph.components(_whole(spark, d).where(F.col("p") >= C.ADMIT).select("a", "b"))
     ids = _reports(spark, d).select("id")
     return ids.join(c, F.col("id") == F.col("v"), "left").select("id", F.coalesce("c", "id").alias("component"))
 
@@ -256,7 +256,7 @@ SQL = {
     "scored_pairs": _PAIRS + "SELECT * FROM scored",
     "ambiguous_pairs": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}",
     "ambiguous_top": _PAIRS + f"SELECT a, b, p FROM scored WHERE p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT} ORDER BY p DESC, a, b LIMIT {C.TOP_AMBIGUOUS}",
-    "components": _PAIRS + f", links AS (SELECT a, b FROM scored WHERE p >= {C.ADMIT} UNION ALL SELECT b, a FROM scored WHERE p >= {C.ADMIT}), reach AS (SELECT id, id AS other FROM doc_reports UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1",
+    "components": _WHOLE + f", links AS (SELECT a, b FROM scored WHERE p >= {C.ADMIT} UNION ALL SELECT b, a FROM scored WHERE p >= {C.ADMIT}), reach AS (SELECT id, id AS other FROM doc_reports UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1",
     "clusters": _WHOLE + _CLUSTERS,
     "clusters_in_batches": _WHOLE + _CLUSTERS,
     "simulated_ambiguous": _PAIRS + f""", every AS (SELECT a, b, p, NOT (p >= {C.AMBIGUOUS_LOW} AND p < {C.ADMIT}) AS forced, FALSE AS made_up FROM scored UNION ALL SELECT min(id), max(id), {(C.AMBIGUOUS_LOW + C.ADMIT) / 2}, TRUE, TRUE FROM (SELECT id FROM doc_reports ORDER BY id LIMIT 2) HAVING count(*) = 2)

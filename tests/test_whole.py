@@ -98,7 +98,7 @@ def _against_sql(spark, query):
     return got, sorted(str(tuple(r)) for r in con.execute(text_queries.SQL[query]).fetchall())
 
 
-@pytest.mark.parametrize("query", ["clusters", "clusters_in_batches"])
+@pytest.mark.parametrize("query", ["clusters", "clusters_in_batches", "components"])
 def test_results_do_not_depend_on_how_many_are_unresolved(spark, monkeypatch, query):
     expect = _against_sql(spark, query)
     monkeypatch.setattr(C, "MAX_UNRESOLVED", 3)
