@@ -13,7 +13,7 @@ from tacet.sources.shared import keep, numbered
 
 PAIRS = 1 << 18  # pairs in one batch of output
 CHUNK = 256  # loose rows that other rows are compared with at a time
-UNIT = 1 << 14  # rows that meet a chunk in one place
+UNIT = 1 << 12  # rows that meet a chunk in one place
 
 
 def _sweep(window: int):

@@ -40,7 +40,7 @@ def _frames(spark, n, seed):
     return reports, spark.createDataFrame([(i, i + 1) for i in range(6)] + [(i + 1, i) for i in range(6)], "src bigint, dst bigint"), expect
 
 
-@pytest.mark.parametrize(("chunk", "unit"), [(256, 1 << 14), (5, 8), (1, 1)])  # one chunk, and chunks of which many reach a row
+@pytest.mark.parametrize(("chunk", "unit"), [(256, 1 << 12), (5, 8), (1, 1)])  # one chunk, and chunks of which many reach a row
 def test_unresolved_reports_are_compared_however_many(spark, monkeypatch, chunk, unit):
     monkeypatch.setattr(sweep, "CHUNK", chunk)
     monkeypatch.setattr(sweep, "UNIT", unit)
